@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from rankloom.llm.decontaminate import op3_benchmark_decontamination
+from rankloom.llm.packing import op10_best_fit_packing
 from rankloom.llm.url_filter import op6_url_filter
 
 
 def queries() -> dict:
-    return {"op6_url_filter": op6_url_filter}
+    return {f.__name__: f for f in (op3_benchmark_decontamination, op6_url_filter, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
