@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20
+MOST_DOCS = 1 << 15
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -62,7 +63,7 @@ def chunks(off: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of documents of at most ``size`` bytes together, or one longer document."""
     lo, n = 0, len(off) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + size, side="right")) - 1)
+        hi = min(lo + MOST_DOCS, max(lo + 1, int(np.searchsorted(off, off[lo] + size, side="right")) - 1))
         yield lo, hi
         lo = hi
 
@@ -122,5 +123,16 @@ def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return run[at[1:]] - run[at[:-1]]
 
 
+def repeats(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each document (``first`` as in :func:`words`): distinct hashes, and the most frequent one's count."""
+    n = len(first) - 1
+    key = np.sort((np.repeat(np.arange(n, dtype=np.uint64), np.diff(first)) << np.uint64(48)) | (h >> np.uint64(16)))
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+    runs, owner = np.diff(np.append(begin, len(key))), (key[begin] >> np.uint64(48)).astype(np.int64)
+    most = np.zeros(n, dtype=np.int64)
+    np.maximum.at(most, owner, runs)
+    return np.bincount(owner, minlength=n), most
+
+
 def string_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
