@@ -83,14 +83,24 @@ def words(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.nd
     return s, e, np.searchsorted(s, off)
 
 
-def hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the lower-cased (A-Z) bytes of each span; equal words have equal hashes anywhere."""
-    p, inv = _powers(len(data) + 1)
+def running(data: np.ndarray) -> np.ndarray:
+    """Running polynomial hash of the lower-cased bytes, for :func:`spans`."""
+    p, _ = _powers(len(data) + 1)
     run = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * p[: len(data)], dtype=np.uint64, out=run[1:])
+    return run
+
+
+def spans(run: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans; equal (A-Z lower-cased) bytes have equal hashes anywhere."""
+    _, inv = _powers(len(run))
     return mix((run[e] - run[s]) * inv[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    return spans(running(data), s, e)
+
+
 def hash_words(texts: list[bytes]) -> np.ndarray:
     """Hashes of single words given as bytes, equal to those of :func:`hashes`."""
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)

@@ -1,7 +1,8 @@
 """Toxicity: a convolutional text classifier trained in numpy.
 
-Hashed word embeddings, filters over 1, 2 and 3 words, rectified max pooling over the whole text and
-a logistic output.  It is trained on the driver on a bounded sample of labelled rows.  The decision
+Hashed word embeddings (a word's vector is the mean of those of the word and of its first 4 and 6
+bytes, so inflected forms share theirs), filters over 1, 2 and 3 words, rectified max pooling over
+the whole text and a logistic output.  It is trained on the driver on a bounded sample of labelled rows.  The decision
 threshold is calibrated for each language; the language is guessed from the text's own function
 words, never read from a column.  Scoring is one pass in Arrow batches.
 
@@ -25,7 +26,7 @@ from rankloom.llm.common import held_out, table
 from rankloom.llm.labelled import MOD, REST, labelled_rows
 
 #: Labelled rows of each class that are fitted at most.
-MAX_ROWS = 6_000
+MAX_ROWS = 4_000
 THRESHOLD = 0.3
 
 #: Frequent function words, by which a text's language is guessed.
@@ -56,8 +57,23 @@ def guess_language(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(votes.max(1) > 0, votes.argmax(1), len(FUNCTION_WORDS))
 
 
+#: Rows of the embedding, and how many of them make up a word.
+BUCKETS, PARTS = 1 << 18, 3
+
+
+def word_ids(data: np.ndarray, s: np.ndarray, e: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and for each its rows of the embedding."""
+    capital = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[:-1] == 0xC3)) + 1  # À to Þ
+    data = data.copy()
+    data[capital] += 32
+    run = K.running(data)
+    parts = [K.spans(run, s, np.minimum(e, s + n)) for n in (1 << 30, 4, 6)]
+    salted = [K.mix(h + np.uint64(i)) % np.uint64(buckets) for i, h in enumerate(parts)]
+    return parts[0], np.stack(salted, 1).astype(np.int32)
+
+
 class TextCnn:
-    def __init__(self, buckets: int = 1 << 17, dims: int = 8, widths: tuple[int, ...] = (1, 2, 3), filters: int = 6, seed: int = 7):
+    def __init__(self, buckets: int = BUCKETS, dims: int = 8, widths: tuple[int, ...] = (1, 2, 3), filters: int = 6, seed: int = 7):
         self.widths, self.filters, self.dims = widths, filters, dims
         rng = np.random.default_rng(seed)
         self.embed = rng.normal(0, 0.05, (buckets, dims)).astype(np.float32)
@@ -67,15 +83,15 @@ class TextCnn:
         self.bias = 0.0
         self.threshold = np.zeros(len(LANGUAGES))
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        return (h % np.uint64(len(self.embed))).astype(np.int64)
+    def vectors(self, ids: np.ndarray) -> np.ndarray:
+        return (self.embed[ids[:, 0]] + self.embed[ids[:, 1]] + self.embed[ids[:, 2]]) / np.float32(PARTS)
 
     def pool(self, ids: np.ndarray, first: np.ndarray, where: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
         """Max-pooled filter outputs, and for training the word at which each one is reached (-1: none)."""
         n = len(first) - 1
         pooled, places = np.zeros((n, len(self.widths), self.filters), dtype=np.float32), []
         full = np.flatnonzero(np.diff(first))
-        x = self.embed[ids]
+        x = self.vectors(ids)
         stop = np.repeat(first[1:], np.diff(first))
         for i, (k, w) in enumerate(zip(self.widths, self.conv, strict=True)):
             z = np.full((len(ids), self.filters), self.shift[i])
@@ -109,8 +125,9 @@ class TextCnn:
         seen = np.zeros((2, len(self.embed)))
         for i in train:
             seen[int(y[i]), np.unique(texts[i])] += 1
-        share = np.log((seen[1] + 0.2) / (y[train].sum() + 1)) - np.log((seen[0] + 0.2) / ((1 - y[train]).sum() + 1))
-        self.embed[:, 0] = np.where(seen.sum(0) > 1, np.clip(share, -4, 4), 0)
+        base, weight = y[train].mean(), 5.0
+        share = (seen[1] + weight * base) / (seen.sum(0) + weight)
+        self.embed[:, 0] = np.log(share / (1 - share)) - np.log(base / (1 - base))
         for w in self.conv:
             w[0, 0, 0] = 1.0
         for i in range(len(self.widths)):
@@ -146,9 +163,9 @@ class TextCnn:
             np.add.at(d_shift[i], f, d / len(rows))
             for j in range(k):
                 word = ids[at[doc, f] + j]
-                np.add.at(d_conv[i][j].T, f, d[:, None] * self.embed[word] / len(rows))
-                touched.append(word)
-                grads.append(d[:, None] * self.conv[i][j].T[f])
+                np.add.at(d_conv[i][j].T, f, d[:, None] * self.vectors(word) / len(rows))
+                touched += list(word.T)
+                grads += [d[:, None] * self.conv[i][j].T[f] / np.float32(PARTS)] * PARTS
         word, inverse = np.unique(np.concatenate(touched), return_inverse=True)
         d_embed = np.zeros((len(word), self.dims), dtype=np.float32)
         np.add.at(d_embed, inverse, np.concatenate(grads))
@@ -159,10 +176,10 @@ class TextCnn:
             p -= rate * g / np.sqrt(s)
         self.bias -= rate * float(delta.mean())
 
-    def score(self, h: np.ndarray, first: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    def score(self, h: np.ndarray, ids: np.ndarray, first: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
         """From 0 to 1; a text at its language's threshold scores ``threshold``."""
         at = self.threshold[guess_language(h, first)]
-        z = self.margin(self.ids(h), first) - at + np.log(threshold / (1 - threshold))
+        z = self.margin(ids, first) - at + np.log(threshold / (1 - threshold))
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
@@ -178,15 +195,15 @@ def best_threshold(margin: np.ndarray, y: np.ndarray) -> float:
     return float((m[k] + m[k + 1]) / 2 if k + 1 < len(m) else m[k])
 
 
-def _words_of(text: str, names: list[str]):
+def _words_of(text: str, names: list[str], buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = K.text_buffer(K.string_column(batch, text))
             words, language = [], []
             for lo, hi in K.chunks(off):
                 s, e, first = K.words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], K.ALNUM)
-                h = K.hashes(data[off[lo] : off[hi]], s, e)
-                words += [h[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
+                h, ids = word_ids(data[off[lo] : off[hi]], s, e, buckets)
+                words += [ids[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
                 language += guess_language(h, first).tolist()
             yield pa.RecordBatch.from_arrays([*(K.string_column(batch, c) for c in names), pa.array(words, pa.binary()), pa.array(language, pa.int32())], names=[*names, "words", "language"])
 
@@ -197,9 +214,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     """A network trained on at most ``max_rows`` labelled rows of each class."""
     model = TextCnn(**shape)
     sample = labelled_rows(docs.select(key, text), labels, label, key, max_rows).select(key, "y", text)
-    sample = sample.mapInArrow(_words_of(text, ["y"]), "y int, words binary, language int")
+    sample = sample.mapInArrow(_words_of(text, ["y"], len(model.embed)), "y int, words binary, language int")
     rows = sorted(((r["y"], bytes(r["words"]), r["language"]) for r in sample.collect()))  # any order of arrival gives the same model
-    ids = [model.ids(np.frombuffer(w, dtype=np.uint64)).astype(np.int32) for _, w, _ in rows]
+    ids = [np.frombuffer(w, dtype=np.int32).reshape(-1, PARTS) for _, w, _ in rows]
     return model.fit(ids, np.array([r[0] for r in rows], dtype=np.float64), np.array([r[2] for r in rows], dtype=np.int64))
 
 
@@ -211,7 +228,8 @@ def _scores_of(shared, text: str, names: list[str]):
             scores = [np.zeros(0)]
             for lo, hi in K.chunks(off):
                 s, e, first = K.words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], K.ALNUM)
-                scores.append(model.score(K.hashes(data[off[lo] : off[hi]], s, e), first))
+                h, ids = word_ids(data[off[lo] : off[hi]], s, e, len(model.embed))
+                scores.append(model.score(h, ids, first))
             yield pa.RecordBatch.from_arrays([*(K.string_column(batch, c) for c in names), pa.array(np.concatenate(scores))], names=[*names, "toxicity_score"])
 
     return run
