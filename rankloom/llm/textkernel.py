@@ -129,7 +129,9 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sum of ``values[at[i]:at[i + 1]]`` for each i."""
-    run = np.concatenate([[0], np.cumsum(values)])
+    total = np.cumsum(values)
+    run = np.zeros(len(values) + 1, dtype=total.dtype)
+    run[1:] = total
     return run[at[1:]] - run[at[:-1]]
 
 
