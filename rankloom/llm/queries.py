@@ -5,13 +5,14 @@ from __future__ import annotations
 from rankloom.llm.decontaminate import op3_benchmark_decontamination
 from rankloom.llm.jaccard import op7_ngram_jaccard_join
 from rankloom.llm.packing import op10_best_fit_packing
+from rankloom.llm.ppm import op8_lm_scoring
 from rankloom.llm.quality import op5_quality_classifier
 from rankloom.llm.toxicity import op4_toxicity
 from rankloom.llm.url_filter import op6_url_filter
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_benchmark_decontamination, op4_toxicity, op5_quality_classifier, op6_url_filter, op7_ngram_jaccard_join, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op3_benchmark_decontamination, op4_toxicity, op5_quality_classifier, op6_url_filter, op7_ngram_jaccard_join, op8_lm_scoring, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
