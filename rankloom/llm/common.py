@@ -7,6 +7,7 @@ import math
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,5 +68,22 @@ def partitions(spark: SparkSession, least: int = 12) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def columns(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a result of bounded size, as Arrow gives them: no object per row."""
+    got = df.toArrow()
+    return [c.to_numpy() for c in got.columns]
+
+
+def least_count(histogram: list[tuple[int, int]], most: int) -> int:
+    """The least count such that rows of at least it number no more than ``most``."""
+    least, total = 1 + max((n for n, _ in histogram), default=0), 0
+    for n, rows in sorted(histogram, reverse=True):
+        total += rows
+        if total > most:
+            break
+        least = n
+    return least
+
+
 def blocks(n: int, size: int) -> int:
     return max(1, math.ceil(n / size))
