@@ -12,11 +12,14 @@ shingles.  Equal sets are one class from the start, named by a hash of the set.
 * The boundary is the largest size for which enumerating subsets costs less than scanning lists.
   Light sets close enough to it are posted in the lists too, for their heavy partners.
 
-Lists are scanned twice.  First every set is verified against the one set it meets most often among
-the heads of its lists (the member with the fewest rarer elements), which links most of a group of
-near copies in one star.  Then all pairs of a list whose sets are not in one component yet are
-verified.  Pairs within a component need no check, so no link between components is lost and large
-groups do not expand into all their pairs.  Verification counts the exact intersection.
+Short lists give their possible pairs at once.  Long lists are scanned twice.  First every set is
+verified against the one set it meets most often among the heads of its lists (the member with the
+fewest rarer elements), which links most of a group of near copies in one star.  Then all pairs of a
+long list whose sets are not in one component yet are verified.  Pairs within a component need no
+check, so no link between components is lost and large groups do not expand into all their pairs.
+Before sets are fetched, a bitmap of each (a bit for each element, of one byte for 8 elements) rules
+out pairs whose bitmaps differ in more places than the sets may.  Verification then counts the exact
+intersection.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing (component:
 their own id); fewer words than the shingle make one shingle; repeated rows are one class; a null id
@@ -37,16 +40,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm import textkernel as K
-from rankloom.llm.common import partitions, shared_table, table
+from rankloom.llm.common import columns, least_count, partitions, shared_table, table
 from rankloom.llm.components import components
 
 #: Frequent shingles that are told to every task, at most; others keep their place in the order.
-HOT_SHINGLES = 1 << 17
-HOT_LEAST = 16
-#: A task counts the shingles of so many bytes of text at a time, and reports so many of them at most.
-COUNT_BYTES, COUNT_MOST = 16 << 20, 1 << 16
+HOT_SHINGLES = 1 << 20
+HOT_LEAST = 3
+#: A task packs the shingles of so many bytes of text at a time.
+COUNT_BYTES = 16 << 20
 #: Sets whose ids are broadcast for verification, at most; beyond, they are joined.
 BROADCAST_SETS = 4_000_000
+#: Pairs that are broadcast to the sets, at most.
+BROADCAST_PAIRS = 1_000_000
+#: Members of a list whose pairs are compared at once.
+SHORT = 16
 POSTING = np.dtype([("key", "<u8"), ("owner", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
 
@@ -94,19 +101,17 @@ class Sets:
         return K.mix(weak ^ K.mix(other + self.n.astype(np.uint64))).view(np.int64)
 
 
-def _frequent(k: int, text: str):
+def _hashed(k: int, text: str):
+    """The upper 32 bits of all shingle hashes, of each document once: the lower 24 of them packed by the upper 8."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def report():
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            total, squares = int(n.sum()), int((n.astype(np.int64) ** 2).sum())
-            more = n > 1
-            h, n = h[more], n[more]
-            if len(n) > COUNT_MOST:
-                top = np.argpartition(-n, COUNT_MOST)[:COUNT_MOST]
-                h, n = h[top], n[top]
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(h.view(np.int64), [0, 0])), pa.array(np.append(n, [total, squares])), pa.array(np.append(np.zeros(len(h), np.int32), np.array([1, 2], np.int32)))], names=["h", "n", "kind"])
+            h = np.sort((np.concatenate(held) >> np.uint64(32)).astype("<u4"))
+            cut = np.searchsorted(h, np.arange(1, 256, dtype=np.uint32) << np.uint32(24))
+            rest = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 4)[:, :3])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array([x.tobytes() for x in np.split(rest, cut)], pa.binary())], names=["bucket", "rows"])
 
         for batch in batches:
             data, off = K.text_buffer(K.string_column(batch, text))
@@ -122,53 +127,87 @@ def _frequent(k: int, text: str):
     return run
 
 
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of those that occur ``HOT_LEAST`` times or more (kind 0); the sum of all counts (1) and of their squares (2)."""
+    for bucket, blobs in _buckets(batches):
+        packed = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, 3)
+        h = np.zeros((len(packed), 4), dtype=np.uint8)
+        h[:, :3] = packed
+        h, n = np.unique(h.view("<u4").ravel(), return_counts=True)
+        more = n >= HOT_LEAST
+        rows = [(0, (bucket << 24) + int(x), int(c)) for x, c in zip(h[more], n[more], strict=True)]
+        rows += [(1, 0, int(n.sum())), (2, 0, int((n.astype(np.int64) ** 2).sum()))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["kind", "h", "n"])
+
+
 class Order:
-    """The global order of shingles: by hash, but those known to be frequent last, by count."""
+    """The global order of shingles: by hash, but those known to be frequent last, by count.
+
+    ``hashes`` are the upper 32 bits.  Should two shingles share them, their order is still one order.
+    """
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        rank = np.empty(len(hashes), dtype=np.int64)
-        rank[np.lexsort((self.hashes, counts[order]))] = np.arange(len(hashes))
-        self.rank = rank
-        self.maybe = np.zeros(1 << 22, dtype=bool)
-        self.maybe[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
+        self.hashes = hashes[order].astype(np.uint32)
+        self.rank = np.empty(len(hashes), dtype=np.int32)
+        self.rank[np.lexsort((self.hashes, counts[order]))] = np.arange(len(hashes))
+        self.maybe = np.zeros(1 << 24, dtype=np.uint8)  # a bit for each 32 hashes
+        np.bitwise_or.at(self.maybe, self.hashes >> 8, (1 << (self.hashes >> 5 & 7)).astype(np.uint8))
 
     def hot(self, h: np.ndarray) -> np.ndarray:
         """Rank among the frequent ones + 1, or 0."""
-        out = np.zeros(len(h), dtype=np.int64)
+        out = np.zeros(len(h), dtype=np.int32)
         if len(self.hashes):
-            some = np.flatnonzero(self.maybe[(h >> np.uint64(42)).astype(np.int64)])
+            h = (h >> np.uint64(32)).astype(np.uint32)
+            some = np.flatnonzero(self.maybe[h >> 8] >> (h >> 5 & 7).astype(np.uint8) & 1)
             at = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
             found = self.hashes[at] == h[some]
             out[some[found]] = self.rank[at[found]] + 1
         return out
 
 
-def postings(sets: Sets, order: Order, light: int, threshold: int) -> list[bytes]:
-    """For each set its postings: subsets if it is light, its prefix if a heavy partner is possible."""
-    names, hot = sets.names(), order.hot(sets.h)
+def prefixes(sets: Sets, order: Order, light: int, threshold: int) -> list[bytes]:
+    """For each set the keys of its prefix, in the global order, if a heavy partner is possible."""
     n = sets.n
     prefix = n - -(-threshold * n // 100) + 1
     # the order within a set: frequent elements after all others
-    rank = np.lexsort((sets.h, hot, sets.doc))
+    rank = np.lexsort((sets.h, order.hot(sets.h), sets.doc))
     pos = np.arange(len(rank)) - sets.first[sets.doc]
     listed = (pos < prefix[sets.doc]) & (100 * n[sets.doc] >= threshold * (light + 1))
-    heavy = np.zeros(int(listed.sum()), dtype=POSTING)
-    at = sets.doc[listed]
-    heavy["key"], heavy["owner"], heavy["n"], heavy["pos"] = sets.h[rank][listed], names[at], n[at], pos[listed]
-    cut = np.searchsorted(at, np.arange(len(n) + 1))
-    out = [heavy[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
-    for d in np.flatnonzero((n > 0) & (n <= light)).tolist():
+    keys, cut = sets.h[rank][listed], np.searchsorted(sets.doc[listed], np.arange(len(n) + 1))
+    return [keys[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+
+
+def subsets(sets: Sets, light: int, threshold: int) -> list[bytes]:
+    """For each light set the keys of its subsets of all sizes that a link could share."""
+    out = [b""] * len(sets.n)
+    for d in np.flatnonzero((sets.n > 0) & (sets.n <= light)).tolist():
         own = K.mix(sets.h[sets.first[d] : sets.first[d + 1]] ^ np.uint64(0xC2B2AE3D27D4EB4F))
-        whole = own.sum(dtype=np.uint64)
-        keys = [whole - own[list(gone)].sum(dtype=np.uint64) + np.uint64(len(own) - j) * np.uint64(0x9E3779B97F4A7C15) for j in range(spare(len(own), threshold) + 1) for gone in combinations(range(len(own)), j)]
-        rows = np.zeros(len(keys), dtype=POSTING)
-        rows["key"], rows["owner"], rows["n"] = K.mix(np.array(keys, dtype=np.uint64)), names[d], len(own)
-        out[d] += rows.tobytes()
+        gone = [x for j in range(spare(len(own), threshold) + 1) for x in combinations(range(len(own)), j)]
+        without = np.array([own[list(x)].sum(dtype=np.uint64) for x in gone], dtype=np.uint64)
+        size = np.array([len(own) - len(x) for x in gone], dtype=np.uint64)
+        out[d] = K.mix(own.sum(dtype=np.uint64, keepdims=True) - without + size * np.uint64(0x9E3779B97F4A7C15)).tobytes()
     return out
 
 
+def bitmaps(sets: Sets) -> list[bytes]:
+    """A bit for each element, in a power of two of bits from 64 on, at least the set's size."""
+    bits = np.maximum(64, 2 ** np.ceil(np.log2(np.maximum(sets.n, 1))).astype(np.int64))
+    at = np.concatenate([[0], np.cumsum(bits)])
+    flags = np.zeros(at[-1], dtype=bool)
+    flags[at[sets.doc] + (sets.h >> np.uint64(20)).astype(np.int64) % bits[sets.doc]] = True
+    packed = np.packbits(flags)
+    return [packed[a:b].tobytes() for a, b in zip(at[:-1] // 8, at[1:] // 8, strict=True)]
+
+
+def bits_differ(x: bytes, y: bytes) -> int:
+    """Places in which two bitmaps differ, the larger one folded: no more than the elements that only one set has."""
+    x, y = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(v.reshape(-1, size), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _indexed(shared, doc_id: str, text: str, k: int, light: int, threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
@@ -176,7 +215,8 @@ def _indexed(shared, doc_id: str, text: str, k: int, light: int, threshold: int)
             data, off = K.text_buffer(K.string_column(batch, text))
             for lo, hi in K.chunks(off):
                 sets = Sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)
-                yield pa.RecordBatch.from_arrays([K.string_column(batch, doc_id).slice(lo, hi - lo), pa.array(sets.n.astype(np.int64)), pa.array(sets.names(), mask=sets.n == 0), pa.array(postings(sets, order, light, threshold), pa.binary())], names=["doc_id", "n", "owner", "postings"])
+                keys = (prefixes(sets, order, light, threshold), subsets(sets, light, threshold), bitmaps(sets))
+                yield pa.RecordBatch.from_arrays([K.string_column(batch, doc_id).slice(lo, hi - lo), pa.array(sets.n.astype(np.int64)), pa.array(sets.names(), mask=sets.n == 0), *(pa.array(x, pa.binary()) for x in keys)], names=["doc_id", "n", "owner", "prefix", "subsets", "bits"])
 
     return run
 
@@ -186,7 +226,17 @@ def _dealt(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.unique(np.frombuffer(b"".join(K.string_column(batch, "postings").to_pylist()), dtype=POSTING))
+            parts = []
+            owner, n = (K.string_column(batch, c).to_numpy() for c in ("owner", "n"))
+            for name in ("prefix", "subsets"):
+                keys = K.string_column(batch, name).to_pylist()
+                size = np.array([len(x) // 8 for x in keys], dtype=np.int64)
+                rows = np.zeros(size.sum(), dtype=POSTING)
+                rows["key"], rows["owner"], rows["n"] = np.frombuffer(b"".join(keys), dtype=np.uint64), np.repeat(owner, size), np.repeat(n, size)
+                if name == "prefix":
+                    rows["pos"] = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
+                parts.append(rows)
+            rows = np.concatenate(parts)
             bucket = (rows["key"] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
@@ -218,31 +268,59 @@ def _possible(a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
     return (most >= needed(a["n"].astype(np.int64), b["n"], threshold)) & (100 * small.astype(np.int64) >= threshold * large)
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The postings of each bucket; the rows come sorted by bucket."""
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """The packed rows of each bucket; the rows come sorted by bucket."""
     now, held = None, []
     for batch in batches:
         for bucket, rows in zip(K.string_column(batch, "bucket").to_pylist(), K.string_column(batch, "rows"), strict=True):
             if bucket != now and held:
-                yield np.concatenate(held)
+                yield now, held
                 held = []
             now = bucket
-            held.append(np.frombuffer(rows.as_py(), dtype=POSTING))
+            held.append(rows.as_py())
     if held:
-        yield np.concatenate(held)
+        yield now, held
 
 
 def _scanned(threshold: int):
-    """Lists of two or more, with the head of each; ``met`` tells whether head and member could link."""
+    """Possible pairs of short lists (kind 0: owner and head); the members of long lists with the head (1, or 2 if both could link)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_bucket(batches):
-            rows, first = _lists(rows)
+        for _, blobs in _buckets(batches):
+            rows, first = _lists(np.frombuffer(b"".join(blobs), dtype=POSTING))
             size = np.diff(first)
-            head = rows[np.repeat(first[:-1], size)]
-            met = _possible(head, rows, threshold) & (head["owner"] != rows["owner"])
-            key = rows["key"].view(np.int64) if len(rows) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (key, rows["owner"], rows["n"], rows["pos"], head["owner"])] + [pa.array(met)], names=["key", "owner", "n", "pos", "head", "met"])
+            out = []
+            for n in range(2, SHORT + 1):
+                begin = first[:-1][size == n]
+                for i in range(n):
+                    for j in range(i + 1, n):
+                        a, b = rows[begin + i], rows[begin + j]
+                        ok = _possible(a, b, threshold)
+                        pair = np.zeros((int(ok.sum()), 6), dtype=np.int64)
+                        pair[:, 1], pair[:, 4] = np.minimum(a["owner"], b["owner"])[ok], np.maximum(a["owner"], b["owner"])[ok]
+                        out.append(pair)
+            pairs = np.unique(np.concatenate(out), axis=0)
+            long = np.repeat(size > SHORT, size)
+            head = rows[np.repeat(first[:-1], size)][long]
+            own = rows[long]
+            met = _possible(head, own, threshold) & (head["owner"] != own["owner"])
+            members = np.stack([own["key"].view(np.int64), own["owner"], own["n"], own["pos"], head["owner"], 1 + met], axis=1).astype(np.int64)
+            got = np.concatenate([pairs, members])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in got.T], names=["key", "owner", "n", "pos", "head", "kind"])
+
+    return run
+
+
+def _alike(threshold: int):
+    """Pairs that the bitmaps do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, y, n, m = (K.string_column(batch, c) for c in ("a", "b", "x", "y", "n", "m"))
+            n, m = n.to_numpy(), m.to_numpy()
+            most = n + m - 2 * needed(n, m, threshold)
+            keep = pa.array([i for i, (p, q) in enumerate(zip(x, y, strict=True)) if bits_differ(p.as_py(), q.as_py()) <= most[i]], pa.int64())
+            yield pa.RecordBatch.from_arrays([a.take(keep), b.take(keep)], names=["a", "b"])
 
     return run
 
@@ -262,6 +340,8 @@ def _crossing(threshold: int, block: int = 512):
                 continue
             for i in range(lo, hi, block):
                 for j in range(i, hi, block):
+                    if (label[i : i + block] == label[i]).all() and (label[j : min(j + block, hi)] == label[i]).all():
+                        continue
                     a, b = np.meshgrid(np.arange(i, min(i + block, hi)), np.arange(j, min(j + block, hi)), indexing="ij")
                     a, b = a.ravel(), b.ravel()
                     ok = (a < b) & (label[a] != label[b])
@@ -301,7 +381,9 @@ def _sets_of(shared, doc_id: str, text: str, k: int):
             for lo, hi in K.chunks(off):
                 sets = Sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)
                 names, wanted = sets.names(), sets.n > 0
-                if owners is not None:
+                if owners is not None and not len(owners):
+                    wanted[:] = False
+                elif owners is not None:
                     at = np.minimum(np.searchsorted(owners, names), len(owners) - 1)
                     wanted &= (owners[at] == names) & (ids[at] == key[lo:hi])
                 some = np.flatnonzero(wanted)
@@ -325,20 +407,36 @@ def _verified(threshold: int):
     return run
 
 
+def alike(pairs: DataFrame, owners: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that the bitmaps of ``owners`` do not rule out."""
+    x = owners.select(F.col("owner").alias("a"), F.col("bits").alias("x"), "n")
+    y = owners.select(F.col("owner").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(_alike(threshold), "a long, b long")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose sets link."""
+    if pairs.count() <= BROADCAST_PAIRS:  # 16 bytes each
+        pairs = F.broadcast(pairs)
     x = sets.select(F.col("owner").alias("b"), F.col("elements").alias("y"))
     y = sets.select(F.col("owner").alias("a"), F.col("elements").alias("x"))
     return pairs.join(x, "b").join(y, "a").select("a", "b", "x", "y").mapInArrow(_verified(threshold), "a long, b long").distinct()
 
 
+def by_bucket(packed: DataFrame) -> DataFrame:
+    n = partitions(packed.sparkSession)
+    return packed.repartition(n, "bucket").sortWithinPartitions("bucket")
+
+
 def frequent_shingles(docs: DataFrame, text: str, k: int) -> tuple[Order, float]:
     """The global order, and the mean length of the list of a shingle taken at random."""
-    counted = docs.select(text).mapInArrow(_frequent(k, text), "h long, n long, kind int").groupBy("kind", "h").agg(F.sum("n").alias("n"))
-    counted = shared_table(counted.where(f"kind > 0 or n >= {HOT_LEAST}"), "frequent")
-    total = {r["kind"]: r["n"] for r in counted.where("kind > 0").collect()}
-    hot = counted.where("kind = 0").orderBy(F.desc("n"), "h").limit(HOT_SHINGLES).select("h", "n").toPandas()
-    return Order(hot["h"].to_numpy(dtype=np.int64).view(np.uint64), hot["n"].to_numpy(dtype=np.int64)), total.get(2, 0) / max(1, total.get(1, 1))
+    hashed = docs.select(text).mapInArrow(_hashed(k, text), "bucket int, rows binary")
+    counted = shared_table(by_bucket(hashed).mapInArrow(_frequent, "kind long, h long, n long"), "frequent")
+    total = {r["kind"]: r["n"] for r in counted.where("kind > 0").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    hot = counted.where("kind = 0")
+    least = least_count([(r["n"], r["rows"]) for r in hot.groupBy("n").agg(F.count("*").alias("rows")).collect()], HOT_SHINGLES)
+    h, n = columns(hot.where(F.col("n") >= least).select("h", "n"))
+    return Order(h, n), total.get(2, 0) / max(1, total.get(1, 1))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, threshold: int = 85) -> DataFrame:
@@ -348,33 +446,40 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     order, length = frequent_shingles(docs, "text", k)
     light = boundary(length, threshold)
     shared = spark.sparkContext.broadcast(order)
-    index = shared_table(docs.mapInArrow(_indexed(shared, "doc_id", "text", k, light, threshold), "doc_id long, n long, owner long, postings binary"), "sets")
+    index = shared_table(docs.mapInArrow(_indexed(shared, "doc_id", "text", k, light, threshold), "doc_id long, n long, owner long, prefix binary, subsets binary, bits binary"), "sets")
     buckets = 8 * partitions(spark)
-    dealt = index.select("postings").where(F.length("postings") > 0).mapInArrow(_dealt(buckets), "bucket int, rows binary").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
-    lists = shared_table(dealt.mapInArrow(_scanned(threshold), "key long, owner long, n int, pos int, head long, met boolean"), "lists")
-
-    # the documents that stand for the sets of the lists
-    owners = lists.select("owner").distinct()
-    stands = index.groupBy("owner").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("id"))
-    wanted = shared_table(owners.join(stands, "owner"), "owners")
+    keys = index.where("owner is not null").select("owner", "n", "prefix", "subsets")
+    dealt = by_bucket(keys.mapInArrow(_dealt(buckets), "bucket int, rows binary"))
+    lists = shared_table(dealt.mapInArrow(_scanned(threshold), "key long, owner long, n long, pos long, head long, kind long"), "lists")
+    owners = index.where("owner is not null").groupBy("owner").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.coalesce("doc_id", F.lit(0))).alias("id"))
+
+    # pairs of short lists; in long ones each set with the head that it meets most often
+    met = lists.where("kind = 2").groupBy("owner", "head").agg(F.count("*").alias("n"))
+    best = met.groupBy("owner").agg(F.max(F.struct("n", F.col("head"))).alias("best")).select(F.least("owner", "best.head").alias("a"), F.greatest("owner", "best.head").alias("b"))
+    pairs = lists.where("kind = 0").select(F.col("owner").alias("a"), F.col("head").alias("b")).unionAll(best).distinct()
+    pairs = shared_table(alike(pairs, owners, threshold), "pairs")
+
+    # the documents that stand for the sets to be verified
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("owner")).unionAll(lists.where("kind > 0").select("owner")).distinct()
+    wanted = shared_table(wanted.join(owners.select("owner", "id"), "owner"), "owners")
     if wanted.count() <= BROADCAST_SETS:
-        ids = wanted.orderBy("owner").toPandas()
-        keep = spark.sparkContext.broadcast((ids["owner"].to_numpy(dtype=np.int64), ids["id"].to_numpy(dtype=np.int64))) if len(ids) else None
-        sets = docs.mapInArrow(_sets_of(keep, "doc_id", "text", k), "owner long, elements binary") if len(ids) else spark.createDataFrame([], "owner long, elements binary")
+        names, ids = columns(wanted.select("owner", "id"))
+        order = np.argsort(names)
+        keep = spark.sparkContext.broadcast((names[order], ids[order]))
+        sets = docs.mapInArrow(_sets_of(keep, "doc_id", "text", k), "owner long, elements binary")
     else:
-        sets = docs.mapInArrow(_sets_of(None, "doc_id", "text", k), "owner long, elements binary").join(wanted, "owner", "left_semi")
-    sets = shared_table(sets.dropDuplicates(["owner"]), "elements")
-
-    # first scan: each set with the head that it meets most often
-    met = lists.where("met").groupBy("owner", "head").agg(F.count("*").alias("n"))
-    best = met.groupBy("owner").agg(F.max(F.struct("n", F.col("head"))).alias("best")).select(F.least("owner", "best.head").alias("a"), F.greatest("owner", "best.head").alias("b")).distinct()
-    stars = shared_table(linked(best, sets, threshold), "stars")
-    label = shared_table(components(stars), "labels")
-
-    # second scan: what crosses components
-    rows = lists.select("key", "owner", "n", "pos").join(label.withColumnRenamed("node", "owner"), "owner", "left").select("key", "owner", "n", "pos", F.coalesce("component", "owner").alias("label"))
-    crossing = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "pos").mapInPandas(_crossing(threshold), "a long, b long").distinct()
-    links = shared_table(stars.unionAll(linked(crossing, sets, threshold)), "all_links")
+        sets = docs.mapInArrow(_sets_of(None, "doc_id", "text", k), "owner long, elements binary").join(wanted, "owner", "left_semi").dropDuplicates(["owner"])
+    sets = shared_table(sets, "elements")
+    links = shared_table(linked(pairs, sets, threshold), "links")
+
+    # what crosses components in long lists
+    long = lists.where("kind > 0").select("key", "owner", "n", "pos")
+    if not long.isEmpty():
+        label = shared_table(components(links), "labels")
+        rows = long.join(label.withColumnRenamed("node", "owner"), "owner", "left").select("key", "owner", "n", "pos", F.coalesce("component", "owner").alias("label"))
+        crossing = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "pos").mapInPandas(_crossing(threshold), "a long, b long").distinct()
+        crossing = shared_table(alike(crossing, owners, threshold), "crossing")
+        links = shared_table(links.unionAll(linked(crossing, sets, threshold)), "all_links")
     label = components(links)
 
     least = index.where("owner is not null").join(label.withColumnRenamed("node", "owner"), "owner", "left").groupBy(F.coalesce("component", "owner").alias("component")).agg(F.min("doc_id").alias("component_id"))

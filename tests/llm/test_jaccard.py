@@ -85,7 +85,7 @@ def test_components_equal_brute_force(spark, seed):
 
 
 def test_hot_shingles_change_nothing(spark, monkeypatch):
-    monkeypatch.setattr(J, "HOT_LEAST", 3)
+    monkeypatch.setattr(J, "HOT_SHINGLES", 20)
     monkeypatch.setattr(J, "BROADCAST_SETS", 0)
     rows = corpus(3)
     assert run(spark, rows) == brute(rows)
@@ -108,6 +108,26 @@ def test_query_on_test_tables(spark):
     assert any(i != c for i, _, c in want)
 
 
+@pytest.mark.parametrize("short", [2, 3])
+def test_long_lists(spark, monkeypatch, short):
+    monkeypatch.setattr(J, "SHORT", short)
+    rows = corpus(4)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_bitmaps_never_differ_more_than_the_sets():
+    rng = random.Random(5)
+    texts = [f"{' '.join(f'w{rng.randrange(40)}' for _ in range(rng.randrange(1, 300)))}" for _ in range(60)]
+    import pyarrow as pa
+
+    data, off = J.K.text_buffer(pa.array(texts))
+    sets = J.Sets(data, off, 4)
+    bits = J.bitmaps(sets)
+    for i in range(60):
+        for j in range(60):
+            assert J.bits_differ(bits[i], bits[j]) <= len(sets_of(texts[i]) ^ sets_of(texts[j]))
+
+
 def test_boundary_by_cost():
     assert J.boundary(0, 85) < J.boundary(20, 85) <= J.boundary(10_000, 85)
     for n in range(1, 40):
