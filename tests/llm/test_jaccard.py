@@ -14,8 +14,8 @@ def sets_of(text, k=4):
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
-def brute(rows, threshold=85):
-    sets = [sets_of(t) for _, t in rows]
+def brute(rows, threshold=85, k=4):
+    sets = [sets_of(t, k) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
