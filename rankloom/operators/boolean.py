@@ -51,7 +51,7 @@ def parse(text: str, atoms: list[str]) -> Node:
     """
     text = balanced(text.strip().removesuffix("."))
     names = "|".join(re.escape(a) for a in sorted(set(atoms), key=len, reverse=True))
-    pattern = (rf"(?P<atom>{names})|" if names else "") + r"(?P<word>\b(?i:and|or|not)\b)|(?P<bracket>[()])"
+    pattern = (rf"(?P<atom>(?<!\w)(?:{names})(?!\w))|" if names else "") + r"(?P<word>\b(?i:and|or|not)\b)|(?P<bracket>[()])"
     tokens = [("atom", m["atom"]) if m.groupdict().get("atom") is not None else ("op", (m["word"] or m["bracket"]).upper()) for m in re.finditer(pattern, text)]
     place = 0
 

@@ -109,12 +109,9 @@ def pair_counts(ea: DataFrame, grid: bool = True) -> DataFrame:
 def valid_pairs(ea: DataFrame, least: int, most: int) -> DataFrame:
     """(template, a, b, num_docs) of all two-attribute combinations within the range; not-templates in both orders."""
     p = pair_counts(ea)
-    sets = F.array(
-        F.struct(F.lit(OR2).alias("template"), F.col("a").alias("x"), F.col("b").alias("y"), (F.col("na") + F.col("nb") - F.col("nab")).alias("num_docs")),
-        F.struct(F.lit(AND2), F.col("a"), F.col("b"), F.col("nab")),
-        F.struct(F.lit(NOT), F.col("a"), F.col("b"), F.col("na") - F.col("nab")),
-        F.struct(F.lit(NOT), F.col("b"), F.col("a"), F.col("nb") - F.col("nab")),
-    )
+    row = lambda template, x, y, size: F.struct(F.lit(template).alias("template"), F.col(x).alias("x"), F.col(y).alias("y"), size.alias("num_docs"))
+    na, nb, nab = F.col("na"), F.col("nb"), F.col("nab")
+    sets = F.array(row(OR2, "a", "b", na + nb - nab), row(AND2, "a", "b", nab), row(NOT, "a", "b", na - nab), row(NOT, "b", "a", nb - nab))
     rows = p.select(F.explode(sets).alias("s")).select("s.*")
     return rows.where(F.col("num_docs").between(least, most)).select("template", F.col("x").alias("a"), F.col("y").alias("b"), "num_docs")
 

@@ -46,6 +46,9 @@ def scores(queries: DataFrame, docs: DataFrame, query_key: str = "qid", query_te
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int = 100, negated: bool = False, **names) -> DataFrame:
-    """The k best documents of each query; ties by id.  ``negated`` stores -score, as some run files do."""
-    ranked = top_k(scores(queries, docs, **names), k, F.desc("score"), F.col("docid"))
+    """The k best documents of each query; ties (to 9 decimals, as sums may be taken in any order) by id.
+
+    ``negated`` stores -score, as some run files do.
+    """
+    ranked = top_k(scores(queries, docs, **names), k, F.desc(F.round("score", 9)), F.col("docid"))
     return ranked.withColumn("score", -F.col("score")) if negated else ranked
