@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import blocks, table
 
 DIMS = 8
-MISS = 0.1
+MISS = 0.01
 LEAF = 48
 SHARD_ROWS, BLOCK_ROWS = 1 << 13, 1 << 11
 K_BEST = 20
@@ -80,6 +80,14 @@ class Tree:
         return order, d[order]
 
 
+def products(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products in double precision, summed from the first component on: equal vectors have equal scores anywhere."""
+    s = np.zeros(len(vectors))
+    for x, y in zip(vectors.T, q, strict=True):
+        s += x * y
+    return s
+
+
 class Shard:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, dims: int = DIMS, seed: int = 3):
         self.vectors, inverse = np.unique(vectors, axis=0, return_inverse=True)
@@ -111,7 +119,7 @@ class Shard:
                 rows = rows[rough >= best_s[-1] - slack]
             elif len(rough) > 2 * k + 2:  # the k + 1 best points hold the k best candidates besides the query's own
                 rows = rows[rough >= np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1] - slack]
-            s = (self.vectors[rows] * q).sum(1)
+            s = products(self.vectors[rows], q)
             point = self.tree.order[rows]
             few = np.minimum(self.first[point + 1] - self.first[point], k + 1)  # ids are in order: no later one can be among the k
             at_id = np.repeat(self.first[point] - (np.cumsum(few) - few), few) + np.arange(few.sum())

@@ -11,8 +11,8 @@ class or no rows raises ``ValueError``.
 
 from __future__ import annotations
 
+import hashlib
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterable
 
@@ -77,10 +77,13 @@ class NgramLogistic:
 
     def features(self, text: str) -> Counter:
         text = f"^{text}$"
-        found = Counter(zlib.crc32(text[i : i + n].encode()) % self.dims for n in self.n for i in range(len(text) - n + 1))
+        found = Counter(self.slot(text[i : i + n]) for n in self.n for i in range(len(text) - n + 1))
         total = math.sqrt(sum(found.values())) or 1.0
         return Counter({k: v / total for k, v in found.items()})
 
+    def slot(self, gram: str) -> int:
+        return int(hashlib.md5(gram.encode()).hexdigest()[:6], 16) % self.dims
+
     @staticmethod
     def split(url: str) -> str:
         rest = url.partition("://")[2] if "://" in url else ""
@@ -109,7 +112,7 @@ class NgramLogistic:
         none = F.array().cast("array<string>")
         runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
         grams = F.concat(*(F.when(size >= n, runs(n)).otherwise(none) for n in self.n))
-        total = F.aggregate(grams, F.lit(0.0), lambda acc, g: acc + F.element_at(table, (F.crc32(g.cast("binary")) % self.dims + 1).cast("int")))
+        total = F.aggregate(grams, F.lit(0.0), lambda acc, g: acc + F.element_at(table, (F.conv(F.substring(F.md5(g.cast("binary")), 1, 6), 16, 10).cast("int") % self.dims + 1)))
         count = F.greatest(F.size(grams), F.lit(1))
         return 1 / (1 + F.exp(-(total / F.sqrt(count) + self.bias)))
 
@@ -129,4 +132,4 @@ def op6_url_filter(spark, sf_dir: str) -> DataFrame:
     from rankloom.llm.common import table
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge(pages).select("page_id", "host", "path", "rule", "verdict", "url_score")
+    return judge(pages).select("page_id", "host", "path", "rule", "verdict")
