@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.operators.ranking import top_k
@@ -12,36 +14,56 @@ TOKEN = r"[\p{L}\p{N}]+"
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
+def words(text: str) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
+
+
 def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).alias("docid"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)).alias("term"))
+    return df.select(F.col(key).alias("docid"), F.explode(words(text)).alias("term"))
+
+
+def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df): words are made distinct within each row, so one aggregate by term is enough."""
+    return docs.select(F.explode(F.array_distinct(words(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def index(docs: DataFrame, key: str = "docid", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings: docid, term, tf, len), (terms: term, df, idf), (totals: n, avgdl).
+def statistics(docs: DataFrame, text: str = "text") -> tuple[int, float, float]:
+    """Number of documents, mean length, and what replaces a negative idf: a quarter of the mean idf.
 
-    Negative idf is replaced by a quarter of the mean idf.
+    idf depends on df alone, so the mean comes from the histogram of df, which is short.
     """
-    tf = tokens(docs, key, text).groupBy("docid", "term").agg(F.count("*").alias("tf"))
-    lengths = docs.select(F.col(key).alias("docid"), F.size(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)).alias("len"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg(F.coalesce("len", F.lit(0))).alias("avgdl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(totals.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))  # one row
-    mean = raw.agg((F.avg("idf") * EPSILON).alias("floor"))
-    terms = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    return tf.join(lengths, "docid"), terms, totals
+    n, avgdl = docs.agg(F.count("*"), F.coalesce(F.avg(F.coalesce(F.size(words(text)), F.lit(0))), F.lit(0.0))).first()
+    counted = document_frequencies(docs, text).groupBy("df").agg(F.count("*").alias("terms")).collect()
+    total = sum(r["terms"] for r in counted)
+    mean = sum(r["terms"] * (math.log(n - r["df"] + 0.5) - math.log(r["df"] + 0.5)) for r in counted) / total if total else 0.0
+    return n, avgdl, EPSILON * mean
+
+
+def idf(n: int, floor: float) -> Column:
+    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    return F.when(raw < 0, floor).otherwise(raw)
+
+
+def index(docs: DataFrame, key: str = "docid", text: str = "text") -> tuple[DataFrame, DataFrame, tuple[int, float, float]]:
+    """(postings: docid, term, tf, len), (terms: term, df, idf), :func:`statistics`."""
+    n, avgdl, floor = statistics(docs, text)
+    own = docs.select(F.col(key).alias("docid"), words(text).alias("w")).select("docid", F.size("w").alias("len"), F.explode("w").alias("term"))
+    return own.groupBy("docid", "len", "term").agg(F.count("*").alias("tf")), document_frequencies(docs, text).withColumn("idf", idf(n, floor)), (n, avgdl, floor)
 
 
 def scores(queries: DataFrame, docs: DataFrame, query_key: str = "qid", query_text: str = "query", key: str = "docid", text: str = "text") -> DataFrame:
     """(qid, docid, score) of pairs that share a term; a term that a query repeats counts again.
 
-    Only the postings of query terms are kept, before lengths are joined and scores summed.
+    Only words of the queries leave the scan of the documents; their lengths travel with them.
     """
     asked = tokens(queries, query_key, query_text).withColumnRenamed("docid", "qid").groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    postings, terms, totals = index(docs, key, text)
     wanted = asked.select("term").distinct()
-    weighted = postings.join(wanted, "term", "left_semi").join(terms, "term").join(F.broadcast(totals.select("avgdl")))  # one row
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl"))
-    part = weighted.select("term", "docid", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("w"))
+    n, avgdl, floor = statistics(docs, text)
+    own = docs.select(F.col(key).alias("docid"), words(text).alias("w")).select("docid", F.size("w").alias("len"), F.explode("w").alias("term"))
+    tf = own.join(wanted, "term", "left_semi").groupBy("term", "docid", "len").agg(F.count("*").alias("tf"))
+    terms = document_frequencies(docs, text).join(wanted, "term", "left_semi").select("term", idf(n, floor).alias("idf"))
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avgdl))
+    part = tf.join(terms, "term").select("term", "docid", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("w"))
     return part.join(asked, "term").groupBy("qid", "docid").agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import text as T
 from rankloom.operators import aggregates as A
 from rankloom.operators import boolean, cost, dense, joins, metrics, ranking, rerank, sampling, setalg, sparse
+from rankloom.plans.spread import spread
 from rankloom.sources import judgments, rankings, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,7 +173,7 @@ sc AS (SELECT qid, docid, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 *
 
 @query(f"""WITH {TOKENS_SQL} SELECT qid, docid, round(score, 5) score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, docid) r FROM sc) WHERE r <= 10""")
 def bm25_top10(spark, sf):
-    docs = t(spark, sf, "documents").select(F.col("doc_id").alias("docid"), "text")
+    docs = spread(t(spark, sf, "documents").select(F.col("doc_id").alias("docid"), "text"))
     queries = t(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     return sparse.search(queries, docs, 10).select("qid", "docid", F.round("score", 5).alias("score"))
 
@@ -180,7 +181,7 @@ def bm25_top10(spark, sf):
 @query(r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FROM documents), tf AS (SELECT doc_id, term, count(*) n FROM (SELECT doc_id, unnest(w) term FROM d) GROUP BY ALL)
 SELECT count(DISTINCT term) terms, count(*) postings, sum(n)::BIGINT AS tokens FROM tf""")
 def bm25_index_size(spark, sf):
-    postings, _, _ = sparse.index(t(spark, sf, "documents").select(F.col("doc_id").alias("docid"), "text"))
+    postings, _, _ = sparse.index(spread(t(spark, sf, "documents").select(F.col("doc_id").alias("docid"), "text")))
     return postings.agg(F.count_distinct("term").alias("terms"), F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
 
 
