@@ -6,6 +6,7 @@ import atexit
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,6 +60,13 @@ def fold(key: Column, mod: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
+def protected(docs: DataFrame, own: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work(docs)`` with the columns of ``docs``; those not in ``own`` are out of the way of its names meanwhile."""
+    away = {c: f"__kept_{i}" for i, c in enumerate(docs.columns) if c not in own}
+    out = work(docs.withColumnsRenamed(away))
+    return out.select(*(F.col(away.get(c, c)).alias(c) for c in docs.columns))
+
+
 def held_out(key: Column, mod: int, rest: int) -> Column:
     return fold(key, mod) == rest
 

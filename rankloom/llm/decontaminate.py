@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm import textkernel as K
-from rankloom.llm.common import blocks, table
+from rankloom.llm.common import blocks, protected, table
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -222,7 +222,7 @@ def find_matches(docs: DataFrame, bench: DataFrame, text: str = "text", item: st
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", **how) -> DataFrame:
     """The documents that hold no window of any item, with their own columns."""
-    return find_matches(docs, bench, text, **how).where("n_hit = 0").select(*docs.columns)
+    return protected(docs, (text,), lambda d: find_matches(d, bench, text, **how).where("n_hit = 0"))
 
 
 def op3_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import table
+from rankloom.llm.common import protected, table
 
 #: For tests and comparisons only; give your own.
 KEY = "not a secret"
@@ -168,7 +168,8 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
 
 
 def without_pii(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    return pseudonymise(docs, text, key).select(*docs.columns)
+    """``docs`` with the same columns, pseudonyms in place of personal data."""
+    return protected(docs, (text,), lambda d: pseudonymise(d, text, key))
 
 
 def op9_pii_pseudonyms(spark, sf_dir: str) -> DataFrame:

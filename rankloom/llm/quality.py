@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm import textkernel as K
-from rankloom.llm.common import held_out, table
+from rankloom.llm.common import held_out, protected, table
 from rankloom.llm.labelled import MOD, REST, labelled_rows
 
 #: Labelled rows of each class that are fitted at most.
@@ -100,9 +100,11 @@ class RuleEnsemble:
     l1: float = 1e-3
     steps: int = 400
     bias: float = 0.0
+    fitted: int = 0
     rules: list[tuple[tuple[Condition, ...], float]] = field(default_factory=list)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> RuleEnsemble:
+        self.fitted = len(y)
         base = (y.sum() + 0.5) / (len(y) + 1)
         self.bias, self.rules = float(np.log(base / (1 - base))), []
         if len(np.unique(y)) < 2:
@@ -198,6 +200,13 @@ def score_quality(docs: DataFrame, model: RuleEnsemble, text: str = "text", keep
     return scored.withColumn("quality_score", model.column()).drop(*(f"q_{c}" for c in STATS))
 
 
+def keep_good(docs: DataFrame, model: RuleEnsemble, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score at least the threshold, with their own columns; all of them if no label told what is good."""
+    if not model.fitted:
+        return docs
+    return protected(docs, (text,), lambda d: score_quality(d, model, text).where(F.col("quality_score") >= threshold))
+
+
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_quality(docs, table(spark, sf_dir, "labels"))

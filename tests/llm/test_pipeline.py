@@ -1,5 +1,6 @@
 import corpus_pipeline
 import pyarrow as pa
+import pytest
 from test_decontaminate import brute as hits
 from test_jaccard import brute as classes
 
@@ -55,3 +56,35 @@ def test_stages_equal_brute_force(spark, tmp_path):
 def test_run_reads_what_was_written(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert got and {"doc_id", "piece", "sequence_id", "offset"} <= set(got[0].asDict())
+
+
+CLASHING = ("n", "owner", "component", "component_id", "score", "y", "label", "key", "length", "part", "piece", "rank", "items", "n_words", "_found", "pii_found", "quality_score", "q_upper", "row", "bits")
+ODD = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (2, None), (3, ""), (None, "a b c d e f g h"), (4, "word " * 30000), (5, "x@y.example.com 4111111111111111"), (6, "é" * 50000), (7, " \n\t"), (2, "other text of the same id")]
+
+
+def odd_docs(spark, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    return spark.createDataFrame([(i, t, None, None, None if t is None else len(t), *("z",) * len(CLASHING)) for i, t in rows], schema)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+@pytest.mark.parametrize("rows", [[], ODD])
+def test_odd_tables(spark, tmp_path, name, rows):
+    docs = odd_docs(spark, rows)
+    for t, schema in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([(None,) * (2 + (t == "labels"))] * bool(rows), schema).write.parquet(str(tmp_path / f"{t}.parquet"))
+    docs.write.parquet(str(tmp_path / "in"))
+    out = dict(corpus_pipeline.STAGES)[name](spark, spark.read.parquet(str(tmp_path / "in")), str(tmp_path))
+    got = out.collect()
+    if name == "best_fit_packing":
+        assert len({(r["doc_id"]) for r in got}) == len({i for i, _ in rows})
+        return
+    assert out.columns == docs.columns
+    ids = sorted(str(r["doc_id"]) for r in got)
+    every = sorted(str(i) for i, _ in rows)
+    if name == "ngram_jaccard_join":  # the rows of id 1 are one class with that of no id; no link joins the others
+        assert ids == sorted(str(i) for i, _ in rows if i is not None)
+    else:
+        assert ids == every
+    if name == "pii_pseudonyms" and rows:
+        assert not any("4111111111111111" in (r["text"] or "") or "x@y" in (r["text"] or "") for r in got)
