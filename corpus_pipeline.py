@@ -16,8 +16,7 @@ from rankloom.llm.common import shared_table, table
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored at or above the threshold, by a model fitted to the labels of ``docs``."""
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
-    kept = quality.score_quality(docs, model).where(F.col("quality_score") >= quality.THRESHOLD)
-    return kept.select(*docs.columns)
+    return quality.keep_good(docs, model)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
