@@ -93,7 +93,7 @@ def token_estimate(text: Column) -> Column:
 
 def likes(text: Column) -> Column:
     """Attributes listed after the first ``likes``: the distinct items between commas, the last of several also cut at `` and ``."""
-    after = F.split(text, "likes", 2)[1]
+    after = F.get(F.split(text, "likes", 2), F.lit(1))
     items = F.transform(F.split(after, ","), lambda x: F.regexp_replace(trimmed(x), r"\.+$", ""))
     bare = lambda x: trimmed(F.regexp_replace(x, r"(?i)^and ", ""))
     last = F.element_at(items, -1)

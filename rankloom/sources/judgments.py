@@ -21,8 +21,8 @@ def judgment_rows(lines: DataFrame, lenient: bool = False) -> DataFrame:
     if lenient:
         relevance = F.coalesce(relevance, F.raise_error(F.concat(F.lit("relevance is no integer: "), F.col("line"))).cast("long"))
     else:
-        rows = rows.where(f[1] == "0")
-    return rows.select(f[0].alias("qid"), joined(f, 3, -2).alias("docid"), relevance.alias("relevance"))
+        rows = rows.where(F.get(f, F.lit(1)) == "0")
+    return rows.select(F.get(f, F.lit(0)).alias("qid"), joined(f, 3, -2).alias("docid"), relevance.alias("relevance"))
 
 
 def read_qrels(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:

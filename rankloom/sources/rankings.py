@@ -17,8 +17,8 @@ RUN = ("qid", "docid", "rank", "score", "run_name")
 def read_run(spark: SparkSession, path: str) -> DataFrame:
     """``qid Q0 docid... rank score name`` lines, read from their end, so ids may hold spaces and digits; by given rank."""
     f = F.col("f")
-    rows = with_fields(numbered_lines(spark, path)).where((F.size("f") >= 6) & (f[1] == "Q0"))
-    rows = rows.select("line_no", f[0].alias("qid"), joined(f, 3, -4).alias("docid"), safe_int(F.element_at(f, -3)).alias("given"), safe_float(F.element_at(f, -2)).alias("score"), F.element_at(f, -1).alias("run_name"))
+    rows = with_fields(numbered_lines(spark, path)).where((F.size("f") >= 6) & (F.get(f, F.lit(1)) == "Q0"))
+    rows = rows.select("line_no", F.get(f, F.lit(0)).alias("qid"), joined(f, 3, -4).alias("docid"), safe_int(F.element_at(f, -3)).alias("given"), safe_float(F.element_at(f, -2)).alias("score"), F.element_at(f, -1).alias("run_name"))
     return rank_by_given(rows.where("given is not null and score is not null"), "given", "line_no").select(*RUN)
 
 
@@ -35,21 +35,21 @@ def read_flexible_run(spark: SparkSession, path: str, forward: bool = False) ->
     """
     f = F.col("f")
     lines = with_fields(numbered_lines(spark, path)).where(F.size("f") >= 3)
-    six = (F.size("f") >= 6) & (f[1] == "Q0")
+    six = (F.size("f") >= 6) & (F.get(f, F.lit(1)) == "Q0")
     if forward:
         rank_at = _first_place(f, 3, lambda x: safe_int(x).isNotNull())
         score_at = F.when(rank_at > 0, F.array_position(F.transform(f, lambda x, i: (i >= rank_at) & safe_float(x).isNotNull()), True).cast("int"))
         docid = F.array_join(F.slice(f, F.lit(3), F.greatest(rank_at - 3, F.lit(0))), " ")
         name = F.array_join(F.slice(f, score_at + 1, F.greatest(F.size("f") - score_at, F.lit(0))), " ")
-        whole = F.when(six & (rank_at > 0) & (score_at > 0), F.struct(f[0].alias("qid"), docid.alias("docid"), safe_int(F.get(f, rank_at - 1)).alias("given"), safe_float(F.get(f, score_at - 1)).alias("score"), name.alias("run_name")))
+        whole = F.when(six & (rank_at > 0) & (score_at > 0), F.struct(F.get(f, F.lit(0)).alias("qid"), docid.alias("docid"), safe_int(F.get(f, rank_at - 1)).alias("given"), safe_float(F.get(f, score_at - 1)).alias("score"), name.alias("run_name")))
     else:
         rank, score = safe_int(F.element_at(f, -3)), safe_float(F.element_at(f, -2))
-        whole = F.when(six & rank.isNotNull() & score.isNotNull(), F.struct(f[0].alias("qid"), joined(f, 3, -4).alias("docid"), rank.alias("given"), score.alias("score"), F.element_at(f, -1).alias("run_name")))
+        whole = F.when(six & rank.isNotNull() & score.isNotNull(), F.struct(F.get(f, F.lit(0)).alias("qid"), joined(f, 3, -4).alias("docid"), rank.alias("given"), score.alias("score"), F.element_at(f, -1).alias("run_name")))
     tabs = F.transform(F.split("line", "\t"), trimmed)
     none = F.lit(None).cast("long")
     tabbed = F.when((F.size(tabs) >= 3) & safe_float(F.get(tabs, F.lit(2))).isNotNull(), F.struct(tabs[0].alias("qid"), F.get(tabs, F.lit(1)).alias("docid"), none.alias("given"), safe_float(F.get(tabs, F.lit(2))).alias("score"), F.coalesce(F.get(tabs, F.lit(3)), F.lit("run")).alias("run_name")))
     at = _first_place(f, 2, lambda x: safe_float(x).isNotNull())
-    simple = F.when(at > 2, F.struct(f[0].alias("qid"), F.array_join(F.slice(f, F.lit(2), F.greatest(at - 2, F.lit(0))), " ").alias("docid"), none.alias("given"), safe_float(F.get(f, at - 1)).alias("score"), F.coalesce(F.get(f, at), F.lit("run")).alias("run_name")))
+    simple = F.when(at > 2, F.struct(F.get(f, F.lit(0)).alias("qid"), F.array_join(F.slice(f, F.lit(2), F.greatest(at - 2, F.lit(0))), " ").alias("docid"), none.alias("given"), safe_float(F.get(f, at - 1)).alias("score"), F.coalesce(F.get(f, at), F.lit("run")).alias("run_name")))
     rows = lines.select("line_no", F.coalesce(whole, tabbed, simple).alias("r")).where("r is not null").select("line_no", "r.*")
     return rank_by_score(rows, "score", F.struct(F.coalesce("given", F.lit(0)), F.col("line_no"))).select(*RUN)
 
