@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -20,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="rankloom-")
         spark.conf.set("spark.checkpoint.dir", where)
