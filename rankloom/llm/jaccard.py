@@ -451,7 +451,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     keys = index.where("owner is not null").select("owner", "n", "prefix", "subsets")
     dealt = by_bucket(keys.mapInArrow(_dealt(buckets), "bucket int, rows binary"))
     lists = shared_table(dealt.mapInArrow(_scanned(threshold), "key long, owner long, n long, pos long, head long, kind long"), "lists")
-    owners = index.where("owner is not null").groupBy("owner").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.coalesce("doc_id", F.lit(0))).alias("id"))
+    owners = index.where("owner is not null").groupBy("owner").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.coalesce("doc_id", F.lit(0))).alias("id"), F.min("doc_id").alias("least"))
 
     # pairs of short lists; in long ones each set with the head that it meets most often
     met = lists.where("kind = 2").groupBy("owner", "head").agg(F.count("*").alias("n"))
@@ -482,9 +482,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         links = shared_table(links.unionAll(linked(crossing, sets, threshold)), "all_links")
     label = components(links)
 
-    least = index.where("owner is not null").join(label.withColumnRenamed("node", "owner"), "owner", "left").groupBy(F.coalesce("component", "owner").alias("component")).agg(F.min("doc_id").alias("component_id"))
-    named = index.select("doc_id", "n", "owner").join(label.withColumnRenamed("node", "owner"), "owner", "left").withColumn("component", F.coalesce("component", "owner"))
-    return named.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # classes are named before documents are joined to them, by tables of their own: such a join can be
+    # split where very many documents are copies of one set
+    named = shared_table(owners.select("owner", "least").join(label.withColumnRenamed("node", "owner"), "owner", "left").select("owner", "least", F.coalesce("component", "owner").alias("component")), "named")
+    least = shared_table(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    classes = shared_table(named.select("owner", "component").join(least, "component").select("owner", "component_id"), "classes")
+    return index.select("doc_id", "n", "owner").join(classes, "owner", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
