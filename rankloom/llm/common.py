@@ -52,6 +52,18 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
+#: Documents that an Arrow batch holds at most.
+BATCH_ROWS = 2000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Whole texts make Arrow batches large on both sides of the pipe; the session's limit is lowered, never raised."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

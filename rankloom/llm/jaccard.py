@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm import textkernel as K
-from rankloom.llm.common import columns, least_count, partitions, shared_table, table
+from rankloom.llm.common import columns, least_count, partitions, shared_table, short_batches, table
 from rankloom.llm.components import components
 
 #: Frequent shingles that are told to every task, at most; others keep their place in the order.
@@ -442,6 +442,7 @@ def frequent_shingles(docs: DataFrame, text: str, k: int) -> tuple[Order, float]
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, threshold: int = 85) -> DataFrame:
     """A row per document: doc_id, n_shingles and component_id (smallest doc_id that links reach)."""
     spark = docs.sparkSession
+    short_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     order, length = frequent_shingles(docs, "text", k)
     light = boundary(length, threshold)
