@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.lexing import trimmed
 
-#: Property names that carry no evidence for a query.
-USELESS_PROPERTIES = ("review score", "official website", "box office", "title", "cast", "ISAN", "cost", "duration")
+#: Property names that carry no evidence for a query (those of ids are known by their names).
+USELESS_PROPERTIES = (
+    "MPA film rating", "Plex media key", "IGAC rating", "review score", "official website", "box office", "EIRIN film rating", "title", "cast", "ISAN", "cost", "duration",
+)
 
 
 def md5_prefix(text: Column, size: int = 16) -> Column:
