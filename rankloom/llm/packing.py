@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm import textkernel as K
-from rankloom.llm.common import shared_table, table
+from rankloom.llm.common import shared_table, short_batches, table
 
 CAPACITY = 2048
 END = 0
@@ -90,12 +91,18 @@ class Encoder:
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
 
+@cache
+def encoder(name: str) -> Encoder:
+    """One for each Python worker; workers are used again by later tasks."""
+    return Encoder(name)
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
 def _cut(doc_id: str, text: str, capacity: int, tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
@@ -146,6 +153,7 @@ def _placed(places):
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = "byte_bpe_50k") -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset."""
     spark = docs.sparkSession
+    short_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pieces = shared_table(docs.mapInArrow(_cut("doc_id", "text", capacity, tokenizer), PIECES), "pieces")
     by_part = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
