@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm import textkernel as K
-from rankloom.llm.common import partitions, table
+from rankloom.llm.common import partitions, short_batches, table
 from rankloom.llm.url_filter import host_path
 
 #: Elements whose content is no text of the page.
@@ -42,9 +42,9 @@ HOLDER = BLOCK - frozenset("p hr li dt dd tr h1 h2 h3 h4 h5 h6 option html body
 BOILERPLATE = frozenset("nav aside footer form menu dialog".split())
 ROLES = frozenset("navigation banner complementary contentinfo search form alert alertdialog dialog menu menubar toolbar".split())
 WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies footer pagination pager paging copyright disclaimer widget toolbar skip banner".split()
+    "ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies footer pagination pager paging copyright disclaimer widget toolbar skip banner alert topnav mainnav subnav sidenav sitenav navlinks navmenu navlist menubar menus sidebars sidepanel rail adslot adunit adblock adbanner leaderboard cookiebar cookiebanner commentform commentbox commentarea usercomments sitefooter pagefooter".split()
 )
-HEADER_WORDS = frozenset("header masthead topbar".split())
+HEADER_WORDS = frozenset("header masthead topbar siteheader pageheader".split())
 ARTICLE_WORDS = frozenset("article-body article-content articlebody post-content post-body entry-content main-content story-body".split())
 
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>"']|$)""", re.I)
@@ -227,6 +227,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """A row per page: page_id, url, text and n_chars."""
+    short_batches(pages.sparkSession)
     host, path = host_path(F.col(url))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"), host.alias("host"), path.alias("path"))
     ranged = rows.repartitionByRange(partitions(pages.sparkSession), "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
