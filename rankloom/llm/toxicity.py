@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm import textkernel as K
-from rankloom.llm.common import held_out, table
+from rankloom.llm.common import held_out, short_batches, table
 from rankloom.llm.labelled import MOD, REST, labelled_rows
 
 #: Labelled rows of each class that are fitted at most.
@@ -212,6 +212,7 @@ def _words_of(text: str, names: list[str], buckets: int):
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, **shape) -> TextCnn:
     """A network trained on at most ``max_rows`` labelled rows of each class."""
+    short_batches(docs.sparkSession)
     model = TextCnn(**shape)
     sample = labelled_rows(docs.select(key, text), labels, label, key, max_rows).select(key, "y", text)
     sample = sample.mapInArrow(_words_of(text, ["y"], len(model.embed)), "y int, words binary, language int")
@@ -237,6 +238,7 @@ def _scores_of(shared, text: str, names: list[str]):
 
 def score_toxicity(docs: DataFrame, model: TextCnn, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with toxicity_score, from 0 to 1; at :data:`THRESHOLD` a text counts as toxic."""
+    short_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c != "toxicity_score"]
     docs = docs.select(*dict.fromkeys([*keep, text]))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "toxicity_score double"])
