@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm import textkernel as K
-from rankloom.llm.common import held_out, protected, table
+from rankloom.llm.common import held_out, protected, short_batches, table
 from rankloom.llm.labelled import MOD, REST, labelled_rows
 
 #: Labelled rows of each class that are fitted at most.
@@ -78,6 +78,7 @@ def _stats_of(text: str, names: list[str]):
 
 def with_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with a column ``q_<name>`` for each of :data:`STATS`."""
+    short_batches(docs.sparkSession)
     own = {f"q_{c}" for c in STATS}
     keep = [c for c in (docs.columns if keep is None else keep) if c not in own]
     docs = docs.select(*dict.fromkeys([*keep, text]))
