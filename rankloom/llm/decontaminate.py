@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm import textkernel as K
-from rankloom.llm.common import blocks, protected, table
+from rankloom.llm.common import blocks, protected, short_batches, table
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -195,6 +195,7 @@ def _searcher(block, text: str, names: list[str]):
 def find_matches(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with n_words, n_hit, longest (words of the longest verbatim match), items and spans (word ranges hit)."""
     spark = docs.sparkSession
+    short_batches(spark)
     own = {x.split(" ")[0] for x in ("n_words", "n_hit", "longest", "items", "spans")}
     docs = docs.drop(*own)
     bench = bench.select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("text"))
