@@ -4,11 +4,12 @@ Pages are ranged by host and URL path, so a page and those whose paths come next
 are read by one task, and a host of any size is split over many.  The text blocks of a page are
 aligned with those of its two nearest pages of the host by a longest common subsequence; blocks that
 are shared are the site's, not the page's, and are deleted.  Blocks inside an element that the page
-itself marks as its article are kept even if another page shares them (quotations, licence lines,
-copies of the article); elements marked as navigation, header, footer, sidebar, notice, advert, form
-or comment are deleted even if no other page shares them.  A neighbour that shares nearly all of a
+itself marks as its article are kept where one near page shares them (quotations, licence lines), and
+deleted where the nearest pages and the next ones, three to four together, all hold them.  Other blocks
+of such a page are judged as on any page.  Elements marked as navigation, header, footer, sidebar,
+notice, advert, form or comment are deleted even if no other page shares them.  A neighbour that shares nearly all of a
 page's text is a copy and tells nothing of the template; it is passed over.  At the border of a
-task's range a page has one neighbour instead of two.
+task's range a page has neighbours on one side only.
 
 Defined results: null or empty html has an empty text; a null URL counts as host and path ''; markup
 that is cut off ends where the page ends (an unfinished tag or script is dropped, an unfinished
@@ -52,6 +53,8 @@ _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _PART = re.compile(r"[^a-z0-9]+")
 
 SITE, PLAIN, ARTICLE = 0, 1, 2
+#: Pages that are asked about article blocks, and how many of them must be no copies to tell.
+REACH, LEAST_PAGES = 4, 3
 
 
 def _kind(tag: str, attributes: str, outer: int) -> int:
@@ -183,27 +186,38 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def main_text(own: list[tuple[str, int]], near: list[list[tuple[str, int]]], copy: float = 0.95) -> str:
-    """The page's own blocks, one to a line, after differencing against its ``near`` pages."""
+def main_text(own: list[tuple[str, int]], near: list[list[tuple[str, int]]], copy: float = 0.95, further: list[list[tuple[str, int]]] = ()) -> str:
+    """The page's own blocks, one to a line, after differencing against its ``near`` pages; ``further`` ones speak on article blocks."""
     lines = [t for t, _ in own]
     size = sum(len(t) for t, k in own if k != SITE) or 1
-    gone: set[int] = set()
-    for other in near:
-        both = shared(lines, [t for t, _ in other])
+    alike: list[set[int]] = []  # places shared with each page that is no copy
+
+    def add(both: set[int]) -> None:
         if sum(len(lines[i]) for i in both if own[i][1] != SITE) < copy * size:
-            gone |= both
-    marked = any(k == ARTICLE for _, k in own)
-    return "\n".join(t for i, (t, k) in enumerate(own) if k == ARTICLE or (k == PLAIN and not marked and i not in gone))
+            alike.append(both)
+
+    for other in near:
+        add(shared(lines, [t for t, _ in other]))
+    gone: set[int] = set().union(*alike)
+    if any(own[i][1] == ARTICLE for i in gone):
+        for other in further:
+            held = {t for t, _ in other}
+            add({i for i, t in enumerate(lines) if t in held})
+    everywhere: set[int] = gone.intersection(*alike) if len(alike) >= LEAST_PAGES else set()
+    return "\n".join(t for i, (t, k) in enumerate(own) if (k == ARTICLE and i not in everywhere) or (k == PLAIN and i not in gone))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by host and path; a page is written once the next one has been read."""
-    before = current = None  # (page_id, url, host, blocks)
+    """Rows sorted by host and path; a page is written once the ``REACH`` next ones have been read."""
+    pages: list[tuple] = []  # (page_id, url, host, blocks): the next to be written, and REACH before and after it
+    at = 0
     out: list[tuple] = []
 
-    def done(after) -> None:
-        near = [x[3] for x in (before, after) if x is not None and x[2] == current[2]]
-        text = main_text(current[3], near)
+    def done() -> None:
+        current = pages[at]
+        around = sorted((abs(j - at), j) for j in range(max(0, at - REACH), min(len(pages), at + REACH + 1)) if j != at and pages[j][2] == current[2])
+        near = [pages[j][3] for d, j in around if d == 1]
+        text = main_text(current[3], near, further=[pages[j][3] for d, j in around[:REACH] if d > 1])
         out.append((current[0], current[1], text, len(text)))
 
     def batch_of() -> pa.RecordBatch:
@@ -214,14 +228,18 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, urls, hosts = (K.string_column(batch, c).to_pylist() for c in ("page_id", "url", "host"))
         for page_id, url, host, page in zip(ids, urls, hosts, K.string_column(batch, "html"), strict=True):
-            after = (page_id, url, host, blocks(page.as_py()))
-            if current is not None:
-                done(after)
-            before, current = current, after
+            pages.append((page_id, url, host, blocks(page.as_py())))
+            if len(pages) - at > REACH:
+                done()
+                at += 1
+                if at > REACH:
+                    pages.pop(0)
+                    at -= 1
             if len(out) >= 500:
                 yield batch_of()
-    if current is not None:
-        done(None)
+    while at < len(pages):
+        done()
+        at += 1
     yield batch_of()
 
 

@@ -60,6 +60,19 @@ def test_differencing_between_pages(spark):
     assert H.extract(df.limit(0)).collect() == []
 
 
+def test_differencing_decides_on_marked_pages(spark):
+    page = "<body><div>Home | All</div><article><p>{a}</p><p>Follow us</p><p>{q}</p></article><div><p>{b}</p></div><div>All rights</div></body>"
+    rows = [(i, f"http://m.example.com/a/{i:03d}", page.format(a=f"card {i}", q="quoted" if i in (5, 6) else f"end {i}", b=f"own {i}")) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r["page_id"]: r["text"] for r in H.extract(df).collect()}
+    pages = [H.blocks(r[2]) for r in rows]
+    # a line of every page goes even inside <article>, a quotation stays; unmarked text of its own stays
+    assert H.main_text(pages[5], [pages[4], pages[6]], further=[pages[3], pages[7]]) == "card 5\nquoted\nown 5"
+    assert all("Home" not in x and "All rights" not in x and f"own {i}" in x and f"card {i}" in x for i, x in got.items())
+    # two pages are too few to tell
+    assert H.main_text(pages[0], [pages[1]], further=[pages[2]]) == "card 0\nFollow us\nend 0\nown 0"
+
+
 def test_query_on_test_tables(spark):
     import html
     import re
