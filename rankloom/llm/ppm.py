@@ -12,7 +12,10 @@ once.  Below the empty context the symbols not seen yet are equally likely.
 Counts come from all training documents, by aggregates over the whole corpus.  Two tables of bounded
 size go to every task: the trie (per order, the contexts of the highest counts, whole, up to
 ``MOST_ENTRIES`` entries) and the head of the vocabulary (``MOST_WORDS``).  Words beyond the head
-are scored exactly by a join on the word, which returns sums per document.
+are scored exactly by a join on the word, which returns sums per document.  So are symbols whose
+longest context is not in a trie that had to leave contexts out: the whole count table is dealt by
+the last two bytes of the context, each share of it with the orders 0 and 1 makes a trie of its own,
+and the symbols are looked up there.  Scores do not depend on the two limits.
 
 Defined results: null, empty and wordless texts are the end alone (n_tokens 1); repeated rows are
 scored each alike and count each in training; a null id is hashed as empty text.  Without training
@@ -43,6 +46,8 @@ END_WORD = np.uint64(0x1D8E4E27C47D124F)
 #: Text that a task counts at a time.
 COUNT_BYTES = 32 << 20
 CHUNK, SCORE_CHUNK = 2 << 20, 1 << 20
+#: Odd number that deals pairs of bytes over the buckets.
+SPREAD = 40503
 TAIL = np.dtype([("word", "<u8"), ("row", "<i8"), ("times", "<i4")])
 
 
@@ -111,6 +116,8 @@ class Trie:
 
     def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]):
         self.keys, self.log_n, self.contexts, self.own, self.down = [], [], [], [], []
+        self.whole = True  # nothing that was counted is left out
+        self.short = grams[:2]
         before = None
         for k, (keys, n) in enumerate(grams):
             order = np.argsort(keys)
@@ -144,6 +151,15 @@ class Trie:
         out[some, 1] = np.log(np.maximum(escape[some], 1e-300))
         return out
 
+    def decides(self, keys: np.ndarray) -> np.ndarray:
+        """Whether the trie gives the probability that the whole table gives."""
+        if self.whole:
+            return np.ones(len(keys), dtype=bool)
+        held, context = self.contexts[ORDER], keys >> np.uint64(8)
+        if not len(held):
+            return np.zeros(len(keys), dtype=bool)
+        return held[np.minimum(np.searchsorted(held, context), len(held) - 1)] == context
+
     def log_probability(self, keys: np.ndarray) -> np.ndarray:
         """Natural logarithm of each symbol's probability after its context; ``keys`` of the highest order."""
         out = np.zeros(len(keys))
@@ -174,8 +190,19 @@ class Trie:
         return out
 
 
+def _tails(what: np.ndarray, owner: np.ndarray, row: np.ndarray) -> pa.Array:
+    """For each document, what it holds that is to be joined, and how often."""
+    order = np.lexsort((what, owner))
+    what, owner = what[order], owner[order]
+    begin = np.flatnonzero(np.concatenate([[True], (what[1:] != what[:-1]) | (owner[1:] != owner[:-1])])) if len(what) else np.zeros(0, dtype=np.int64)
+    far = np.zeros(len(begin), dtype=TAIL)
+    far["word"], far["row"], far["times"] = what[begin], row[owner[begin]], np.diff(np.append(begin, len(what)))
+    cut = np.searchsorted(owner[begin], np.arange(len(row) + 1))
+    return pa.array([far[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
+
+
 def _scored(shared, doc_id: str, text: str):
-    """A row per document: what the trie and the head of the vocabulary give, and its words beyond the head."""
+    """A row per document: what the trie and the head of the vocabulary give, and its words and symbols beyond them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, head, counts = shared.value
@@ -189,58 +216,85 @@ def _scored(shared, doc_id: str, text: str):
                 s, e, first = K.words(part, o, K.NOT_BLANK)
                 keys, at = spell(part, s, e, first)
                 distinct, inverse = np.unique(keys, return_inverse=True)
-                score = K.sums(trie.log_probability(distinct)[inverse], at) / np.log(10)
+                near = trie.decides(distinct)
+                log = np.zeros(len(distinct))
+                log[near] = trie.log_probability(distinct[near])
+                score = K.sums(log[inverse], at) / np.log(10)
                 h = K.hashes(part, s, e)
                 row = K.mix(K.hashes(part, o[:-1], o[1:]) ^ K.mix(whole[lo:hi])).view(np.int64)
                 where = np.minimum(np.searchsorted(head, h), max(len(head) - 1, 0))
                 known = head[where] == h if len(head) else np.zeros(len(h), dtype=bool)
                 log = np.where(known, np.log10(counts[where] + 1.0), 0.0) if len(head) else np.zeros(len(h))
                 doc = np.repeat(np.arange(hi - lo), np.diff(first))
-                word, owner = h[~known], doc[~known]
-                order = np.lexsort((word, owner))
-                word, owner = word[order], owner[order]
-                begin = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])])) if len(word) else np.zeros(0, dtype=np.int64)
-                far = np.zeros(len(begin), dtype=TAIL)
-                far["word"], far["row"], far["times"] = word[begin], row[owner[begin]], np.diff(np.append(begin, len(word)))
-                cut = np.searchsorted(owner[begin], np.arange(hi - lo + 1))
+                away = ~near[inverse]
+                grams = _tails(keys[away], np.repeat(np.arange(hi - lo), np.diff(at))[away], row)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(row), pa.array((np.diff(first) + 1).astype(np.int64)), pa.array((K.sums(known.astype(np.int64), first) + (end > 0)).astype(np.int64)), pa.array(K.sums(log, first) + np.log10(end + 1.0)), pa.array(score), pa.array([far[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())],
-                    names=["doc_id", "row", "n_tokens", "known", "logs", "score", "far"],
+                    [ids.slice(lo, hi - lo), pa.array(row), pa.array((np.diff(first) + 1).astype(np.int64)), pa.array((K.sums(known.astype(np.int64), first) + (end > 0)).astype(np.int64)), pa.array(K.sums(log, first) + np.log10(end + 1.0)), pa.array(score), _tails(h[~known], doc[~known], row), grams],
+                    names=["doc_id", "row", "n_tokens", "known", "logs", "score", "far", "grams"],
                 )
 
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Words beyond the head with their documents, packed by bucket of the word."""
+def _word_bucket(words: np.ndarray, buckets: int) -> np.ndarray:
+    return (words % np.uint64(buckets)).astype(np.int32)
+
+
+def _gram_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """By the last two bytes of the context, so that its suffixes down to order 2 are in the same bucket."""
+    pair = (keys >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int64)
+    return ((pair * SPREAD & 0xFFFF) % buckets).astype(np.int32)
+
+
+def _packed(batches: Iterator[pa.RecordBatch], column: str, bucket_of, buckets: int) -> Iterator[pa.RecordBatch]:
+    """What is to be joined with its documents, packed by bucket."""
     for batch in batches:
-        rows = np.frombuffer(b"".join(K.string_column(batch, "far").to_pylist()), dtype=TAIL)
+        rows = np.frombuffer(b"".join(K.string_column(batch, column).to_pylist()), dtype=TAIL)
         if not len(rows):
             continue
-        rows = rows[np.argsort(rows["word"] % np.uint64(buckets), kind="stable")]
-        bucket = (rows["word"] % np.uint64(buckets)).astype(np.int32)
+        bucket = bucket_of(rows["word"], buckets)
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows[order], bucket[order]
         begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         stop = np.append(begin[1:], len(rows))
         yield pa.RecordBatch.from_arrays([pa.array(bucket[begin]), pa.array([rows[a:b].tobytes() for a, b in zip(begin, stop, strict=True)], pa.binary())], names=["bucket", "rows"])
 
 
-def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket, sums by document of the words that the vocabulary holds; rows sorted by bucket."""
+def _word_sums(words: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """By document, sums of the words that the vocabulary holds."""
+    at = np.minimum(np.searchsorted(words, rows["word"]), max(len(words) - 1, 0))
+    ok = words[at] == rows["word"] if len(words) else np.zeros(len(rows), dtype=bool)
+    rows, n = rows[ok], counts[at[ok]]
+    keys, inverse = np.unique(rows["row"], return_inverse=True)
+    known, logs = np.bincount(inverse, rows["times"], len(keys)), np.bincount(inverse, rows["times"] * np.log10(n + 1.0), len(keys))
+    return keys, known.astype(np.int64), logs, np.zeros(len(keys))
+
+
+def _gram_sums(short: list[tuple[np.ndarray, np.ndarray]]):
+    def sums(grams: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """By document, the scores of symbols after contexts whose last bytes are of this bucket."""
+        trie = Trie([*short, *(_merged([(grams & np.uint64((1 << 8 * (k + 1)) - 1), counts)]) for k in range(2, ORDER + 1))])
+        distinct, which = np.unique(rows["word"], return_inverse=True)
+        log = trie.log_probability(distinct)[which] / np.log(10)
+        keys, inverse = np.unique(rows["row"], return_inverse=True)
+        return keys, np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys)), np.bincount(inverse, rows["times"] * log, len(keys))
+
+    return sums
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch], sums) -> Iterator[pa.RecordBatch]:
+    """Per bucket, ``sums`` by document of what its rows hold; rows sorted by bucket."""
     now, words, counts, far = None, [], [], []
 
     def joined():
-        if not words or not far:
+        if not far:
             return
-        w, n = np.concatenate(words), np.concatenate(counts)
+        w = np.concatenate([np.zeros(0, dtype=np.uint64), *words])
+        n = np.concatenate([np.zeros(0, dtype=np.int64), *counts])
         order = np.argsort(w)
-        w, n = w[order], n[order]
         rows = np.unique(np.concatenate(far))  # repeated rows of the table have the same key and are counted once
-        at = np.minimum(np.searchsorted(w, rows["word"]), len(w) - 1)
-        ok = w[at] == rows["word"]
-        rows, n = rows[ok], n[at[ok]]
-        keys, inverse = np.unique(rows["row"], return_inverse=True)
-        known, logs = np.bincount(inverse, rows["times"], len(keys)), np.bincount(inverse, rows["times"] * np.log10(n + 1.0), len(keys))
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(known.astype(np.int64)), pa.array(logs)], names=["row", "known", "logs"])
+        keys, known, logs, score = sums(w[order], n[order], rows)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(known), pa.array(logs), pa.array(score)], names=["row", "known", "logs", "score"])
 
     for batch in batches:
         for bucket, word, n, rows in zip(*(K.string_column(batch, c).to_pylist() for c in ("bucket", "words", "counts", "rows")), strict=True):
@@ -255,6 +309,17 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from joined()
 
 
+def looked_up(table: DataFrame, bucket, scored: DataFrame, column: str, bucket_of, sums, buckets: int) -> DataFrame:
+    """(row, known, logs, score): what ``column`` of the documents holds, joined by bucket with a table (key, n)."""
+    n = partitions(scored.sparkSession)
+    far = scored.where(F.length(column) > 0).select(column).mapInArrow(lambda batches: _packed(batches, column, bucket_of, buckets), "bucket int, rows binary")
+    dealt = table.withColumn("bucket", bucket.cast("int")).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(n)))
+    dealt = dealt.groupBy("bucket", "part").agg(F.collect_list(F.struct("key", "n")).alias("w")).select("bucket", F.col("w.key").alias("words"), F.col("w.n").alias("counts"), F.lit(None).cast("binary").alias("rows"))
+    both = dealt.unionByName(far.select("bucket", F.lit(None).cast("array<long>").alias("words"), F.lit(None).cast("array<long>").alias("counts"), "rows"))
+    both = both.repartition(n, "bucket").sortWithinPartitions("bucket")
+    return both.mapInArrow(lambda batches: _looked_up(batches, sums), "row long, known long, logs double, score double")
+
+
 def count_corpus(docs: DataFrame, text: str) -> DataFrame:
     """(kind, key, n): n-grams of bytes (0) and words (1) of all ``docs``."""
     counted = docs.select(text).mapInArrow(_counted(text), "kind int, key long, n long")
@@ -264,17 +329,20 @@ def count_corpus(docs: DataFrame, text: str) -> DataFrame:
 def build_trie(counts: DataFrame) -> Trie:
     """The trie of bounded size from the n-gram counts."""
     grams = counts.where("kind = 0").select("key", "n")
-    chosen, least = [], 1
+    chosen, least, whole = [], 1, True
     for k in range(ORDER + 1):
         own = grams.groupBy(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("key", 8))
         contexts = own.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("q"))
         if k >= 2:  # shorter ones are at most 65,536 contexts' worth of symbols
             histogram = contexts.groupBy("total").agg(F.sum("q").alias("q")).collect()
             least = max(least, least_count([(r["total"], r["q"]) for r in histogram], MOST_ENTRIES))
+            whole = whole and all(r["total"] >= least for r in histogram)
             own = own.join(contexts.where(F.col("total") >= least).select("context"), "context", "left_semi")
         keys, n = columns(own.select("key", "n"))
         chosen.append((keys.view(np.uint64), n))
-    return Trie(chosen)
+    trie = Trie(chosen)
+    trie.whole = whole
+    return trie
 
 
 def score_texts(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -290,22 +358,23 @@ def score_texts(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text:
     head, times = columns(words.where((F.col("n") >= least) | (F.col("key") == int(END_WORD))))
     head = head.view(np.uint64)
     order = np.argsort(head)
-    shared = spark.sparkContext.broadcast((build_trie(counts), head[order], times[order]))
-    scored = shared_table(docs.mapInArrow(_scored(shared, "doc_id", "text"), "doc_id long, row long, n_tokens long, known long, logs double, score double, far binary"), "scored")
+    trie = build_trie(counts)
+    shared = spark.sparkContext.broadcast((trie, head[order], times[order]))
+    scored = shared_table(docs.mapInArrow(_scored(shared, "doc_id", "text"), "doc_id long, row long, n_tokens long, known long, logs double, score double, far binary, grams binary"), "scored")
     buckets = 8 * partitions(spark)
-    far = scored.where(F.length("far") > 0).select("far").mapInArrow(lambda batches: _packed(batches, buckets), "bucket int, rows binary")
     # the unsigned remainder of the 64-bit word hash
     high, low = F.shiftrightunsigned("key", 32), F.col("key").bitwiseAND(0xFFFFFFFF)
-    bucket = (((high % buckets) * ((1 << 32) % buckets) + low % buckets) % buckets).cast("int")
-    rare = words.where((F.col("n") < least) & (F.col("key") != int(END_WORD))).withColumn("bucket", bucket).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(partitions(spark))))
-    rare = rare.groupBy("bucket", "part").agg(F.collect_list(F.struct("key", "n")).alias("w")).select("bucket", F.col("w.key").alias("words"), F.col("w.n").alias("counts"), F.lit(None).cast("binary").alias("rows"))
-    both = rare.unionByName(far.select("bucket", F.lit(None).cast("array<long>").alias("words"), F.lit(None).cast("array<long>").alias("counts"), "rows"))
-    both = both.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
-    found = both.mapInArrow(_looked_up, "row long, known long, logs double").groupBy("row").agg(F.sum("known").alias("more"), F.sum("logs").alias("more_logs"))
-    out = scored.drop("far").join(found, "row", "left")
+    bucket = ((high % buckets) * ((1 << 32) % buckets) + low % buckets) % buckets
+    found = looked_up(words.where((F.col("n") < least) & (F.col("key") != int(END_WORD))), bucket, scored, "far", _word_bucket, _word_sums, buckets)
+    if not trie.whole:
+        pair = F.shiftright("key", 8).bitwiseAND(0xFFFF)
+        bucket = (pair * SPREAD).bitwiseAND(0xFFFF) % buckets
+        found = found.unionAll(looked_up(counts.where("kind = 0").select("key", "n"), bucket, scored, "grams", _gram_bucket, _gram_sums(trie.short), buckets))
+    found = found.groupBy("row").agg(F.sum("known").alias("more"), F.sum("logs").alias("more_logs"), F.sum("score").alias("more_score"))
+    out = scored.drop("far", "grams").join(found, "row", "left")
     return out.select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"), "score",
+        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
 
 

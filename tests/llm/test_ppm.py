@@ -81,6 +81,15 @@ def test_scores_equal_brute_force(spark, tmp_path, monkeypatch, most_words):
     np.testing.assert_allclose([r[4:] for r in got], [r[4:] for r in want], rtol=1e-9)
 
 
+@pytest.mark.parametrize("most_entries", [150, 40, 0])
+def test_scores_do_not_depend_on_the_size_of_the_trie(spark, tmp_path, monkeypatch, most_entries):
+    monkeypatch.setattr(P, "MOST_ENTRIES", most_entries)
+    key = lambda r: (str(r[0]), r[1], r[2], round(r[5], 6))
+    got, want = sorted(run(spark, ROWS, tmp_path), key=key), sorted(brute(ROWS), key=key)
+    assert [r[:4] for r in got] == [r[:4] for r in want]
+    np.testing.assert_allclose([r[4:] for r in got], [r[4:] for r in want], rtol=1e-9)
+
+
 def test_empty_table_and_no_training_rows(spark, tmp_path):
     assert run(spark, [], tmp_path / "a") == []
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
