@@ -68,9 +68,11 @@ class Windows:
 def suffix_array(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The places ``at`` in the order of the suffixes that start there; a 0 ends a suffix."""
     n = len(words)
-    rank = np.concatenate([words, [0]])
-    step = 1
     live = words > 0
+    # ranks are dense from the start, so that equal numbers of classes mean that none was split
+    rank = np.zeros(n + 1, dtype=np.int64)
+    rank[:-1][live] = np.unique(words[live], return_inverse=True)[1] + 1
+    step = 1
     while step < n:
         follow = np.where(np.arange(n) + step < n, rank[np.minimum(np.arange(n) + step, n)], 0)
         pair = rank[:-1] * (rank.max() + 1) + follow

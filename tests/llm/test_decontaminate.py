@@ -86,3 +86,17 @@ def test_suffix_array_order():
     array = D.suffix_array(words, np.flatnonzero(words))
     suffix = lambda p: words[p : p + int(np.argmax(words[p:] == 0))].tolist()
     assert [suffix(p) for p in array] == sorted(suffix(p) for p in np.flatnonzero(words))
+
+
+def test_suffix_array_order_with_sparse_word_ids():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(1500):
+        words = rng.integers(1, 61, rng.integers(40, 91))
+        words[rng.random(len(words)) < 0.1] = 0
+        words[-1] = 0
+        array = D.suffix_array(words, np.flatnonzero(words))
+        suffix = lambda p: words[p : p + int(np.argmax(words[p:] == 0))].tolist()
+        got = [suffix(p) for p in array]
+        assert got == sorted(got)
