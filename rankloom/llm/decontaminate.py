@@ -10,8 +10,8 @@ searched in turn and their findings merged by document, so nothing is capped.  D
 shuffled while the benchmark fits one block.
 
 Defined results: null or wordless texts have no words and no hits; an item without words has no
-window; an item shorter than the window is one window.  Repeated documents are judged each, repeated
-items count each.  An empty table gives an empty result, an empty benchmark no hits.  Columns of the
+window; an item shorter than the window is one window.  Repeated documents are judged each; rows
+that repeat an item's id are one item.  An empty table gives an empty result, an empty benchmark no hits.  Columns of the
 documents are kept; clashing names are replaced by the operator's.
 """
 
@@ -158,8 +158,9 @@ def search(data: np.ndarray, off: np.ndarray, windows: Windows) -> dict[str, lis
     stop = np.flatnonzero(hit & ~np.concatenate([hit[1:], [False]]))
     for d, a, b in zip(doc[begin].tolist(), place[begin].tolist(), place[stop].tolist(), strict=True):
         found["spans"][d].append({"start": a, "stop": b + 1})
-    for d, i in np.unique(np.concatenate(pairs), axis=0).tolist():
-        found["items"][d].append(int(windows.items[i]))
+    met = np.concatenate(pairs)  # rows that repeat an id are one item, as they are over several blocks
+    for d, item in np.unique(np.stack([met[:, 0], windows.items[met[:, 1]]], 1), axis=0).tolist():
+        found["items"][d].append(item)
     return found
 
 

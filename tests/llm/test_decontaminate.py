@@ -100,3 +100,10 @@ def test_suffix_array_order_with_sparse_word_ids():
         suffix = lambda p: words[p : p + int(np.argmax(words[p:] == 0))].tolist()
         got = [suffix(p) for p in array]
         assert got == sorted(got)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 150])
+def test_rows_that_repeat_an_item_count_once(spark, block_bytes):
+    bench = [(10, LONG), (10, LONG), (10, " ".join(f"w{i}" for i in range(5, 30))), (11, LONG)]
+    _, rows = run(spark, [(1, LONG)], bench, block_bytes=block_bytes)
+    assert rows[0]["items"] == [10, 11]
