@@ -9,7 +9,7 @@ across documents and different ones stay apart.  Mail addresses and secrets (clo
 tokens) have no format to permute in; their characters are replaced by a keyed hash in the same alphabet.
 
 Defined results: null text stays null; text without candidates is returned as it is; numbers that do
-not validate are left; repeated rows are treated alike.  Empty tables give empty results.  All
+not validate are left, but valid ones at borders of groups within them are replaced; repeated rows are treated alike.  Empty tables give empty results.  All
 columns are kept; a column ``pii_found`` of the input is replaced.
 """
 
@@ -39,7 +39,16 @@ PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?|[0-9]{2,4}
 PLUS_PHONE = r"(?<![0-9+])\+[0-9]{8,15}(?![0-9])"
 #: In the order in which they are tried.
 KINDS = {"email": EMAIL, "cloud_key": CLOUD_KEY, "secret": SECRET, "iban": IBAN, "address": ADDRESS, "iso_date": ISO_DATE, "date": DATE, "ssn": SSN, "card": CARD, "phone": PHONE, "plus_phone": PLUS_PHONE}
-PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: Runs of groups in which a number may stand beside others; they are cut into pieces.
+CARD_RUN = r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,}+(?![0-9]|[./][0-9])|(?<![0-9])[0-9](?:[ \-]?[0-9]){12,}(?![0-9]|[./][0-9])|(?<![0-9])[0-9](?:[ \-]?[0-9]){12,}(?![0-9])"
+RUNS = {"iban": IBAN + r"(?:[ \-]?[0-9]+)*", "card": CARD_RUN}
+PATTERN = "|".join(f"(?:{RUNS.get(k, p)})" for k, p in KINDS.items())
+#: What may stand in a run beside an IBAN or a card.
+#: A phone there has one separator, which does not go on to further digits.
+INNER_PHONES = [rf"(?<![0-9+])(?<![0-9]{x})[0-9]{{2,4}}{x}[0-9]{{3,4}}{x}[0-9]{{3,4}}(?!{x}?[0-9])" for x in (" ", "-")]
+INNER = "|".join(f"(?:{p})" for p in (ADDRESS, ISO_DATE, DATE, SSN, *INNER_PHONES))
+#: Prefixes and lengths of the card schemes, asked of a part of a run.
+SCHEMES = "^(?:4[0-9]{12}(?:[0-9]{3}){0,2}|5[1-5][0-9]{14}|5[06-9][0-9]{11,17}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}|3[47][0-9]{13}|3[0689][0-9]{12,17}|35[0-9]{14,17}|6[0-9]{12,18})$"
 
 
 def _text(s: str) -> str:
@@ -98,6 +107,39 @@ def _mod97(text: str) -> str:
     return _let(text, "q", f"aggregate(filter(split(concat(substr(q, 5), substr(q, 1, 4)), ''), c -> c <> ''), cast(0 as bigint), (t, c) -> if(c rlike '[0-9]', t * 10, t * 100) % 97 + {value}, t -> t % 97)")
 
 
+def _valid_iban(plain: str) -> str:
+    return f"{_mod97(plain)} = 1 and length({plain}) between 15 and 34 and length(regexp_replace(substr({plain}, 5), '[^0-9]', '')) between 2 and 30"
+
+
+def pieces(run: str) -> str:
+    """A run cut into an array of strings: the IBAN it begins with, valid cards between borders of groups, other kinds, and what is between them."""
+    iban = (
+        "filter(sequence(greatest(15, least(42, length(run))), 15, -1), n -> (n = length(run) or substr(run, n + 1, 1) in (' ', '-'))"
+        f" and substr(run, 1, n) rlike {_text('^(?:' + IBAN + ')$')} and {_let("replace(substr(run, 1, n), ' ', '')", 'b', _valid_iban('b'))})"
+    )
+    head = f"if(run rlike '^[A-Z]', coalesce(get({iban}, 0), 0), 0)"
+    digits = "regexp_replace(substr(w, 1, y), '[^0-9]', '')"
+    card = (
+        f"length(w) >= y and substr(w, 1, y) rlike '^[0-9](?:[ -]?[0-9]){{12,18}}$' and not (substr(w, y + 1, 1) rlike '[0-9]')"
+        f" and {digits} rlike {_text(SCHEMES)} and {luhn_sum(digits, 1)} % 10 = 0"
+    )
+    found = _let("substr(r, x, 38)", "w", f"transform(filter(sequence(13, 37), y -> {card}), y -> named_struct('k', if(length({digits}) = 16, 0, 1), 'z', -y, 'p', x, 'n', y))")
+    starts = "filter(sequence(1, length(r)), x -> substr(r, x, 1) rlike '[0-9]' and (x = 1 or substr(r, x - 1, 1) in (' ', '-')))"
+    # of cards that overlap those of 16 digits go first, then the longer, then the earlier
+    chosen = _let(
+        f"array_sort(flatten(transform({starts}, x -> {found})))", "all_",
+        "array_sort(transform(aggregate(all_, filter(all_, c -> false), (acc, c) -> if(exists(acc, d -> c.p < d.p + d.n and d.p < c.p + c.n), acc, concat(acc, array(c)))), c -> named_struct('p', c.p, 'n', c.n)))",
+    )
+    inner = lambda gap: _let(gap, "g", f"flatten(zip_with(split(g, {_text(INNER)}, -1), concat(regexp_extract_all(g, {_text(INNER)}, 0), array('')), (a, b) -> array(a, b)))")
+    after = lambda i: f"if({i} < 0, 1, get(cs, {i}).p + get(cs, {i}).n)"
+    # a run that only looks like an IBAN and holds no card is left whole
+    lone = "hd = 0 and run rlike '^[A-Z]' and size(cs) = 0"
+    cut = _let(chosen, "cs", f"if({lone}, array(r), concat(flatten(transform(cs, (c, i) -> concat({inner(f'substr(r, {after('i - 1')}, c.p - {after('i - 1')})')}, array(substr(r, c.p, c.n))))), {inner(f'substr(r, {after('size(cs) - 1')})')}))")
+    rest = _let("substr(run, hd + 1)", "r", f"if(r = '', array(''), {cut})")
+    whole = f"run rlike {_text('^(?:' + CARD + ')$')} and {luhn_sum(_DIGITS.replace('(m,', '(run,'), 1)} % 10 = 0"
+    return _let(run, "run", f"if({whole}, array(run), {_let(head, 'hd', f'concat(array(substr(run, 1, hd)), {rest})')})")
+
+
 def _hashed(alphabet: str, value: str, size: str, key: str, what: str) -> str:
     """``size`` characters of an alphabet (a power of two of them at most 64, or 16), by a keyed hash."""
     at = f"cast(conv(substr(sha2(concat_ws(':', {_text(key)}, {_text(what)}, {value}, cast(z as string)), 256), 1, 8), 16, 10) as bigint) % {len(alphabet)}"
@@ -122,7 +164,7 @@ def replacement(kind: str, key: str) -> str:
         body = _let("substr(b, 5)", "m", _in_place(permuted_digits(_DIGITS, "iban", key)))
         check = f"lpad(cast(98 - {_mod97('concat(substr(b, 1, 2), {}, e)'.format(_text('00')))} as string), 2, '0')"
         whole = _let(body, "e", f"concat(substr(b, 1, 2), {check}, e)")
-        valid = f"{_mod97('b')} = 1 and length(b) between 15 and 34 and length(regexp_replace(substr(b, 5), '[^0-9]', '')) between 2 and 30"
+        valid = _valid_iban("b")
         return _let(plain, "b", f"if({valid}, {_in_place(whole, '[A-Z0-9]')}, m)")
     if kind == "address":
         octet = lambda n: f"cast(split(m, '\\\\.')[{n}] as bigint)"
@@ -159,12 +201,14 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
     for kind, pattern in reversed(KINDS.items()):
         cases = f"if(m rlike {_text('^(?:' + pattern + ')$')}, {replacement(kind, key)}, {cases})"
     found = docs.drop("pii_found").withColumn("_found", F.expr(f"regexp_extract_all(`{text}`, {_text(PATTERN)}, 0)"))
-    found = found.withColumn("_new", F.when(F.size("_found") > 0, F.expr(f"transform(_found, m -> {cases})")))
-    whole = F.expr(f"array_join(zip_with(split(`{text}`, {_text(PATTERN)}, -1), concat(_new, array('')), (a, b) -> concat(a, b)), '')")
-    count = F.expr("size(filter(zip_with(_found, _new, (a, b) -> a <> b), x -> x))")
+    runs = _text("^(?:" + "|".join(RUNS.values()) + ")$")
+    found = found.withColumn("_parts", F.when(F.size("_found") > 0, F.expr(f"transform(_found, m -> if(m rlike {runs}, {pieces('m')}, array(m)))")))
+    found = found.withColumn("_new", F.expr(f"transform(_parts, u -> transform(u, m -> {cases}))"))
+    whole = F.expr(f"array_join(zip_with(split(`{text}`, {_text(PATTERN)}, -1), concat(transform(_new, u -> array_join(u, '')), array('')), (a, b) -> concat(a, b)), '')")
+    count = F.expr("size(filter(zip_with(flatten(_parts), flatten(_new), (a, b) -> a <> b), x -> x))")
     changed = F.size("_found") > 0
     out = found.withColumns({text: F.when(changed, whole).otherwise(F.col(text)), "pii_found": F.when(changed, count).otherwise(0)})
-    return out.drop("_found", "_new")
+    return out.drop("_found", "_parts", "_new")
 
 
 def without_pii(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
