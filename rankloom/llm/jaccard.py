@@ -492,9 +492,27 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The document of the smallest id of each component; rows that repeat an id stay or go together."""
-    kept = jaccard_components(docs, doc_id, text, **how).where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(kept, doc_id, "left_semi").select(*docs.columns)
+    """The document of the smallest id of each component; rows that repeat an id stay or go together.
+
+    Of a component without any id one row stays; rows without id and shingles are components of their own and stay.
+    """
+    nameless = docs.where(F.col(doc_id).cast("long").isNull())
+    if nameless.isEmpty():
+        kept = jaccard_components(docs, doc_id, text, **how).where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+        return docs.join(kept, doc_id, "left_semi").select(*docs.columns)
+    name = F.xxhash64(F.lit("no id"), F.coalesce(text, F.lit("")))
+    own = F.col(doc_id).cast("long")
+    found = jaccard_components(docs.select(F.coalesce(own, name).alias("doc_id"), F.col(text).alias("text")), k=how.get("k", 4), threshold=how.get("threshold", 85))
+    names = nameless.select(name.alias("doc_id"), F.lit(1).alias("last")).distinct()
+    found = shared_table(found.distinct().join(names, "doc_id", "left").na.fill({"last": 0}), "named_rows")
+    # ids go before names that stand for none
+    best = found.groupBy("component_id").agg(F.min(F.struct("last", "doc_id")).alias("best")).select("best.*").join(found.select("doc_id", "n_shingles"), "doc_id")
+    kept = best.where("last = 0").select(F.col("doc_id").alias("_name"))
+    some = best.where("last = 1").select(F.col("doc_id").alias("_name"), "n_shingles")
+    with_id = docs.join(kept, own == F.col("_name"), "left_semi").select(*docs.columns)
+    rows = nameless.withColumn("_at", name).join(some, F.col("_at") == F.col("_name"))
+    single = rows.where("n_shingles > 0").dropDuplicates(["_name"]).select(*docs.columns)
+    return with_id.unionAll(single).unionAll(rows.where("n_shingles = 0").select(*docs.columns))
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

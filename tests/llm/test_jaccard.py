@@ -142,3 +142,12 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 105), (105, 103), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 103: 100, 105: 100}
+
+
+def test_keep_one_of_rows_without_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (2, a), (None, a), (None, b), (None, b), (None, b + " end"), (None, c), (None, ""), (None, None), (7, "")]
+    got = J.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] for r in got if r["doc_id"] is not None)) == [1, 7]
+    texts = [r["text"] for r in got if r["doc_id"] is None]
+    assert len(texts) == 4 and c in texts and "" in texts and None in texts and len({b, b + " end"} & set(texts)) == 1
