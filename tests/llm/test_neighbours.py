@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ def same(got, want):
 
 
 def test_all_verified_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(N, "SHARD_ROWS", 100)
-    monkeypatch.setattr(N, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(N, "SHARD_ROWS", 40)
+    monkeypatch.setattr(N, "SAMPLE", 64)
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=6).tolist(), 1, "x") for i in range(300)]
     rows += [(1000 + i, rows[0][1], 1, "x") for i in range(45)]  # one very common vector
@@ -68,5 +69,39 @@ def test_tree_holds_every_point_once():
     points[:200] = points[0]
     tree = N.Tree(points, leaf=16)
     assert sorted(tree.order) == list(range(500))
-    order, distance = tree.leaves(points[300])
-    assert (np.diff(distance) >= 0).all() and len(order) == len(tree.begin) - 1
+    for a, b, low, high in zip(tree.begin, tree.begin[1:], tree.low, tree.high, strict=False):
+        assert (points[tree.order[a:b]] >= low).all() and (points[tree.order[a:b]] <= high).all()
+
+
+def test_top_of_the_tree_divides_evenly():
+    points = np.random.default_rng(4).normal(size=(4096, 4))
+    top = N.Top(points[:1024], 4)
+    counts = np.bincount(top.of(points), minlength=16)
+    assert len(counts) == 16 and counts.min() > 100
+
+
+def test_few_vectors_are_verified(spark, monkeypatch):
+    """On 50,000 vectors that lie in clusters, recall is at least 0.9 and few are verified."""
+    monkeypatch.setattr(N, "SHARD_ROWS", 1000)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(400, 64))
+    v = centres[rng.integers(0, 400, 50_000)] + 0.25 * rng.normal(size=(50_000, 64))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(v)), "embedding": pa.FixedSizeListArray.from_arrays(v.ravel(), 64).cast(pa.list_(pa.float32()))}))
+    queries = df.where(F.col("vec_id") % 500 == 0)
+    index = N.build_index(df)
+    assert index.top.depth == 6
+    found = N.search(index, queries).persist()
+    got = {(r["query_id"], r["vec_id"]) for r in N._best(found, 20).collect()}
+    verified = found.agg(F.sum("verified")).first()[0]
+    exact = v.astype(np.float64)
+    want = set()
+    for q in range(0, len(v), 500):
+        s = exact @ exact[q]
+        s[q] = -9
+        want |= {(q, int(i)) for i in np.argsort(-s, kind="stable")[:20]}
+    assert len(got & want) >= 0.9 * len(want)
+    assert verified < 0.2 * 100 * len(v)
+    # a query row reaches few shards
+    reached = found.where("vec_id is null").groupBy("query_id").count().agg(F.avg("count")).first()[0]
+    assert reached < 48
