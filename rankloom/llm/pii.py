@@ -3,13 +3,17 @@
 Candidates are found by one pattern.  Numbers and dates are validated (Luhn for cards, mod 97 for
 IBANs, ranges for addresses, the calendar for dates) and permuted within their format by a keyed
 Feistel network of eight rounds over sha-256: digits keep their places and separators, a card keeps a
-valid check digit, an address stays one, a date stays a date from 1900-01-01 on.  The permutation is
-one to one for each format and depends on the value and the key alone, so equal values stay linked
-across documents and different ones stay apart.  Mail addresses and secrets (cloud keys, passwords,
+valid check digit, an address stays one, letters and digits of an IBAN's account keep their places.  A
+date of any four-digit year stays a date of the same spelling: its separator, the widths of day and
+month, and their order where it shows (a part over 12).  It stays within its 400 years (1800 to 2199
+and so on), of which all days are permuted where the year comes first; otherwise days from the 13th to
+the 28th, later days and 29 February are permuted among themselves, as are dates whose order is open.
+The permutation is one to one for each format and depends on the value and the key alone, so equal
+values stay linked across documents and different ones stay apart.  Mail addresses and secrets (cloud keys, passwords,
 tokens) have no format to permute in; their characters are replaced by a keyed hash in the same alphabet.
 
 Defined results: null text stays null; text without candidates is returned as it is; numbers that do
-not validate are left, but valid ones at borders of groups within them are replaced; repeated rows are treated alike.  Empty tables give empty results.  All
+not validate (an IBAN's account has at least four digits) are left, but valid ones at borders of groups within them are replaced; repeated rows are treated alike.  Empty tables give empty results.  All
 columns are kept; a column ``pii_found`` of the input is replaced.
 """
 
@@ -23,8 +27,9 @@ from rankloom.llm.common import protected, table
 #: For tests and comparisons only; give your own.
 KEY = "not a secret"
 ROUNDS = 8
-#: Dates that are permuted: 270 * 270 days from this one on.
-FIRST_DAY, DAY_ROOT = "1900-01-01", 270
+#: 400 years have 189 * 773 days; those of the years from 200 on (modulo 400) are numbered from this day on.
+FIRST_DAY, DAYS_LEFT, DAYS_RIGHT = "2200-01-01", 189, 773
+CYCLE, CYCLE_FROM = 400, 200
 
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
 CLOUD_KEY = r"\bAKIA[0-9A-Z]{16}\b"
@@ -85,7 +90,64 @@ def permuted_digits(digits: str, what: str, key: str) -> str:
     return _let(digits, "g", body)
 
 
+def permuted_letters(letters: str, what: str, key: str) -> str:
+    """A string of 1 to 26 letters A-Z, permuted among those of its length."""
+    powers = f"array({', '.join(f'{26**n}L' for n in range(14))})"
+    a, b = "cast(length(g) div 2 as int)", "cast(length(g) - length(g) div 2 as int)"
+    number = lambda x: f"aggregate(filter(split({x}, ''), c -> c <> ''), 0L, (t, c) -> t * 26 + ascii(c) - 65)"
+    text = lambda n, size: f"if({size} = 0, '', array_join(transform(sequence({size}, 1, -1), j -> char(65 + {n} div element_at({powers}, j) % 26)), ''))"
+    body = feistel(
+        number(f"substr(g, 1, {a})"), number(f"substr(g, {a} + 1)"), f"element_at({powers}, {a} + 1)", f"element_at({powers}, {b} + 1)", f"concat({_text(what)}, 'letters', length(g))", key,
+        f"concat({text('s.l', a)}, {text('s.r', b)})",
+    )
+    return _let(letters, "g", body)
+
+
+def _year(years: str) -> str:
+    """The four digits of a year, given its place in its cycle; ``g.e`` is the cycle's number."""
+    return f"lpad(cast((g.e * {CYCLE} + {years} + {CYCLE_FROM}) % 10000 as string), 4, '0')"
+
+
+_PLACE = f"(cast({{}} as int) + {10000 - CYCLE_FROM}) % 10000"
+
+
+def _iso_date(key: str) -> str:
+    place = _PLACE.format("substr(m, 1, 4)")
+    day = f"datediff(try_to_date(concat({2000 + CYCLE_FROM} + {place} % {CYCLE}, substr(m, 5)), 'yyyy-MM-dd'), date'{FIRST_DAY}')"
+    moved = f"date_add(date'{FIRST_DAY}', cast(s.l * {DAYS_RIGHT} + s.r as int))"
+    back = _let(moved, "v", f"concat({_year(f'year(v) - {2000 + CYCLE_FROM}')}, date_format(v, '-MM-dd'))")
+    body = feistel(f"cast(g.n div {DAYS_RIGHT} as bigint)", f"cast(g.n % {DAYS_RIGHT} as bigint)", str(DAYS_LEFT), str(DAYS_RIGHT), "concat('iso_date', g.e)", key, back)
+    return _let(f"named_struct('n', {day}, 'e', {place} div {CYCLE})", "g", f"if(g.n is null, m, {body})")
+
+
+def _date(key: str) -> str:
+    """Of a date with the year last: parts a and b of widths wa and wb, the place y of its year in cycle e."""
+    place = _PLACE.format("get(split(m, '[/.]'), 2)")
+    parts = ", ".join(f"'{n}', cast(get(split(m, '[/.]'), {i}) as bigint), 'w{n}', length(get(split(m, '[/.]'), {i}))" for i, n in enumerate("ab"))
+    parts = f"named_struct({parts}, 'c', if(instr(m, '/') > 0, '/', '.'), 'e', {place} div {CYCLE}, 'y', cast({place} % {CYCLE} as bigint))"
+    kept = lambda form: f"concat('date', {_text(form)}, g.wa, g.wb, g.c, g.e)"
+    spelled = lambda one, two, year: f"concat(lpad(cast({one} as string), g.wa, '0'), g.c, lpad(cast({two} as string), g.wb, '0'), g.c, {_year(year)})"
+    # which of day and month comes first cannot be seen
+    size = lambda w: f"if({w} = 1, 9, 12)"
+    open_ = feistel("g.y", f"(g.a - 1) * {size('g.wb')} + g.b - 1", str(CYCLE), f"({size('g.wa')} * {size('g.wb')})", kept("open"), key, spelled(f"s.r div {size('g.wb')} + 1", f"s.r % {size('g.wb')} + 1", "s.l"))
+    # one part is over 12: the day d, beside the month o of width w
+    day_first = lambda day, month, year: f"if(g.a > 12, {spelled(day, month, year)}, {spelled(month, day, year)})"
+    first = "if(g.a > 12, 'day', 'month')"
+    mid = feistel("g.y", f"(h.d - 13) * {size('h.w')} + h.o - 1", str(CYCLE), f"(16 * {size('h.w')})", f"concat({kept('mid')}, {first})", key, day_first(f"s.r div {size('h.w')} + 13", f"s.r % {size('h.w')} + 1", "s.l"))
+    late = [[100 * o + d for o in range(1, last + 1) for d in (29, 30, 31) if not (o == 2 or (d == 31 and o in (4, 6, 9, 11)))] for last in (9, 12)]
+    late = "if(h.w = 1, {}, {})".format(*(f"array({', '.join(f'{x}L' for x in xs)})" for xs in late))
+    code = _let("get(ds, cast(s.r as int))", "x", day_first("x % 100", "x div 100", "s.l"))
+    late = _let(late, "ds", f"if(array_contains(ds, h.o * 100 + h.d), {feistel('g.y', 'array_position(ds, h.o * 100 + h.d) - 1', str(CYCLE), 'size(ds)', f'concat({kept("late")}, {first})', key, code)}, m)")
+    years = [y - CYCLE_FROM for y in range(CYCLE_FROM, CYCLE_FROM + CYCLE) if y % 4 == 0 and (y % 100 or y % 400 == 0)]
+    leap = f"array({', '.join(f'{y}L' for y in years)})"
+    leap = _let(leap, "ys", f"if(array_contains(ys, g.y), {feistel('0L', 'array_position(ys, g.y) - 1', '1', str(len(years)), f'concat({kept("leap")}, {first})', key, day_first('29', '2', 'get(ys, cast(s.r as int))'))}, m)")
+    over = f"case when h.o not between 1 and 12 or h.d > 31 then m when h.d <= 28 then {mid} when h.o = 2 and h.d = 29 then {leap} else {late} end"
+    over = _let("named_struct('d', greatest(g.a, g.b), 'o', least(g.a, g.b), 'w', if(g.a > 12, g.wb, g.wa))", "h", over)
+    return _let(parts, "g", f"if(g.a between 1 and 12 and g.b between 1 and 12, {open_}, {over})")
+
+
 _DIGITS = "regexp_replace(m, '[^0-9]', '')"
+_LETTERS = "regexp_replace(m, '[^A-Z]', '')"
 
 
 def _in_place(digits: str, pattern: str = "[0-9]") -> str:
@@ -108,7 +170,7 @@ def _mod97(text: str) -> str:
 
 
 def _valid_iban(plain: str) -> str:
-    return f"{_mod97(plain)} = 1 and length({plain}) between 15 and 34 and length(regexp_replace(substr({plain}, 5), '[^0-9]', '')) between 2 and 30"
+    return f"{_mod97(plain)} = 1 and length({plain}) between 15 and 34 and length(regexp_replace(substr({plain}, 5), '[^0-9]', '')) between 4 and 30"
 
 
 def pieces(run: str) -> str:
@@ -160,8 +222,8 @@ def replacement(kind: str, key: str) -> str:
         return _let(head, "y", f"concat(y, {_hashed(hex_, tail, f'length({tail})', key, 'secret')})")
     if kind == "iban":
         plain = "replace(m, ' ', '')"
-        # digits of the account permuted in place, then new check digits
-        body = _let("substr(b, 5)", "m", _in_place(permuted_digits(_DIGITS, "iban", key)))
+        # digits and letters of the account permuted in place, then new check digits
+        body = _let("substr(b, 5)", "m", _let(_in_place(permuted_digits(_DIGITS, "iban", key)), "m", f"if(m rlike '[A-Z]', {_in_place(permuted_letters(_LETTERS, 'iban', key), '[A-Z]')}, m)"))
         check = f"lpad(cast(98 - {_mod97('concat(substr(b, 1, 2), {}, e)'.format(_text('00')))} as string), 2, '0')"
         whole = _let(body, "e", f"concat(substr(b, 1, 2), {check}, e)")
         valid = _valid_iban("b")
@@ -171,18 +233,10 @@ def replacement(kind: str, key: str) -> str:
         valid = " and ".join(f"{octet(n)} < 256" for n in range(4))
         moved = feistel(f"{octet(0)} * 256 + {octet(1)}", f"{octet(2)} * 256 + {octet(3)}", "65536", "65536", "'address'", key, "concat_ws('.', s.l div 256, s.l % 256, s.r div 256, s.r % 256)")
         return f"if({valid}, {moved}, m)"
-    if kind in ("iso_date", "date"):
-        if kind == "iso_date":
-            day, back = "try_to_date(m, 'yyyy-MM-dd')", "date_format({}, 'yyyy-MM-dd')"
-        else:  # day first if that is a date, else month first; the separator is kept
-            parts = "split(m, '[/.]')"
-            iso = lambda d, mo: f"try_to_date(concat_ws('-', {parts}[2], lpad({parts}[{mo}], 2, '0'), lpad({parts}[{d}], 2, '0')), 'yyyy-MM-dd')"
-            day = f"coalesce({iso(0, 1)}, {iso(1, 0)})"
-            back = f"replace(if({iso(0, 1)} is not null, date_format({{0}}, 'dd/MM/yyyy'), date_format({{0}}, 'MM/dd/yyyy')), '/', if(instr(m, '/') > 0, '/', '.'))"
-        n = f"cast(datediff(v, date'{FIRST_DAY}') as bigint)"
-        root = str(DAY_ROOT)
-        moved = feistel(f"{n} div {root}", f"{n} % {root}", root, root, "'date'", key, back.format(f"date_add(date'{FIRST_DAY}', cast(s.l * {root} + s.r as int))"))
-        return _let(day, "v", f"if(v is not null and {n} >= 0 and {n} < {DAY_ROOT**2}, {moved}, m)")
+    if kind == "iso_date":
+        return _iso_date(key)
+    if kind == "date":
+        return _date(key)
     if kind == "card":
         valid = f"{luhn_sum(_DIGITS, 1)} % 10 = 0"
         payload = permuted_digits(f"substr({_DIGITS}, 1, length({_DIGITS}) - 1)", "card", key)
@@ -200,15 +254,17 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
     cases = "m"
     for kind, pattern in reversed(KINDS.items()):
         cases = f"if(m rlike {_text('^(?:' + pattern + ')$')}, {replacement(kind, key)}, {cases})"
-    found = docs.drop("pii_found").withColumn("_found", F.expr(f"regexp_extract_all(`{text}`, {_text(PATTERN)}, 0)"))
+    kept = [c for c in docs.columns if c != "pii_found"]
+    free = "_" * (1 + max((len(c) for c in kept), default=0))  # longer than any column's name
+    names = [free + n for n in ("found", "parts", "new")]
+    found = docs.drop("pii_found").withColumn(names[0], F.expr(f"regexp_extract_all(`{text}`, {_text(PATTERN)}, 0)"))
     runs = _text("^(?:" + "|".join(RUNS.values()) + ")$")
-    found = found.withColumn("_parts", F.when(F.size("_found") > 0, F.expr(f"transform(_found, m -> if(m rlike {runs}, {pieces('m')}, array(m)))")))
-    found = found.withColumn("_new", F.expr(f"transform(_parts, u -> transform(u, m -> {cases}))"))
-    whole = F.expr(f"array_join(zip_with(split(`{text}`, {_text(PATTERN)}, -1), concat(transform(_new, u -> array_join(u, '')), array('')), (a, b) -> concat(a, b)), '')")
-    count = F.expr("size(filter(zip_with(flatten(_parts), flatten(_new), (a, b) -> a <> b), x -> x))")
-    changed = F.size("_found") > 0
-    out = found.withColumns({text: F.when(changed, whole).otherwise(F.col(text)), "pii_found": F.when(changed, count).otherwise(0)})
-    return out.drop("_found", "_parts", "_new")
+    found = found.withColumn(names[1], F.when(F.size(names[0]) > 0, F.expr(f"transform({names[0]}, m -> if(m rlike {runs}, {pieces('m')}, array(m)))")))
+    found = found.withColumn(names[2], F.expr(f"transform({names[1]}, u -> transform(u, m -> {cases}))"))
+    whole = F.expr(f"array_join(zip_with(split(`{text}`, {_text(PATTERN)}, -1), concat(transform({names[2]}, u -> array_join(u, '')), array('')), (a, b) -> concat(a, b)), '')")
+    count = F.expr(f"size(filter(zip_with(flatten({names[1]}), flatten({names[2]}), (a, b) -> a <> b), x -> x))")
+    changed = F.size(names[0]) > 0
+    return found.withColumns({text: F.when(changed, whole).otherwise(F.col(text)), "pii_found": F.when(changed, count).otherwise(0)}).drop(*names)
 
 
 def without_pii(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:

@@ -70,19 +70,73 @@ def test_dates_addresses_and_ibans(spark):
 
     texts = ["2021-02-28", "31/12/1999", "1.2.2003", "12/31/1999", "10.0.0.255", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"]
     got = [t for t, _ in run(spark, texts, key="k2")]
-    first = dt.date(1900, 1, 1)
-    for before, after, form in zip(texts, got, ("%Y-%m-%d", "%d/%m/%Y", "%d.%m.%Y", "%m/%d/%Y"), strict=False):
-        day = (dt.datetime.strptime(before, form).date() - first).days
-        left, right = feistel(day // 270, day % 270, 270, 270, "date", "k2")
-        assert dt.datetime.strptime(after, form).date() == first + dt.timedelta(left * 270 + right)
+    first = dt.date(1800, 1, 1)
+    n = (dt.date(2021, 2, 28) - first).days
+    left, right = feistel(n // 773, n % 773, 189, 773, "iso_date4", "k2")
+    assert got[0] == (first + dt.timedelta(left * 773 + right)).isoformat()
+    for before, after in zip(texts[1:4], got[1:4], strict=True):
+        assert before != after and re.sub(r"\d", "9", before) == re.sub(r"\d", "9", after)
+    assert int(got[1][:2]) > 12 >= int(got[1][3:5]) and int(got[3][3:5]) > 12 >= int(got[3][:2])
     left, right = feistel(10 * 256, 255, 65536, 65536, "address", "k2")
     assert got[4] == f"{left // 256}.{left % 256}.{right // 256}.{right % 256}"
     for before, after in zip(texts[5:], got[5:], strict=True):
-        assert mod97(after.replace(" ", "")) == 1 and after != before and re.sub(r"\d", "9", after) == re.sub(r"\d", "9", before)
+        form = [re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", x)) for x in (before, after)]
+        assert mod97(after.replace(" ", "")) == 1 and after[:2] == before[:2] and after[4:9] != before[4:9] and form[0] == form[1]
+    assert "WEST" not in got[5]
+
+
+def spellings(years):
+    """Every date of the years in each spelling with its widths, day or month first."""
+    import calendar
+
+    out = set()
+    for y in years:
+        for m in range(1, 13):
+            for d in range(1, calendar.monthrange(y if y else 400, m)[1] + 1):
+                for a, b in ((d, m), (m, d)):
+                    for c in "/.":
+                        out |= {f"{x}{c}{z}{c}{y:04d}" for x in (str(a), f"{a:02d}") for z in (str(b), f"{b:02d}")}
+    return out
+
+
+def test_dates_of_each_spelling_are_permuted(spark):
+    """Over all days of some years of one cycle no two spellings meet, and each stays a valid date of its spelling; 400 years whole for the year first."""
+    df = spark.sql("select date_format(d, 'yyyy-MM-dd') as m from (select explode(sequence(date'1800-01-01', date'2199-12-31')) as d)")
+    got = {r["x"] for r in df.select(F.expr(P.replacement("iso_date", "k")).alias("x")).collect()}
+    assert len(got) == 146_097 and got == {r["m"] for r in df.collect()}
+    texts = sorted(spellings([1600, 1999, 2000, 2003, 2004, 9999, 0]))
+    df = spark.createDataFrame([(t,) for t in texts], "m string")
+    rows = df.select("m", F.expr(P.replacement("date", "k")).alias("x")).collect()
+    assert len({r["x"] for r in rows}) == len(texts)
+    assert sum(r["x"] == r["m"] for r in rows) < 20
+    for r in rows:
+        assert re.sub(r"\d", "9", r["m"]) == re.sub(r"\d", "9", r["x"])
+        a, b, y = map(int, re.split("[/.]", r["x"]))
+        before = list(map(int, re.split("[/.]", r["m"])))
+        assert (a > 12, b > 12) == (before[0] > 12, before[1] > 12) and (y - 200) % 10000 // 400 == (before[2] - 200) % 10000 // 400
+    assert {r["x"] for r in rows} <= spellings({int(r["x"][-4:]) for r in rows})
+
+
+def test_dates_over_a_whole_cycle_are_one_to_one(spark):
+    """Every open, mid, late and leap spelling of one form over 400 years maps onto itself."""
+    df = spark.sql("select explode(sequence(date'1800-01-01', date'2199-12-31')) as d")
+    for form in ("dd/MM/yyyy", "d.M.yyyy", "M/dd/yyyy"):
+        m = df.select(F.date_format("d", form).alias("m")).distinct()
+        both = m.select("m", F.expr(P.replacement("date", "k")).alias("x")).persist()
+        assert both.select("x").distinct().count() == m.count()
+        both.unpersist()
+
+
+def test_letters_are_permuted_and_one_to_one(spark):
+    df = spark.range(26**3).select(F.expr("concat(char(65 + id div 676), char(65 + id div 26 % 26), char(65 + id % 26))").alias("d"))
+    got = df.select(F.expr(P.permuted_letters("d", "t", "k")).alias("x"))
+    assert got.distinct().count() == 26**3 and got.where("x rlike '^[A-Z]{3}$'").count() == 26**3
+    long = spark.createDataFrame([("ABCDEFGHIJKLMNOPQRSTUVWXYZ",), ("A",)], "d string").select(F.expr(P.permuted_letters("d", "t", "k")).alias("x")).collect()
+    assert [len(r["x"]) for r in long] == [26, 1]
 
 
 def test_what_does_not_validate_is_left(spark):
-    texts = ["4111111111111112", "300.1.1.1", "2021-02-30", "GB83 WEST 1234 5698 7654 32", "version 2.0.1 of 12 May, 3 x 4", "1850-01-01", None, "", "été 漢字 " * 3000]
+    texts = ["4111111111111112", "300.1.1.1", "2021-02-30", "GB83 WEST 1234 5698 7654 32", "version 2.0.1 of 12 May, 3 x 4", "31.11.2001", "29/2/1900", "13.13.2000", "00/01/2000", None, "", "été 漢字 " * 3000]
     assert run(spark, texts) == [(t, 0) for t in texts]
 
 
@@ -127,6 +181,13 @@ def test_empty_tables_and_null_rows(spark, rows):
     assert P.without_pii(df).count() == len(rows)
 
 
+def test_clashing_names_are_kept(spark):
+    df = spark.createDataFrame([(1, "a 10.0.0.255", "f", "p", "n", "m")], "doc_id long, text string, _found string, _parts string, _new string, m string")
+    for out in (P.pseudonymise(df), P.without_pii(df)):
+        row = out.first().asDict()
+        assert (row["_found"], row["_parts"], row["_new"], row["m"]) == ("f", "p", "n", "m") and row["text"] != "a 10.0.0.255"
+
+
 def test_query_on_test_tables(spark):
     sf = "/root/testdata/sf0.01"
     before = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
