@@ -1,30 +1,39 @@
-"""Main text of web pages: structure of the markup, and differencing against the pages of nearest URL.
+"""Main text of web pages: differencing against the pages of nearest URL, then structure of the markup.
 
-Pages are ranged by host and URL path, so a page and those whose paths come next before and after it
-are read by one task, and a host of any size is split over many.  The text blocks of a page are
-aligned with those of its two nearest pages of the host by a longest common subsequence; blocks that
-are shared are the site's, not the page's, and are deleted.  Blocks inside an element that the page
+Pages are put in order by host and URL path.  The text blocks of a page are aligned with those of its
+two nearest pages of the host by a longest common subsequence; blocks that are shared are the site's,
+not the page's, and are deleted.  A neighbour that shares nearly all of a page's text (``COPY``) is a
+copy and tells nothing of the template; it is passed over.  Blocks inside an element that the page
 itself marks as its article are kept where one near page shares them (quotations, licence lines), and
-deleted where the nearest pages and the next ones, three to four together, all hold them.  Other blocks
-of such a page are judged as on any page.  Elements marked as navigation, header, footer, sidebar,
-notice, advert, form or comment are deleted even if no other page shares them.  A neighbour that shares nearly all of a
-page's text is a copy and tells nothing of the template; it is passed over.  At the border of a
-task's range a page has neighbours on one side only.
+deleted where the nearest pages and the next ones, three to four together, all hold them.  Of what no
+page shares, elements marked as navigation, header, footer, sidebar, notice, advert, form or comment
+are deleted by that mark.
+
+A first job reads the keys alone: it divides their order into ranges and finds, for the borders of each,
+the pages within reach on the other side.  The second parses pages, sends each page's blocks (of site
+elements only their hashes) to its range, and those of the pages at borders to the range beside it too.
+So a page has the same neighbours however many ranges there are, and a host of any size is split.  Both
+sides of a comparison tell lines apart by 64-bit hashes.  Alignment, parsing and memory are bounded:
+alignment is bit-parallel, with rows of the table kept at intervals.
 
 Defined results: null or empty html has an empty text; a null URL counts as host and path ''; markup
 that is cut off ends where the page ends (an unfinished tag or script is dropped, an unfinished
-character reference stays as it is); repeated pages give each their text.  An empty table gives an
-empty result.  Columns not named are not read.
+character reference stays as it is); repeated pages give each their text and are one neighbour.  Pages
+of equal URL are in the order of page_id.  An empty table gives an empty result.  Columns not named are
+not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Hashable, Iterator, Sequence
+from math import isqrt
 
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,35 +51,39 @@ BLOCK = frozenset(
 HOLDER = BLOCK - frozenset("p hr li dt dd tr h1 h2 h3 h4 h5 h6 option html body tbody thead tfoot".split()) | frozenset({"span", "td"})
 BOILERPLATE = frozenset("nav aside footer form menu dialog".split())
 ROLES = frozenset("navigation banner complementary contentinfo search form alert alertdialog dialog menu menubar toolbar".split())
-WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies footer pagination pager paging copyright disclaimer widget toolbar skip banner alert topnav mainnav subnav sidenav sitenav navlinks navmenu navlist menubar menus sidebars sidepanel rail adslot adunit adblock adbanner leaderboard cookiebar cookiebanner commentform commentbox commentarea usercomments sitefooter pagefooter".split()
-)
-HEADER_WORDS = frozenset("header masthead topbar siteheader pageheader".split())
-ARTICLE_WORDS = frozenset("article-body article-content articlebody post-content post-body entry-content main-content story-body".split())
+#: Parts of class and id names by which pages call an element an advert, a menu and so on: whole, or as a beginning.
+WHOLE = frozenset("ad ads alert comment comments consent login modal nav notice notices promo related reply replies respond share sharing skip social widget".split())
+BEGINNINGS = ("adbanner", "adslot", "advert", "banner", "breadcrumb", "commentbox", "commentform", "commentlist", "cookie", "disqus", "footer", "menu", "navbar", "navigation", "newsletter", "pagination", "popup", "recommend", "sidebar", "signup", "sponsor", "subscri", "toolbar")
+HEADERS = ("header", "masthead", "topbar")
+ARTICLES = frozenset("article-body article-content articlebody post-content post-body entry-content main-content story-body".split())
 
-_ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>"']|$)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"'>]+)))?""")
+_ASKED = frozenset("class id role itemprop hidden style aria-hidden".split())
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _PART = re.compile(r"[^a-z0-9]+")
+_END = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I) for tag in RAW}
 
 SITE, PLAIN, ARTICLE = 0, 1, 2
 #: Pages that are asked about article blocks, and how many of them must be no copies to tell.
 REACH, LEAST_PAGES = 4, 3
+#: The share of a page's text from which on a page that holds it is a copy.
+COPY = 0.95
 
 
 def _kind(tag: str, attributes: str, outer: int) -> int:
     """What the blocks inside an element are, given what those around it are."""
     if outer == SITE:
         return SITE
-    found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
+    found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in _ASKED} if attributes else {}
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
         return SITE
     names = f"{found.get('class', '')} {found.get('id', '')}"
-    parts = set(_PART.split(names))
-    if tag in BOILERPLATE or found.get("role") in ROLES or parts & WORDS:
+    parts = [x for x in _PART.split(names) if x]
+    if tag in BOILERPLATE or found.get("role") in ROLES or any(x in WHOLE or x.startswith(BEGINNINGS) for x in parts):
         return SITE
-    if outer != ARTICLE and (tag == "header" or parts & HEADER_WORDS):
+    if outer != ARTICLE and (tag == "header" or any(x.startswith(HEADERS) for x in parts)):
         return SITE
-    if tag in ("article", "main") or found.get("role") == "main" or found.get("itemprop") == "articlebody" or ARTICLE_WORDS & set(names.split()):
+    if tag in ("article", "main") or found.get("role") == "main" or found.get("itemprop") == "articlebody" or ARTICLES & set(names.split()):
         return ARTICLE
     return outer
 
@@ -81,8 +94,11 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     text: list[str] = []
     stack: list[tuple[str, int]] = [("", PLAIN)]
+    open_: dict[str, int] = {}  # how many elements of each name are open
     single = False  # the block itself is marked as none of the article's
     at, end = 0, len(page)
+    last_quote = page.rfind('"')
+    unclosed: set[str] = set()  # names of raw elements that end nowhere from here on
 
     def flush() -> None:
         block = " ".join("".join(text).split())
@@ -114,13 +130,15 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             text.append("<")
             at = lt + 1
             continue
-        gt = page.find(">", name.end())
-        while gt >= 0 and page.count('"', name.end(), gt) % 2:  # a > within quotes
-            quote = page.find('"', gt)
-            gt = page.find(">", quote) if quote >= 0 else -1
+        gt = first = page.find(">", name.end())
+        odd = gt >= 0 and page.count('"', name.end(), gt) % 2
+        while gt >= 0 and odd:  # a > within quotes
+            quote = page.find('"', gt) if gt < last_quote else -1
             if quote < 0:
-                gt = page.find(">", name.end())
+                gt = first
                 break
+            gt = page.find(">", quote)
+            odd = gt >= 0 and not page.count('"', quote, gt) % 2
         if gt < 0:
             break
         tag, attributes, at = name[0].lower(), page[name.end() : gt], gt + 1
@@ -128,18 +146,25 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             if tag in BLOCK:
                 flush()
                 single = False
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0) if tag in HOLDER else 0
-            if depth:
-                if stack[depth - 1][1] != stack[-1][1]:
+            if tag in HOLDER and open_.get(tag):
+                kind = stack[-1][1]
+                depth = len(stack) - 1
+                while stack[depth][0] != tag:
+                    depth -= 1
+                if stack[depth - 1][1] != kind:
                     flush()
+                for name_, _ in stack[depth:]:
+                    open_[name_] -= 1
                 del stack[depth:]
             continue
         if tag in RAW:
             if not attributes.endswith("/"):
-                close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, at)
-                if not close and tag not in ("head", "title"):
-                    break
-                if close:
+                close = None if tag in unclosed else _END[tag].search(page, at)
+                if not close:
+                    unclosed.add(tag)
+                    if tag not in ("head", "title"):
+                        break
+                else:
                     gt = page.find(">", close.end())
                     at = end if gt < 0 else gt + 1
             text.append(" ")
@@ -153,72 +178,183 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             if kind != stack[-1][1]:
                 flush()
             stack.append((tag, kind))
+            open_[tag] = open_.get(tag, 0) + 1
     flush()
     return out
 
 
-def shared(a: list[str], b: list[str]) -> set[int]:
-    """Places in ``a`` of a longest common subsequence with ``b``."""
+def shared(a: Sequence[Hashable], b: Sequence[Hashable]) -> set[int]:
+    """Places in ``a`` of a longest common subsequence with ``b``.
+
+    Bit-parallel: a row of the table of lengths is an integer whose zero bits are the steps along ``b``.  Every
+    ``gap``-th row is kept, the rows between are computed again on the way back.
+    """
     lo, hi_a, hi_b = 0, len(a), len(b)
     while lo < hi_a and lo < hi_b and a[lo] == b[lo]:
         lo += 1
     while hi_a > lo and hi_b > lo and a[hi_a - 1] == b[hi_b - 1]:
         hi_a, hi_b = hi_a - 1, hi_b - 1
-    places: dict[str, list[int]] = {}
-    for j in range(hi_b - 1, lo - 1, -1):
-        places.setdefault(b[j], []).append(j)
-    ends: list[int] = []  # the least end in b of a common subsequence of each length
-    chain: list[tuple] = []
-    for i in range(lo, hi_a):
-        for j in places.get(a[i], ()):
-            k = bisect_left(ends, j)
-            link = (i, chain[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                chain.append(link)
-            elif j < ends[k]:
-                ends[k], chain[k] = j, link
     found = {*range(lo), *range(hi_a, len(a))}
-    link = chain[-1] if chain else None
-    while link:
-        found.add(link[0])
-        link = link[1]
+    places: dict[Hashable, list[int]] = {}
+    for j in range(lo, hi_b):
+        places.setdefault(b[j], []).append(j - lo)
+    some = [i for i in range(lo, hi_a) if a[i] in places]  # other lines of a change no row
+    if not some:
+        return found
+    size = hi_b - lo
+    full = (1 << size) - 1
+    masks: dict[Hashable, int] = {}
+    for x in {a[i] for i in some}:
+        bits = bytearray(size // 8 + 1)
+        for j in places[x]:
+            bits[j >> 3] |= 1 << (j & 7)
+        masks[x] = int.from_bytes(bits, "little")
+
+    def step(row: int, x: Hashable) -> int:
+        met = row & masks[x]
+        return ((row + met) | (row - met)) & full
+
+    gap = isqrt(len(some)) + 1
+    row, kept = full, []
+    for n, i in enumerate(some):
+        if n % gap == 0:
+            kept.append(row)
+        row = step(row, a[i])
+    j = size
+    for k in range(len(kept) - 1, -1, -1):
+        part = some[k * gap : (k + 1) * gap]
+        rows = [kept[k]]
+        for i in part:
+            rows.append(step(rows[-1], a[i]))
+        for n in range(len(part), 0, -1):
+            # the last step at or before j in this row; if the row before has it too, this line adds nothing
+            zeros = ~rows[n] & ((1 << j) - 1)
+            if not zeros:
+                return found
+            j = zeros.bit_length()
+            if rows[n - 1] >> (j - 1) & 1:
+                found.add(part[n - 1])
+                j -= 1
     return found
 
 
-def main_text(own: list[tuple[str, int]], near: list[list[tuple[str, int]]], copy: float = 0.95, further: list[list[tuple[str, int]]] = ()) -> str:
-    """The page's own blocks, one to a line, after differencing against its ``near`` pages; ``further`` ones speak on article blocks."""
-    lines = [t for t, _ in own]
-    size = sum(len(t) for t, k in own if k != SITE) or 1
+def kept_places(lines: Sequence[Hashable], kinds: Sequence[int], sizes: Sequence[int], near: Sequence[Sequence[Hashable]], further: Sequence[Sequence[Hashable]] = (), copy: float = COPY) -> list[int]:
+    """Places of the blocks that are the page's own, after differencing; ``further`` pages speak on article blocks."""
+    size = sum(n for n, k in zip(sizes, kinds, strict=True) if k != SITE) or 1
     alike: list[set[int]] = []  # places shared with each page that is no copy
 
     def add(both: set[int]) -> None:
-        if sum(len(lines[i]) for i in both if own[i][1] != SITE) < copy * size:
+        if sum(sizes[i] for i in both if kinds[i] != SITE) < copy * size:
             alike.append(both)
 
     for other in near:
-        add(shared(lines, [t for t, _ in other]))
+        add(shared(lines, other))
     gone: set[int] = set().union(*alike)
-    if any(own[i][1] == ARTICLE for i in gone):
+    if any(kinds[i] == ARTICLE for i in gone):
         for other in further:
-            held = {t for t, _ in other}
-            add({i for i, t in enumerate(lines) if t in held})
+            held = set(other)
+            add({i for i, x in enumerate(lines) if x in held})
     everywhere: set[int] = gone.intersection(*alike) if len(alike) >= LEAST_PAGES else set()
-    return "\n".join(t for i, (t, k) in enumerate(own) if (k == ARTICLE and i not in everywhere) or (k == PLAIN and i not in gone))
+    return [i for i, k in enumerate(kinds) if (k == ARTICLE and i not in everywhere) or (k == PLAIN and i not in gone)]
+
+
+def main_text(own: list[tuple[str, int]], near: list[list[tuple[str, int]]], copy: float = COPY, further: list[list[tuple[str, int]]] = ()) -> str:
+    """The page's own blocks, one to a line, after differencing against its ``near`` pages; ``further`` ones speak on article blocks."""
+    texts = lambda page: [x for x, _ in page]
+    lines = texts(own)
+    return "\n".join(lines[i] for i in kept_places(lines, [k for _, k in own], [len(x) for x in lines], [texts(x) for x in near], [texts(x) for x in further], copy))
+
+
+KEY = ("host", "path", "id", "tie")
+
+
+def _keys(batch: pa.RecordBatch) -> list[tuple]:
+    return list(zip(*(K.string_column(batch, c).to_pylist() for c in KEY), strict=True))
+
+
+def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a sorted range its first and last different keys, ``REACH`` each."""
+    first, last = [], []
+    for batch in batches:
+        for key in dict.fromkeys(_keys(batch)):
+            if last and last[-1] == key:
+                continue
+            if len(first) < REACH:
+                first.append(key)
+            last = [*last[-REACH + 1 :], key]
+    out = [(TaskContext.get().partitionId(), side, *key) for side, keys in enumerate((first, last)) for key in keys]
+    columns = list(zip(*out, strict=True)) or [[]] * 6
+    types = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "side", *KEY])
+
+
+class Ranges:
+    """Ranges of the order of pages, and the pages that other ranges need beside their own."""
+
+    def __init__(self, rows: list[tuple]):
+        ends: dict[int, tuple[list, list]] = {}
+        for part, side, *key in rows:
+            ends.setdefault(part, ([], []))[side].append(tuple(key))
+        firsts, lasts = (sorted([(p, sorted(e[side])) for p, e in ends.items()]) for side in (0, 1))
+        firsts, lasts = [keys for _, keys in firsts], [keys for _, keys in lasts]
+        self.starts = [keys[0] for keys in firsts]
+        self.also: dict[tuple, list[int]] = {}
+        for n in range(len(firsts)):
+            after = self._within(firsts[n + 1 :])
+            before = self._within([keys[::-1] for keys in lasts[:n][::-1]])
+            host = {lasts[n][-1][0], firsts[n][0][0]}
+            for key in (*after, *before):
+                if key[0] in host:
+                    self.also.setdefault(key, []).append(n)
+
+    @staticmethod
+    def _within(ranges: list[list[tuple]]) -> list[tuple]:
+        out: list[tuple] = []
+        for keys in ranges:
+            out += keys
+            if len(out) >= REACH:
+                break
+        return out[:REACH]
+
+    def of(self, key: tuple) -> int:
+        return max(0, bisect_right(self.starts, key) - 1)
+
+
+def _parsed(shared_ranges):
+    """Each page's blocks under the number of its range, and under those of ranges that need it as a neighbour."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges = shared_ranges.value
+        for batch in batches:
+            out: list[tuple] = []
+            for key, page_id, url, page in zip(_keys(batch), K.string_column(batch, "page_id").to_pylist(), K.string_column(batch, "url").to_pylist(), K.string_column(batch, "html"), strict=True):
+                own = blocks(page.as_py())
+                lines = [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x, _ in own]
+                kinds = bytes(k for _, k in own)
+                out.append((ranges.of(key), True, *key, page_id, url, lines, kinds, [x if k != SITE else "" for x, k in own]))
+                out += [(n, False, *key, None, None, lines, kinds, None) for n in ranges.also.get(key, ())]
+            columns = list(zip(*out, strict=True)) or [[]] * 11
+            types = (pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["range", "own", *KEY, "page_id", "url", "lines", "kinds", "texts"])
+
+    return run
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by host and path; a page is written once the ``REACH`` next ones have been read."""
-    pages: list[tuple] = []  # (page_id, url, host, blocks): the next to be written, and REACH before and after it
+    """Rows sorted by range and key; a page is written once the ``REACH`` next ones have been read."""
+    pages: list[dict] = []  # the next to be written, and REACH before and after it
     at = 0
     out: list[tuple] = []
 
     def done() -> None:
-        current = pages[at]
-        around = sorted((abs(j - at), j) for j in range(max(0, at - REACH), min(len(pages), at + REACH + 1)) if j != at and pages[j][2] == current[2])
-        near = [pages[j][3] for d, j in around if d == 1]
-        text = main_text(current[3], near, further=[pages[j][3] for d, j in around[:REACH] if d > 1])
-        out.append((current[0], current[1], text, len(text)))
+        page = pages[at]
+        if not page["rows"]:
+            return
+        around = sorted((abs(j - at), j) for j in range(max(0, at - REACH), min(len(pages), at + REACH + 1)) if j != at and pages[j]["key"][:2] == page["key"][:2])
+        near = [pages[j]["lines"] for d, j in around if d == 1]
+        further = [pages[j]["lines"] for d, j in around[:REACH] if d > 1]
+        text = "\n".join(page["texts"][i] for i in kept_places(page["lines"], page["kinds"], [len(x) for x in page["texts"]], near, further))
+        out.extend((page_id, url, text, len(text)) for page_id, url in page["rows"])
 
     def batch_of() -> pa.RecordBatch:
         columns = list(zip(*out, strict=True)) or [[]] * 4
@@ -226,17 +362,24 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_chars"])
 
     for batch in batches:
-        ids, urls, hosts = (K.string_column(batch, c).to_pylist() for c in ("page_id", "url", "host"))
-        for page_id, url, host, page in zip(ids, urls, hosts, K.string_column(batch, "html"), strict=True):
-            pages.append((page_id, url, host, blocks(page.as_py())))
-            if len(pages) - at > REACH:
-                done()
-                at += 1
-                if at > REACH:
-                    pages.pop(0)
-                    at -= 1
-            if len(out) >= 500:
-                yield batch_of()
+        for r in batch.to_pylist():
+            key = (r["range"], *(r[c] for c in KEY))
+            if pages and pages[-1]["key"] == key:  # a repeated row
+                page = pages[-1]
+            else:
+                page = {"key": key, "lines": r["lines"], "kinds": r["kinds"], "texts": None, "rows": []}
+                pages.append(page)
+                if len(pages) - 1 - at > REACH:
+                    done()
+                    at += 1
+                    if at > REACH:
+                        pages.pop(0)
+                        at -= 1
+            if r["own"]:
+                page["texts"] = r["texts"]
+                page["rows"].append((r["page_id"], r["url"]))
+        if len(out) >= 500:
+            yield batch_of()
     while at < len(pages):
         done()
         at += 1
@@ -245,11 +388,18 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """A row per page: page_id, url, text and n_chars."""
-    short_batches(pages.sparkSession)
+    spark = pages.sparkSession
+    short_batches(spark)
     host, path = host_path(F.col(url))
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"), host.alias("host"), path.alias("path"))
-    ranged = rows.repartitionByRange(partitions(pages.sparkSession), "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return ranged.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    own = F.col(page_id).cast("long")
+    rows = pages.select(own.alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"), host.alias("host"), path.alias("path"), F.coalesce(own, F.lit(-1)).alias("id"), F.xxhash64(own, url, page).alias("tie"))
+    keys = rows.select(*KEY).repartitionByRange(4 * partitions(spark), *KEY).sortWithinPartitions(*KEY)
+    ranges = Ranges(keys.mapInArrow(_borders, "part int, side int, host string, path string, id long, tie long").collect())
+    parsed = rows.mapInArrow(
+        _parsed(spark.sparkContext.broadcast(ranges)), "range int, own boolean, host string, path string, id long, tie long, page_id long, url string, lines array<long>, kinds binary, texts array<string>"
+    )
+    dealt = parsed.repartition(partitions(spark), "range").sortWithinPartitions("range", *KEY)
+    return dealt.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
 
 
 def op1_html_extraction(spark, sf_dir: str) -> DataFrame:

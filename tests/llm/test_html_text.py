@@ -1,4 +1,7 @@
 import random
+import time
+
+import pytest
 
 from rankloom.llm import html_text as H
 
@@ -73,6 +76,98 @@ def test_differencing_decides_on_marked_pages(spark):
     assert H.main_text(pages[0], [pages[1]], further=[pages[2]]) == "card 0\nFollow us\nend 0\nown 0"
 
 
+def hosts(n, menus, marked):
+    """Pages of some hosts: a menu that changes every ``menus`` pages, a story, a line that all share, copies and repeated rows."""
+    rng = random.Random(n)
+    body = "<article><p>{a}</p><p>{b}</p><p>Follow us</p></article>" if marked else "<div><p>{a}</p><p>{b}</p><p>Follow us</p></div>"
+    page = "<body><div class='x1'>{m}</div>" + body + "<div class='y2'>{ad}</div><div>All rights</div></body>"
+    rows = []
+    for i in range(n):
+        b = "quoted" if rng.random() < 0.2 else f"end {i}"
+        rows.append((i, f"http://h{i % 3}.example.com/a/{rng.randrange(n):04d}", page.format(m=f"Menu {i // menus}", a=f"own {i}", b=b, ad=f"Ad {rng.randrange(4)}")))
+    rows += [rows[5], rows[5], (n, None, page.format(m="m", a="a", b="b", ad="c")), (n + 1, "http://h0.example.com/a/0000", rows[7][2])]
+    return rows
+
+
+def brute(rows):
+    """The whole query in plain loops: neighbours in the order of all pages, common subsequences by the table of lengths."""
+
+    def common(a, b):
+        n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                n[i][j] = n[i + 1][j + 1] + 1 if a[i] == b[j] else max(n[i + 1][j], n[i][j + 1])
+        i = j = 0
+        out = set()
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                out.add(i)
+                i, j = i + 1, j + 1
+            elif n[i + 1][j] >= n[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+
+    def host_path(url):
+        rest = (url or "").partition("://")[2].partition("#")[0].partition("?")[0]
+        host, slash, path = rest.partition("/")
+        return host.lower(), slash + path
+
+    order = sorted(set(rows), key=lambda r: (*host_path(r[1]), r[0]))
+    text = {}
+    for at, row in enumerate(order):
+        own = H.blocks(row[2])
+        lines = [x for x, _ in own]
+        size = sum(len(x) for x, k in own if k != H.SITE)
+        around = sorted((abs(j - at), j) for j in range(len(order)) if 0 < abs(j - at) <= 4 and host_path(order[j][1])[0] == host_path(row[1])[0])
+        told, near = [], []
+        for d, j in around[:4]:
+            other = [x for x, _ in H.blocks(order[j][2])]
+            both = common(lines, other) if d == 1 else {i for i, x in enumerate(lines) if x in other}
+            if sum(len(lines[i]) for i in both if own[i][1] != H.SITE) < 0.95 * size:
+                told.append(both)
+                near += [both] if d == 1 else []
+        gone = set().union(*near)
+        every = gone.intersection(*told) if len(told) >= 3 else set()
+        text[row] = "\n".join(x for i, (x, k) in enumerate(own) if (k == H.PLAIN and i not in gone) or (k == H.ARTICLE and i not in every))
+    return sorted((r[0], text[r]) for r in rows)
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_whole_query_equals_brute_force(spark, marked):
+    """The class names of these pages are in no list: what pages share decides."""
+    rows = hosts(80, 9, marked)
+    assert {k for r in rows for _, k in H.blocks(r[2])} == {H.PLAIN, *([H.ARTICLE] if marked else [])}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = brute(rows)
+    got = {}
+    for parts in (4, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            got[parts] = sorted((r["page_id"], r["text"]) for r in H.extract(df.repartition(parts)).collect())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[4] == got[40] == want
+    # without neighbours most pages would have another text
+    alone = sorted((r[0], H.main_text(H.blocks(r[2]), [])) for r in rows)
+    assert sum(a != b for a, b in zip(alone, want, strict=True)) > 0.9 * len(rows)
+    assert not any("All rights" in x for i, x in want if i < 80)
+
+
+def test_hostile_pages_take_linear_time():
+    pages = ["<div>" * 12_000 + "</span>" * 12_000, "<a \">" * 20_000, "<p x='" * 20_000 + ">", '<a "x>' + '" "x>' * 25_000, "<title>" * 15_000, "<div class='" * 10_000, "<div a=\"" * 10_000 + ">", "</div>" * 20_000, "&" * 100_000]
+    for page in pages:
+        start = time.perf_counter()
+        H.blocks(page)
+        assert time.perf_counter() - start < 1, page[:20]
+    a, b = ["x", "y"] * 4000, ["y", "x"] * 8000
+    start = time.perf_counter()
+    assert len(H.shared(a, b)) == 8000
+    assert len(H.shared(["x"] * 20_000 + ["z"], ["x", "w"] * 15_000)) == 15_000
+    assert time.perf_counter() - start < 3
+
+
 def test_query_on_test_tables(spark):
     import html
     import re
