@@ -16,7 +16,11 @@ Short lists give their possible pairs at once.  Long lists are scanned twice.  F
 verified against the one set it meets most often among the heads of its lists (the member with the
 fewest rarer elements), which links most of a group of near copies in one star.  Then all pairs of a
 long list whose sets are not in one component yet are verified.  Pairs within a component need no
-check, so no link between components is lost and large groups do not expand into all their pairs.
+check, so no link between components is lost and large groups do not expand into all their pairs.  A
+list whose members are all in one component goes at once; of the others, members are dealt to blocks of
+about ``BLOCK``, and each pair of blocks that differ in their components is a group of its own, so one
+list is spread over many tasks.  Keys of shingles that very many documents hold (``SPLIT``) are listed
+by aggregates and joins in place of buckets that one task holds.
 Before sets are fetched, a bitmap of each (a bit for each element, of one byte for 8 elements) rules
 out pairs whose bitmaps differ in more places than the sets may.  Verification then counts the exact
 intersection.
@@ -36,7 +40,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import textkernel as K
@@ -54,6 +58,9 @@ BROADCAST_SETS = 4_000_000
 BROADCAST_PAIRS = 1_000_000
 #: Members of a list whose pairs are compared at once.
 SHORT = 16
+#: Members of a long list that are compared with others of a block; documents of a shingle whose list is never held by one task.
+BLOCK, SPLIT = 512, 1 << 16
+MANY = np.dtype([("h", "u1", 3), ("n", "<u4")])
 POSTING = np.dtype([("key", "<u8"), ("owner", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
 
@@ -101,17 +108,30 @@ class Sets:
         return K.mix(weak ^ K.mix(other + self.n.astype(np.uint64))).view(np.int64)
 
 
-def _hashed(k: int, text: str):
-    """The upper 32 bits of all shingle hashes, of each document once: the lower 24 of them packed by the upper 8."""
+def hash_bits(spark: SparkSession) -> int:
+    """Leading bits of a shingle's hash that name its bucket: as many buckets as the session's partitions ask for, 256 at least."""
+    return min(20, max(8, (2 * partitions(spark) - 1).bit_length()))
+
+
+def _hashed(k: int, text: str, bits: int):
+    """The upper 32 bits of all shingle hashes, of each document once, by bucket; those that repeat with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def report():
-            h = np.sort((np.concatenate(held) >> np.uint64(32)).astype("<u4"))
-            cut = np.searchsorted(h, np.arange(1, 256, dtype=np.uint32) << np.uint32(24))
-            rest = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 4)[:, :3])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array([x.tobytes() for x in np.split(rest, cut)], pa.binary())], names=["bucket", "rows"])
+            h, n = np.unique((np.concatenate(held) >> np.uint64(32)).astype("<u4"), return_counts=True)
+            bucket = h >> np.uint32(32 - bits)
+            begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
+            rest = np.ascontiguousarray((h & np.uint32((1 << (32 - bits)) - 1)).view(np.uint8).reshape(-1, 4)[:, :3])
+            once, many = n == 1, np.zeros(int((n > 1).sum()), dtype=MANY)
+            many["h"], many["n"] = rest[n > 1], n[n > 1]
+            at = np.append(begin, len(h))
+            columns = [pa.array(bucket[begin].astype(np.int32))]
+            for rows, chosen in ((rest[once], once), (many, ~once)):
+                cut = np.concatenate([[0], np.cumsum(chosen)])[at]
+                columns.append(pa.array([rows[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "rows", "many"])
 
         for batch in batches:
             data, off = K.text_buffer(K.string_column(batch, text))
@@ -127,17 +147,30 @@ def _hashed(k: int, text: str):
     return run
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequent(bits: int):
     """Counts of those that occur ``HOT_LEAST`` times or more (kind 0); the sum of all counts (1) and of their squares (2)."""
-    for bucket, blobs in _buckets(batches):
-        packed = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, 3)
-        h = np.zeros((len(packed), 4), dtype=np.uint8)
-        h[:, :3] = packed
-        h, n = np.unique(h.view("<u4").ravel(), return_counts=True)
-        more = n >= HOT_LEAST
-        rows = [(0, (bucket << 24) + int(x), int(c)) for x, c in zip(h[more], n[more], strict=True)]
-        rows += [(1, 0, int(n.sum())), (2, 0, int((n.astype(np.int64) ** 2).sum()))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["kind", "h", "n"])
+
+    def wide(h: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(h), 4), dtype=np.uint8)
+        out[:, :3] = h
+        return out.view("<u4").ravel()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, blobs in _buckets(batches, "rows", "many"):
+            once = np.frombuffer(b"".join(x for x, _ in blobs), dtype=np.uint8).reshape(-1, 3)
+            many = np.frombuffer(b"".join(x for _, x in blobs), dtype=MANY)
+            h, n = np.unique(wide(once), return_counts=True)
+            h, n = np.concatenate([h, wide(many["h"])]), np.concatenate([n, many["n"].astype(np.int64)])
+            order = np.argsort(h, kind="stable")
+            h, n = h[order], n[order]
+            begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
+            h, n = h[begin], np.add.reduceat(n, begin) if len(begin) else n
+            more = n >= HOT_LEAST
+            rows = [(0, (bucket << (32 - bits)) + int(x), int(c)) for x, c in zip(h[more], n[more], strict=True)]
+            rows += [(1, 0, int(n.sum())), (2, 0, int((n.astype(np.int64) ** 2).sum()))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["kind", "h", "n"])
+
+    return run
 
 
 class Order:
@@ -149,8 +182,10 @@ class Order:
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         order = np.argsort(hashes)
         self.hashes = hashes[order].astype(np.uint32)
+        self.counts = counts[order].astype(np.int64)
         self.rank = np.empty(len(hashes), dtype=np.int32)
         self.rank[np.lexsort((self.hashes, counts[order]))] = np.arange(len(hashes))
+        self.split = self.hashes[self.counts >= SPLIT]
         self.maybe = np.zeros(1 << 24, dtype=np.uint8)  # a bit for each 32 hashes
         np.bitwise_or.at(self.maybe, self.hashes >> 8, (1 << (self.hashes >> 5 & 7)).astype(np.uint8))
 
@@ -221,22 +256,30 @@ def _indexed(shared, doc_id: str, text: str, k: int, light: int, threshold: int)
     return run
 
 
-def _dealt(buckets: int):
+def _postings(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    owner, n = (K.string_column(batch, c).to_numpy() for c in ("owner", "n"))
+    keys = K.string_column(batch, name).to_pylist()
+    size = np.array([len(x) // 8 for x in keys], dtype=np.int64)
+    rows = np.zeros(size.sum(), dtype=POSTING)
+    rows["key"], rows["owner"], rows["n"] = np.frombuffer(b"".join(keys), dtype=np.uint64), np.repeat(owner, size), np.repeat(n, size)
+    if name == "prefix":
+        rows["pos"] = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
+    return rows
+
+
+def _apart(keys: np.ndarray, split: np.ndarray) -> np.ndarray:
+    return np.isin((keys >> np.uint64(32)).astype(np.uint32), split)
+
+
+def _dealt(buckets: int, split: np.ndarray):
     """Postings by bucket of their key, packed: one row for a bucket and a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            owner, n = (K.string_column(batch, c).to_numpy() for c in ("owner", "n"))
-            for name in ("prefix", "subsets"):
-                keys = K.string_column(batch, name).to_pylist()
-                size = np.array([len(x) // 8 for x in keys], dtype=np.int64)
-                rows = np.zeros(size.sum(), dtype=POSTING)
-                rows["key"], rows["owner"], rows["n"] = np.frombuffer(b"".join(keys), dtype=np.uint64), np.repeat(owner, size), np.repeat(n, size)
-                if name == "prefix":
-                    rows["pos"] = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
-                parts.append(rows)
-            rows = np.concatenate(parts)
+            prefix = _postings(batch, "prefix")
+            if len(split):
+                prefix = prefix[~_apart(prefix["key"], split)]
+            rows = np.concatenate([prefix, _postings(batch, "subsets")])
             bucket = (rows["key"] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
@@ -247,6 +290,29 @@ def _dealt(buckets: int):
     return run
 
 
+def _split(split: np.ndarray):
+    """Postings of very frequent shingles, one to a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _postings(batch, "prefix")
+            rows = rows[_apart(rows["key"], split)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[c].astype(np.int64)) if c != "key" else pa.array(rows[c].view(np.int64)) for c in ("key", "owner", "n", "pos")], names=["key", "owner", "n", "pos"])
+
+    return run
+
+
+def split_lists(keys: DataFrame, split: np.ndarray, threshold: int) -> DataFrame:
+    """The members of the lists of very frequent shingles, with the head of each, as :func:`_scanned` gives them."""
+    rows = shared_table(keys.mapInArrow(_split(split), "key long, owner long, n long, pos long").groupBy("key", "owner").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "split")
+    heads = rows.groupBy("key").agg(F.min(F.struct("pos", "n", "owner")).alias("h"), F.count("*").alias("size")).where("size > 1").select("key", "h")
+    n, m = F.col("n"), F.col("h.n")
+    most = 1 + F.least(n - F.col("pos") - 1, m - F.col("h.pos") - 1)
+    least = F.ceil(threshold * (n + m) / F.lit(100 + threshold))
+    met = (most >= least) & (100 * F.least(n, m) >= threshold * F.greatest(n, m)) & (F.col("owner") != F.col("h.owner"))
+    return rows.join(F.broadcast(heads), "key").select("key", "owner", "n", "pos", F.col("h.owner").alias("head"), (1 + met.cast("long")).alias("kind"))
+
+
 def _lists(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct postings in lists (sorted by key, place, size, owner) of two members or more; the first of each."""
     rows = rows[np.lexsort((rows["owner"], rows["n"], rows["pos"], rows["key"]))]
@@ -268,16 +334,16 @@ def _possible(a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
     return (most >= needed(a["n"].astype(np.int64), b["n"], threshold)) & (100 * small.astype(np.int64) >= threshold * large)
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+def _buckets(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[int, list[tuple]]]:
     """The packed rows of each bucket; the rows come sorted by bucket."""
     now, held = None, []
     for batch in batches:
-        for bucket, rows in zip(K.string_column(batch, "bucket").to_pylist(), K.string_column(batch, "rows"), strict=True):
+        for bucket, *rows in zip(K.string_column(batch, "bucket").to_pylist(), *(K.string_column(batch, n) for n in names), strict=True):
             if bucket != now and held:
                 yield now, held
                 held = []
             now = bucket
-            held.append(rows.as_py())
+            held.append(tuple(x.as_py() for x in rows))
     if held:
         yield now, held
 
@@ -286,8 +352,8 @@ def _scanned(threshold: int):
     """Possible pairs of short lists (kind 0: owner and head); the members of long lists with the head (1, or 2 if both could link)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in _buckets(batches):
-            rows, first = _lists(np.frombuffer(b"".join(blobs), dtype=POSTING))
+        for _, blobs in _buckets(batches, "rows"):
+            rows, first = _lists(np.frombuffer(b"".join(x for x, in blobs), dtype=POSTING))
             size = np.diff(first)
             out = []
             for n in range(2, SHORT + 1):
@@ -325,29 +391,55 @@ def _alike(threshold: int):
     return run
 
 
-def _crossing(threshold: int, block: int = 512):
-    """Pairs of a list's sets that are in different components and could link; rows come sorted by key.
+def crossing_groups(rows: DataFrame, block: int) -> DataFrame:
+    """(group, side, owner, n, pos, label): members of long lists (key, owner, n, pos, label) in groups that are each compared whole.
 
-    Members are compared in blocks, so memory stays bounded for a list of any length.
+    Of lists whose members have one label nothing is left.  Labels of ``block`` members or more of a list are
+    cut into blocks, the others are dealt to blocks together.  Each pair of blocks of a list, but those of one
+    large label, is a group: sides 0 and 1, or side 0 alone for a block with itself.
     """
-
-    def pairs(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        first = np.flatnonzero(np.concatenate([[True], rows["key"].values[1:] != rows["key"].values[:-1], [True]]))
-        got = rows[["key", "owner", "n", "pos"]].to_records(index=False)
-        label, owner = rows["label"].values, rows["owner"].values
-        for lo, hi in zip(first, first[1:], strict=False):
-            if (label[lo:hi] == label[lo]).all():
-                continue
-            for i in range(lo, hi, block):
-                for j in range(i, hi, block):
-                    if (label[i : i + block] == label[i]).all() and (label[j : min(j + block, hi)] == label[i]).all():
-                        continue
-                    a, b = np.meshgrid(np.arange(i, min(i + block, hi)), np.arange(j, min(j + block, hi)), indexing="ij")
-                    a, b = a.ravel(), b.ravel()
-                    ok = (a < b) & (label[a] != label[b])
-                    a, b = a[ok], b[ok]
-                    ok = _possible(got[a], got[b], threshold)
-                    yield owner[a[ok]], owner[b[ok]]
+    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    rows = shared_table(rows.join(mixed, "key"), "mixed")
+    cells = rows.groupBy("key", "label").agg(F.count("*").alias("size"))
+    large = F.col("size") >= block
+    rest = cells.groupBy("key").agg(F.coalesce(F.sum(F.when(~large, F.col("size"))), F.lit(0)).alias("rest"))
+    cells = cells.join(rest, "key").select("key", "label", large.alias("large"), F.when(large, F.ceil(F.col("size") / block)).otherwise(F.ceil(F.col("rest") / block)).cast("int").alias("parts"))
+    cells = shared_table(cells, "cells")
+    # a block: the label (null for those of many) and a number
+    blocks = cells.select("key", F.when(F.col("large"), F.col("label")).alias("of"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).distinct()
+    a, b = (blocks.select("key", F.struct("of", "part").alias(x)) for x in "ab")
+    pairs = a.join(b, "key").where("a <= b and not coalesce(a.of = b.of, false)").withColumn("group", F.xxhash64("key", "a.of", "a.part", "b.of", "b.part"))
+    sides = pairs.select("key", "group", F.explode(F.when(F.expr("a = b"), F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("block")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("block")), F.struct(F.lit(1).alias("side"), F.col("b").alias("block"))))).alias("s"))
+    sides = sides.select("key", "group", "s.side", F.col("s.block.of").alias("of"), F.col("s.block.part").alias("part"))
+    placed = rows.join(cells, ["key", "label"]).withColumns({"of": F.when(F.col("large"), F.col("label")), "part": F.pmod(F.when(F.col("large"), F.xxhash64("owner")).otherwise(F.xxhash64("label")), "parts").cast("int")})
+    met = (F.col("x.key") == F.col("y.key")) & F.col("x.of").eqNullSafe(F.col("y.of")) & (F.col("x.part") == F.col("y.part"))
+    return placed.alias("x").join(sides.alias("y"), met).select("group", "side", "x.key", "owner", "n", "pos", "label")
+
+
+def _crossing(threshold: int):
+    """Pairs of a group's sets that have different labels and could link; rows come sorted by group and key."""
+
+    def pairs(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        got = rows[["owner", "n", "pos"]].to_records(index=False)
+        label, side = rows["label"].values, rows["side"].values
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        single = not len(right)
+        a, b = np.meshgrid(left, left if single else right, indexing="ij")
+        a, b = a.ravel(), b.ravel()
+        ok = label[a] != label[b]
+        if single:
+            ok &= a < b
+        a, b = a[ok], b[ok]
+        ok = _possible(got[a], got[b], threshold)
+        return got["owner"][a[ok]], got["owner"][b[ok]]
+
+    def whole(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        key = rows[["group", "key"]].values
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1), [True]]))
+        out = [pairs(rows.iloc[lo:hi]) for lo, hi in zip(first, first[1:], strict=False)]
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        if len(a):
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -355,17 +447,12 @@ def _crossing(threshold: int, block: int = 512):
             rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             if not len(rows):
                 continue
-            whole = rows["key"] != rows["key"].iloc[-1]  # the last list may go on
-            rest = rows[~whole].reset_index(drop=True)
-            yield from out(rows[whole].reset_index(drop=True))
+            done = (rows["group"] != rows["group"].iloc[-1]).values  # the last group may go on
+            rest = rows[~done].reset_index(drop=True)
+            if done.any():
+                yield from whole(rows[done].reset_index(drop=True))
         if rest is not None:
-            yield from out(rest)
-
-    def out(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        if len(rows):
-            for a, b in pairs(rows):
-                if len(a):
-                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+            yield from whole(rest)
 
     return run
 
@@ -430,8 +517,9 @@ def by_bucket(packed: DataFrame) -> DataFrame:
 
 def frequent_shingles(docs: DataFrame, text: str, k: int) -> tuple[Order, float]:
     """The global order, and the mean length of the list of a shingle taken at random."""
-    hashed = docs.select(text).mapInArrow(_hashed(k, text), "bucket int, rows binary")
-    counted = shared_table(by_bucket(hashed).mapInArrow(_frequent, "kind long, h long, n long"), "frequent")
+    bits = hash_bits(docs.sparkSession)
+    hashed = docs.select(text).mapInArrow(_hashed(k, text, bits), "bucket int, rows binary, many binary")
+    counted = shared_table(by_bucket(hashed).mapInArrow(_frequent(bits), "kind long, h long, n long"), "frequent")
     total = {r["kind"]: r["n"] for r in counted.where("kind > 0").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     hot = counted.where("kind = 0")
     least = least_count([(r["n"], r["rows"]) for r in hot.groupBy("n").agg(F.count("*").alias("rows")).collect()], HOT_SHINGLES)
@@ -450,8 +538,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     index = shared_table(docs.mapInArrow(_indexed(shared, "doc_id", "text", k, light, threshold), "doc_id long, n long, owner long, prefix binary, subsets binary, bits binary"), "sets")
     buckets = 8 * partitions(spark)
     keys = index.where("owner is not null").select("owner", "n", "prefix", "subsets")
-    dealt = by_bucket(keys.mapInArrow(_dealt(buckets), "bucket int, rows binary"))
-    lists = shared_table(dealt.mapInArrow(_scanned(threshold), "key long, owner long, n long, pos long, head long, kind long"), "lists")
+    split = order.split
+    dealt = by_bucket(keys.mapInArrow(_dealt(buckets, split), "bucket int, rows binary"))
+    lists = dealt.mapInArrow(_scanned(threshold), "key long, owner long, n long, pos long, head long, kind long")
+    lists = shared_table(lists.unionByName(split_lists(keys, split, threshold)) if len(split) else lists, "lists")
     owners = index.where("owner is not null").groupBy("owner").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.coalesce("doc_id", F.lit(0))).alias("id"), F.min("doc_id").alias("least"))
 
     # pairs of short lists; in long ones each set with the head that it meets most often
@@ -478,7 +568,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     if not long.isEmpty():
         label = shared_table(components(links), "labels")
         rows = long.join(label.withColumnRenamed("node", "owner"), "owner", "left").select("key", "owner", "n", "pos", F.coalesce("component", "owner").alias("label"))
-        crossing = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "pos").mapInPandas(_crossing(threshold), "a long, b long").distinct()
+        groups = crossing_groups(rows, BLOCK)
+        crossing = groups.repartition(partitions(spark), "group").sortWithinPartitions("group", "key").mapInPandas(_crossing(threshold), "a long, b long").distinct()
         crossing = shared_table(alike(crossing, owners, threshold), "crossing")
         links = shared_table(links.unionAll(linked(crossing, sets, threshold)), "all_links")
     label = components(links)

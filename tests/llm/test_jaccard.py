@@ -91,6 +91,13 @@ def test_hot_shingles_change_nothing(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_a_very_long_text(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:290_000])), (3, " ".join(words[150_000:])), (4, "w" * 2_000_000)]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_small_tables(spark):
     assert run(spark, []) == []
     assert run(spark, [(5, None)]) == [(5, 0, 5)]
@@ -115,6 +122,33 @@ def test_long_lists(spark, monkeypatch, short):
     assert run(spark, rows) == brute(rows)
 
 
+def test_long_lists_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(J, "SHORT", 2)
+    monkeypatch.setattr(J, "BLOCK", 3)
+    rows = corpus(5)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_very_frequent_shingles(spark, monkeypatch):
+    monkeypatch.setattr(J, "SPLIT", 4)
+    monkeypatch.setattr(J, "BLOCK", 8)
+    rows = corpus(6)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_groups_hold_every_pair_of_different_labels(spark):
+    rng = random.Random(8)
+    rows = [(k, 1000 * k + i, 10, 0, rng.choice([1, 1, 1, 1, 2, 2, *range(10, 30)])) for k in range(3) for i in range(60)] + [(9, i, 10, 0, 1) for i in range(50)]
+    got = J.crossing_groups(spark.createDataFrame(rows, "key long, owner long, n long, pos long, label long"), 8).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r["group"], ([], []))[r["side"]].append((r["owner"], r["label"]))
+    pairs = [frozenset((a, b)) for left, right in groups.values() for i, (a, x) in enumerate(left) for b, y in (right or left[i + 1 :]) if x != y]
+    want = {frozenset((r[1], s[1])) for r in rows for s in rows if r[0] == s[0] and r[4] != s[4]}
+    assert set(pairs) == want and len(pairs) == len(want)
+    assert max(len(a) + len(b) for a, b in groups.values()) < 60 and all(r["key"] != 9 for r in got)
+
+
 def test_bitmaps_never_differ_more_than_the_sets():
     rng = random.Random(5)
     texts = [f"{' '.join(f'w{rng.randrange(40)}' for _ in range(rng.randrange(1, 300)))}" for _ in range(60)]
