@@ -28,11 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-_made: list[tuple[object, object]] = []
+_made: list[tuple[object, object, str]] = []
 
 
-def _clean() -> None:
-    for fs, path in _made:
+def _delete(tables: list[tuple[object, object, str]]) -> None:
+    for fs, path, _ in tables:
         try:
             fs.delete(path, True)
         except Exception:  # the JVM may be gone already
@@ -47,9 +47,24 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(out)
     if not _made:
-        atexit.register(_clean)
-    _made.append((path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path))
-    return spark.read.schema(df.schema).parquet(out)
+        atexit.register(lambda: _delete(_made))
+    _made.append((path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path, out))
+    table_ = spark.read.schema(df.schema).parquet(out)
+    table_._shared_at = out
+    return table_
+
+
+def tables_made() -> list[str]:
+    """Shared tables that are there now, for :func:`release`."""
+    return [at for _, _, at in _made]
+
+
+def release(before: list[str], *needed: DataFrame) -> None:
+    """Delete the shared tables written since ``before``, but those of ``needed``; what is read later must not depend on them."""
+    keep = {*before, *(df._shared_at for df in needed)}
+    gone = [m for m in _made if m[2] not in keep]
+    _delete(gone)
+    _made[:] = [m for m in _made if m[2] in keep]
 
 
 #: Documents that an Arrow batch holds at most.
@@ -57,7 +72,10 @@ BATCH_ROWS = 2000
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Whole texts make Arrow batches large on both sides of the pipe; the session's limit is lowered, never raised."""
+    """Whole texts make Arrow batches large on both sides of the pipe; the session's limit is lowered, never raised.
+
+    Results are lazy and read the limit when they run, so it stays lowered for the session (the README says so).
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name, "10000"))
     if now <= 0 or now > BATCH_ROWS:

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import shared_table
+from rankloom.llm.common import release, shared_table, tables_made
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, component): every node of a link with the smallest node it reaches; ids must be orderable.
 
-    No node's links are gathered in one task: minima are pre-aggregated, and the joins can be split
-    where one node has very many links.  Every round's links are written to the shared folder.
+    A link of a node with itself counts for nothing, nor does one with a null end; repeated links count once; without links there
+    are no rows.  No node's links are gathered in one task: minima are pre-aggregated, and the joins can be split
+    where one node has very many links.  Every round's links are written to the shared folder, and the round before deleted.
     """
     x, y = F.col(a), F.col(b)
     edges = links.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
+    before = tables_made()
     edges = shared_table(edges, "links")
     for _ in range(most_rounds):
         both = edges.select(F.col("u").alias("n"), F.col("v").alias("o")).unionAll(edges.select(F.col("v").alias("n"), F.col("u").alias("o")))
@@ -24,6 +26,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         edges = shared_table(small, "links")
+        release(before, edges)
         if _is_star(edges):
             break
     else:

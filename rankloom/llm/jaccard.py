@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import textkernel as K
-from rankloom.llm.common import columns, least_count, partitions, shared_table, short_batches, table
+from rankloom.llm.common import columns, least_count, partitions, release, shared_table, short_batches, table, tables_made
 from rankloom.llm.components import components
 
 #: Frequent shingles that are told to every task, at most; others keep their place in the order.
@@ -532,6 +532,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     short_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    before = tables_made()
     order, length = frequent_shingles(docs, "text", k)
     light = boundary(length, threshold)
     shared = spark.sparkContext.broadcast(order)
@@ -579,6 +580,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     named = shared_table(owners.select("owner", "least").join(label.withColumnRenamed("node", "owner"), "owner", "left").select("owner", "least", F.coalesce("component", "owner").alias("component")), "named")
     least = shared_table(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     classes = shared_table(named.select("owner", "component").join(least, "component").select("owner", "component_id"), "classes")
+    release(before, index, classes)
     return index.select("doc_id", "n", "owner").join(classes, "owner", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

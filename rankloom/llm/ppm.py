@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm import textkernel as K
-from rankloom.llm.common import columns, held_out, least_count, partitions, shared_table, short_batches, table
+from rankloom.llm.common import columns, held_out, least_count, partitions, release, shared_table, short_batches, table, tables_made
 
 ORDER = 5
 MOST_ENTRIES = 1 << 20
@@ -330,8 +330,12 @@ def build_trie(counts: DataFrame) -> Trie:
     """The trie of bounded size from the n-gram counts."""
     grams = counts.where("kind = 0").select("key", "n")
     chosen, least, whole = [], 1, True
-    for k in range(ORDER + 1):
-        own = grams.groupBy(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("key", 8))
+    before = tables_made()
+    orders = [grams]  # each from the one above it, which has fewer rows than the whole
+    for k in range(ORDER - 1, -1, -1):
+        orders.append(shared_table(orders[-1].groupBy(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")), f"order-{k}"))
+    for k, own in enumerate(reversed(orders)):
+        own = own.withColumn("context", F.shiftright("key", 8))
         contexts = own.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("q"))
         if k >= 2:  # shorter ones are at most 65,536 contexts' worth of symbols
             histogram = contexts.groupBy("total").agg(F.sum("q").alias("q")).collect()
@@ -340,6 +344,7 @@ def build_trie(counts: DataFrame) -> Trie:
             own = own.join(contexts.where(F.col("total") >= least).select("context"), "context", "left_semi")
         keys, n = columns(own.select("key", "n"))
         chosen.append((keys.view(np.uint64), n))
+    release(before)
     trie = Trie(chosen)
     trie.whole = whole
     return trie

@@ -118,3 +118,23 @@ def test_bounded_trie_still_sums_to_one(spark, monkeypatch):
     for context in (b" the ", b"aaaaa", b"xxxxx"):
         keys = np.array([int.from_bytes(context + bytes([a]), "big") for a in range(256) if a != 0xFE], dtype=np.uint64)
         assert np.exp(trie.log_probability(keys)).sum() == pytest.approx(1)
+
+
+def test_clashing_names_and_a_very_long_text(spark):
+    long = " ".join(f"w{i % 997}" for i in range(200_000))
+    rows = [(i, t, 1.0, "x", b"y", 7) for i, t in enumerate([*TEXTS, long, long])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, far string, grams binary, row long")
+    got = P.score_texts(docs, docs)
+    assert got.columns == ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert len(rows) == len(TEXTS) + 2 and list(rows[len(TEXTS)][1:]) == pytest.approx(list(rows[len(TEXTS) + 1][1:]), rel=1e-9) and rows[len(TEXTS)]["n_tokens"] == 200_001
+
+
+def test_tables_of_the_trie_are_released(spark):
+    from rankloom.llm.common import tables_made
+
+    docs = spark.createDataFrame([(t,) for t in TEXTS], "text string")
+    counts = P.count_corpus(docs, "text")
+    before = tables_made()
+    P.build_trie(counts)
+    assert tables_made() == before
