@@ -3,15 +3,17 @@
 Every task turns its documents into shards of word ids, builds a suffix array of each shard over
 those positions where a benchmark window could start (all words from there on, for a window's
 length, are benchmark words), and binary-searches every benchmark suffix in it.  The ranges found
-give all verbatim occurrences with their places; they are extended to their longest match.
+give all verbatim occurrences with their places; they are extended to their longest match.  Where the
+shard has fewer suffixes than the benchmark, the search goes the other way, with the same result.
 
-Benchmark items are read in blocks of bounded size.  One block is broadcast; further blocks are
-searched in turn and their findings merged by document, so nothing is capped.  Documents are never
-shuffled while the benchmark fits one block.
+Benchmark items are read in blocks of bounded size: four bytes for each word, a hash for each different
+one, and the order of their windows.  One block is broadcast; further blocks are searched in turn, one
+in memory at a time, and what they find is written and merged by text, so nothing is capped.  Texts are
+never shuffled while the benchmark fits one block.
 
 Defined results: null or wordless texts have no words and no hits; an item without words has no
 window; an item shorter than the window is one window.  Repeated documents are judged each; rows
-that repeat an item's id are one item.  An empty table gives an empty result, an empty benchmark no hits.  Columns of the
+that repeat an item's id are one item, and a null id stands for -1.  An empty table gives an empty result, an empty benchmark no hits.  Columns of the
 documents are kept; clashing names are replaced by the operator's.
 """
 
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm import textkernel as K
-from rankloom.llm.common import blocks, protected, short_batches, table
+from rankloom.llm.common import blocks, protected, shared_table, short_batches, table
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -34,27 +36,46 @@ SHARD_BYTES = 8 << 20
 FOUND = "n_words long, n_hit long, longest long, items array<long>, spans array<struct<start:long,stop:long>>"
 
 
-class Windows:
-    """The windows of a block of benchmark items, by length, over dense word ids."""
+def _ranks(words: np.ndarray, size: int) -> dict[int, np.ndarray]:
+    """Ranks of the runs of 1, 2, 4 ... words from each place on, up to ``size``; the order is that of the words."""
+    out, step = {1: words}, 1
+    while 2 * step <= size:
+        follow = np.zeros_like(out[step])
+        follow[:-step] = out[step][step:]
+        pair = out[step].astype(np.int64) * (int(follow.max(initial=0)) + 1) + follow
+        out[2 * step] = np.unique(pair, return_inverse=True)[1].astype(np.int32)
+        step *= 2
+    return out
+
 
-    def __init__(self, ids: list[int], texts: list[str | None], window: int = WINDOW):
-        data, off = K.text_buffer(pa.array(texts, pa.string()))
-        s, e, first = K.words(data, off, K.ALNUM)
-        h = K.hashes(data, s, e)
+class Windows:
+    """The windows of a block of benchmark items, by length, as places in the items' words."""
+
+    def __init__(self, ids: list[int], texts: pa.Array | pa.ChunkedArray | list[str | None], window: int = WINDOW):
+        data, off = K.text_buffer(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
+        parts = []
+        for lo, hi in K.chunks(off):
+            part, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+            s, e, first = K.words(part, o, K.ALNUM)
+            parts.append((K.hashes(part, s, e), np.diff(first)))
+        h = np.concatenate([np.zeros(0, dtype=np.uint64), *(x for x, _ in parts)])
+        n = np.concatenate([np.zeros(0, dtype=np.int64), *(x for _, x in parts)])
         self.vocab, word = np.unique(h, return_inverse=True)
-        self.words = word.astype(np.int64) + 1
-        self.first, self.items = first, np.array(ids, dtype=np.int64)
-        n = np.diff(first)
-        self.tests: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []  # length, words, place of a first occurrence, items by window
+        self.words = word.astype(np.int32) + 1
+        self.first, self.items = np.concatenate([[0], np.cumsum(n)]), np.array(ids, dtype=np.int64)
+        del h, word, parts
+        self.tests: list[tuple[int, np.ndarray, np.ndarray]] = []  # length, a place of each window in their order, (window, item) pairs
         lengths = np.minimum(n, window)
-        for size in np.unique(lengths[lengths > 0]):
+        ranks = _ranks(self.words, window)
+        for size in np.unique(lengths[lengths > 0]).tolist():
             own = np.flatnonzero(lengths == size)
             runs = n[own] - size + 1
-            at = np.repeat(first[own], runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
-            rows = self.words[at[:, None] + np.arange(size)]
-            rows, place, inverse = np.unique(rows, axis=0, return_index=True, return_inverse=True)
-            pairs = np.unique(np.stack([inverse.ravel(), np.repeat(own, runs)], 1), axis=0)
-            self.tests.append((int(size), rows, at[place], pairs))
+            at = np.repeat(self.first[own], runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+            half = ranks[1 << (size.bit_length() - 1)]  # two runs that cover the window
+            key = half[at].astype(np.int64) * (int(half.max()) + 1) + half[at + size - (1 << (size.bit_length() - 1))]
+            _, place, inverse = np.unique(key, return_index=True, return_inverse=True)
+            pairs = np.unique(inverse.astype(np.int64) * len(n) + np.repeat(own, runs))
+            self.tests.append((size, at[place].astype(np.int32), np.stack([pairs // len(n), pairs % len(n)], 1).astype(np.int32)))
         self.least = min((t[0] for t in self.tests), default=0)
 
     def word_ids(self, h: np.ndarray) -> np.ndarray:
@@ -85,26 +106,45 @@ def suffix_array(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     return at[np.argsort(rank[at], kind="stable")]
 
 
-def bounds(words: np.ndarray, array: np.ndarray, tests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Binary search: for each row of ``tests`` the range of ``array`` whose suffixes begin with it."""
-    size = tests.shape[1]
-    padded = np.concatenate([words, np.zeros(size, dtype=words.dtype)])
-    out = []
-    for upper in (False, True):
-        lo, hi = np.zeros(len(tests), dtype=np.int64), np.full(len(tests), len(array), dtype=np.int64)
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) // 2
-            there = padded[array[np.minimum(mid, len(array) - 1)][:, None] + np.arange(size)]
-            differ = there != tests
-            k = differ.argmax(1)
-            row = np.arange(len(tests))
-            less = there[row, k] < tests[row, k]
-            right = less | (~differ.any(1) if upper else False)
-            lo, hi = np.where(open_ & right, mid + 1, lo), np.where(open_ & ~right, mid, hi)
-        out.append(lo)
+#: Runs that are compared with one another at a time.
+AT_ONCE = 1 << 16
+
+
+def bounds(words: np.ndarray, array: np.ndarray, tests: np.ndarray, places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Binary search: for each run of ``size`` words of ``tests`` from ``places`` on, the range of ``array`` whose runs equal it.
+
+    ``array`` holds places in ``words`` in the order of the runs that begin there.
+    """
+    words, tests = (np.concatenate([x, np.zeros(size, dtype=x.dtype)]) for x in (words, tests))
+    out = np.zeros((2, len(places)), dtype=np.int64)
+    for begin in range(0, len(places), AT_ONCE):
+        wanted = tests[places[begin : begin + AT_ONCE, None] + np.arange(size)]
+        row = np.arange(len(wanted))
+        for upper in (0, 1):
+            lo, hi = np.zeros(len(wanted), dtype=np.int64), np.full(len(wanted), len(array), dtype=np.int64)
+            while (open_ := lo < hi).any():
+                mid = (lo + hi) // 2
+                there = words[array[np.minimum(mid, len(array) - 1)][:, None] + np.arange(size)]
+                differ = there != wanted
+                k = differ.argmax(1)
+                right = there[row, k] < wanted[row, k]
+                if upper:
+                    right |= ~differ.any(1)
+                lo, hi = np.where(open_ & right, mid + 1, lo), np.where(open_ & ~right, mid, hi)
+            out[upper, begin : begin + len(wanted)] = lo
     return out[0], out[1]
 
 
+def occurrences(words: np.ndarray, array: np.ndarray, windows: Windows, size: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the shard, window) of every occurrence; the shorter side is searched in the longer one."""
+    if len(places) <= len(array):
+        lo, hi = bounds(words, array, windows.words, places, size)
+        times = hi - lo
+        return array[np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)], np.repeat(np.arange(len(places)), times)
+    lo, hi = bounds(windows.words, places, words, array, size)
+    return array[hi > lo], lo[hi > lo]
+
+
 def search(data: np.ndarray, off: np.ndarray, windows: Windows) -> dict[str, list]:
     """All occurrences of the windows in the documents of one shard."""
     parts = [(lo, *_chunk_words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], windows)) for lo, hi in K.chunks(off)]
@@ -131,7 +171,7 @@ def search(data: np.ndarray, off: np.ndarray, windows: Windows) -> dict[str, lis
         w = ids[at]
         w[ends] = 0
         words.append(w), place.append(at - first[owner[at]] if len(at) else at), doc.append(owner[at] + base if len(at) else at)
-    words, place, doc = np.concatenate(words), np.concatenate(place), np.concatenate(doc)
+    words, place, doc = np.concatenate(words).astype(np.int32), np.concatenate(place), np.concatenate(doc)
     if not len(words):
         return found
     gap = np.flatnonzero(words == 0)
@@ -139,11 +179,8 @@ def search(data: np.ndarray, off: np.ndarray, windows: Windows) -> dict[str, lis
     array = suffix_array(words, np.flatnonzero(left >= windows.least))
     hit = np.zeros(len(words) + 1, dtype=np.int64)
     pairs = []
-    for size, tests, source, of in windows.tests:
-        lo, hi = bounds(words, array, tests)
-        times = hi - lo
-        which = np.repeat(np.arange(len(tests)), times)
-        at = array[np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+    for size, source, of in windows.tests:
+        at, which = occurrences(words, array, windows, size, source)
         np.add.at(hit, at, 1)
         np.add.at(hit, at + size, -1)
         _longest(words, doc, at, source[which], size, windows, found["longest"])
@@ -203,25 +240,43 @@ def find_matches(docs: DataFrame, bench: DataFrame, text: str = "text", item: st
     docs = docs.drop(*own)
     bench = bench.select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("text"))
     n = blocks(bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0], block_bytes)
-    found = []
-    for k in range(n):
-        part = bench if n == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        rows = part.collect()  # one block of bounded size
-        found.append(spark.sparkContext.broadcast(Windows([-1 if r[0] is None else r[0] for r in rows], [r[1] for r in rows], window)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     if n == 1:
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        return docs.mapInArrow(_searcher(found[0], text, docs.columns), f"{schema}, {FOUND}")
-    keyed = docs.withColumn("_row", F.struct(F.xxhash64(text), F.sha2(F.coalesce(text, F.lit("")), 256)))
-    slim = keyed.select("_row", text)
-    parts = [slim.mapInArrow(_searcher(b, text, ["_row", text]), f"_row struct<col1:bigint,col2:string>, `{text}` string, {FOUND}").drop(text) for b in found]
+        return docs.mapInArrow(_searcher(spark.sparkContext.broadcast(_windows(bench, window)), text, docs.columns), f"{schema}, {FOUND}")
+    # the findings of each block by text, written before the next block is read
+    slim = docs.select(F.sha2(text, 256).alias("_row"), text)
+    parts = []
+    for k in range(n):
+        block = spark.sparkContext.broadcast(_windows(bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k), window))
+        found = slim.mapInArrow(_searcher(block, text, ["_row"]), f"_row string, {FOUND}").where("n_hit > 0")
+        parts.append(shared_table(found.select("_row", "longest", "items", "spans").dropDuplicates(["_row"]), "found"))
+        block.destroy()
     union = parts[0]
     for p in parts[1:]:
         union = union.union(p)
-    merged = union.groupBy("_row").agg(F.first("n_words").alias("n_words"), F.max("longest").alias("longest"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("_spans"))
+    merged = union.groupBy("_row").agg(F.max("longest").alias("longest"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("_spans"))
     # spans of several blocks may overlap: join them from left to right
     joined = F.aggregate("_spans", F.array().cast("array<struct<start:bigint,stop:bigint>>"), lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], s["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(s))))
     merged = merged.withColumn("spans", joined).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["stop"] - s["start"]))
-    return keyed.join(merged, "_row").select(*docs.columns, "n_words", "n_hit", "longest", F.array_sort("items").alias("items"), "spans")
+    counted = docs.mapInArrow(_counter(text, docs.columns), f"{schema}, n_words long").withColumn("_row", F.sha2(text, 256))
+    none = {"n_hit": F.lit(0).cast("long"), "longest": F.lit(0).cast("long"), "items": F.array().cast("array<long>"), "spans": F.array().cast("array<struct<start:bigint,stop:bigint>>")}
+    return counted.join(merged, "_row", "left").select(*docs.columns, "n_words", *(F.coalesce(c, empty).alias(c) for c, empty in none.items()))
+
+
+def _windows(bench: DataFrame, window: int) -> Windows:
+    """Of one block of bounded size."""
+    rows = bench.toArrow()
+    return Windows(rows.column("item").fill_null(-1).to_pylist(), rows.column("text"), window)
+
+
+def _counter(text: str, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = K.text_buffer(K.string_column(batch, text))
+            n = [np.diff(K.words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], K.ALNUM)[2]) for lo, hi in K.chunks(off)]
+            yield pa.RecordBatch.from_arrays([*(K.string_column(batch, c) for c in names), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *n]), pa.int64())], names=[*names, "n_words"])
+
+    return run
 
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", **how) -> DataFrame:

@@ -49,7 +49,7 @@ DOCS = [
 BENCH = [(10, LONG), (11, LONG), (9, "Short item"), (12, None), (13, "?!"), (14, "w1 " * 12), (15, "été Ünïcode")]
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 150])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 150, 40])
 def test_matches_equal_brute_force(spark, block_bytes):
     got, rows = run(spark, DOCS, BENCH, block_bytes=block_bytes)
     assert got == brute(DOCS, BENCH)
@@ -102,8 +102,58 @@ def test_suffix_array_order_with_sparse_word_ids():
         assert got == sorted(got)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 150])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 150, 40])
 def test_rows_that_repeat_an_item_count_once(spark, block_bytes):
     bench = [(10, LONG), (10, LONG), (10, " ".join(f"w{i}" for i in range(5, 30))), (11, LONG)]
     _, rows = run(spark, [(1, LONG)], bench, block_bytes=block_bytes)
     assert rows[0]["items"] == [10, 11]
+
+
+def test_both_directions_of_search_agree(monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    for _ in range(30):
+        text = lambda n: " ".join(rng.choice("abcde") for _ in range(n))
+        bench = [(i, text(rng.randrange(0, 25))) for i in range(rng.randrange(1, 60))]
+        docs = [(i, text(rng.randrange(0, 200))) for i in range(rng.randrange(1, 30))]
+        windows = D.Windows([i for i, _ in bench], [t for _, t in bench], 4)
+        data, off = D.K.text_buffer(D.pa.array([t for _, t in docs]))
+        found = D.search(data, off, windows)
+        want = brute(docs, bench, 4)
+        assert sorted(zip([i for i, _ in docs], found["n_words"].tolist(), found["n_hit"].tolist(), found["items"], strict=True), key=str) == want
+        monkeypatch.setattr(D, "occurrences", _other_way)
+        other = D.search(data, off, windows)
+        monkeypatch.undo()
+        assert all(np.array_equal(found[k], other[k]) if k.startswith(("n_", "long")) else found[k] == other[k] for k in found)
+
+
+def _other_way(words, array, windows, size, places):
+    import numpy as np
+
+    if len(places) > len(array):
+        lo, hi = D.bounds(words, array, windows.words, places, size)
+        times = hi - lo
+        return array[np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)], np.repeat(np.arange(len(places)), times)
+    lo, hi = D.bounds(windows.words, places, words, array, size)
+    return array[hi > lo], lo[hi > lo]
+
+
+def test_a_benchmark_of_a_whole_block_stays_small():
+    import random
+    import tracemalloc
+
+    rng = random.Random(5)
+    vocab = [f"word{i}" for i in range(20_000)]
+    texts = [" ".join(rng.choices(vocab, k=200)) for _ in range(16_500)]
+    column = D.pa.array(texts)
+    assert sum(map(len, texts)) > 0.9 * D.BLOCK_BYTES
+    del texts
+    tracemalloc.start()
+    windows = D.Windows(list(range(len(column))), column)
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 500e6 and kept < 200e6, (peak, kept)
+    assert len(windows.tests[0][1]) > 3_000_000
