@@ -31,21 +31,26 @@ RULES = (
 )
 
 #: The labelled URL table: (URL, 1 for unwanted).
-LABELLED = tuple((f"https://{h}/{p}", 1) for h, p in (
-    ("cheap-pills.example.org", "en/12"), ("www.cheap-meds.example.net", "buy/pills-online"), ("casino-win.example.org", "en/14"), ("best-casino.example.com", "bonus/spin"),
-    ("free-bets.example.com", "de/963"), ("m.free-slots.example.net", "win/jackpot"), ("ads-track.example.org", "en/584"), ("track-click.example.com", "ads/redirect"),
-    ("spam-farm.example.org", "en/728"), ("link-farm.example.net", "seo/backlinks"), ("online-pharmacy.example.com", "viagra/discount"), ("adult-cams.example.net", "live/xxx"),
-    ("poker-bonus.example.org", "free/spins"), ("win-prize.example.com", "claim/now"), ("payday-loans.example.net", "apply/fast"), ("replica-watch.example.com", "cheap/rolex"),
-    ("pop-ads.example.org", "banner/728"), ("adserver.example.net", "track/pixel"), ("get-rich-fast.example.com", "crypto/bonus"), ("download-crack.example.org", "keygen/free"),
-    ("cheap-seo.example.net", "spam/links"), ("hot-dating.example.com", "adult/free"), ("casino-bets.example.net", "fr/61"), ("pills-farm.example.com", "es/7"),
-)) + tuple((f"https://{h}/{p}", 0) for h, p in (
-    ("library.example.org", "en/books/21"), ("news.example.com", "2021/05/story"), ("blog.garden.example.net", "posts/roses"), ("www.museum.example.org", "visit/hours"),
-    ("university.example.net", "research/physics"), ("docs.example.com", "guide/install"), ("thther.example.org", "en/414"), ("blog.ththan.example.net", "fr/369"),
-    ("wiki.example.org", "en/history"), ("m.weather.example.com", "de/berlin"), ("recipes.example.net", "es/sopa"), ("city.example.org", "council/minutes"),
-    ("science.example.com", "articles/885"), ("forum.linux.example.net", "thread/1021"), ("www.therin.example.com", "en/770"), ("blog.travel.example.org", "fr/paris"),
-    ("school.example.net", "en/timetable"), ("health.example.org", "advice/sleep"), ("music.example.com", "albums/1970"), ("theredand.example.org", "de/180"),
-    ("archive.example.net", "item/5521"), ("therti.example.net", "en/618"), ("open.maps.example.com", "es/madrid"), ("hospital.example.org", "contact/staff"),
-))
+UNWANTED = (
+    "cheap-meds.example.net/buy/tablets", "pillstore.example.com/en/41", "discount-pills.example.net/order", "online-pharmacy.example.com/de/18", "viagra-shop.example.org/es/7", "cheapest-rx.example.com/fr/220",
+    "pills-express.example.com/en/770", "meds-4u.example.org/de/44", "casino-royal.example.org/en/64", "www.online-casino.example.com/de/7", "m.mega-win.example.net/en/33", "instant-win.example.com/fr/5", "free-poker.example.net/en/61",
+    "www.live-bets.example.com/es/9", "blog.free-movies.example.org/en/14", "m.adult-chat.example.com/de/88", "xxx-adult.example.net/fr/18", "ads-click.example.org/en/220", "www.banner-ads.example.net/es/41", "web-track.example.com/en/12",
+    "www.spam-mail.example.org/de/300", "spam-blog.example.com/en/404", "m.click-farm.example.net/fr/92", "like-farm.example.org/es/510",
+    "royal-casino.example.com/bonus/spin", "casinos-online.example.net/en/92", "vegas-casino.example.org/play", "jackpot-winner.example.net/claim", "winbig.example.com/en/510", "big-wins.example.org/slots", "lucky-spin.example.net/fr/33",
+    "sports-betting.example.com/odds", "bets-now.example.org/de/963", "betting-tips.example.net/es/12", "free-spins.example.com/en/7", "freestuff.example.org/claim/now", "free-gift.example.net/prize", "poker-room.example.com/en/300",
+    "adserver.example.net/banner/728", "pop-ads.example.org/fr/584", "ads-network.example.com/de/61", "click-tracker.example.net/en/9", "tracking-pixel.example.com/img", "trackers.example.org/redirect", "adclick.example.com/es/404",
+    "spammer.example.net/en/728", "bulk-spam.example.com/mail", "spam-links.example.org/fr/14", "link-farms.example.net/seo", "content-farm.example.com/en/88", "seo-farming.example.org/backlinks", "buy-followers.example.net/de/5",
+    "payday-loans.example.com/apply", "fast-cash.example.org/en/64", "replica-watch.example.net/rolex", "get-rich.example.com/crypto", "crack-keygen.example.org/download", "hot-dating.example.net/adult", "adult-cams.example.com/live", "miracle-diet.example.org/weight-loss",
+)
+WANTED = (
+    "library.example.org/en/books/21", "news.example.com/2021/05/story", "blog.garden.example.net/posts/roses", "www.museum.example.org/visit/hours", "university.example.net/research/physics", "docs.example.com/guide/install",
+    "wiki.example.org/en/412", "m.weather.example.com/de/963", "recipes.example.net/es/12", "city.example.org/fr/584", "science.example.com/en/885", "forum.linux.example.net/thread/1021", "www.travel.example.com/en/770", "blog.history.example.org/fr/369",
+    "school.example.net/en/300", "health.example.org/de/18", "music.example.com/es/404", "m.theatre.example.org/en/64", "archive.example.net/fr/220", "open.maps.example.com/es/7", "hospital.example.org/contact/staff", "www.station.example.net/de/5",
+    "parliament.example.org/en/728", "blog.mountain.example.com/fr/14", "nature.example.net/en/88", "railway.example.com/de/61", "m.gardening.example.org/es/33", "www.weathered.example.net/en/510", "stories.example.com/fr/61", "another.example.org/en/92",
+    "blog.tradition.example.net/de/41", "national.example.com/en/9", "m.reading.example.org/en/7", "www.others.example.com/fr/33", "shore.example.net/en/14", "blog.nations.example.org/es/61", "writers.example.com/en/220", "together.example.net/de/7",
+    "m.heritage.example.com/en/41", "www.thinking.example.org/es/5", "blog.handmade.example.net/en/18", "ancient.example.com/de/300", "orchestra.example.org/fr/9", "weekend.example.net/en/404", "m.harbour.example.com/fr/64", "blog.languages.example.org/de/88",
+)
+LABELLED = tuple((f"https://{u}", 1) for u in UNWANTED) + tuple((f"https://{u}", 0) for u in WANTED)
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -71,7 +76,7 @@ def fitting_rule(host: Column, path: Column, rules: Iterable[tuple[str, str, str
 class NgramLogistic:
     """Logistic regression on counts of hashed character n-grams of ``host + path``."""
 
-    def __init__(self, n: tuple[int, ...] = (3, 4), dims: int = 4096, epochs: int = 60, rate: float = 0.3, l2: float = 1e-3):
+    def __init__(self, n: tuple[int, ...] = (2, 3, 4, 5), dims: int = 4096, epochs: int = 150, rate: float = 0.5, l2: float = 1e-4):
         self.n, self.dims, self.epochs, self.rate, self.l2 = n, dims, epochs, rate, l2
         self.weights, self.bias = [0.0] * dims, 0.0
 

@@ -54,7 +54,12 @@ def test_model_fits_and_needs_both_classes():
 
 
 def test_held_out_hosts_of_test_tables(spark):
+    """The table names none of the hosts on which it is measured."""
     bad = ("cheap-pills", "casino-win", "free-bets", "ads-track", "spam-farm")
     rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    names = {part for u, _ in U.LABELLED for part in U.NgramLogistic.split(u).partition("/")[0].split(".")} - {"www", "m", "blog", "example", "com", "net", "org"}
+    hosts = {part for r in rows.collect() for part in split(r["url"])[0].split(".")}
+    assert not names & hosts and not any(b in u for b in bad for u, _ in U.LABELLED)
     got = [(any(b in r["url"] for b in bad), r["url_score"] >= 0.5) for r in U.judge(rows).collect() if r["rule"] is None]
-    assert sum(a == b for a, b in got) >= 0.95 * len(got)
+    assert sum(b for a, b in got if a) >= 0.9 * sum(a for a, _ in got) > 0
+    assert sum(not b for a, b in got if not a) >= 0.95 * sum(not a for a, _ in got)
