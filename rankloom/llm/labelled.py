@@ -22,7 +22,12 @@ def labelled_ids(labels: DataFrame, label: str, key: str, max_rows: int, mod: in
     return classes[0].unionByName(classes[1])
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, key: str, max_rows: int, mod: int = MOD, rest: int = REST) -> DataFrame:
-    """``docs`` with y, for the sample; it is broadcast, being of at most 2 * ``max_rows`` short rows."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, max_rows: int, mod: int = MOD, rest: int = REST) -> DataFrame:
+    """(key, text, y) of the sample, one row for an id: of rows that repeat an id the text of the smallest hash.
+
+    The ids are broadcast, being at most 2 * ``max_rows`` short rows.
+    """
     ids = labelled_ids(labels, label, key, max_rows, mod, rest)
-    return docs.where(~held_out(F.col(key), mod, rest)).join(F.broadcast(ids), key)
+    rows = docs.select(key, text).where(~held_out(F.col(key), mod, rest)).join(F.broadcast(ids), key)
+    one = rows.groupBy(key, "y").agg(F.min(F.struct(F.xxhash64(text).alias("h"), F.col(text).alias("t"))).alias("one"))
+    return one.select(key, F.col("one.t").alias(text), "y")

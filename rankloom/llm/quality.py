@@ -189,7 +189,7 @@ class RuleEnsemble:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS) -> RuleEnsemble:
     """An ensemble fitted to at most ``max_rows`` labelled rows of each class."""
-    sample = labelled_rows(docs.select(key, text), labels, label, key, max_rows)
+    sample = labelled_rows(docs, labels, label, key, text, max_rows)
     rows = np.array(with_statistics(sample, text, ["y"]).collect(), dtype=np.float64).reshape(-1, len(STATS) + 1)
     rows = rows[np.lexsort(rows.T)]  # the order in which they arrive doesn't matter
     return RuleEnsemble().fit(rows[:, 1:], rows[:, 0])

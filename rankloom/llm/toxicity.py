@@ -2,9 +2,12 @@
 
 Hashed word embeddings (a word's vector is the mean of those of the word and of its first 4 and 6
 bytes, so inflected forms share theirs), filters over 1, 2 and 3 words, rectified max pooling over
-the whole text and a logistic output.  It is trained on the driver on a bounded sample of labelled rows.  The decision
-threshold is calibrated for each language; the language is guessed from the text's own function
-words, never read from a column.  Scoring is one pass in Arrow batches.
+the whole text and a logistic output.  It is trained on the driver on a bounded sample of labelled rows
+(``MAX_ROWS`` of each class, of one text for each id, and ``MAX_BYTES`` of word ids; texts are taken whole
+or not at all).  One dimension of the embedding starts at the words' log odds in the training fold, all
+filters and output weights start at random numbers.  The decision threshold is calibrated for each
+language; the language is guessed from the text's own function words, never read from a column.
+Scoring is one pass in Arrow batches.
 
 Defined results: null, empty and wordless texts pool to zero and get the score of such a text;
 repeated documents score alike; labels other than 0 and 1, and null ids, are not learned from; extra
@@ -22,12 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm import textkernel as K
-from rankloom.llm.common import held_out, short_batches, table
+from rankloom.llm.common import held_out, release, shared_table, short_batches, table, tables_made
 from rankloom.llm.labelled import MOD, REST, labelled_rows
 
 #: Labelled rows of each class that are fitted at most.
 MAX_ROWS = 4_000
+#: Bytes of word ids that are fitted at most, half of them for each class.
+MAX_BYTES = 64 << 20
 THRESHOLD = 0.3
+EPOCHS = 12
 
 #: Frequent function words, by which a text's language is guessed.
 FUNCTION_WORDS = {
@@ -73,7 +79,7 @@ def word_ids(data: np.ndarray, s: np.ndarray, e: np.ndarray, buckets: int = BUCK
 
 
 class TextCnn:
-    def __init__(self, buckets: int = BUCKETS, dims: int = 8, widths: tuple[int, ...] = (1, 2, 3), filters: int = 6, seed: int = 7):
+    def __init__(self, buckets: int = BUCKETS, dims: int = 16, widths: tuple[int, ...] = (1, 2, 3), filters: int = 12, seed: int = 7):
         self.widths, self.filters, self.dims = widths, filters, dims
         rng = np.random.default_rng(seed)
         self.embed = rng.normal(0, 0.05, (buckets, dims)).astype(np.float32)
@@ -112,7 +118,7 @@ class TextCnn:
     def margin(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         return self.pool(ids, first)[0] @ self.out + self.bias
 
-    def fit(self, texts: list[np.ndarray], y: np.ndarray, language: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.05, seed: int = 11) -> TextCnn:
+    def fit(self, texts: list[np.ndarray], y: np.ndarray, language: np.ndarray, epochs: int = EPOCHS, batch: int = 32, rate: float = 0.1, seed: int = 11) -> TextCnn:
         base = (y.sum() + 0.5) / (len(y) + 1)
         self.bias = float(np.log(base / (1 - base)))
         if len(np.unique(y)) < 2:
@@ -128,12 +134,6 @@ class TextCnn:
         base, weight = y[train].mean(), 5.0
         share = (seen[1] + weight * base) / (seen.sum(0) + weight)
         self.embed[:, 0] = np.log(share / (1 - share)) - np.log(base / (1 - base))
-        for w in self.conv:
-            w[0, 0, 0] = 1.0
-        for i in range(len(self.widths)):
-            self.shift[i, 0] = -1.0
-        self.out[:: self.filters] = 0.7
-        self.bias = -1.0
         power = [np.full_like(p, 1e-2) for p in (self.embed, *self.conv, self.shift, self.out)]
         for _ in range(epochs):
             rng.shuffle(train)
@@ -210,15 +210,26 @@ def _words_of(text: str, names: list[str], buckets: int):
     return run
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, **shape) -> TextCnn:
-    """A network trained on at most ``max_rows`` labelled rows of each class."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, epochs: int = EPOCHS, **shape) -> TextCnn:
+    """A network trained on at most ``max_rows`` labelled rows of each class and ``max_bytes`` of word ids."""
     short_batches(docs.sparkSession)
     model = TextCnn(**shape)
-    sample = labelled_rows(docs.select(key, text), labels, label, key, max_rows).select(key, "y", text)
+    sample = labelled_rows(docs, labels, label, key, text, max_rows)
     sample = sample.mapInArrow(_words_of(text, ["y"], len(model.embed)), "y int, words binary, language int")
-    rows = sorted(((r["y"], bytes(r["words"]), r["language"]) for r in sample.collect()))  # any order of arrival gives the same model
+    before = tables_made()
+    sample = shared_table(sample.withColumns({"at": F.xxhash64("words"), "size": F.length("words")}), "sample")
+    left = {0: max_bytes // 2, 1: max_bytes // 2}
+    wanted = []
+    for r in sample.select("y", "at", "size").orderBy("at", "size").collect():  # at most two numbers for each row of the sample
+        if r["size"] <= left[r["y"]]:
+            left[r["y"]] -= r["size"]
+            wanted.append((r["y"], r["at"]))
+    wanted = docs.sparkSession.createDataFrame(sorted(set(wanted)), "y int, at long")
+    rows = sample.join(F.broadcast(wanted), ["y", "at"]).collect()
+    rows = sorted(((r["y"], bytes(r["words"]), r["language"]) for r in rows))  # any order of arrival gives the same model
+    release(before)
     ids = [np.frombuffer(w, dtype=np.int32).reshape(-1, PARTS) for _, w, _ in rows]
-    return model.fit(ids, np.array([r[0] for r in rows], dtype=np.float64), np.array([r[2] for r in rows], dtype=np.int64))
+    return model.fit(ids, np.array([r[0] for r in rows], dtype=np.float64), np.array([r[2] for r in rows], dtype=np.int64), epochs)
 
 
 def _scores_of(shared, text: str, names: list[str]):

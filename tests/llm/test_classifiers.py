@@ -94,3 +94,113 @@ def test_languages_and_thresholds():
     s, e, first = K.words(data, off, K.ALNUM)
     assert [X.LANGUAGES[k] for k in X.guess_language(K.hashes(data, s, e), first)] == ["en", "de", "fr", "es", "other", "other"]
     assert X.best_threshold(np.array([3.0, 2.0, 1.0, 0.0]), np.array([1.0, 1.0, 0.0, 0.0])) == 1.5
+
+
+def labelled(sf, label):
+    """Documents, and the rows learned from, in plain loops."""
+    import zlib
+
+    import pyarrow.parquet as pq
+
+    docs = pq.read_table(f"{sf}/documents.parquet").to_pylist()
+    seen = {}
+    for r in pq.read_table(f"{sf}/labels.parquet").to_pylist():
+        if r[label] in (0, 1) and r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            seen[r["doc_id"]] = max(seen.get(r["doc_id"], 0), r[label])
+    return docs, [(seen[d["doc_id"]], d["text"]) for d in docs if d["doc_id"] in seen]
+
+
+def ascii_lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def test_toxicity_query_equals_brute_force(spark):
+    import re
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    docs, rows = labelled(sf, "toxic")
+
+    def of(text):
+        words = [w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text))]
+        low = [bytearray(w) for w in words]
+        for w in low:
+            for i in range(1, len(w)):
+                if w[i - 1] == 0xC3 and 0x80 <= w[i] <= 0x9E:
+                    w[i] += 32
+        parts = [K.hash_words([bytes(w[:n]) for w in low]) for n in (1 << 30, 4, 6)]
+        ids = np.stack([K.mix(h + np.uint64(i)) % np.uint64(X.BUCKETS) for i, h in enumerate(parts)], 1).astype(np.int32)
+        votes = {k: sum(1 / sum(w.decode() in x.split() for x in X.FUNCTION_WORDS.values()) for w in map(bytes, low) if w.decode(errors="replace") in words_.split()) for k, words_ in X.FUNCTION_WORDS.items()}
+        best = max(votes.values())
+        return ids, next(i for i, k in enumerate(votes) if votes[k] == best) if best else len(votes)
+
+    learned = sorted((y, of(t)[0].tobytes(), of(t)[1]) for y, t in rows)
+    model = X.TextCnn().fit([np.frombuffer(w, dtype=np.int32).reshape(-1, 3) for _, w, _ in learned], np.array([float(y) for y, _, _ in learned]), np.array([k for _, _, k in learned]))
+    got = {r["doc_id"]: r for r in X.op4_toxicity(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        ids, language = of(d["text"])
+        vectors = model.embed[ids].mean(1) if len(ids) else np.zeros((0, model.dims))
+        margin = model.bias
+        for i, width in enumerate(model.widths):
+            for f in range(model.filters):
+                most = max((sum(float(vectors[p + j] @ model.conv[i][j][:, f]) for j in range(width)) + model.shift[i, f] for p in range(len(ids) - width + 1)), default=0) if len(ids) < 150 else (
+                    sum(vectors[j : len(ids) - width + 1 + j] @ model.conv[i][j][:, f] for j in range(width)) + model.shift[i, f]).max()
+                margin += max(most, 0.0) * model.out[i * model.filters + f]
+        z = margin - model.threshold[language] + np.log(0.3 / 0.7)
+        want = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+        r = got[d["doc_id"]]
+        assert r["score"] == pytest.approx(want, abs=2e-4), d["doc_id"]
+        assert r["held_out"] == (zlib.crc32(str(d["doc_id"]).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_quality_query_equals_brute_force(spark):
+    import re
+    import zlib
+    from collections import Counter
+
+    sf = "/root/testdata/sf0.001"
+    docs, rows = labelled(sf, "quality")
+
+    def of(text):
+        text = text or ""
+        words, size = re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(text)), len(text.encode())
+        lines = [x for x in ascii_lower(text).split("\n") if x]
+        over = lambda a, b: a / b if b else 0.0
+        count = lambda chars: sum(c in chars for c in text)
+        alpha, high = sum(c.isascii() and c.isalpha() for c in text), sum(b > 127 for b in text.encode())
+        upper, stops = sum("A" <= c <= "Z" for c in text), count(".;:")
+        pairs = [tuple(words[i : i + 2]) for i in range(max(1, len(words) - 1))] if words else []
+        top = Counter(words).most_common(1)[0][1] if words else 0
+        return [
+            len(words), len(lines), over(sum(len(w.encode()) for w in words), len(words)), over(upper, alpha), over(count("0123456789"), size), over(count("#$%&*@^~<>{}[]=+_\\/`"), size), over(count("|"), len(words)), over(count("!?"), len(words)),
+            over(stops, len(words)), over(high, size), over(len(set(words)), len(words)), over(top, len(words)), over(len(set(lines)), len(lines)), over(len(set(pairs)), len(pairs)), over(len(words), len(lines)), over(len(words), stops), over(alpha + high, size),
+        ]
+
+    learned = np.array([[y, *of(t)] for y, t in rows], dtype=np.float64)
+    learned = learned[np.lexsort(learned.T)]
+    model = Q.RuleEnsemble().fit(learned[:, 1:], learned[:, 0])
+    got = {r["doc_id"]: r for r in Q.op5_quality_classifier(spark, sf).collect()}
+    assert len(got) == len(docs) and model.rules
+    for d in docs:
+        x = of(d["text"])
+        total = model.bias + sum(w for rule, w in model.rules if all((x[k] > cut) == above for k, above, cut in rule))
+        r = got[d["doc_id"]]
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-total)), rel=1e-9)
+        assert r["held_out"] == (zlib.crc32(str(d["doc_id"]).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.7)
+
+
+def test_training_and_the_sample_are_what_decides(spark):
+    """Before training the filters are random; afterwards held-out labels are told apart.  A repeated id is learned once, bytes are bounded."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = X.fit_toxicity(docs, labels)
+    same = X.fit_toxicity(docs.unionAll(docs.limit(500)), labels)
+    np.testing.assert_array_equal(model.embed, same.embed)
+    few = X.fit_toxicity(docs, labels, max_bytes=100_000)
+    assert not np.array_equal(few.embed, model.embed)
+    start = X.fit_toxicity(docs, labels, epochs=0)
+    rows = {}
+    for name, m in (("start", start), ("model", model)):
+        scored = X.score_toxicity(docs, m, keep=["doc_id"]).where(held_out(F.col("doc_id"), 4, 2)).join(labels, "doc_id").select("toxicity_score", "toxic").toPandas()
+        rows[name] = auc(scored["toxicity_score"].to_numpy(), scored["toxic"].to_numpy())
+    assert rows["model"] > 0.95 and rows["start"] < rows["model"] - 0.1, rows
