@@ -60,6 +60,7 @@ BROADCAST_PAIRS = 1_000_000
 SHORT = 16
 #: Members of a long list that are compared with others of a block; documents of a shingle whose list is never held by one task.
 BLOCK, SPLIT = 512, 1 << 16
+SALTS = 16
 MANY = np.dtype([("h", "u1", 3), ("n", "<u4")])
 POSTING = np.dtype([("key", "<u8"), ("owner", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
@@ -391,6 +392,17 @@ def _alike(threshold: int):
     return run
 
 
+def _with(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` joined with a table of one row for each key; a key's rows do not meet in one task.
+
+    It is broadcast if it holds at most ``BROADCAST_PAIRS`` rows (of three numbers), else repeated for each salt of the rows.
+    """
+    if few.count() <= BROADCAST_PAIRS:
+        return rows.join(F.broadcast(few), on)
+    salt = F.pmod(F.xxhash64("owner"), F.lit(SALTS)).cast("int")
+    return rows.withColumn("salt", salt).join(few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "salt"]).drop("salt")
+
+
 def crossing_groups(rows: DataFrame, block: int) -> DataFrame:
     """(group, side, owner, n, pos, label): members of long lists (key, owner, n, pos, label) in groups that are each compared whole.
 
@@ -399,7 +411,7 @@ def crossing_groups(rows: DataFrame, block: int) -> DataFrame:
     large label, is a group: sides 0 and 1, or side 0 alone for a block with itself.
     """
     mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rows = shared_table(rows.join(mixed, "key"), "mixed")
+    rows = shared_table(_with(rows, shared_table(mixed, "keys"), ["key"]), "mixed")
     cells = rows.groupBy("key", "label").agg(F.count("*").alias("size"))
     large = F.col("size") >= block
     rest = cells.groupBy("key").agg(F.coalesce(F.sum(F.when(~large, F.col("size"))), F.lit(0)).alias("rest"))
@@ -411,7 +423,7 @@ def crossing_groups(rows: DataFrame, block: int) -> DataFrame:
     pairs = a.join(b, "key").where("a <= b and not coalesce(a.of = b.of, false)").withColumn("group", F.xxhash64("key", "a.of", "a.part", "b.of", "b.part"))
     sides = pairs.select("key", "group", F.explode(F.when(F.expr("a = b"), F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("block")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("block")), F.struct(F.lit(1).alias("side"), F.col("b").alias("block"))))).alias("s"))
     sides = sides.select("key", "group", "s.side", F.col("s.block.of").alias("of"), F.col("s.block.part").alias("part"))
-    placed = rows.join(cells, ["key", "label"]).withColumns({"of": F.when(F.col("large"), F.col("label")), "part": F.pmod(F.when(F.col("large"), F.xxhash64("owner")).otherwise(F.xxhash64("label")), "parts").cast("int")})
+    placed = _with(rows, cells, ["key", "label"]).withColumns({"of": F.when(F.col("large"), F.col("label")), "part": F.pmod(F.when(F.col("large"), F.xxhash64("owner")).otherwise(F.xxhash64("label")), "parts").cast("int")})
     met = (F.col("x.key") == F.col("y.key")) & F.col("x.of").eqNullSafe(F.col("y.of")) & (F.col("x.part") == F.col("y.part"))
     return placed.alias("x").join(sides.alias("y"), met).select("group", "side", "x.key", "owner", "n", "pos", "label")
 

@@ -125,6 +125,7 @@ def test_long_lists(spark, monkeypatch, short):
 def test_long_lists_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(J, "SHORT", 2)
     monkeypatch.setattr(J, "BLOCK", 3)
+    monkeypatch.setattr(J, "BROADCAST_PAIRS", 5)
     rows = corpus(5)
     assert run(spark, rows) == brute(rows)
 
