@@ -107,6 +107,18 @@ def partitions(spark: SparkSession, least: int = 12) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """Integers that ``repartition(n, key)`` deals to the partitions 0, 1 ... in turn, so that n groups are not dealt by chance."""
+    found: dict[int, int] = {}
+    begin = 0
+    while len(found) < n:
+        end = begin + 8 * n
+        for r in spark.range(begin, end).select(F.col("id").cast("int").alias("k")).select("k", F.pmod(F.hash("k"), F.lit(n)).alias("p")).collect():
+            found.setdefault(r["p"], r["k"])
+        begin = end
+    return [found[p] for p in range(n)]
+
+
 def columns(df: DataFrame) -> list[np.ndarray]:
     """The columns of a result of bounded size, as Arrow gives them: no object per row."""
     got = df.toArrow()

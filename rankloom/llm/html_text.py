@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm import textkernel as K
-from rankloom.llm.common import partitions, short_batches, table
+from rankloom.llm.common import even_keys, partitions, short_batches, table
 from rankloom.llm.url_filter import host_path
 
 #: Elements whose content is no text of the page.
@@ -393,12 +393,15 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
     host, path = host_path(F.col(url))
     own = F.col(page_id).cast("long")
     rows = pages.select(own.alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"), host.alias("host"), path.alias("path"), F.coalesce(own, F.lit(-1)).alias("id"), F.xxhash64(own, url, page).alias("tie"))
-    keys = rows.select(*KEY).repartitionByRange(4 * partitions(spark), *KEY).sortWithinPartitions(*KEY)
+    n = partitions(spark)
+    keys = rows.select(*KEY).repartitionByRange(n, *KEY).sortWithinPartitions(*KEY)
     ranges = Ranges(keys.mapInArrow(_borders, "part int, side int, host string, path string, id long, tie long").collect())
     parsed = rows.mapInArrow(
         _parsed(spark.sparkContext.broadcast(ranges)), "range int, own boolean, host string, path string, id long, tie long, page_id long, url string, lines array<long>, kinds binary, texts array<string>"
     )
-    dealt = parsed.repartition(partitions(spark), "range").sortWithinPartitions("range", *KEY)
+    # a range for each task
+    to = F.element_at(F.array(*map(F.lit, even_keys(spark, n))), F.pmod(F.col("range"), F.lit(n)) + 1)
+    dealt = parsed.withColumn("to", to).repartition(n, "to").drop("to").sortWithinPartitions("range", *KEY)
     return dealt.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
 
 
