@@ -32,12 +32,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm import textkernel as K
-from rankloom.llm.common import blocks, partitions, shared_table, table
+from rankloom.llm.common import blocks, even_keys, partitions, shared_table, table
 
 DIMS = 16
 MISS = 1e-4
 LEAF = 48
-SHARD_ROWS = 1 << 13
+SHARD_ROWS = 1 << 12
 SAMPLE = 1 << 14
 K_BEST = 20
 SEED = 3
@@ -300,6 +300,13 @@ def _rows(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(usable(F.col("v")) & F.col("id").isNotNull())
 
 
+def _dealt(rows: DataFrame, subs: int) -> DataFrame:
+    """Shards dealt to tasks in turn."""
+    n = partitions(rows.sparkSession)
+    to = F.element_at(F.array(*map(F.lit, even_keys(rows.sparkSession, n))), F.pmod(F.col("shard") * subs + F.col("sub"), F.lit(n)) + 1)
+    return rows.withColumn("_to", to).repartition(n, "_to").drop("_to")
+
+
 def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K_BEST) -> Index | None:
     """The index for searches of up to ``k`` neighbours; None without usable vectors."""
     spark = vectors.sparkSession
@@ -317,7 +324,7 @@ def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     subs = blocks(n, SHARD_ROWS << (depth + 1))  # where the sample cannot divide further
     placed = points.drop("place").mapInArrow(_placed(spark.sparkContext.broadcast(top), size, square), f"v {points.schema['v'].dataType.simpleString()}, id long, times long, shard int")
     placed = placed.withColumn("sub", F.pmod(F.xxhash64("v"), F.lit(subs)).cast("int"))
-    dealt = placed.repartition(partitions(spark), "shard", "sub").sortWithinPartitions("shard", "sub")
+    dealt = _dealt(placed, subs).sortWithinPartitions("shard", "sub")
     return Index(shared_table(dealt.mapInArrow(_leaves_of(size, square), LEAVES), "leaves"), top, size, square, subs)
 
 
@@ -325,7 +332,7 @@ def _search(index: Index, queries: DataFrame, k: int, stop: float) -> DataFrame:
     """What the shards of ``queries`` (query_id, key, q, bound, shard) hold for them."""
     asked = queries.withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(index.subs - 1))))
     both = index.leaves.unionByName(asked, allowMissingColumns=True)
-    both = both.repartition(partitions(queries.sparkSession), "shard", "sub").sortWithinPartitions("shard", "sub", F.col("q").isNotNull())
+    both = _dealt(both, index.subs).sortWithinPartitions("shard", "sub", F.col("q").isNotNull())
     return both.mapInArrow(_searched(index.size, index.square, k, stop), FOUND)
 
 

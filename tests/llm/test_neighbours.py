@@ -82,7 +82,7 @@ def test_top_of_the_tree_divides_evenly():
 
 def test_few_vectors_are_verified(spark, monkeypatch):
     """On 50,000 vectors that lie in clusters, recall is at least 0.9 and few are verified."""
-    monkeypatch.setattr(N, "SHARD_ROWS", 1000)
+    monkeypatch.setattr(N, "SHARD_ROWS", 1000)  # 64 shards
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(400, 64))
     v = centres[rng.integers(0, 400, 50_000)] + 0.25 * rng.normal(size=(50_000, 64))
