@@ -168,15 +168,37 @@ def score(rows: DataFrame, expression: str, columns: dict[str, str], name: str =
 
 
 def score_long(facts: DataFrame, queries: list[tuple[str, str, list[str]]]) -> DataFrame:
-    """(qid, docid, p) from long facts (qid, docid, atom, p) for parsed queries (qid, expression, atoms); a fact that is missing has p = 0."""
-    out = None
-    for qid, expression, atoms in queries:
-        wide = facts.where(F.col("qid") == qid).groupBy("qid", "docid").agg(*(F.coalesce(F.max(F.when(F.col("atom") == a, F.col("p"))), F.lit(0.0)).alias(f"_{i}") for i, a in enumerate(atoms)))
-        one = score(wide, expression, {a: f"_{i}" for i, a in enumerate(atoms)}).select("qid", "docid", "p")
-        out = one if out is None else out.unionAll(one)
-    if out is None:
+    """(qid, docid, p) from long facts (qid, docid, atom, p) for parsed queries (qid, expression, atoms); a fact that is missing has p = 0.
+
+    Queries of one shape (that differ in their atoms alone) are one expression, so the plan grows with the shapes and not
+    with the queries: one join that gives each fact its place, and two aggregates.
+    """
+    if not queries:
         raise ValueError("no queries")
-    return out
+    shapes: dict[Node, int] = {}
+    places = []
+    for qid, expression, atoms in queries:
+        clean = {a: re.sub(r"[^a-z0-9]+", "_", a.lower()).strip("_") for a in atoms}
+        order = {name: i for i, name in enumerate(dict.fromkeys(clean.values()))}
+
+        def placed(n: Node, clean=clean, order=order) -> Node:
+            return Atom(str(order[clean[n.name]])) if isinstance(n, Atom) else Not(placed(n.of)) if isinstance(n, Not) else type(n)(placed(n.left), placed(n.right))
+
+        shape = shapes.setdefault(placed(parse(negated_atoms(expression, list(atoms)), list(atoms))), len(shapes))
+        places += [(qid, a, order[clean[a]], shape) for a in atoms]
+    table = facts.sparkSession.createDataFrame(places, "qid string, atom string, place int, shape int")
+    table = table.withColumn("qid", F.col("qid").cast(facts.schema["qid"].dataType))
+    shape_of = table.select("qid", "shape").distinct()
+    most = max(place for _, _, place, _ in places) + 1
+    # every atom of a document once; atoms that are one predicate meet in one place by noisy-or
+    once = facts.join(table.drop("shape"), ["qid", "atom"], "left").groupBy("qid", "docid", "atom", "place").agg(F.round(F.max("p"), 6).alias("p"))
+    at = lambda i: F.col("place") == i
+    joint = lambda i: F.when(F.count_if(at(i)) > 1, 1 - F.product(F.when(at(i), 1 - F.col("p")))).otherwise(F.max(F.when(at(i), F.col("p"))))
+    wide = once.groupBy("qid", "docid").agg(*(F.coalesce(joint(i), F.lit(0.0)).alias(f"_{i}") for i in range(most))).join(shape_of, "qid")
+    p = F.lit(None).cast("double")
+    for node, shape in shapes.items():
+        p = F.when(F.col("shape") == shape, probability(node, {str(i): F.col(f"_{i}") for i in range(most)})).otherwise(p)
+    return wide.select("qid", "docid", p.alias("p"))
 
 
 def true_probability(true_logit: Column, false_logit: Column) -> Column:

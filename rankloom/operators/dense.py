@@ -50,40 +50,57 @@ def is_left_padded(rows: DataFrame, mask: str = "mask") -> bool:
     return bool(rows.agg(F.coalesce(F.bool_and(F.element_at(mask, -1) == 1), F.lit(True))).first()[0])
 
 
+def _sortable(ids: pa.Array) -> np.ndarray:
+    """Ids as numpy sorts them: numbers, or text by code points (the order of UTF-8 bytes)."""
+    return np.array(ids.to_pylist(), dtype=str) if pa.types.is_string(ids.type) or pa.types.is_large_string(ids.type) else ids.to_numpy(zero_copy_only=False)
+
+
 def _nearest(shared, k: int, skip_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, matrix = shared.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, dtype=np.int64))] * len(qids)
+        own, matrix, types = shared.value
+        qids = _sortable(own) if skip_self else None
+        best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(own)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            rows = batch.column(1)
-            if not len(ids):
+            if not batch.num_rows:
                 continue
+            ids, rows = _sortable(batch.column(0)), batch.column(1)
             vectors = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
             for i, s in enumerate((vectors @ matrix.T).T):
                 keep = ids != qids[i] if skip_self else slice(None)
-                s, d = np.concatenate([best[i][0], s[keep]]), np.concatenate([best[i][1], ids[keep]])
+                s, d = s[keep], ids[keep]
+                if best[i] is not None:
+                    s, d = np.concatenate([best[i][0], s]), np.concatenate([best[i][1], d])
                 if len(s) > k:
                     some = s >= np.partition(s, len(s) - k)[len(s) - k]
                     s, d = s[some], d[some]
                 order = np.lexsort((d, -s))[:k]
                 best[i] = (s[order], d[order])
-        size = [len(s) for s, _ in best]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, size), pa.int64()), pa.array(np.concatenate([d for _, d in best]), pa.int64()), pa.array(np.concatenate([s for s, _ in best]))], names=["qid", "docid", "score"])
+        found = [(i, s, d) for i, x in enumerate(best) if x is not None for s, d in (x,)]
+        size = [len(s) for _, s, _ in found]
+        at = np.repeat(np.array([i for i, _, _ in found], dtype=np.int64), size)
+        docs = [x for _, _, d in found for x in d.tolist()]
+        yield pa.RecordBatch.from_arrays([own.take(pa.array(at)), pa.array(docs, types[1]), pa.array(np.concatenate([np.zeros(0), *(s for _, s, _ in found)]))], names=["qid", "docid", "score"])
 
     return run
 
 
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string()}
+
+
 def search(queries: DataFrame, docs: DataFrame, k: int = 100, query_key: str = "qid", key: str = "docid", vector: str = "embedding", normalise: bool = False, skip_self: bool = False) -> DataFrame:
     """(qid, docid, score, rank): the k largest inner products of each query, ties by id.
 
-    Blocks of query vectors are sent to the documents, which are never moved: each task keeps its
-    own k best of a block, and only those are shuffled.
+    Ids keep their type (text or whole numbers).  Blocks of query vectors are sent to the documents, which
+    are never moved: each task keeps its own k best of a block, and only those are shuffled.
     """
     spark = docs.sparkSession
     v = normalised(F.col(vector)) if normalise else F.col(vector).cast("array<double>")
-    asked = queries.select(F.col(query_key).cast("long").alias("q"), v.alias("v")).where("v is not null")
-    base = docs.select(F.col(key).cast("long").alias("d"), v.alias("v")).where("v is not null")
+    asked = queries.select(F.col(query_key).alias("q"), v.alias("v")).where("v is not null and q is not null")
+    base = docs.select(F.col(key).alias("d"), v.alias("v")).where("v is not null and d is not null")
+    kinds = [df.schema[0].dataType.simpleString() for df in (asked, base)]
+    if not set(kinds) <= set(_ARROW):
+        raise TypeError(f"ids of types {kinds} are not searched")
+    schema = f"qid {kinds[0]}, docid {kinds[1]}, score double"
     n = max(1, -(-asked.count() // QUERY_BLOCK))
     found = []
     for block in range(n):
@@ -91,10 +108,10 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 100, query_key: str = "
         rows = own.collect()  # one block of bounded size
         if not rows:
             continue
-        shared = spark.sparkContext.broadcast((np.array([r["q"] for r in rows], dtype=np.int64), np.array([r["v"] for r in rows], dtype=np.float64)))
-        found.append(base.mapInArrow(_nearest(shared, k, skip_self), "qid long, docid long, score double"))
+        shared = spark.sparkContext.broadcast((pa.array([r["q"] for r in rows], _ARROW[kinds[0]]), np.array([r["v"] for r in rows], dtype=np.float64), [_ARROW[x] for x in kinds]))
+        found.append(base.mapInArrow(_nearest(shared, k, skip_self), schema))
     if not found:
-        return spark.createDataFrame([], "qid long, docid long, score double, rank int")
+        return spark.createDataFrame([], f"{schema}, rank int")
     union = found[0]
     for f in found[1:]:
         union = union.unionAll(f)

@@ -25,12 +25,14 @@ def per_query(run: DataFrame, qrels: DataFrame, cutoffs: list[int], missing: str
     if dedupe:
         run = run.groupBy("qid", "docid").agg(F.min("rank").alias("rank"))
     marked = with_relevance(run.select("qid", "docid", "rank"), gold.where("docid is not null"))
+    # one row for each document of a query, then one for each query: distinct hits need no copy of the rows
     inside = lambda k: F.col("rank") <= k
-    parts = [F.count("*").alias("n_ranked"), F.min(F.when(F.col("rel"), F.col("rank"))).alias("first_hit")]
+    own, parts = [F.count("*").alias("n"), F.min("rank").alias("best")], [F.sum("n").alias("n_ranked"), F.min(F.when(F.col("rel"), F.col("best"))).alias("first_hit")]
     for k in cutoffs:
-        hit = F.col("rel") & inside(k)
-        parts += [F.count_if(hit).alias(f"h{k}"), F.count_distinct(F.when(hit, F.col("docid"))).alias(f"s{k}"), F.coalesce(F.sum(F.when(hit, 1 / F.log2(F.col("rank") + 1))), F.lit(0.0)).alias(f"d{k}")]
-    counted = marked.groupBy("qid").agg(*parts)
+        own += [F.count_if(inside(k)).alias(f"h{k}"), F.coalesce(F.sum(F.when(inside(k), 1 / F.log2(F.col("rank") + 1))), F.lit(0.0)).alias(f"d{k}")]
+        hit = lambda c: F.when(F.col("rel"), c).otherwise(0)
+        parts += [F.sum(hit(F.col(f"h{k}"))).alias(f"h{k}"), F.count_if(F.col("rel") & (F.col("best") <= k)).alias(f"s{k}"), F.sum(hit(F.col(f"d{k}"))).alias(f"d{k}")]
+    counted = marked.groupBy("qid", "docid", "rel").agg(*own).groupBy("qid").agg(*parts)
     joined = counted.join(n_gold, "qid", "inner" if missing == "drop" else "full")
     if missing == "drop":
         joined = joined.where("n_gold > 0")

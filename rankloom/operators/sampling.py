@@ -65,32 +65,98 @@ def witnesses(ea: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def distinct_sets(ea: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) for or-templates whose attributes have different entity sets."""
-    sets = ea.groupBy("attr").agg(F.count_distinct("entity").alias("n"), F.sum(F.xxhash64("entity") % (1 << 40)).alias("h"))
-    a = sets.select(F.col("attr").alias("a"), F.col("n").alias("n1"), F.col("h").alias("h1"))
-    b = sets.select(F.col("attr").alias("b"), F.col("n").alias("n2"), F.col("h").alias("h2"))
-    return pairs.join(a, "a").join(b, "b").where("n1 <> n2 or h1 <> h2").select(*pairs.columns)
+    """Pairs (a, b) for or-templates whose attributes have different entity sets: equal sets are as large as their intersection."""
+    from rankloom.operators.setalg import pair_counts
+
+    same = pair_counts(ea, grid=False).where("na = nab and nb = nab").select("a", "b")
+    both = same.unionAll(same.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.join(both, ["a", "b"], "left_anti").where("a <> b").select(*pairs.columns)
+
+
+def _number(text: Column) -> Column:
+    """The first 32 bits of a text's md5 as a number."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+def _numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    from rankloom.sources.judgments import assign_ids
+
+    return assign_ids(rows, order, name)
+
+
+#: Combinations that are enumerated at most; beyond, they are drawn.
+ENUMERATED = 50_000
+
+
+def drawn_combinations(ea: DataFrame, template: str, tries: int, least: int, most: int, seed: int = 42) -> DataFrame:
+    """(template, attrs, num_docs): combinations of attributes drawn at random, of which those within the range stay.
+
+    Each try takes its attributes by a hash of seed, template, try and place; tries that repeat an attribute, or a set where
+    order doesn't matter, are rejected.  All tries are counted by one equi-join on the attribute.
+    """
+    from rankloom.operators import setalg
+
+    spark = ea.sparkSession
+    ea = ea.distinct()
+    listed = _numbered(ea.select("attr").distinct(), "attr", "_at")
+    n = listed.count()
+    places = range(setalg.ARITY[template])
+    draws = spark.range(1, tries + 1).withColumnRenamed("id", "try")
+    for i in places:
+        draws = draws.withColumn("_at", F.pmod(_number(F.concat_ws("|", F.lit(str(seed)), F.lit(template), F.col("try").cast("string"), F.lit(str(i)))), F.lit(max(1, n))) + 1)
+        draws = draws.join(listed.withColumnRenamed("attr", f"a{i}"), "_at").drop("_at")
+    attrs = F.array(*(F.col(f"a{i}") for i in places))
+    if template in setalg.UNORDERED:
+        attrs = F.sort_array(attrs)
+    own = draws.withColumn("attrs", attrs).where(F.size(F.array_distinct("attrs")) == len(places)).groupBy("attrs").agg(F.min("try").alias("id"))
+    queries = own.select("id", F.lit(template).alias("template"), "attrs")
+    counted = setalg.answers(ea, queries).groupBy("id").agg(F.count("*").alias("num_docs")).where(F.col("num_docs").between(least, most))
+    return queries.join(counted, "id").select("template", "attrs", "num_docs")
+
+
+def combinations(ea: DataFrame, template: str, least: int, most: int, tries: int = 8_000, seed: int = 42) -> DataFrame:
+    """(template, attrs, num_docs) of a template: all valid ones where there are at most ``ENUMERATED`` combinations, else those of random tries."""
+    from rankloom.operators import setalg
+
+    ea = ea.distinct()
+    if setalg.upper_bound(template, ea.select("attr").distinct().count()) > ENUMERATED:
+        return drawn_combinations(ea, template, tries, least, most, seed)
+    names = "abc"[: setalg.ARITY[template]]
+    if len(names) == 1:
+        rows = setalg.singles(ea).select(F.lit(template).alias("template"), "a", F.col("na").alias("num_docs")).where(F.col("num_docs").between(least, most))
+    else:
+        rows = (setalg.valid_pairs if len(names) == 2 else setalg.valid_triples)(ea, least, most).where(F.col("template") == template)
+    return rows.select("template", F.array(*names).alias("attrs"), "num_docs")
 
 
 def training_pairs(gold: DataFrame, predicted: DataFrame, docs: DataFrame, positives: int = 50, negatives: int = 250, seed: int = 42) -> DataFrame:
-    """(query, title, label): gold repeated, the first wrong predictions, and random documents that are not gold.
+    """(query, title, label): gold repeated, the first wrong predictions, and ``negatives`` random documents less those that are gold.
 
-    Random documents come from one hash-ordered list of titles, of which each query takes a stretch of its own.
+    Random documents come from one list of titles in the order of a hash, of which each query takes a stretch of its own.
     """
     pos = gold.select("query", "title", F.explode(F.sequence(F.lit(1), F.lit(positives))).alias("_c")).drop("_c").withColumn("label", F.lit("relevant"))
     wrong = predicted.join(gold, ["query", "title"], "left_anti")
     order = Window.partitionBy("query").orderBy("rank")
     wrong = wrong.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= negatives).select("query", "title", F.lit("not relevant").alias("label"))
-    n = docs.count()
-    listed = docs.select("title", F.pmod(F.xxhash64(F.lit(seed), "title"), F.lit(max(1, n))).alias("slot"))
-    start = F.pmod(F.xxhash64(F.lit(seed), "query"), F.lit(max(1, n)))
-    wanted = gold.select("query").distinct().select("query", F.explode(F.sequence(F.lit(0), F.lit(negatives - 1))).alias("i")).select("query", F.pmod(start + F.col("i"), F.lit(max(1, n))).alias("slot"))
-    random = wanted.join(listed, "slot").select("query", "title").join(gold, ["query", "title"], "left_anti").dropDuplicates(["query", "title"])
-    order = Window.partitionBy("query").orderBy(F.xxhash64(F.lit(seed), "title"), "title")
-    random = random.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= negatives).select("query", "title", F.lit("not relevant").alias("label"))
+    titles = docs.select("title").distinct()
+    n = titles.count()
+    listed = _numbered(titles.withColumn("_o", F.concat(draw(seed, "title"), "title")), "_o", "_at").select("title", (F.col("_at") - 1).alias("slot"))
+    start = _number(F.concat_ws("|", F.lit(str(seed)), F.col("query").cast("string")))
+    stretch = F.explode(F.sequence(F.lit(0), F.lit(min(negatives, n) - 1))) if min(negatives, n) else F.explode(F.array().cast("array<int>"))
+    wanted = gold.select("query").distinct().select("query", stretch.alias("i")).select("query", F.pmod(start + F.col("i"), F.lit(max(1, n))).alias("slot"))
+    random = wanted.join(listed, "slot").select("query", "title").join(gold, ["query", "title"], "left_anti").select("query", "title", F.lit("not relevant").alias("label"))
     return pos.unionAll(wrong).unionAll(random)
 
 
+def training_inputs(pairs: DataFrame, docs: DataFrame, seed: int = 42) -> DataFrame:
+    """(query, title, label, input) of training pairs with their documents' texts (empty where there is none), in an order fixed by the seed."""
+    from rankloom.functions.text import cross_encoder_input, titled
+
+    joined = pairs.join(docs.groupBy("title").agg(F.first("text").alias("text")), "title", "left")
+    full = joined.select("query", "title", "label", cross_encoder_input(F.col("query"), titled(F.col("title").cast("string"), F.coalesce("text", F.lit("")))).alias("input"))
+    return full.orderBy(draw(seed, "query", "title", "label"), "query", "title")
+
+
 def curated_candidates(gold: DataFrame, scored: DataFrame, irrelevant: int = 5, noise: int = 5) -> DataFrame:
     """(qid, docid, kind): gold, the lowest-scored documents, and the highest-scored that are not gold."""
     others = scored.join(gold, ["qid", "docid"], "left_anti")

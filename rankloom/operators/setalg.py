@@ -70,7 +70,14 @@ def entities_for(ea: DataFrame, template: str, attrs: list[str]) -> DataFrame |
 
 
 def answers(ea: DataFrame, queries: DataFrame) -> DataFrame:
-    """(id, entity) for a table of queries (id, template, attrs): one equi-join on the attribute, one aggregate."""
+    """(id, entity) for a table of queries (id, template, attrs): one equi-join on the attribute, one aggregate.
+
+    As with :func:`entities_for`, a query with an unknown attribute, template or number of attributes has no answer at all.
+    """
+    arity = F.create_map(*(x for t, n in ARITY.items() for x in (F.lit(t), F.lit(n))))
+    queries = queries.where(F.size("attrs") == F.try_element_at(arity, F.col("template")))
+    known = queries.select("id", F.explode("attrs").alias("attr")).join(ea.select("attr").distinct(), "attr", "left_anti").select("id")
+    queries = queries.join(known, "id", "left_anti")
     wanted = queries.select("id", "template", F.size("attrs").alias("n"), F.posexplode("attrs").alias("place", "attr"))
     met = ea.distinct().join(wanted, "attr").groupBy("id", "entity", "template", "n").agg(F.collect_set("place").alias("places"))
     inner = F.size(F.filter("places", lambda p: p < F.col("n") - 1))

@@ -37,17 +37,18 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 # --- inputs ------------------------------------------------------------------------------------
 
-N_QUERIES = 50
+#: Searches ask for every vector whose id is divisible by this, against all vectors.
+EVERY = 100
 
 
 def dense_run(spark, sf, k: int = 100) -> DataFrame:
     e = t(spark, sf, "embeddings").select("vec_id", "embedding")
-    return dense.search(e.where(F.col("vec_id") < N_QUERIES), e, k, "vec_id", "vec_id", skip_self=True)
+    return dense.search(e.where(F.col("vec_id") % EVERY == 0), e, k, "vec_id", "vec_id", skip_self=True)
 
 
 def label_qrels(spark, sf) -> DataFrame:
     e = t(spark, sf, "embeddings").select("vec_id", "label")
-    q = e.where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("qid"), "label")
+    q = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), "label")
     return q.join(e, "label").where("qid <> vec_id").select("qid", F.col("vec_id").alias("docid"))
 
 
@@ -57,10 +58,19 @@ def entity_attributes(spark, sf) -> DataFrame:
     return o.select("o_orderkey", F.col("o_custkey").alias("entity")).join(li.select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey")).join(attr, F.col("l_partkey") == F.col("p_partkey")).select("entity", "attr").distinct()
 
 
+def entity_habits(spark, sf) -> DataFrame:
+    """A relation of few attributes, over all of which triples are enumerated: a customer's part types, order priorities and states."""
+    o, li, p = t(spark, sf, "orders"), t(spark, sf, "lineitem"), t(spark, sf, "part")
+    types = o.select("o_orderkey", F.col("o_custkey").alias("entity")).join(li.select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey")).join(p.select("p_partkey", F.col("p_type").alias("attr")), F.col("l_partkey") == F.col("p_partkey")).select("entity", "attr")
+    return types.unionAll(o.select("o_custkey", "o_orderpriority")).unionAll(o.select("o_custkey", F.concat(F.lit("state "), "o_orderstatus"))).distinct()
+
+
+HABITS_SQL = """ea AS (SELECT o_custkey entity, p_type AS attr FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey UNION SELECT o_custkey, o_orderpriority FROM orders UNION SELECT o_custkey, 'state ' || o_orderstatus FROM orders),
+top AS (SELECT DISTINCT attr FROM ea), z AS (SELECT entity, list(attr) l FROM ea GROUP BY entity)"""
 RUN_SQL = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) v FROM embeddings),
-s AS (SELECT q.vec_id qid, d.vec_id docid, list_inner_product(q.v, d.v) score FROM e q JOIN e d ON q.vec_id <> d.vec_id WHERE q.vec_id < 50),
+s AS (SELECT q.vec_id qid, d.vec_id docid, list_inner_product(q.v, d.v) score FROM e q JOIN e d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0),
 run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM s) WHERE rank <= 100),
-qrels AS (SELECT q.vec_id qid, d.vec_id docid FROM e q JOIN e d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id < 50)"""
+qrels AS (SELECT q.vec_id qid, d.vec_id docid FROM e q JOIN e d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0)"""
 SCORES_SQL = RUN_SQL + """,
 k AS (SELECT unnest([5, 20, 100]) AS cutoff),
 m AS (SELECT r.*, g.docid IS NOT NULL AS rel FROM run r LEFT JOIN qrels g USING (qid, docid)),
@@ -215,48 +225,48 @@ def template_buckets(spark, sf):
     return pairs.groupBy("template", sampling.bucket(F.col("num_docs")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-TOP_ATTRS_SQL = EA_SQL + ", top AS (SELECT attr FROM ea GROUP BY attr ORDER BY count(*) DESC, attr LIMIT 6), s AS (SELECT * FROM ea WHERE attr IN (SELECT attr FROM top)), z AS (SELECT entity, list(attr) l FROM s GROUP BY entity)"
-
-
-def _top(ea: DataFrame, n: int = 6) -> list[str]:
-    return [r["attr"] for r in ea.groupBy("attr").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "attr").limit(n).collect()]
-
-
-@query(f"""WITH {TOP_ATTRS_SQL}, c AS (SELECT x.attr a, y.attr b, w.attr c FROM top x, top y, top w WHERE x.attr <> y.attr AND x.attr <> w.attr AND y.attr <> w.attr),
+@query(f"""WITH {HABITS_SQL}, c AS (SELECT x.attr a, y.attr b, w.attr c FROM top x, top y, top w WHERE x.attr <> y.attr AND x.attr <> w.attr AND y.attr <> w.attr),
 k AS (SELECT a, b, c, count(*) FILTER (list_contains(l, a) OR list_contains(l, b) OR list_contains(l, c)) o, count(*) FILTER (list_contains(l, a) AND list_contains(l, b) AND list_contains(l, c)) n, count(*) FILTER (list_contains(l, a) AND list_contains(l, b) AND NOT list_contains(l, c)) m FROM c, z GROUP BY ALL),
 u AS (SELECT '_ or _ or _' AS template, a, b, c, o AS num_docs FROM k WHERE a < b AND b < c UNION ALL SELECT '_ that are also both _ and _', a, b, c, n FROM k WHERE a < b AND b < c UNION ALL SELECT '_ that are also _ but not _', a, b, c, m FROM k WHERE a < b)
 SELECT * FROM u WHERE num_docs BETWEEN 1 AND 1000000""")
 def template_triples(spark, sf):
-    ea = entity_attributes(spark, sf)
-    return setalg.valid_triples(ea, 1, 1_000_000, _top(ea))
+    return setalg.valid_triples(entity_habits(spark, sf), 1, 1_000_000)
 
 
-@query(f"""WITH {TOP_ATTRS_SQL}, i AS (SELECT attr, row_number() OVER (ORDER BY attr) i FROM top), a AS (SELECT max(attr) FILTER (i = 1) a, max(attr) FILTER (i = 2) b, max(attr) FILTER (i = 3) c FROM i)
+@query(f"""WITH {HABITS_SQL}, i AS (SELECT attr, row_number() OVER (ORDER BY attr) i FROM top), a AS (SELECT max(attr) FILTER (i = 1) a, max(attr) FILTER (i = 2) b, max(attr) FILTER (i = 3) c FROM i)
 SELECT 1::BIGINT id, entity FROM z, a WHERE list_contains(l, a) OR list_contains(l, b) UNION ALL SELECT 2, entity FROM z, a WHERE list_contains(l, a) OR list_contains(l, b) OR list_contains(l, c) UNION ALL SELECT 3, entity FROM z, a WHERE list_contains(l, a) AND list_contains(l, b)
 UNION ALL SELECT 4, entity FROM z, a WHERE list_contains(l, a) AND list_contains(l, b) AND list_contains(l, c) UNION ALL SELECT 5, entity FROM z, a WHERE list_contains(l, a) AND list_contains(l, b) AND NOT list_contains(l, c)
 UNION ALL SELECT 6, entity FROM z, a WHERE list_contains(l, a) AND NOT list_contains(l, b) UNION ALL SELECT 7, entity FROM z, a WHERE list_contains(l, a)""")
 def template_answers(spark, sf):
-    ea = entity_attributes(spark, sf)
-    a, b, c = sorted(_top(ea))[:3]
+    ea = entity_habits(spark, sf)
+    a, b, c = (r["attr"] for r in ea.select("attr").distinct().orderBy("attr").limit(3).collect())  # the three that are asked for
     asked = [(1, setalg.OR2, [a, b]), (2, setalg.OR3, [a, b, c]), (3, setalg.AND2, [a, b]), (4, setalg.AND3, [a, b, c]), (5, setalg.AND_NOT, [a, b, c]), (6, setalg.NOT, [a, b]), (7, setalg.SINGLE, [a])]
     return setalg.answers(ea, spark.createDataFrame(asked, "id long, template string, attrs array<string>"))
 
 
-@query(f"WITH {TOP_ATTRS_SQL} SELECT 'Who likes ' || x.attr || ' and also likes ' || y.attr || '?' AS text, '<mark>' || x.attr || '</mark> that are also <mark>' || y.attr || '</mark>' AS original, 2 AS depth FROM top x JOIN top y ON x.attr < y.attr")
+@query(f"WITH {HABITS_SQL} SELECT 'Who likes ' || x.attr || ' and also likes ' || y.attr || '?' AS text, '<mark>' || x.attr || '</mark> that are also <mark>' || y.attr || '</mark>' AS original, 2 AS depth FROM top x JOIN top y ON x.attr < y.attr")
 def query_texts(spark, sf):
-    top = spark.createDataFrame([(a,) for a in _top(entity_attributes(spark, sf))], "a string")
-    pairs = top.join(top.withColumnRenamed("a", "b"), F.col("a") < F.col("b"))
+    pairs = setalg.pair_counts(entity_habits(spark, sf))
     return pairs.select(setalg.render(setalg.AND2, F.col("a"), F.col("b")).alias("text"), setalg.render(setalg.AND2, F.col("a"), F.col("b"), marked=True).alias("original"), setalg.depth(F.lit(setalg.AND2)).alias("depth"))
 
 
 # --- sampling ----------------------------------------------------------------------------------
 
 
-@query(f"""WITH {PAIRS_SQL}, r AS (SELECT *, count(*) OVER () , row_number() OVER (PARTITION BY template ORDER BY md5('42|' || a || '|' || b), a || '|' || b) i FROM v WHERE num_docs BETWEEN 1 AND 200) SELECT template, count(*) n FROM r WHERE i <= 100 GROUP BY template""")
+@query(f"""WITH {PAIRS_SQL}, w AS (SELECT template, a || '|' || b AS k, num_docs, md5('42|' || template || '|' || a || '|' || b) o, CASE WHEN num_docs <= 20 THEN 0 WHEN num_docs <= 50 THEN 1 WHEN num_docs <= 100 THEN 2 WHEN num_docs <= 150 THEN 3 ELSE 4 END bucket FROM v WHERE num_docs BETWEEN 1 AND 200),
+f AS (SELECT *, row_number() OVER (PARTITION BY template, bucket ORDER BY o, k) n FROM w), m AS (SELECT *, row_number() OVER (PARTITION BY template ORDER BY (n > 20)::INT, o, k) m FROM f WHERE n <= 100) SELECT template, k AS attrs, num_docs, bucket FROM m WHERE m <= 100""")
 def sample_stratified(spark, sf):
     pairs = setalg.valid_pairs(entity_attributes(spark, sf), 1, 200)
     sampled = sampling.enumerated_queries(pairs.select("template", F.array("a", "b").alias("attrs"), "num_docs"), 100)
-    return sampled.groupBy("template").agg(F.count("*").alias("n"))
+    return sampled.select("template", F.array_join("attrs", "|").alias("attrs"), "num_docs", "bucket")
+
+
+@query(f"""WITH {EA_SQL}, n AS (SELECT attr, row_number() OVER (ORDER BY attr) i FROM (SELECT DISTINCT attr FROM ea)), t AS (SELECT unnest(range(1, 4001)) t),
+d AS (SELECT t, least(x.attr, y.attr) a, greatest(x.attr, y.attr) b FROM (SELECT t, ('0x' || substr(md5('42|_ or _|' || t || '|0'), 1, 8))::BIGINT % (SELECT count(*) FROM n) + 1 i, ('0x' || substr(md5('42|_ or _|' || t || '|1'), 1, 8))::BIGINT % (SELECT count(*) FROM n) + 1 j FROM t) JOIN n x USING (i) JOIN n y ON y.i = j WHERE x.attr <> y.attr),
+c AS (SELECT a, b, count(DISTINCT entity) num_docs FROM (SELECT DISTINCT a, b FROM d) JOIN ea ON attr IN (a, b) GROUP BY ALL) SELECT '_ or _' AS template, a, b, num_docs FROM c WHERE num_docs BETWEEN 1 AND 200""")
+def sample_drawn(spark, sf):
+    drawn = sampling.drawn_combinations(entity_attributes(spark, sf), setalg.OR2, 4000, 1, 200)
+    return drawn.select("template", F.col("attrs")[0].alias("a"), F.col("attrs")[1].alias("b"), "num_docs")
 
 
 @query("""WITH t AS (SELECT o_orderkey id, o_orderpriority AS template FROM orders), k AS (SELECT 100 // count(DISTINCT template) k FROM t)
@@ -277,17 +287,18 @@ def curated_candidates(spark, sf):
     return sampling.curated_candidates(label_qrels(spark, sf), dense_run(spark, sf))
 
 
-@query("""WITH l AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY doc_id) r FROM labels), g AS (SELECT 'q' || toxic AS query, doc_id FROM l WHERE r <= 3), p AS (SELECT 'q' || (1 - toxic) AS query, doc_id, row_number() OVER (PARTITION BY toxic ORDER BY doc_id) rank FROM labels)
-SELECT query, 'relevant' AS label, count(*) * 50 AS n FROM g GROUP BY query UNION ALL SELECT query, 'wrong', least(20, count(*)) FROM p ANTI JOIN g USING (query, doc_id) GROUP BY query""")
+@query("""WITH g AS (SELECT 'q' || toxic AS query, doc_id FROM labels), p AS (SELECT 'q' || (1 - toxic) AS query, doc_id, row_number() OVER (PARTITION BY toxic ORDER BY doc_id) rank FROM labels),
+s AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id) || doc_id) - 1 slot, count(*) OVER () n FROM (SELECT DISTINCT doc_id FROM documents)), q AS (SELECT DISTINCT query, ('0x' || substr(md5('42|' || query), 1, 8))::BIGINT start FROM g),
+w AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank) i FROM p ANTI JOIN g USING (query, doc_id)), d AS (SELECT query, doc_id FROM q JOIN s ON ((slot - start % n) + n) % n < least(250, n)),
+a AS (SELECT query, doc_id, 'relevant' AS label, 50 AS n FROM g UNION ALL SELECT query, doc_id, 'not relevant', 1 FROM w WHERE i <= 250 UNION ALL SELECT query, doc_id, 'not relevant', 1 FROM d ANTI JOIN g USING (query, doc_id))
+SELECT query, doc_id AS title, label, sum(n)::BIGINT AS n FROM a GROUP BY ALL""")
 def training_pairs(spark, sf):
     labels = t(spark, sf, "labels")
-    w = F.row_number().over(Window.partitionBy("toxic").orderBy("doc_id"))
-    r = labels.withColumn("r", w)
-    gold = r.where("r <= 3").select(F.concat(F.lit("q"), F.col("toxic").cast("string")).alias("query"), F.col("doc_id").alias("title"))
-    predicted = r.select(F.concat(F.lit("q"), (1 - F.col("toxic")).cast("string")).alias("query"), F.col("doc_id").alias("title"), F.col("r").alias("rank"))
-    none = labels.where("false").select(F.col("doc_id").alias("title"))
-    pairs = sampling.training_pairs(gold, predicted, none, negatives=20)
-    return pairs.groupBy("query", F.when(F.col("label") == "relevant", "relevant").otherwise("wrong").alias("label")).agg(F.count("*").alias("n"))
+    gold = labels.select(F.concat(F.lit("q"), F.col("toxic").cast("string")).alias("query"), F.col("doc_id").alias("title"))
+    r = F.row_number().over(Window.partitionBy("toxic").orderBy("doc_id"))
+    predicted = labels.select(F.concat(F.lit("q"), (1 - F.col("toxic")).cast("string")).alias("query"), F.col("doc_id").alias("title"), r.alias("rank"))
+    pairs = sampling.training_pairs(gold, predicted, t(spark, sf, "documents").select(F.col("doc_id").alias("title")))
+    return pairs.groupBy("query", "title", "label").agg(F.count("*").alias("n"))
 
 
 # --- joins and filters -------------------------------------------------------------------------

@@ -145,6 +145,76 @@ def test_training_pairs(spark):
     assert got.where("label = 'relevant'").count() == 3
     wrong = [r["title"] for r in got.where("label <> 'relevant'").collect()]
     assert "a" not in wrong and {"b", "c"} <= set(wrong) and 3 <= len(wrong) <= 4
+    for n in (0, 1, 17, 41, 99):  # exactly as many random documents as wanted, less the gold one if it is among them
+        random = [r["title"] for r in sampling.training_pairs(gold, predicted.limit(0), docs, 1, n).where("label <> 'relevant'").collect()]
+        assert len(random) == len(set(random)) and min(n, 41) - 1 <= len(random) <= min(n, 41) and "a" not in random
+    texts = docs.withColumn("text", F.concat(F.lit("text "), "title"))
+    rows = sampling.training_inputs(got, texts).collect()
+    assert len(rows) == got.count() and all(r["input"] == f"query: {r['query']}, doc: {r['title']}. text {r['title']}" for r in rows if r["title"][0] == "t" or r["title"] == "a")
+
+
+def test_drawn_combinations(spark):
+    import random
+
+    rng = random.Random(6)
+    sets = {f"e{i}": {f"a{j}" for j in range(12) if rng.random() < 0.3} for i in range(40)}
+    rel = spark.createDataFrame([(e, a) for e, s in sets.items() for a in s], "entity string, attr string")
+    for template in setalg.ARITY:
+        holds = {setalg.SINGLE: lambda s, a: a in s, setalg.OR2: lambda s, a, b: a in s or b in s, setalg.OR3: lambda s, *x: bool({*x} & s), setalg.AND2: lambda s, *x: {*x} <= s, setalg.AND3: lambda s, *x: {*x} <= s, setalg.AND_NOT: lambda s, a, b, c: {a, b} <= s and c not in s, setalg.NOT: lambda s, a, b: a in s and b not in s}[template]
+        got = sampling.drawn_combinations(rel, template, 60, 1, 30).collect()
+        assert got and len({tuple(r["attrs"]) for r in got}) == len(got)
+        assert all(1 <= r["num_docs"] <= 30 and r["num_docs"] == sum(holds(s, *r["attrs"]) for s in sets.values()) for r in got)
+        whole = sampling.combinations(rel, template, 1, 30).collect()
+        if template in setalg.UNORDERED + (setalg.NOT,):
+            assert {tuple(r["attrs"]) for r in got} <= {tuple(r["attrs"]) for r in whole}
+    assert setalg.upper_bound(setalg.NOT, 300) > sampling.ENUMERATED
+
+
+def test_equal_sets_are_no_or_pair(spark):
+    rel = spark.createDataFrame([("x", "A"), ("y", "A"), ("x", "B"), ("y", "B"), ("x", "C"), ("z", "C")], "entity string, attr string")
+    pairs = spark.createDataFrame([("A", "B"), ("B", "A"), ("A", "C"), ("B", "C")], "a string, b string")
+    assert {tuple(r) for r in sampling.distinct_sets(rel, pairs).collect()} == {("A", "C"), ("B", "C")}
+
+
+def test_dense_search_of_any_id(spark):
+    from rankloom.operators import dense
+
+    rows = [(f"doc é{i}", [float(i % 4), 1.0]) for i in range(12)]
+    docs = spark.createDataFrame(rows, "docid string, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([("Bob", [1.0, 0.0]), ("doc é3", [1.0, 1.0])], "qid string, embedding array<double>")
+    got = {(r["qid"], r["rank"]): r["docid"] for r in dense.search(queries, docs, 4, skip_self=True).collect()}
+    assert [got["Bob", i] for i in (1, 2, 3, 4)] == ["doc é11", "doc é3", "doc é7", "doc é10"]
+    assert [got["doc é3", i] for i in (1, 2, 3)] == ["doc é11", "doc é7", "doc é10"]
+    assert dense.search(queries.limit(0), docs, 3).collect() == [] and dense.search(queries, docs.limit(0), 3).collect() == []
+
+
+def test_boolean_scores_of_many_queries_are_one_plan(spark):
+    rng = __import__("random").Random(7)
+    facts = [(str(q), d, a, rng.random()) for q in range(30) for d in range(4) for a in "ABC" if rng.random() < 0.8]
+    df = spark.createDataFrame(facts, "qid string, docid long, atom string, p double")
+    shapes = ["A AND B", "A OR (B AND NOT C)", "A AND NOT B", "B AND A"]
+    queries = [(str(q), shapes[q % 4], ["A", "B", "C"]) for q in range(30)]
+    out = B.score_long(df, queries)
+    got = {(r["qid"], r["docid"]): r["p"] for r in out.collect()}
+    value = {(q, d, a): round(p, 6) for q, d, a, p in facts}
+    for q, d in {(q, d) for q, d, _, _ in facts}:
+        a, b, c = (value.get((q, d, x), 0.0) for x in "ABC")
+        want = [a * b, 1 - (1 - a) * (1 - b * (1 - c)), a * (1 - b), a * b][int(q) % 4]
+        assert got[q, d] == pytest.approx(want, abs=1e-9)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan
+    merged = B.score_long(spark.createDataFrame([("1", 1, "Red car", 0.5), ("1", 1, "red  car", 0.5)], "qid string, docid long, atom string, p double"), [("1", "Red car", ["Red car", "red  car"])])
+    assert merged.first()["p"] == 0.75
+
+
+def test_metrics_do_not_expand_rows(spark):
+    from rankloom.operators import metrics
+
+    run = spark.createDataFrame([("q", "a", 1), ("q", "a", 2), ("q", "b", 3)], "qid string, docid string, rank int")
+    gold = spark.createDataFrame([("q", "a"), ("q", "b")], "qid string, docid string")
+    out = metrics.per_query(run, gold, [2, 5])
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["cutoff"]: (r["hits"], r["distinct_hits"], r["n_ranked"]) for r in out.collect()} == {2: (2, 1, 3), 5: (3, 2, 3)}
 
 
 def test_bm25_fixture(spark):
