@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from rankloom.operators import aggregates as A
 from rankloom.operators import dense, joins, metrics
 from rankloom.plans.catalog import RUN_SQL, SCORES_SQL, dense_run, label_qrels, query, rounded, t
-from rankloom.plans.scratch import laid, scratch
 from rankloom.sources import judgments, rankings, records
+from rankloom.sources.scratch import laid, scratch
 
 s = lambda c: F.col(c).cast("string")
 price = lambda: F.round("o_totalprice", 2)
@@ -275,7 +275,7 @@ def tsv_round_trip(spark, sf):
     out = scratch(spark, "tsv")
     records.write_tsv(t(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").coalesce(1), out)
     cells, lines = records.read_tsv(spark, out), records.read_text_lines(spark, out)
-    return joins.zip_by_line(cells, lines).select(F.col("cells")[0].cast("long").alias("n_nationkey"), F.col("cells")[1].alias("n_name"), F.col("cells")[2].alias("region"), F.md5("line").alias("line"))
+    return joins.zip_by_line(cells, lines).select(F.col("cells")[0].cast("int").alias("n_nationkey"), F.col("cells")[1].alias("n_name"), F.col("cells")[2].alias("region"), F.md5("line").alias("line"))
 
 
 @query("SELECT dense_rank() OVER (ORDER BY o_custkey) AS position, 'q ' || o_custkey AS text, count(*) AS n FROM orders GROUP BY o_custkey UNION ALL SELECT dense_rank() OVER (ORDER BY o_custkey), 'v ' || o_custkey, count(*) FROM orders GROUP BY o_custkey")

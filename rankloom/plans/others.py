@@ -9,8 +9,8 @@ from rankloom.functions import text as T
 from rankloom.operators import aggregates as A
 from rankloom.operators import boolean, cost, dense, joins, metrics, plugins, ranking, rerank, sampling, setalg
 from rankloom.plans.catalog import HABITS_SQL, PAIRS_SQL, RUN_SQL, SCORES_SQL, dense_run, entity_attributes, entity_habits, label_qrels, query, rounded, t
-from rankloom.plans.scratch import scratch
-from rankloom.sources import judgments, rankings
+from rankloom.sources import rankings
+from rankloom.sources.scratch import scratch
 from rankloom.streaming import incremental
 
 s = lambda c: F.col(c).cast("string")

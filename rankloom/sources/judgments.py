@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.lexing import joined, safe_int, trimmed
 from rankloom.sources.lines import is_json, numbered_lines, parsed_json, with_fields
+from rankloom.sources.scratch import scratch
 
 
 def judgment_rows(lines: DataFrame, lenient: bool = False) -> DataFrame:
@@ -78,16 +79,18 @@ def read_query_ids(spark: SparkSession, path: str) -> DataFrame:
 def assign_ids(rows: DataFrame, order: str = "line_no", name: str = "id") -> DataFrame:
     """Ids 1..N in order for a table that has none; ids that are there stay.
 
-    N is counted by range partition, so that no task sees all rows.
+    Ranges of the order are written as files; a row's number is its place in its file plus the rows of the files before, so no
+    task sees all rows.  They are not computed twice: ranges come from a sample and would differ.
     """
     if name in rows.columns:
         return rows
     spark = rows.sparkSession
-    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order)
-    placed = ranged.withColumn("_place", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id())
-    parts = placed.groupBy("_part").agg(F.count("*").alias("n"), F.min("_place").alias("_first"))
-    parts = parts.withColumn("_before", F.expr("coalesce(sum(n) over (order by _part rows between unbounded preceding and 1 preceding), 0)")).drop("n")
-    return placed.join(F.broadcast(parts), "_part").withColumn(name, F.col("_before") + F.col("_place") - F.col("_first") + 1).drop("_place", "_part", "_first", "_before")
+    out = scratch(spark, "numbered")
+    rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order).write.parquet(out)
+    placed = spark.read.schema(rows.schema).parquet(out).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    parts = placed.groupBy("_file").agg(F.count("*").alias("n"))
+    parts = parts.select("_file", F.expr("coalesce(sum(n) over (order by _file rows between unbounded preceding and 1 preceding), 0)").alias("_before"))
+    return placed.join(F.broadcast(parts), "_file").withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_file", "_place", "_before")
 
 
 def judgment_lines(qrels: DataFrame, relevance: Column | None = None) -> DataFrame:

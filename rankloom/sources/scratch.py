@@ -1,4 +1,4 @@
-"""Files that queries write in a layout and read back."""
+"""Files in the shared folder: tables that must not be computed twice, and layouts that queries write and read back."""
 
 from __future__ import annotations
 

@@ -141,6 +141,9 @@ def test_records(spark, write, tmp_path):
 def test_ids_merges_and_checks(spark):
     plain = spark.createDataFrame([(i * 10, f"r{i}") for i in range(1, 101)], "line_no long, x string").repartition(7)
     assert rows(J.assign_ids(plain), "line_no", "id") == [(i * 10, i) for i in range(1, 101)]
+    many = spark.range(20_000).select((-F.col("id")).alias("line_no"), F.expr("repeat('x', 200)").alias("x")).repartition(5)
+    got = J.assign_ids(many)
+    assert got.where("id <> line_no + 20000").count() == 0 and got.count() == 20_000 and J.assign_ids(many.limit(0)).count() == 0
     old = spark.createDataFrame([("m", 1, "a"), ("n", 1, "b"), ("TOTAL", 1, "c")], "model string, k int, v string")
     new = spark.createDataFrame([("m", 1, "new")], "model string, k int, v string")
     assert rows(records.upsert(old, new, ["model", "k"], "model = 'TOTAL'"), "model", "v") == [("m", "new"), ("n", "b")]
