@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.operators.ranking import top_k
+from rankloom.sources.scratch import scratch
 
 #: Words are runs of letters and digits; the library defaults that apply where no parameters are given.
 TOKEN = r"[\p{L}\p{N}]+"
@@ -22,18 +23,26 @@ def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("docid"), F.explode(words(text)).alias("term"))
 
 
-def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
+def tokenised(docs: DataFrame, key: str = "docid", text: str = "text") -> DataFrame:
+    """(docid, w): every document's words, written once, as all statistics and postings come from them."""
+    out = scratch(docs.sparkSession, "words")
+    rows = docs.select(F.col(key).alias("docid"), F.coalesce(words(text), F.array().cast("array<string>")).alias("w"))
+    rows.write.parquet(out)
+    return docs.sparkSession.read.schema(rows.schema).parquet(out)
+
+
+def document_frequencies(own: DataFrame) -> DataFrame:
     """(term, df): words are made distinct within each row, so one aggregate by term is enough."""
-    return docs.select(F.explode(F.array_distinct(words(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return own.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def statistics(docs: DataFrame, text: str = "text") -> tuple[int, float, float]:
+def statistics(own: DataFrame) -> tuple[int, float, float]:
     """Number of documents, mean length, and what replaces a negative idf: a quarter of the mean idf.
 
     idf depends on df alone, so the mean comes from the histogram of df, which is short.
     """
-    n, avgdl = docs.agg(F.count("*"), F.coalesce(F.avg(F.coalesce(F.size(words(text)), F.lit(0))), F.lit(0.0))).first()
-    counted = document_frequencies(docs, text).groupBy("df").agg(F.count("*").alias("terms")).collect()
+    n, avgdl = own.agg(F.count("*"), F.coalesce(F.avg(F.size("w")), F.lit(0.0))).first()
+    counted = document_frequencies(own).groupBy("df").agg(F.count("*").alias("terms")).collect()
     total = sum(r["terms"] for r in counted)
     mean = sum(r["terms"] * (math.log(n - r["df"] + 0.5) - math.log(r["df"] + 0.5)) for r in counted) / total if total else 0.0
     return n, avgdl, EPSILON * mean
@@ -46,9 +55,10 @@ def idf(n: int, floor: float) -> Column:
 
 def index(docs: DataFrame, key: str = "docid", text: str = "text") -> tuple[DataFrame, DataFrame, tuple[int, float, float]]:
     """(postings: docid, term, tf, len), (terms: term, df, idf), :func:`statistics`."""
-    n, avgdl, floor = statistics(docs, text)
-    own = docs.select(F.col(key).alias("docid"), words(text).alias("w")).select("docid", F.size("w").alias("len"), F.explode("w").alias("term"))
-    return own.groupBy("docid", "len", "term").agg(F.count("*").alias("tf")), document_frequencies(docs, text).withColumn("idf", idf(n, floor)), (n, avgdl, floor)
+    own = tokenised(docs, key, text)
+    n, avgdl, floor = statistics(own)
+    rows = own.select("docid", F.size("w").alias("len"), F.explode("w").alias("term"))
+    return rows.groupBy("docid", "len", "term").agg(F.count("*").alias("tf")), document_frequencies(own).withColumn("idf", idf(n, floor)), (n, avgdl, floor)
 
 
 def scores(queries: DataFrame, docs: DataFrame, query_key: str = "qid", query_text: str = "query", key: str = "docid", text: str = "text") -> DataFrame:
@@ -58,10 +68,11 @@ def scores(queries: DataFrame, docs: DataFrame, query_key: str = "qid", query_te
     """
     asked = tokens(queries, query_key, query_text).withColumnRenamed("docid", "qid").groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     wanted = asked.select("term").distinct()
-    n, avgdl, floor = statistics(docs, text)
-    own = docs.select(F.col(key).alias("docid"), words(text).alias("w")).select("docid", F.size("w").alias("len"), F.explode("w").alias("term"))
-    tf = own.join(wanted, "term", "left_semi").groupBy("term", "docid", "len").agg(F.count("*").alias("tf"))
-    terms = document_frequencies(docs, text).join(wanted, "term", "left_semi").select("term", idf(n, floor).alias("idf"))
+    own = tokenised(docs, key, text)
+    n, avgdl, floor = statistics(own)
+    rows = own.select("docid", F.size("w").alias("len"), F.explode("w").alias("term"))
+    tf = rows.join(wanted, "term", "left_semi").groupBy("term", "docid", "len").agg(F.count("*").alias("tf"))
+    terms = document_frequencies(own).join(wanted, "term", "left_semi").select("term", idf(n, floor).alias("idf"))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avgdl))
     part = tf.join(terms, "term").select("term", "docid", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("w"))
     return part.join(asked, "term").groupBy("qid", "docid").agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
