@@ -59,7 +59,7 @@ BROADCAST_PAIRS = 1_000_000
 #: Members of a list whose pairs are compared at once.
 SHORT = 16
 #: Members of a long list that are compared with others of a block; documents of a shingle whose list is never held by one task.
-BLOCK, SPLIT = 512, 1 << 16
+BLOCK, SPLIT = 128, 1 << 16
 SALTS = 16
 MANY = np.dtype([("h", "u1", 3), ("n", "<u4")])
 POSTING = np.dtype([("key", "<u8"), ("owner", "<i8"), ("n", "<i4"), ("pos", "<i4")])
