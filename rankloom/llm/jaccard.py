@@ -356,8 +356,8 @@ def _scanned(threshold: int):
         for _, blobs in _buckets(batches, "rows"):
             rows, first = _lists(np.frombuffer(b"".join(x for x, in blobs), dtype=POSTING))
             size = np.diff(first)
-            out = []
-            for n in range(2, SHORT + 1):
+            out = [np.zeros((0, 6), dtype=np.int64)]
+            for n in np.unique(size[size <= SHORT]).tolist():
                 begin = first[:-1][size == n]
                 for i in range(n):
                     for j in range(i + 1, n):
