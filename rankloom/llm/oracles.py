@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankloom.llm import decontaminate, neighbours, url_filter
+from rankloom.llm import decontaminate, neighbours, topk, url_filter
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -36,6 +36,13 @@ r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM r JOIN l ON
 SELECT d.doc_id, coalesce(any_value(n), 0) n_shingles, min(b) component_id FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
 """
 
+TOPK = f"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * x::DOUBLE)) v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id query_id, d.vec_id, list_inner_product(q.v, d.v)::BIGINT score FROM e q JOIN e d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= {topk.K_BEST}
+"""
+
 
 def url_sql() -> str:
     model = url_filter.NgramLogistic().fit(url_filter.LABELLED)
@@ -54,4 +61,4 @@ FROM h LEFT JOIN z USING (page_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_nearest_neighbours": NEIGHBOURS, "op3_benchmark_decontamination": DECONTAMINATION, "op6_url_filter": url_sql(), "op7_ngram_jaccard_join": JACCARD}
+    return {"op2_nearest_neighbours": NEIGHBOURS, "op3_benchmark_decontamination": DECONTAMINATION, "op6_url_filter": url_sql(), "op7_ngram_jaccard_join": JACCARD, "op12_exact_topk": TOPK}
