@@ -7,7 +7,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.operators.ranking import top_k
 from rankloom.sources.scratch import scratch
 
 #: Words are runs of letters and digits; the library defaults that apply where no parameters are given.
@@ -81,7 +80,8 @@ def scores(queries: DataFrame, docs: DataFrame, query_key: str = "qid", query_te
 def search(queries: DataFrame, docs: DataFrame, k: int = 100, negated: bool = False, **names) -> DataFrame:
     """The k best documents of each query; ties (to 9 decimals, as sums may be taken in any order) by id.
 
-    ``negated`` stores -score, as some run files do.
+    Postings are read by falling impact, as far as needed (see ``impacts``).  ``negated`` stores -score, as some run files do.
     """
-    ranked = top_k(scores(queries, docs, **names), k, F.desc(F.round("score", 9)), F.col("docid"))
-    return ranked.withColumn("score", -F.col("score")) if negated else ranked
+    from rankloom.operators import impacts
+
+    return impacts.search(queries, docs, k, negated, **names)

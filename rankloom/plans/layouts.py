@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from rankloom.operators import aggregates as A
 from rankloom.operators import dense, joins, metrics
 from rankloom.plans.catalog import RUN_SQL, SCORES_SQL, dense_run, label_qrels, query, rounded, t
-from rankloom.sources import judgments, rankings, records
+from rankloom.sources import judgments, rankings, records, stores
 from rankloom.sources.scratch import laid, scratch
+from rankloom.streaming import incremental
 
 s = lambda c: F.col(c).cast("string")
 price = lambda: F.round("o_totalprice", 2)
@@ -30,16 +31,16 @@ def by_customer(spark, sf) -> DataFrame:
 
 def _plain(spark, sf, second: str) -> str:
     line = F.concat_ws(" ", F.concat(F.lit("c"), s("o_custkey")), F.lit(second), F.lit("order "), s("o_orderkey"), (F.col("o_orderkey") % 3).cast("string"))
-    return laid(orders(spark, sf), line, "o_orderkey", "qrels", one=False)
+    return laid(orders(spark, sf), line, "o_orderkey", "qrels")
 
 
 def _beir(spark, sf) -> str:
     row = F.to_json(F.struct(s("o_custkey").alias("query-id"), s("o_orderkey").alias("corpus-id"), (F.col("o_orderkey") % 3 * 0.7).alias("score")))
-    return laid(orders(spark, sf), row, "o_orderkey", "beir", one=False)
+    return laid(orders(spark, sf), row, "o_orderkey", "beir")
 
 
 def _inline(spark, sf) -> str:
-    return laid(by_customer(spark, sf), F.to_json(F.struct(s("o_custkey").alias("_id"), F.transform("items", lambda x: x["o_orderkey"].cast("string")).alias("docs"))), "o_custkey", "inline", one=False)
+    return laid(by_customer(spark, sf), F.to_json(F.struct(s("o_custkey").alias("_id"), F.transform("items", lambda x: x["o_orderkey"].cast("string")).alias("docs"))), "o_custkey", "inline")
 
 
 @query("SELECT DISTINCT 'c' || o_custkey AS qid, 'order ' || o_orderkey AS docid FROM orders WHERE o_orderkey % 3 > 0")
@@ -221,7 +222,7 @@ def results_written(spark, sf):
 @query("SELECT row_number() OVER (ORDER BY c_custkey) AS line_no, c_custkey, c_name, c_acctbal FROM customer")
 def jsonl_round_trip(spark, sf):
     out = scratch(spark, "json")
-    records.write_jsonl(t(spark, sf, "customer").repartitionByRange(3, "c_custkey").sortWithinPartitions("c_custkey").coalesce(1), out)
+    records.write_jsonl(t(spark, sf, "customer").repartitionByRange(3, "c_custkey").sortWithinPartitions("c_custkey"), out)
     return records.read_jsonl(spark, out, "c_custkey long, c_name string, c_acctbal double")
 
 
@@ -273,7 +274,7 @@ def document_maps(spark, sf):
 @query("SELECT n_nationkey, n_name, n_regionkey::VARCHAR AS region, md5(n_nationkey || chr(9) || n_name || chr(9) || n_regionkey) AS line FROM nation")
 def tsv_round_trip(spark, sf):
     out = scratch(spark, "tsv")
-    records.write_tsv(t(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").coalesce(1), out)
+    records.write_tsv(t(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey").repartitionByRange(3, "n_nationkey").sortWithinPartitions("n_nationkey"), out)
     cells, lines = records.read_tsv(spark, out), records.read_text_lines(spark, out)
     return joins.zip_by_line(cells, lines).select(F.col("cells")[0].cast("int").alias("n_nationkey"), F.col("cells")[1].alias("n_name"), F.col("cells")[2].alias("region"), F.md5("line").alias("line"))
 
@@ -360,3 +361,47 @@ def shards_checked(spark, sf):
     rows = orders(spark, sf).select((F.col("o_custkey") % 5).alias("shard"))
     expected = rows.groupBy("shard").agg(F.count("*").alias("expected")).unionAll(spark.createDataFrame([(5, 3)], "shard long, expected long"))
     return records.valid_shards(rows, expected)
+
+
+# --- stores that another job opens --------------------------------------------------------------
+
+#: Vectors of different lengths, so that an index ordered by length can skip shards.
+LONG_SQL = """e AS (SELECT 'doc ' || vec_id AS docid, vec_id, list_transform(embedding, lambda x: x::DOUBLE * (1 + (vec_id * 7) % 16)) v FROM embeddings),
+s AS (SELECT 'q' || q.vec_id AS qid, d.docid, list_inner_product(q.v, d.v) score FROM e q JOIN e d ON TRUE WHERE q.vec_id % 100 = 0)"""
+
+
+@query(f"WITH {LONG_SQL} SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 100")
+def vector_index_opened(spark, sf):
+    """An index is written in shards by falling length; it is opened from its path, checked against its manifest, and asked for the top 100."""
+    e = t(spark, sf, "embeddings").withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") * (1 + (F.col("vec_id") * 7) % 16)))
+    e = e.select("vec_id", F.concat(F.lit("doc "), s("vec_id")).alias("docid"), "embedding")
+    at = scratch(spark, "vector-index")
+    stores.write_index(e, at, shard_rows=64)
+    asked = e.where("vec_id % 100 = 0").select(F.concat(F.lit("q"), s("vec_id")).alias("qid"), "embedding")
+    found = stores.search_index(stores.open_index(spark, at), asked, 100)
+    return rounded(found.rows.withColumn("rank", F.col("rank").cast("long")).select("qid", "docid", "rank", "score"), "score")
+
+
+@query("""WITH a AS (SELECT doc_id, md5(text) AS digest, lang FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, md5(text || '!') AS digest, lang FROM documents WHERE doc_id % 3 <> 1),
+st AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE doc_id NOT IN (SELECT doc_id FROM a)) SELECT docid, lang, digest FROM (SELECT 'd' || doc_id AS docid, * FROM st) WHERE doc_id IN (SELECT doc_id FROM labels)""")
+def documents_stored(spark, sf):
+    """Documents are added in two batches that overlap (the first stays); those that have labels are fetched by id."""
+    d = t(spark, sf, "documents").select("doc_id", F.concat(F.lit("d"), s("doc_id")).alias("docid"), "lang", "text")
+    at = scratch(spark, "document-store")
+    stores.DocumentStore.create(spark, at, "docid string, lang string, text string").add(d.where("doc_id % 3 <> 0"))
+    store = stores.DocumentStore.open(spark, at)
+    store.add(d.where("doc_id % 3 <> 1").withColumn("text", F.concat("text", F.lit("!"))))
+    ids = t(spark, sf, "labels").select(F.concat(F.lit("d"), s("doc_id")).alias("docid"))
+    return store.fetch_all(ids).select("docid", "lang", F.md5("text").alias("digest"))
+
+
+@query("SELECT l_suppkey % 16 AS shard, count(*) AS n, sum(l_linenumber)::BIGINT AS total FROM lineitem GROUP BY ALL")
+def shards_repaired(spark, sf):
+    """Of a table in shards one loses rows and one all of them; both, and no others, are computed again."""
+    rows = t(spark, sf, "lineitem").select((F.col("l_suppkey") % 16).cast("int").alias("shard"), "l_orderkey", "l_linenumber")
+    expected = rows.groupBy("shard").agg(F.count("*").alias("expected"))
+    again = lambda wanted: rows.join(F.broadcast(wanted), "shard", "left_semi")  # noqa: E731  a name for each shard
+    at = scratch(spark, "shards")
+    again(expected.where("shard <> 5").select("shard")).where("shard <> 2 or l_linenumber > 1").write.partitionBy("shard").parquet(at)
+    incremental.repaired(spark, at, expected, again)
+    return spark.read.parquet(at).groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count("*").alias("n"), F.sum("l_linenumber").cast("long").alias("total"))

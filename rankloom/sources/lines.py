@@ -8,19 +8,24 @@ from pyspark.sql import functions as F
 from rankloom.functions.lexing import fields, trimmed
 
 
+#: Files that Spark's writers leave in a folder are parts of one text.
+PART = r"/part-[^/]*$"
+
+
 def numbered_lines(spark: SparkSession, path: str | list[str], start: int = 1) -> DataFrame:
-    """(file, line_no, line): numbers count blank lines and start anew in each file.
+    """(file, line_no, line): numbers count blank lines and start anew in each file, or folder of part files.
 
-    A split of a file is read in order by one task.  So a line's number is its place in its split
+    Part files (``part-*``) follow one another by name and are numbered through, so a text may be written by
+    many tasks.  A split of a file is read in order by one task.  So a line's number is its place in its split
     plus the lines of the splits before; only one row for each split is aggregated and joined back,
     and no line is sorted or moved.
     """
-    raw = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    raw = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("split"))
     raw = raw.withColumn("place", F.monotonically_increasing_id())
-    splits = raw.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("place").alias("first"))
-    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = raw.groupBy("part", "split").agg(F.count("*").alias("n"), F.min("place").alias("first")).withColumn("file", F.regexp_replace("part", PART, ""))
+    before = Window.partitionBy("file").orderBy("part", "split").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    joined = raw.join(splits, ["file", "split"])
+    joined = raw.join(splits, ["part", "split"])
     return joined.select("file", (F.col("before") + F.col("place") - F.col("first") + start).alias("line_no"), "line")
 
 

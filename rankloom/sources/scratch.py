@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,7 +14,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A path that is not there yet, in ``spark.checkpoint.dir``; in a temporary folder only where that is unset on a single machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="rankloom-")
     out = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -30,12 +31,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     return out
 
 
-def laid(rows: DataFrame, value: Column, key: str, name: str, one: bool = True) -> str:
-    """Lines ``value`` in the order of ``key`` as text; their path.
-
-    ``one`` file, as the layouts whose readers number lines have it (numbers start anew in each file); else several.
-    """
+def laid(rows: DataFrame, value: Column, key: str, name: str) -> str:
+    """Lines ``value`` in the order of ``key`` as text, in several part files; their path."""
     out = scratch(rows.sparkSession, name)
-    lines = rows.select(value.alias("value"), key).repartitionByRange(4, key).sortWithinPartitions(key).select("value")
-    (lines.coalesce(1) if one else lines).write.text(out)
+    rows.select(value.alias("value"), key).repartitionByRange(4, key).sortWithinPartitions(key).select("value").write.text(out)
     return out

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rankloom.operators.joins import unprocessed
+from rankloom.sources.records import valid_shards
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -44,6 +45,27 @@ def missing_chunks(done: DataFrame, expected: int) -> DataFrame:
     return spark.range(expected).select(F.col("id").cast("int").alias("chunk")).join(done.select("chunk"), "chunk", "left_anti")
 
 
+def repaired(spark: SparkSession, path: str, expected: DataFrame, compute: Callable[[DataFrame], DataFrame], shard: str = "shard") -> list:
+    """Compute again the shards of a table at ``path`` that do not have the rows that ``expected`` (shard, expected) says, and return their names.
+
+    ``compute`` gets a table of those shards and gives their rows.  Only their folders are replaced.  ``ValueError`` if a shard is not right then either.
+    """
+    def broken() -> list:
+        if not exists(spark, path):
+            return sorted(r[0] for r in expected.where("expected > 0").select(shard).collect())
+        there = spark.read.parquet(path).select(F.col(shard).alias("shard"))
+        found = valid_shards(there, expected.select(F.col(shard).alias("shard"), "expected"))
+        return sorted(r["shard"] for r in found.where(~F.col("valid")).collect())  # names of shards, never rows
+
+    bad = broken()
+    if bad:
+        wanted = expected.where(F.col(shard).isin(bad)).select(shard)
+        compute(wanted).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(shard).parquet(path)
+        if still := broken():
+            raise ValueError(f"shards {still} still have other rows than expected")
+    return bad
+
+
 def cached(keys: DataFrame, path: str, compute: Callable[[DataFrame], DataFrame], key: str = "key") -> DataFrame:
     """Values by key from a Parquet cache; missing ones are computed and added first."""
     append_new(keys, path, compute, key)
