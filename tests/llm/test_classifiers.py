@@ -89,6 +89,25 @@ def test_pooling_by_hand():
             np.testing.assert_allclose(got[d, i], np.max(z, axis=0) if z else np.zeros(3), rtol=1e-4, atol=1e-5)
 
 
+def test_scores_do_not_depend_on_the_batch():
+    """Each text alone, all in one batch, and in reverse order: the same bits."""
+    rng = np.random.default_rng(3)
+    model = X.TextCnn(buckets=512, dims=16, filters=12)
+    model.shift[:] = rng.normal(size=model.shift.shape)
+    sizes = [0, 1, 2, 5, 300, 1, 17, 0, 64, 5]
+    texts = [rng.integers(0, 512, (n, X.PARTS)).astype(np.int32) for n in sizes]
+    texts[-1] = texts[3]
+
+    def margins(some):
+        return model.margin(np.concatenate(some), np.concatenate([[0], np.cumsum([len(t) for t in some])])).tolist()
+
+    together = margins(texts)
+    assert together == [margins([t])[0] for t in texts] == margins(texts[::-1])[::-1]
+    assert together[3] == together[-1]
+    ids, first = np.concatenate(texts), np.concatenate([[0], np.cumsum(sizes)])
+    np.testing.assert_allclose(together, model.pool(ids, first)[0] @ model.out + model.bias, rtol=1e-4, atol=1e-4)
+
+
 def test_languages_and_thresholds():
     data, off = K.text_buffer(pa.array(["the cat of the house", "der Hund und die Katze", "le chat est dans la maison", "el gato que las casas", "xyzzy", ""]))
     s, e, first = K.words(data, off, K.ALNUM)
