@@ -30,27 +30,29 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 
-#: The labelled URL table: (URL, 1 for unwanted).
-UNWANTED = (
-    "cheap-meds.example.net/buy/tablets", "pillstore.example.com/en/41", "discount-pills.example.net/order", "online-pharmacy.example.com/de/18", "viagra-shop.example.org/es/7", "cheapest-rx.example.com/fr/220",
-    "pills-express.example.com/en/770", "meds-4u.example.org/de/44", "casino-royal.example.org/en/64", "www.online-casino.example.com/de/7", "m.mega-win.example.net/en/33", "instant-win.example.com/fr/5", "free-poker.example.net/en/61",
-    "www.live-bets.example.com/es/9", "blog.free-movies.example.org/en/14", "m.adult-chat.example.com/de/88", "xxx-adult.example.net/fr/18", "ads-click.example.org/en/220", "www.banner-ads.example.net/es/41", "web-track.example.com/en/12",
-    "www.spam-mail.example.org/de/300", "spam-blog.example.com/en/404", "m.click-farm.example.net/fr/92", "like-farm.example.org/es/510",
-    "royal-casino.example.com/bonus/spin", "casinos-online.example.net/en/92", "vegas-casino.example.org/play", "jackpot-winner.example.net/claim", "winbig.example.com/en/510", "big-wins.example.org/slots", "lucky-spin.example.net/fr/33",
-    "sports-betting.example.com/odds", "bets-now.example.org/de/963", "betting-tips.example.net/es/12", "free-spins.example.com/en/7", "freestuff.example.org/claim/now", "free-gift.example.net/prize", "poker-room.example.com/en/300",
-    "adserver.example.net/banner/728", "pop-ads.example.org/fr/584", "ads-network.example.com/de/61", "click-tracker.example.net/en/9", "tracking-pixel.example.com/img", "trackers.example.org/redirect", "adclick.example.com/es/404",
-    "spammer.example.net/en/728", "bulk-spam.example.com/mail", "spam-links.example.org/fr/14", "link-farms.example.net/seo", "content-farm.example.com/en/88", "seo-farming.example.org/backlinks", "buy-followers.example.net/de/5",
-    "payday-loans.example.com/apply", "fast-cash.example.org/en/64", "replica-watch.example.net/rolex", "get-rich.example.com/crypto", "crack-keygen.example.org/download", "hot-dating.example.net/adult", "adult-cams.example.com/live", "miracle-diet.example.org/weight-loss",
-)
-WANTED = (
-    "library.example.org/en/books/21", "news.example.com/2021/05/story", "blog.garden.example.net/posts/roses", "www.museum.example.org/visit/hours", "university.example.net/research/physics", "docs.example.com/guide/install",
-    "wiki.example.org/en/412", "m.weather.example.com/de/963", "recipes.example.net/es/12", "city.example.org/fr/584", "science.example.com/en/885", "forum.linux.example.net/thread/1021", "www.travel.example.com/en/770", "blog.history.example.org/fr/369",
-    "school.example.net/en/300", "health.example.org/de/18", "music.example.com/es/404", "m.theatre.example.org/en/64", "archive.example.net/fr/220", "open.maps.example.com/es/7", "hospital.example.org/contact/staff", "www.station.example.net/de/5",
-    "parliament.example.org/en/728", "blog.mountain.example.com/fr/14", "nature.example.net/en/88", "railway.example.com/de/61", "m.gardening.example.org/es/33", "www.weathered.example.net/en/510", "stories.example.com/fr/61", "another.example.org/en/92",
-    "blog.tradition.example.net/de/41", "national.example.com/en/9", "m.reading.example.org/en/7", "www.others.example.com/fr/33", "shore.example.net/en/14", "blog.nations.example.org/es/61", "writers.example.com/en/220", "together.example.net/de/7",
-    "m.heritage.example.com/en/41", "www.thinking.example.org/es/5", "blog.handmade.example.net/en/18", "ancient.example.com/de/300", "orchestra.example.org/fr/9", "weekend.example.net/en/404", "m.harbour.example.com/fr/64", "blog.languages.example.org/de/88",
-)
-LABELLED = tuple((f"https://{u}", 1) for u in UNWANTED) + tuple((f"https://{u}", 0) for u in WANTED)
+#: The labelled URL table: hosts and paths as a list of unwanted sites and one of ordinary sites name them, by kind.
+UNWANTED = {
+    "medicines": "bestrxonline.com/viagra-discount genericmeds24.biz/order/cialis canadianpharmacy.info/cheap-pills pharmacystore.net/buy-now buytabletsonline.org/no-prescription dietpills.biz/lose-weight-fast cheapmeds.net/order onlinepharmacy.biz/pills weightlosspills.com/offer pillsdirect.info/shop steroidshop.org/buy discountdrugs.net/no-rx",
+    "gambling": "vegascasino.com/slots/bonus onlinepokerroom.net/play sportsbetting.info/odds luckyjackpot.biz/win/claim casinobonus.org/free-spins bet-now.com/live bingoonline.net/sign-up casinoroyale.biz/jackpot slotmachines.net/spin betting-tips.org/today winbigcasino.com/register pokerbets.info/tables onlinecasino.org/bonus-code footballbets.com/live-odds",
+    "adult": "xxxvideos.net/free adultcams.com/live hotsexchat.biz/girls nudepics.info/gallery pornhost.net/tube/free escortsdating.com/tonight sexdates.com/join freeporn.org/videos livesexcams.net/chat adultdating.info/meet",
+    "advertising": "adserver.net/banner/click ads.popunder.com/redirect clicktracker.biz/pixel.gif tracking.adnetwork.com/beacon bannerads.info/show affiliatelinks.net/go/offer adclick.biz/track popads.net/serve tracker.info/pixel ads.server.org/banner clickbank-offers.com/hop trackingads.com/conversion",
+    "fraud": "winaniphone.com/claim-prize paypal-login-secure.info/verify account-update.biz/signin freegiftcards.net/survey cryptodouble.com/invest instantloans.info/apply getrichquick.biz/now lotterywinner.org/claim freeiphone.org/win prizewinner.biz/claim-now verify-bank.info/login easymoney.com/work-from-home paydayloans.org/cash bitcoinprofit.net/join",
+    "copies": "crackedsoftware.net/keygen warezdownload.org/serial freemovies.biz/watch-online torrentz.info/full-hd replicawatches.com/rolex-cheap fakedesigner.net/bags freedownload.biz/crack pirated.org/movies serialkeys.net/free cheapwatches.info/replica streamfree.net/episodes",
+    "link trading": "linkfarm.biz/backlinks seospam.net/submit articlespinner.info/rewrite buyfollowers.com/likes freetraffic.org/hits guestpost.biz/cheap-links spamlinks.org/post contentfarm.net/articles seofarm.com/links bulkemail.biz/spam cheaptraffic.info/visitors linkexchange.net/add autoblog.org/spun",
+}
+WANTED = {
+    "news": "dailynews.com/politics/2021/05 theherald.co.uk/world/story tribune.org/opinion/letters morningpost.net/economy gazette.org/weather localpaper.com/sport/results lemonde-info.fr/societe nachrichten.de/wirtschaft elpais-noticias.es/cultura",
+    "reference": "encyclopedia.org/wiki/Mathematics dictionary.net/define/word openmaps.org/city/park wikibooks.org/history thesaurus.com/synonym statistics.gov/tables/census bibliothek.de/katalog enciclopedia.es/articulo",
+    "teaching": "university.edu/physics/research school.org/pupils/calendar college.ac.uk/courses/biology lectures.net/theory/notes academy.org/library/thesis institute.de/forschung ecole.fr/enseignement universidad.es/facultad",
+    "government": "parliament.gov/bills/42 ministry.gov/health/report cityhall.org/council/minutes court.gov/decisions transport.gov/roads mairie.fr/services ayuntamiento.es/tramites",
+    "culture": "museum.org/exhibitions/ancient theatre.com/season/tickets orchestra.org/concerts filmarchive.net/catalogue gallery.org/painters poetry.net/authors musee.fr/collection literatura.es/autores",
+    "science and health": "astronomy.org/observations hospital.org/patients/visit chemistry.net/elements nature-journal.com/articles geology.org/rocks medicine.edu/anatomy forschung.de/ergebnisse",
+    "technology": "docs.python-guide.org/tutorial/functions kernel-notes.net/patches github-pages.io/project/readme forum.linuxhelp.org/thread/1021 engineering.blog.com/databases standards.org/rfc/793 softwarearchive.net/manual",
+    "home and travel": "gardening.org/roses recipes.com/bread/sourdough travelguide.net/mountains/paths railways.org/timetable weather.com/forecast knitting.net/patterns cuisine.fr/recettes wandern.de/routen",
+    "people": "blog.thewriter.net/2019/03/letters johnsmith.com/about familyhistory.org/names photographer.net/portfolio neighbours.org/meeting carpenter.com/workshop together.org/volunteers",
+    "trade": "bookshop.com/novels hardware.net/tools furniture.org/chairs bakery.com/opening-hours insurance.net/contact bank.com/branches bicycle.org/repairs stationery.net/paper",
+}
+LABELLED = tuple((f"https://{u}", y) for y, kinds in ((1, UNWANTED), (0, WANTED)) for urls in kinds.values() for u in urls.split())
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
