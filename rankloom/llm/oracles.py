@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-from rankloom.llm import decontaminate, neighbours, topk, url_filter
+from rankloom.llm import decontaminate, topk, url_filter
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-NEIGHBOURS = f"""
-WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) v FROM embeddings WHERE embedding IS NOT NULL),
-ok AS (SELECT * FROM e WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
-s AS (SELECT q.vec_id query_id, d.vec_id, list_inner_product(q.v, d.v) score FROM ok q JOIN ok d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v) WHERE q.vec_id % 20 = 0)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= {neighbours.K_BEST}
-"""
-
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 DECONTAMINATION = f"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '{_WORD}'), []) w FROM documents),
@@ -61,4 +54,4 @@ FROM h LEFT JOIN z USING (page_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_nearest_neighbours": NEIGHBOURS, "op3_benchmark_decontamination": DECONTAMINATION, "op6_url_filter": url_sql(), "op7_ngram_jaccard_join": JACCARD, "op12_exact_topk": TOPK}
+    return {"op3_benchmark_decontamination": DECONTAMINATION, "op6_url_filter": url_sql(), "op7_ngram_jaccard_join": JACCARD, "op12_exact_topk": TOPK}

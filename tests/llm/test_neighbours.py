@@ -50,13 +50,33 @@ def test_few_and_no_rows(spark):
     assert run(spark, rows) == [(20, 1, 2, 0.5), (20, 2, 3, 0.5)]
 
 
-def test_recall_on_test_tables(spark):
-    sf = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_recall_on_test_tables(spark, sf):
+    """The stop is a chance, so the query is held against brute force by recall; its scores are exact."""
+    sf = f"/root/testdata/{sf}"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
-    want = {r[:1] + r[2:3] for r in brute(rows, lambda i: i % 20 == 0)}
+    brute_rows = brute(rows, lambda i: i % 20 == 0)
+    want = {r[:1] + r[2:3] for r in brute_rows}
     got = N.op2_nearest_neighbours(spark, sf).collect()
     assert len(got) == len(want)
-    assert len({(r["query_id"], r["vec_id"]) for r in got} & want) >= 0.9 * len(want)
+    assert len({(r["query_id"], r["vec_id"]) for r in got} & want) >= 0.93 * len(want)
+    vectors = {i: np.array(v, dtype=np.float64) for i, v in rows}
+    for r in got:
+        assert r["score"] == pytest.approx(float(vectors[r["query_id"]] @ vectors[r["vec_id"]]), abs=1e-12)
+
+
+def test_share_verified_on_test_tables(spark):
+    """Recall and the share of vectors verified, on 2,000 vectors of equal length that hardly lie in clusters."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = [tuple(r) for r in df.collect()]
+    asked = df.where(F.col("vec_id") % 20 == 0)
+    found = N.search(N.build_index(df), asked).persist()
+    want = {r[:1] + r[2:3] for r in brute(rows, lambda i: i % 20 == 0)}
+    got = {(r["query_id"], r["vec_id"]) for r in N._best(found, 20).collect()}
+    share = found.agg(F.sum("verified")).first()[0] / (len({q for q, _ in want}) * len(rows))
+    recall = len(got & want) / len(want)
+    print(f"recall {recall:.3f}, verified {share:.3f}")
+    assert recall >= 0.93 and share < 0.85
 
 
 def test_chi_square_quantile():
