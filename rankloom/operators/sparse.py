@@ -52,12 +52,17 @@ def idf(n: int, floor: float) -> Column:
     return F.when(raw < 0, floor).otherwise(raw)
 
 
+def postings(own: DataFrame, *more: str) -> DataFrame:
+    """(docid, term, tf, len) and the columns ``more`` of the document, from (docid, w)."""
+    rows = own.select("docid", F.size("w").alias("len"), *more, F.explode("w").alias("term"))
+    return rows.groupBy("docid", "len", "term", *more).agg(F.count("*").alias("tf"))
+
+
 def index(docs: DataFrame, key: str = "docid", text: str = "text") -> tuple[DataFrame, DataFrame, tuple[int, float, float]]:
     """(postings: docid, term, tf, len), (terms: term, df, idf), :func:`statistics`."""
     own = tokenised(docs, key, text)
     n, avgdl, floor = statistics(own)
-    rows = own.select("docid", F.size("w").alias("len"), F.explode("w").alias("term"))
-    return rows.groupBy("docid", "len", "term").agg(F.count("*").alias("tf")), document_frequencies(own).withColumn("idf", idf(n, floor)), (n, avgdl, floor)
+    return postings(own), document_frequencies(own).withColumn("idf", idf(n, floor)), (n, avgdl, floor)
 
 
 def scores(queries: DataFrame, docs: DataFrame, query_key: str = "qid", query_text: str = "query", key: str = "docid", text: str = "text") -> DataFrame:

@@ -10,14 +10,19 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 
 
-def scratch(spark: SparkSession, name: str) -> str:
+def kept_folder(spark: SparkSession, name: str) -> str:
     """A path that is not there yet, in ``spark.checkpoint.dir``; in a temporary folder only where that is unset on a single machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="rankloom-")
-    out = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """The same, for files that are deleted when the interpreter ends."""
+    out = kept_folder(spark, name)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
