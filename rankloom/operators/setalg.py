@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import comb
 
 from pyspark.sql import Column, DataFrame
@@ -95,54 +96,120 @@ def singles(ea: DataFrame) -> DataFrame:
     return ea.groupBy(F.col("attr").alias("a")).agg(F.count("*").alias("na"))
 
 
-def pair_counts(ea: DataFrame, grid: bool = True) -> DataFrame:
-    """(a, b, na, nb, nab) for a < b.  With ``grid`` also pairs that never meet.
+#: Rows of one side that are compared with as many of the other in one group of a block product.
+CHUNK = 1024
+
 
-    Pairs that meet come from an equi-join on the entity.  The grid is over the attributes, whose
-    number the caller bounds (see :func:`upper_bound`); it does not grow with the entities.
+def size_pairs(left: DataFrame, right: DataFrame, may: Callable[[int, int, int, int], bool] = lambda *_: True, chunk: int = CHUNK) -> DataFrame:
+    """Pairs of a row of ``left`` (its last column a size of at least 1) and one of ``right`` (likewise), in blocks.
+
+    Rows fall into classes by size, 2^i to 2^(i+1) - 1, and classes into chunks by hash.  ``may`` (least and most size on the left, least and most on the
+    right) tells which classes can meet; a chunk goes to the chunks of those alone, by an equi-join on both chunks' names.  So no task sees
+    more than a block, and what sizes rule out is not compared.
     """
+    sides = []
+    for df in (left, right):
+        size = F.col(df.columns[-1])
+        df = df.withColumn("_class", F.floor(F.log2(size) + 1e-12).cast("int"))
+        # at most one row for each power of two
+        sides.append((df, {r["_class"]: -(-r["n"] // chunk) for r in df.groupBy("_class").agg(F.count("*").alias("n")).collect()}))
+    (a, of_a), (b, of_b) = sides
+    ends = lambda i: (1 << i, (1 << i + 1) - 1)
+    meets = [(i, j) for i in of_a for j in of_b if may(*ends(i), *ends(j))]
+    if not meets:
+        return a.where("false").join(b.where("false"), "_class").drop("_class")
+
+    def placed(df: DataFrame, own: dict[int, int], other: dict[int, int], partners: dict[int, list[int]], mine: str, theirs: str) -> DataFrame:
+        number = lambda of: F.create_map(*(F.lit(x) for i, n in of.items() for x in (i, n)))
+        chunk_ = F.pmod(F.xxhash64(*(c for c in df.columns if c != "_class")), F.get(F.map_values(F.map_filter(number(own), lambda k, _: k == F.col("_class"))), F.lit(0)))
+        reached = F.coalesce(*(F.when(F.col("_class") == i, F.array(*(F.struct(F.lit(j).alias("c"), F.lit(other[j]).alias("n")) for j in js))) for i, js in partners.items()), F.array().cast("array<struct<c:int,n:int>>"))
+        out = df.withColumn(f"_{mine}k", chunk_.cast("int")).withColumn("_r", F.explode(reached)).withColumn(f"_{theirs}k", F.explode(F.sequence(F.lit(0), F.col("_r.n") - 1)))
+        return out.withColumn(f"_{theirs}c", F.col("_r.c")).withColumnRenamed("_class", f"_{mine}c").drop("_r")
+
+    of = lambda at, other, mine: {i: [j for x in meets for j in [x[other]] if x[at] == i] for i in mine if any(x[at] == i for x in meets)}
+    keys = ["_ac", "_ak", "_bc", "_bk"]
+    return placed(a, of_a, of_b, of(0, 1, of_a), "a", "b").join(placed(b, of_b, of_a, of(1, 0, of_b), "b", "a"), keys).drop(*keys)
+
+
+def met_pairs(ea: DataFrame, n: DataFrame | None = None) -> DataFrame:
+    """(a, b, na, nb, nab) for a < b that some entity has both of: an equi-join on the entity."""
     from rankloom.operators.joins import attribute_pairs
 
-    ea = ea.distinct()
-    n = singles(ea)
+    n = singles(ea) if n is None else n
     both = attribute_pairs(ea).withColumnRenamed("both", "nab")
-    if grid:
-        left, right = n, n.select(F.col("a").alias("b"), F.col("na").alias("nb"))
-        pairs = left.join(right, F.col("a") < F.col("b"))
-        return pairs.join(both, ["a", "b"], "left").na.fill({"nab": 0}).select("a", "b", "na", "nb", "nab")
     return both.join(n, "a").join(n.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b").select("a", "b", "na", "nb", "nab")
 
 
+def pair_counts(ea: DataFrame, grid: bool = True) -> DataFrame:
+    """(a, b, na, nb, nab) for a < b.  With ``grid`` also pairs that never meet, in blocks (see :func:`size_pairs`)."""
+    ea = ea.distinct()
+    n = singles(ea)
+    met = met_pairs(ea, n)
+    if not grid:
+        return met
+    every = size_pairs(n, n.select(F.col("a").alias("b"), F.col("na").alias("nb"))).where("a < b")
+    return every.join(met.select("a", "b", "nab"), ["a", "b"], "left").na.fill({"nab": 0}).select("a", "b", "na", "nb", "nab")
+
+
 def valid_pairs(ea: DataFrame, least: int, most: int) -> DataFrame:
-    """(template, a, b, num_docs) of all two-attribute combinations within the range; not-templates in both orders."""
-    p = pair_counts(ea)
+    """(template, a, b, num_docs) of all two-attribute combinations within the range; not-templates in both orders.
+
+    Pairs that meet come from the join on the entity, and and-templates need no others.  For the rest the sizes are the counts, so only attributes whose sizes
+    can give a count in the range are brought together.
+    """
+    ea = ea.distinct()
+    n = singles(ea)
+    met = met_pairs(ea, n)
     row = lambda template, x, y, size: F.struct(F.lit(template).alias("template"), F.col(x).alias("x"), F.col(y).alias("y"), size.alias("num_docs"))
     na, nb, nab = F.col("na"), F.col("nb"), F.col("nab")
     sets = F.array(row(OR2, "a", "b", na + nb - nab), row(AND2, "a", "b", nab), row(NOT, "a", "b", na - nab), row(NOT, "b", "a", nb - nab))
-    rows = p.select(F.explode(sets).alias("s")).select("s.*")
-    return rows.where(F.col("num_docs").between(least, most)).select("template", F.col("x").alias("a"), F.col("y").alias("b"), "num_docs")
+    rows = met.select(F.explode(sets).alias("s")).select("s.*")
+    other = n.select(F.col("a").alias("b"), F.col("na").alias("nb"))
+    either = size_pairs(n.where(na <= most), other.where(nb <= most), lambda l1, h1, l2, h2: l1 + l2 <= most and h1 + h2 >= least).where("a < b")
+    apart = either.select(F.lit(OR2).alias("template"), F.col("a").alias("x"), F.col("b").alias("y"), (na + nb).alias("num_docs"))
+    apart = apart.unionAll(size_pairs(n.where(na.between(least, most)), other).where("a <> b").select(F.lit(NOT), "a", "b", "na"))
+    if least <= 0 <= most:
+        apart = apart.unionAll(size_pairs(n, other).where("a < b").select(F.lit(AND2), "a", "b", F.lit(0).cast("long")))
+    apart = apart.where(F.col("num_docs").between(least, most)).withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")}).join(met.select("a", "b"), ["a", "b"], "left_anti")
+    rows = rows.where(F.col("num_docs").between(least, most)).unionByName(apart.select("template", "x", "y", "num_docs"))
+    return rows.select("template", F.col("x").alias("a"), F.col("y").alias("b"), "num_docs")
 
 
 def valid_triples(ea: DataFrame, least: int, most: int, attrs: list[str] | None = None) -> DataFrame:
     """(template, a, b, c, num_docs) within the range, by inclusion and exclusion.
 
-    Triples that meet are counted by a join on the entity; and-templates need no others.  For the
-    or-template the grid is over the attributes given (at most a few dozen), as is that of and-not.
+    And-templates come from the join on the entity alone.  For the or-template only pairs and attributes whose sizes are within the range are brought
+    together, for and-not only pairs that meet often enough with attributes that can take enough away (see :func:`size_pairs`).
     """
     ea = ea.distinct() if attrs is None else ea.where(F.col("attr").isin(*attrs)).distinct()
-    n, p = singles(ea), pair_counts(ea)
+    n = singles(ea)
+    met = met_pairs(ea, n)
+    third = n.select(F.col("a").alias("c"), F.col("na").alias("nc"))
     e = lambda name: ea.select("entity", F.col("attr").alias(name))
     three = e("a").join(e("b"), "entity").where("a < b").join(e("c"), "entity").where("b < c").groupBy("a", "b", "c").agg(F.count("*").alias("nabc"))
-    grid = p.join(n.select(F.col("a").alias("c"), F.col("na").alias("nc")), F.col("b") < F.col("c"))
-    other = lambda x, y, name: p.select(F.col("a").alias(x), F.col("b").alias(y), F.col("nab").alias(name))
-    t = grid.join(other("a", "c", "nac"), ["a", "c"]).join(other("b", "c", "nbc"), ["b", "c"]).join(three, ["a", "b", "c"], "left").na.fill({"nabc": 0})
-    row = lambda template, x, y, z, size: F.struct(F.lit(template).alias("template"), F.col(x).alias("a"), F.col(y).alias("b"), F.col(z).alias("c"), size.alias("num_docs"))
     c = F.col
-    sets = F.array(
-        row(OR3, "a", "b", "c", c("na") + c("nb") + c("nc") - c("nab") - c("nac") - c("nbc") + c("nabc")), row(AND3, "a", "b", "c", c("nabc")),
-        row(AND_NOT, "a", "b", "c", c("nab") - c("nabc")), row(AND_NOT, "a", "c", "b", c("nac") - c("nabc")), row(AND_NOT, "b", "c", "a", c("nbc") - c("nabc")),
-    )
-    return t.select(F.explode(sets).alias("s")).select("s.*").where(F.col("num_docs").between(least, most))
+    within = c("num_docs").between(least, most)
+    out = three.select(F.lit(AND3).alias("template"), "a", "b", "c", c("nabc").alias("num_docs")).where(within)
+    if least <= 0 <= most:
+        every = size_pairs(pair_counts(ea).select("a", "b", "na"), third).where("b < c").select("a", "b", "c")
+        out = out.unionAll(every.join(three, ["a", "b", "c"], "left_anti").select(F.lit(AND3), "a", "b", "c", F.lit(0).cast("long")))
+    # or: the union of a and b, then c
+    unions = pair_counts(ea).select("a", "b", (c("na") + c("nb") - c("nab")).alias("nu")).where(c("nu") <= most)
+    t = size_pairs(unions, third.where(c("nc") <= most), lambda l1, h1, l2, h2: max(l1, l2) <= most and h1 + h2 >= least).where("b < c")
+    other = lambda x, y, name: met.select(c("a").alias(x), c("b").alias(y), c("nab").alias(name))
+    t = t.join(other("a", "c", "nac"), ["a", "c"], "left").join(other("b", "c", "nbc"), ["b", "c"], "left").join(three, ["a", "b", "c"], "left").na.fill(0, ["nac", "nbc", "nabc"])
+    # |a or b or c| = |a or b| + |c| - |(a or b) and c|
+    out = out.unionAll(t.select(F.lit(OR3), "a", "b", "c", (c("nu") + c("nc") - (c("nac") + c("nbc") - c("nabc"))).alias("num_docs")).where(within))
+    # and-not: pairs that meet, less a third
+    pairs = met.select("a", "b", "nab").where(c("nab") >= least)
+    u = size_pairs(pairs, third, lambda l1, h1, l2, h2: l1 - h2 <= most).where((c("c") != c("a")) & (c("c") != c("b")))
+    x, y, z = (F.array_sort(F.array("a", "b", "c"))[i].alias(k) for i, k in enumerate(("s0", "s1", "s2")))
+    u = u.select("*", x, y, z).join(three.select(c("a").alias("s0"), c("b").alias("s1"), c("c").alias("s2"), "nabc"), ["s0", "s1", "s2"], "left").na.fill(0, ["nabc"])
+    out = out.unionAll(u.select(F.lit(AND_NOT), "a", "b", "c", (c("nab") - c("nabc")).alias("num_docs")).where(within))
+    if least <= 0 <= most:
+        unmet = pair_counts(ea).where("nab = 0").select("a", "b", "na")
+        out = out.unionAll(size_pairs(unmet, third).where((c("c") != c("a")) & (c("c") != c("b"))).select(F.lit(AND_NOT), "a", "b", "c", F.lit(0).cast("long")))
+    return out
 
 
 def depth(template: Column, attrs: Column | None = None) -> Column:

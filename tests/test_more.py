@@ -49,3 +49,43 @@ def test_corpora_and_indexed_examples(spark, tmp_path):
     (details / "a.csv").write_text("q,e\n1,x\n")
     (details / "b.csv").write_text("q,e\n2,y\n")
     assert records.read_details(spark, [str(details / "a.csv"), str(details / "b.csv")], "q int, e string").count() == 2
+
+
+def _brute_combinations(own, least, most):
+    """All two- and three-attribute combinations of a relation {entity: attributes} by sets."""
+    of = {}
+    for e, attrs in own.items():
+        for a in attrs:
+            of.setdefault(a, set()).add(e)
+    out, names = set(), sorted(of)
+    for a in names:
+        for b in names:
+            if a < b:
+                out |= {("_ or _", a, b, len(of[a] | of[b])), ("_ that are also _", a, b, len(of[a] & of[b]))}
+            if a != b:
+                out.add(("_ that are not _", a, b, len(of[a] - of[b])))
+            for c in names:
+                if a < b < c:
+                    out |= {("_ or _ or _", a, b, c, len(of[a] | of[b] | of[c])), ("_ that are also both _ and _", a, b, c, len(of[a] & of[b] & of[c]))}
+                if a < b and c not in (a, b):
+                    out.add(("_ that are also _ but not _", a, b, c, len((of[a] & of[b]) - of[c])))
+    return {r for r in out if least <= r[-1] <= most}
+
+
+def test_combinations_come_without_a_grid(spark, monkeypatch):
+    import random
+
+    from rankloom.operators import setalg
+
+    monkeypatch.setattr(setalg, "CHUNK", 3)
+    random.seed(5)
+    own = {e: {a for i, a in enumerate("abcdefghijk") if random.random() < 0.7 / (1 + i)} for e in range(40)}
+    own[99] = {"z"}
+    ea = spark.createDataFrame([(e, a) for e, attrs in own.items() for a in attrs] + [(99, "z")], "entity long, attr string")
+    for least, most in ((1, 40), (2, 5), (0, 0), (30, 100), (200, 300)):
+        pairs, triples = setalg.valid_pairs(ea, least, most), setalg.valid_triples(ea, least, most)
+        got = [tuple(r) for df in (pairs, triples) for r in df.collect()]
+        assert len(got) == len(set(got)) and set(got) == _brute_combinations(own, least, most), (least, most)
+    plan = setalg.valid_pairs(ea, 1, 40)._jdf.queryExecution().optimizedPlan().toString() + setalg.valid_triples(ea, 1, 40)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Join Cross" not in plan
+    assert setalg.valid_pairs(ea.limit(0), 1, 40).collect() == [] and setalg.valid_triples(ea.limit(0), 1, 40).collect() == []
