@@ -3,11 +3,12 @@
 Pages are put in order by host and URL path.  The text blocks of a page are aligned with those of its
 two nearest pages of the host by a longest common subsequence; blocks that are shared are the site's,
 not the page's, and are deleted.  A neighbour that shares nearly all of a page's text (``COPY``) is a
-copy and tells nothing of the template; it is passed over.  Blocks inside an element that the page
+copy and tells nothing of the template; it is passed over.  The alignment is asked about every block.  Blocks inside an element that the page
 itself marks as its article are kept where one near page shares them (quotations, licence lines), and
 deleted where the nearest pages and the next ones, three to four together, all hold them.  Of what no
 page shares, elements marked as navigation, header, footer, sidebar, notice, advert, form or comment
-are deleted by that mark.
+are deleted by that mark; inside an article only elements, roles and whole names count as marks, not parts of
+a name (share-buttons is one, share-price is not).  Each page tells how many blocks went either way.
 
 A first job reads the keys alone: it divides their order into ranges and finds, for the borders of each,
 the pages within reach on the other side.  The second parses pages, sends each page's blocks (of site
@@ -55,6 +56,8 @@ ROLES = frozenset("navigation banner complementary contentinfo search form alert
 WHOLE = frozenset("ad ads alert comment comments consent login modal nav notice notices promo related reply replies respond share sharing skip social widget".split())
 BEGINNINGS = ("adbanner", "adslot", "advert", "banner", "breadcrumb", "commentbox", "commentform", "commentlist", "cookie", "disqus", "footer", "menu", "navbar", "navigation", "newsletter", "pagination", "popup", "recommend", "sidebar", "signup", "sponsor", "subscri", "toolbar")
 HEADERS = ("header", "masthead", "topbar")
+#: What may follow such a part in a name within an article (share-buttons, but not share-price).
+HOLDERS = frozenset("area bar bars block blocks box boxes button buttons container count footer form group header icon icons inner item items line link links list outer panel post posts row section slot text thread title unit wrap wrapper zone".split())
 ARTICLES = frozenset("article-body article-content articlebody post-content post-body entry-content main-content story-body".split())
 
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"'>]+)))?""")
@@ -70,6 +73,21 @@ REACH, LEAST_PAGES = 4, 3
 COPY = 0.95
 
 
+def _marked(names: str, inside: bool) -> bool:
+    """Whether class and id names call an element none of the article's.
+
+    Outside of articles any part of a name tells; ``inside`` one the whole name must be of such parts, followed at most by words for a holder.
+    """
+    calls = lambda x: x in WHOLE or x.startswith(BEGINNINGS)
+    if not inside:
+        return any(calls(x) for x in _PART.split(names) if x)
+    for name in names.split():
+        parts = [x for x in _PART.split(name) if x]
+        if parts and calls(parts[0]) and all(calls(x) or x in HOLDERS or x.isdigit() for x in parts[1:]):
+            return True
+    return False
+
+
 def _kind(tag: str, attributes: str, outer: int) -> int:
     """What the blocks inside an element are, given what those around it are."""
     if outer == SITE:
@@ -79,7 +97,7 @@ def _kind(tag: str, attributes: str, outer: int) -> int:
         return SITE
     names = f"{found.get('class', '')} {found.get('id', '')}"
     parts = [x for x in _PART.split(names) if x]
-    if tag in BOILERPLATE or found.get("role") in ROLES or any(x in WHOLE or x.startswith(BEGINNINGS) for x in parts):
+    if tag in BOILERPLATE or found.get("role") in ROLES or _marked(names, outer == ARTICLE):
         return SITE
     if outer != ARTICLE and (tag == "header" or any(x.startswith(HEADERS) for x in parts)):
         return SITE
@@ -238,8 +256,11 @@ def shared(a: Sequence[Hashable], b: Sequence[Hashable]) -> set[int]:
     return found
 
 
-def kept_places(lines: Sequence[Hashable], kinds: Sequence[int], sizes: Sequence[int], near: Sequence[Sequence[Hashable]], further: Sequence[Sequence[Hashable]] = (), copy: float = COPY) -> list[int]:
-    """Places of the blocks that are the page's own, after differencing; ``further`` pages speak on article blocks."""
+def kept_places(lines: Sequence[Hashable], kinds: Sequence[int], sizes: Sequence[int], near: Sequence[Sequence[Hashable]], further: Sequence[Sequence[Hashable]] = (), copy: float = COPY) -> tuple[list[int], int, int]:
+    """Places of the blocks that are the page's own, after differencing, and how many the alignment and the marks have deleted; ``further`` pages speak on article blocks.
+
+    The alignment is asked first, about every block; the marks decide on what no near page shares.
+    """
     size = sum(n for n, k in zip(sizes, kinds, strict=True) if k != SITE) or 1
     alike: list[set[int]] = []  # places shared with each page that is no copy
 
@@ -255,14 +276,16 @@ def kept_places(lines: Sequence[Hashable], kinds: Sequence[int], sizes: Sequence
             held = set(other)
             add({i for i, x in enumerate(lines) if x in held})
     everywhere: set[int] = gone.intersection(*alike) if len(alike) >= LEAST_PAGES else set()
-    return [i for i, k in enumerate(kinds) if (k == ARTICLE and i not in everywhere) or (k == PLAIN and i not in gone)]
+    shared_ = {i for i, k in enumerate(kinds) if i in (everywhere if k == ARTICLE else gone)}
+    kept = [i for i, k in enumerate(kinds) if i not in shared_ and k != SITE]
+    return kept, len(shared_), len(kinds) - len(shared_) - len(kept)
 
 
 def main_text(own: list[tuple[str, int]], near: list[list[tuple[str, int]]], copy: float = COPY, further: list[list[tuple[str, int]]] = ()) -> str:
     """The page's own blocks, one to a line, after differencing against its ``near`` pages; ``further`` ones speak on article blocks."""
     texts = lambda page: [x for x, _ in page]
     lines = texts(own)
-    return "\n".join(lines[i] for i in kept_places(lines, [k for _, k in own], [len(x) for x in lines], [texts(x) for x in near], [texts(x) for x in further], copy))
+    return "\n".join(lines[i] for i in kept_places(lines, [k for _, k in own], [len(x) for x in lines], [texts(x) for x in near], [texts(x) for x in further], copy)[0])
 
 
 KEY = ("host", "path", "id", "tie")
@@ -353,13 +376,15 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         around = sorted((abs(j - at), j) for j in range(max(0, at - REACH), min(len(pages), at + REACH + 1)) if j != at and pages[j]["key"][:2] == page["key"][:2])
         near = [pages[j]["lines"] for d, j in around if d == 1]
         further = [pages[j]["lines"] for d, j in around[:REACH] if d > 1]
-        text = "\n".join(page["texts"][i] for i in kept_places(page["lines"], page["kinds"], [len(x) for x in page["texts"]], near, further))
-        out.extend((page_id, url, text, len(text)) for page_id, url in page["rows"])
+        kept, aligned, marked = kept_places(page["lines"], page["kinds"], [len(x) for x in page["texts"]], near, further)
+        text = "\n".join(page["texts"][i] for i in kept)
+        out.extend((page_id, url, text, len(text), aligned, marked) for page_id, url in page["rows"])
 
     def batch_of() -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [[]] * 4
+        columns = list(zip(*out, strict=True)) or [[]] * 6
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_chars"])
+        types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["page_id", "url", "text", "n_chars", "aligned_away", "marked_away"])
 
     for batch in batches:
         for r in batch.to_pylist():
@@ -387,7 +412,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """A row per page: page_id, url, text and n_chars."""
+    """A row per page: page_id, url, text and n_chars; aligned_away and marked_away are the blocks that near pages share and those that only marks tell."""
     spark = pages.sparkSession
     short_batches(spark)
     host, path = host_path(F.col(url))
@@ -402,7 +427,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
     # a range for each task
     to = F.element_at(F.array(*map(F.lit, even_keys(spark, n))), F.pmod(F.col("range"), F.lit(n)) + 1)
     dealt = parsed.withColumn("to", to).repartition(n, "to").drop("to").sortWithinPartitions("range", *KEY)
-    return dealt.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    return dealt.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long, aligned_away long, marked_away long")
 
 
 def op1_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -182,3 +182,24 @@ def test_query_on_test_tables(spark):
         want = [" ".join(html.unescape(re.sub(r"<[^>]*(?:>|$)", " ", x)).split()) for x in parts]
         assert r["text"].split("\n") == ([x for x in want if x] or [""])
         assert r["n_chars"] == len(r["text"])
+
+
+def test_names_inside_an_article_count_as_a_whole(spark):
+    """A name of which only a part is a mark loses no article text; elements that are marked by their whole name go."""
+    kept = ("share-price", "menu-of-the-day", "comment-on-law", "ad-hoc", "related-work", "banner-of-freedom", "alert-level-story", "social-history")
+    gone = ("share", "share-buttons", "ad", "ad-slot", "comments", "comments-section", "related-posts", "newsletter-signup", "disqus_thread", "ad-unit-3", "social-share-links")
+    body = "".join(f'<div class="x {c}">text {c}</div><p id="{c}">line {c}</p>' for c in (*kept, *gone))
+    page = f'<div class="share-price">outside</div><article><p>start</p>{body}<nav>n</nav><p role="alert">r</p></article>'
+    want = ["start", *(x for c in kept for x in (f"text {c}", f"line {c}"))]
+    assert H.main_text(H.blocks(page), []).split("\n") == want
+    got = H.extract(spark.createDataFrame([(1, "http://h/a", page)], "page_id long, url string, html string")).first()
+    assert got["text"].split("\n") == want and (got["aligned_away"], got["marked_away"]) == (0, 2 * len(gone) + 3)
+
+
+def test_alignment_is_asked_before_the_marks(spark):
+    """What near pages share is put down to the alignment, though it is marked too."""
+    page = lambda i: f"<nav>menu</nav><div class=ad>only {i}</div><article><p>own {i} text of the page</p></article><p>plain shared</p>"
+    df = spark.createDataFrame([(i, f"http://h/{i}", page(i)) for i in range(5)], "page_id long, url string, html string")
+    rows = H.extract(df).orderBy("page_id").collect()
+    assert [r["text"] for r in rows] == [f"own {i} text of the page" for i in range(5)]
+    assert {(r["aligned_away"], r["marked_away"]) for r in rows} == {(2, 1)}
