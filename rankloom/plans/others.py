@@ -355,6 +355,17 @@ def appended_from_stream(spark, sf):
     for part in (rows.where("id % 3 > 0"), rows.where("id % 3 < 2")):
         part.write.mode("append").json(source)
         incremental.append_stream(spark, source, "id long, v long", out, checkpoint, lambda x: x).awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
+@query("SELECT CASE WHEN value > 50 THEN 'yes' ELSE 'no' END AS gold, event_type AS predicted, count(*) AS n FROM events GROUP BY ALL")
+def confusion_streamed(spark, sf):
+    """A running confusion matrix over files that arrive in three parts, with a restart before each; its state is in the checkpoint."""
+    source, out, checkpoint = (scratch(spark, x) for x in ("judged", "matrix", "counted"))
+    e = t(spark, sf, "events").select(F.when(F.col("value") > 50, "yes").otherwise("no").alias("gold"), F.col("event_type").alias("predicted"), F.pmod(F.xxhash64("event_id"), F.lit(3)).alias("part"))
+    for part in range(3):
+        e.where(F.col("part") == part).select("gold", "predicted").write.mode("append").json(source)
+        incremental.confusion_stream(spark, source, "gold string, predicted string", out, checkpoint).awaitTermination()
     return spark.read.parquet(out)
 
 

@@ -1,7 +1,7 @@
 """Incremental append by id, restartable work lists, and running confusion counts.
 
 Batch inputs use the anti-join of :func:`rankloom.operators.joins.unprocessed`.  Where new rows keep
-arriving as files, the same rule runs for each micro-batch; the checkpoint folder makes a restart go
+arriving as files, streams keep what they have seen and counted in their state store; the checkpoint folder makes a restart go
 on where the last batch ended.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,20 +23,44 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def append_new(rows: DataFrame, path: str, work: Callable[[DataFrame], DataFrame], key: str = "id") -> int:
-    """Work on the rows whose id the output lacks, append the results, and return how many there were."""
+    """Work on the rows whose id the output lacks, append the results, and return how many there were: counted as they are written."""
     spark = rows.sparkSession
     fresh = rows.dropDuplicates([key])
     if exists(spark, path):
         fresh = unprocessed(fresh, spark.read.parquet(path).select(key), key)
-    before = spark.read.parquet(path).count() if exists(spark, path) else 0
-    work(fresh).write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    seen = Observation()
+    work(fresh).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
+
+
+def arriving(spark: SparkSession, source: str, schema: str) -> DataFrame:
+    """JSON files that arrive in ``source``."""
+    return spark.readStream.schema(schema).json(source)
 
 
 def append_stream(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str, work: Callable[[DataFrame], DataFrame], key: str = "id") -> StreamingQuery:
-    """The same for JSON files that arrive in ``source``; it takes all that are there, then stops."""
-    stream = spark.readStream.schema(schema).json(source)
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, _: append_new(batch, path, work, key) and None).start()
+    """The same for JSON files that arrive in ``source``; it takes all that are there, then stops.
+
+    The ids that were seen are kept in the checkpoint's state store, so the output is never read.  A batch has a folder ``batch=N`` of its
+    own below ``path``, which it replaces when it is run again after a failure.
+    """
+    def put(batch: DataFrame, number: int) -> None:
+        work(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream = arriving(spark, source, schema).dropDuplicates([key])
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
+
+
+def confusion_stream(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str) -> StreamingQuery:
+    """(gold, predicted, n) over all JSON rows (gold, predicted, ...) that have arrived: the counts live in the state store.
+
+    After each batch ``path`` is replaced by the whole matrix, one row for each pair of classes.
+    """
+    def put(matrix: DataFrame, _: int) -> None:
+        matrix.coalesce(1).write.mode("overwrite").parquet(path)
+
+    counts = arriving(spark, source, schema).groupBy("gold", "predicted").agg(F.count("*").alias("n"))
+    return counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
 
 
 def missing_chunks(done: DataFrame, expected: int) -> DataFrame:
