@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rankloom.functions.lexing import trimmed
+from rankloom.functions.states import split_outside
 
 #: Property names that carry no evidence for a query (those of ids are known by their names).
 USELESS_PROPERTIES = (
@@ -180,9 +181,8 @@ def fenced(text: Column, language: str, last: bool = True) -> Column:
 
 
 def balanced_split(text: Column) -> Column:
-    """Parts between commas that stand in no quotes and no brackets, one level of brackets deep in brackets."""
-    part = r"""(?:"[^"]*"|'[^']*'|\((?:[^()]|\([^()]*\))*\)|\[[^\[\]]*\]|[^,"'(\[])+"""
-    return F.transform(F.regexp_extract_all(text, F.lit(part), 0), trimmed)
+    """Parts between commas that stand in no quotes and no brackets, at any depth."""
+    return split_outside(text)
 
 
 def section_header(line: Column) -> Column:

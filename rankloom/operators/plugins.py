@@ -6,11 +6,12 @@ back, so that a run can also start from values computed elsewhere.
 
 from __future__ import annotations
 
+import resource
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.operators.boolean import atoms_of, parse
@@ -89,7 +90,13 @@ def candidates(ea: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def timed(name: str, action: Callable[[], object]) -> dict:
-    """Wall time of a step, for a table of steps."""
+    """Wall time of a step and the driver's peak memory, for a table of steps."""
     begin = time.perf_counter()
     action()
-    return {"step": name, "seconds": time.perf_counter() - begin}
+    return {"step": name, "seconds": time.perf_counter() - begin, "driver_mb": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024}
+
+
+def append_steps(spark: SparkSession, steps: list[dict], path: str) -> None:
+    """Add measured steps to a CSV table."""
+    rows = spark.createDataFrame([(x["step"], x["seconds"], x["driver_mb"]) for x in steps], "step string, seconds double, driver_mb double")
+    rows.coalesce(1).write.mode("append").option("header", True).csv(path)

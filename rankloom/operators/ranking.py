@@ -43,6 +43,11 @@ def by_score_stable(rows: DataFrame, score: str = "score", place: str = "rank",
     return rows.withColumn("_place", F.col(place)).withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), "_place"))).drop("_place")
 
 
+def ranked_hits(rows: DataFrame, k: int, index: str = "idx", score: str = "score", key: str = "qid") -> DataFrame:
+    """Results of an index sorted again by score (ties by their place in it); places below 0 are missing hits: left out, though their rank counts."""
+    return top_k(rows, k, F.desc(score), F.col(index), key=key).where(F.col(index) >= 0)
+
+
 def by_verdict(rows: DataFrame, verdict: str = "verdict", key: str = "qid") -> DataFrame:
     """Documents that were found true first, each part in its former order."""
     order = Window.partitionBy(key).orderBy(F.desc(F.coalesce(F.col(verdict) == "True", F.lit(False))), "rank")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.operators import metrics
 from rankloom.operators.joins import with_relevance
 from rankloom.operators.ranking import by_probability, by_score_stable, by_verdict
 
@@ -43,6 +44,12 @@ def verdict_rerank(run: DataFrame, verdicts: DataFrame) -> DataFrame:
     return by_verdict(run.join(verdicts.select("qid", "docid", "verdict"), ["qid", "docid"], "left"))
 
 
+def verdict_metrics(run: DataFrame, verdicts: DataFrame, qrels: DataFrame, cutoffs: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """(cutoff, num_queries, precision, mrr) of a run that was re-ranked by verdicts: means over the queries that have judgments."""
+    scores = metrics.per_query(verdict_rerank(run, verdicts).select("qid", "docid", "rank"), qrels, list(cutoffs))
+    return scores.groupBy("cutoff").agg(F.count("*").alias("num_queries"), F.avg("precision").alias("precision"), F.avg("rr").alias("mrr"))
+
+
 def above_threshold(examples: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
     """Examples whose documents are those of exp(score) above the threshold, in their order; scores are cleared."""
     kept = scored.where(F.exp("score") > threshold).select("query", F.col("title").alias("_doc")).distinct()

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.functions import states
 from rankloom.functions import text as T
 from rankloom.operators import aggregates as A
-from rankloom.operators import boolean, cost, dense, joins, metrics, plugins, ranking, rerank, sampling, setalg
+from rankloom.operators import boolean, cost, dense, joins, metrics, plugins, ranking, rerank, sampling, setalg, wordpieces
 from rankloom.plans.catalog import HABITS_SQL, PAIRS_SQL, RUN_SQL, SCORES_SQL, dense_run, entity_attributes, entity_habits, label_qrels, query, rounded, t
-from rankloom.sources import rankings
+from rankloom.sources import rankings, records
 from rankloom.sources.scratch import scratch
 from rankloom.streaming import incremental
 
@@ -450,3 +451,91 @@ def costs_compared(spark, sf):
     rows = calls.select("kind", "num_queries", *(F.lit(v).alias(c) for c, v in (("calls_per_query", 1), ("avg_query_tokens", 4.0), ("avg_doc_tokens", 6.0), ("input_price", 1.5), ("output_price", 2.0))))
     priced = cost.totals(rows).withColumn("cost", F.col("total_cost"))
     return cost.compare_costs(priced, F.lit(1.0)).select("kind", F.col("calls").cast("long").alias("calls"), F.round("cost", 6).alias("cost"), F.round("difference", 4).alias("difference"))
+
+
+# --- state machines and word pieces --------------------------------------------------------------
+
+#: A statement with nested brackets, quotes and escapes, by the row's numbers; SQL and Spark build the same text.
+_STATEMENT_SQL = r"""repeat('(', p_size % 4) || p_name || ', "' || p_brand || ', \" x"' || repeat(')', p_size % 4) || ', it\'s, ' || p_type || CASE WHEN p_partkey % 3 = 0 THEN ', ''(' || p_size || ', ''' ELSE '' END || CASE WHEN p_partkey % 5 = 0 THEN ',, [a, (b, c)], ' ELSE ' ' END""".replace("it\\'s", "it\\''s")
+
+
+def _statement():
+    def lit(x):
+        return F.lit(x)
+
+    deep = (F.col("p_size") % 4).cast("int")
+    odd = F.when(F.col("p_partkey") % 3 == 0, F.concat(lit(", '("), s("p_size"), lit(", '"))).otherwise("")
+    end = F.when(F.col("p_partkey") % 5 == 0, lit(",, [a, (b, c)], ")).otherwise(" ")
+    return F.concat(F.repeat(lit("("), deep), "p_name", lit(', "'), "p_brand", lit(', \\" x"'), F.repeat(lit(")"), deep), lit(", it\\'s, "), "p_type", odd, end)
+
+
+@query(f"""WITH RECURSIVE x AS (SELECT p_partkey, {_STATEMENT_SQL} AS t FROM part),
+r(p_partkey, t, pos, quote, depth, esc, cur, parts) AS (SELECT p_partkey, t, 1, '', 0, FALSE, '', []::VARCHAR[] FROM x UNION ALL
+SELECT p_partkey, t, pos + 1, CASE WHEN NOT esc AND c IN ('''', '"') AND quote = '' THEN c WHEN NOT esc AND c = quote THEN '' ELSE quote END,
+CASE WHEN esc OR quote <> '' THEN depth WHEN c IN ('(', '[') THEN depth + 1 WHEN c IN (')', ']') THEN greatest(depth - 1, 0) ELSE depth END, NOT esc AND c = '\\',
+CASE WHEN sep THEN '' ELSE cur || c END, CASE WHEN sep THEN list_append(parts, trim(cur)) ELSE parts END
+FROM (SELECT *, substr(t, pos, 1) c, NOT esc AND quote = '' AND depth = 0 AND substr(t, pos, 1) = ',' sep FROM r WHERE pos <= length(t)))
+SELECT p_partkey, array_to_string(CASE WHEN cur <> '' THEN list_append(parts, trim(cur)) ELSE parts END, '|') AS parts FROM r WHERE pos = length(t) + 1""")
+def statements_split(spark, sf):
+    """Statements split at commas outside of quotes and brackets of any depth."""
+    return t(spark, sf, "part").select("p_partkey", F.array_join(states.split_outside(_statement()), "|").alias("parts"))
+
+
+@query("""SELECT p_partkey, 'Likes(' || p_brand || ', x)|' || p_type || '|And(A, Not(B, C))|p ' || p_size AS expressions FROM part""")
+def logic_extracted(spark, sf):
+    """The expressions of the logic blocks of a reply, over several lines and blocks."""
+    reply = F.concat(F.lit("TEXT: none, of it\nFOL; \u201cLikes("), "p_brand", F.lit(", x)\u201d,\n  "), "p_type", F.lit(",\n<EVALUATE>\nno, text\nFOL; And(A, \\Not(B,\nC)), ''\n\nnone\nFOL;'p "), s("p_size"), F.lit("'\nTEXT; end"))
+    return t(spark, sf, "part").select("p_partkey", F.array_join(states.logic_expressions(reply), "|").alias("expressions"))
+
+
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]') w FROM documents), aw AS (SELECT doc_id, unnest(w) word FROM d),
+f AS (SELECT word FROM aw GROUP BY word HAVING count(DISTINCT doc_id) >= 10), l AS (SELECT DISTINCT unnest(range(1, length(word) + 1)) i, word FROM (SELECT DISTINCT word FROM aw WHERE length(word) <= 100)),
+v AS (SELECT DISTINCT piece FROM (SELECT word AS piece FROM f UNION ALL SELECT '##' || substr(word, 4) FROM f WHERE length(word) > 3 UNION ALL SELECT substr(word, i, 1) FROM l WHERE ascii(substr(word, i, 1)) < 128 UNION ALL SELECT '##' || substr(word, i, 1) FROM l WHERE ascii(substr(word, i, 1)) < 128)),
+h AS (SELECT doc_id, list_slice(w, 1, 24) w FROM d), p AS (SELECT doc_id, unnest(w) word, unnest(range(1, len(w) + 1)) i FROM h), dw AS (SELECT DISTINCT word FROM p WHERE length(word) <= 100),
+c AS (SELECT word, j.pos, max(k.size) size FROM dw, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS pos) j, LATERAL (SELECT unnest(range(1, length(word) - j.pos + 2)) AS size) k JOIN v ON piece = CASE WHEN j.pos > 1 THEN '##' ELSE '' END || substr(word, j.pos, k.size) GROUP BY ALL),
+r(word, pos, out) AS (SELECT word, 1::BIGINT, []::VARCHAR[] FROM dw UNION ALL SELECT r.word, r.pos + c.size, list_append(out, CASE WHEN r.pos > 1 THEN '##' ELSE '' END || substr(r.word, r.pos, c.size)) FROM r JOIN c ON c.word = r.word AND c.pos = r.pos),
+e AS (SELECT word, out FROM r WHERE pos = length(word) + 1),
+g AS (SELECT doc_id, flatten(list(coalesce(e.out, ['[UNK]']) ORDER BY i)) pieces FROM p LEFT JOIN e USING (word) GROUP BY doc_id)
+SELECT doc_id, array_to_string(list_slice(coalesce(pieces, []), 1, 24), ' ') AS pieces FROM documents LEFT JOIN g USING (doc_id)""")
+def texts_cut_by_pieces(spark, sf):
+    """The first 24 word pieces of every document, by a vocabulary made of the documents: frequent words, their ends, and single letters."""
+    d = t(spark, sf, "documents").select("doc_id", "text")
+    every = d.select("doc_id", F.explode(wordpieces.words(F.col("text"))).alias("word"))
+    frequent = every.groupBy("word").agg(F.count_distinct("doc_id").alias("n")).where("n >= 10").select("word")
+    letters = every.where(F.length("word") <= 100).select(F.explode(F.array_distinct(F.split("word", ""))).alias("x")).where("x <> ''").distinct().where(F.ascii("x") < 128)
+    inside = lambda c: F.concat(F.lit(wordpieces.INSIDE), c)
+    parts = [frequent.select(F.col("word").alias("piece")), frequent.where(F.length("word") > 3).select(inside(F.expr("substring(word, 4)"))), letters.select("x"), letters.select(inside(F.col("x")))]
+    vocabulary = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3]).distinct()
+    return wordpieces.cut(d, vocabulary, 24, "doc_id").select("doc_id", F.array_join("pieces", " ").alias("pieces"))
+
+
+# --- results and examples ------------------------------------------------------------------------
+
+
+@query(f"""WITH {RUN_SQL} SELECT qid, docid, rank FROM (SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, CASE WHEN docid % 7 = 0 THEN -1 ELSE docid END) AS rank FROM run) WHERE rank <= 20 AND docid % 7 <> 0""")
+def hits_ranked(spark, sf):
+    """Results with missing hits (place -1): these go, and the ranks of the others stay."""
+    run = dense_run(spark, sf).withColumn("idx", F.when(F.col("docid") % 7 == 0, -1).otherwise(F.col("docid"))).drop("rank")
+    return ranking.ranked_hits(run, 20).select("qid", "docid", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {RUN_SQL}, v AS (SELECT qid, docid, rank, CASE WHEN docid % 3 = 0 THEN 1 ELSE 0 END AS yes FROM run WHERE rank <= 20), w AS (SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY yes DESC, rank) AS rank FROM v),
+j AS (SELECT w.*, q.docid IS NOT NULL AS rel FROM w LEFT JOIN qrels q USING (qid, docid) WHERE w.qid IN (SELECT qid FROM qrels)), k AS (SELECT unnest([1, 3, 5, 10]) AS cutoff),
+per AS (SELECT cutoff, qid, count(*) FILTER (rel AND rank <= cutoff) / cutoff AS prec, coalesce(1 / min(rank) FILTER (rel), 0) rr FROM j, k GROUP BY ALL)
+SELECT cutoff, count(*) AS num_queries, round(avg(prec), 6) AS precision, round(avg(rr), 6) AS mrr FROM per GROUP BY cutoff""")
+def verdict_metrics(spark, sf):
+    """Precision and MRR of a run that was re-ranked by binary verdicts."""
+    run = dense_run(spark, sf, 20)
+    verdicts = run.select("qid", "docid", F.when(F.col("docid") % 3 == 0, "True").otherwise("False").alias("verdict"))
+    return rounded(rerank.verdict_metrics(run, verdicts, label_qrels(spark, sf)), "precision", "mrr")
+
+
+@query("SELECT o_custkey::VARCHAR AS id, 'q ' || o_custkey AS query, count(*) AS docs, 't' AS template FROM orders GROUP BY o_custkey")
+def examples_written(spark, sf):
+    """Examples written by the library's writer, read back, written and read again."""
+    rows = by_customer(spark, sf).select(s("id").alias("id"), F.concat(F.lit("q "), s("id")).alias("query"), "docs", F.lit(1).alias("unknown"))
+    template = F.struct(*(F.lit("t").alias("template") if f.split(" ")[0] == "template" else F.lit(None).cast(f.split(" ")[1]).alias(f.split(" ")[0]) for f in records.METADATA.split(", ")))
+    first, second = scratch(spark, "examples"), scratch(spark, "examples-again")
+    records.write_examples(rows.withColumn("metadata", template), first)
+    records.write_examples(records.read_examples(spark, first), second)
+    return records.read_examples(spark, second).select("id", "query", F.size("docs").cast("long").alias("docs"), "metadata.template")

@@ -40,6 +40,13 @@ def read_examples(spark: SparkSession, path: str) -> DataFrame:
     return parsed_json(checked, EXAMPLE, strict=True).select("line_no", "row.*").drop("_corrupt")
 
 
+def write_examples(rows: DataFrame, path: str) -> None:
+    """Examples as JSON lines: the known fields alone, those that a table lacks as null, so that :func:`read_examples` reads them back."""
+    fields = rows.sparkSession.createDataFrame([], EXAMPLE).schema
+    known = {f.name: f.dataType.simpleString() for f in fields}
+    write_jsonl(rows.select(*((F.col(c).cast(t) if c in rows.columns else F.lit(None).cast(t)).alias(c) for c, t in known.items())), path)
+
+
 def read_documents(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """(line_no, title, text, idx); other fields are ignored."""
     return read_jsonl(spark, path, DOCUMENT, limit)

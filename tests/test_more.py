@@ -89,3 +89,15 @@ def test_combinations_come_without_a_grid(spark, monkeypatch):
     plan = setalg.valid_pairs(ea, 1, 40)._jdf.queryExecution().optimizedPlan().toString() + setalg.valid_triples(ea, 1, 40)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "Join Cross" not in plan
     assert setalg.valid_pairs(ea.limit(0), 1, 40).collect() == [] and setalg.valid_triples(ea.limit(0), 1, 40).collect() == []
+
+
+def test_steps_are_measured_and_appended(spark):
+    from rankloom.operators import plugins
+    from rankloom.sources.scratch import scratch
+
+    at = scratch(spark, "steps")
+    for name in ("Embedding", "Similarity"):
+        step = plugins.timed(name, lambda: sum(range(1000)))
+        assert step["driver_mb"] > 10 and step["seconds"] >= 0
+        plugins.append_steps(spark, [step], at)
+    assert {r["step"] for r in spark.read.option("header", True).csv(at).collect()} == {"Embedding", "Similarity"}
