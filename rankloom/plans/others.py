@@ -521,7 +521,7 @@ def hits_ranked(spark, sf):
 
 @query(f"""WITH {RUN_SQL}, v AS (SELECT qid, docid, rank, CASE WHEN docid % 3 = 0 THEN 1 ELSE 0 END AS yes FROM run WHERE rank <= 20), w AS (SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY yes DESC, rank) AS rank FROM v),
 j AS (SELECT w.*, q.docid IS NOT NULL AS rel FROM w LEFT JOIN qrels q USING (qid, docid) WHERE w.qid IN (SELECT qid FROM qrels)), k AS (SELECT unnest([1, 3, 5, 10]) AS cutoff),
-per AS (SELECT cutoff, qid, count(*) FILTER (rel AND rank <= cutoff) / cutoff AS prec, coalesce(1 / min(rank) FILTER (rel), 0) rr FROM j, k GROUP BY ALL)
+per AS (SELECT cutoff, qid, count(*) FILTER (rel AND rank <= cutoff) / cutoff AS prec, coalesce(1 / min(rank) FILTER (rel), 0) rr FROM j, k GROUP BY cutoff, qid)
 SELECT cutoff, count(*) AS num_queries, round(avg(prec), 6) AS precision, round(avg(rr), 6) AS mrr FROM per GROUP BY cutoff""")
 def verdict_metrics(spark, sf):
     """Precision and MRR of a run that was re-ranked by binary verdicts."""
