@@ -28,6 +28,8 @@ BLOCK = 128
 SHARD_DOCS, LEAST_DOCS = 1 << 14, 1 << 10
 #: Words of all queries that are broadcast at most; more are joined, with common words' postings cut by document.
 BROADCAST_TERMS, SALT = 1 << 18, 16
+#: Postings of a word, on average, up to which all are simply added up: a look-up in all lists costs about as much.
+PLAIN = 256
 #: Scores that differ by less are ties to the rounding that orders results.
 SLACK = 1e-8
 
@@ -71,42 +73,67 @@ def build(docs: DataFrame, key: str = "docid", text: str = "text", wanted: DataF
 
 
 class Shard:
-    """A shard's lists by word: documents (numbered) and impacts, by falling impact, and the same by document for look-ups."""
+    """A shard's lists by word: documents (numbered) and impacts, by falling impact; and all postings by word and document, for look-ups in many lists at once."""
 
     def __init__(self, lists: dict[str, tuple[np.ndarray, np.ndarray]]):
         every = [d for d, _ in lists.values()]
         self.docs, number = np.unique(np.concatenate(every), return_inverse=True)
-        self.lists, at = {}, 0
-        for term, (d, w) in lists.items():
+        self.lists, at, keys, weights = {}, 0, [], []
+        for n, (term, (d, w)) in enumerate(lists.items()):
             own = number[at : at + len(d)]
             at += len(d)
-            if len(np.unique(own)) < len(own):  # rows that repeat an id add up
+            by_doc = np.argsort(own)
+            if (own[by_doc][1:] == own[by_doc][:-1]).any():  # rows that repeat an id add up
                 own, place = np.unique(own, return_inverse=True)
                 w = np.bincount(place, weights=w)
                 order = np.lexsort((own, -w))
                 own, w = own[order], w[order]
-            order = np.argsort(own)
-            self.lists[term] = (own, w, own[order], w[order])
-
-    def search(self, terms: list[str], times: list[float], k: int) -> tuple[np.ndarray, np.ndarray, dict[str, tuple[int, int, int]]]:
-        """(documents, scores) that may be among the k best, and for each word its postings, those read and those looked up."""
-        held = [(t, *self.lists[t], m) for t, m in zip(terms, times, strict=True) if t in self.lists]
-        at, read, looked = [0] * len(held), [0] * len(held), [0] * len(held)
-        top = lambda i: max(0.0, held[i][2][at[i]] * held[i][5]) if at[i] < len(held[i][1]) else 0.0
+                by_doc = np.argsort(own)
+            self.lists[term] = (n, own, w)
+            keys.append(n * len(self.docs) + own[by_doc])
+            weights.append(w[by_doc])
+        self.keys, self.weights = np.concatenate(keys), np.concatenate(weights)
+
+    def _whole(self, held: list[tuple], d: np.ndarray) -> np.ndarray:
+        """Scores of documents, summed in the order of the words: a document's sum is always the same."""
+        asked = (np.array([n for n, *_ in held])[:, None] * len(self.docs) + d).ravel()
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        found = np.where(self.keys[at] == asked, self.weights[at], 0.0).reshape(len(held), len(d))
+        score = np.zeros(len(d))
+        for row, (*_, m) in zip(found, held, strict=True):
+            score += row * m
+        return score
+
+    def search(self, terms: list[str], times: list[float], k: int, plain: int = PLAIN) -> tuple[np.ndarray, np.ndarray, dict[str, tuple[int, int, int]]]:
+        """(documents, scores) that may be among the k best, and for each word its postings, those read in order and those looked up."""
+        names = [t for t in terms if t in self.lists]
+        held = [(*self.lists[t], m) for t, m in zip(terms, times, strict=True) if t in self.lists]
+        if sum(len(d) for _, d, _, _ in held) <= plain * len(held):  # fewer than look-ups cost
+            score = np.zeros(len(self.docs))
+            met = np.zeros(len(self.docs), dtype=bool)
+            for _, d, w, m in held:
+                score[d] += w * m
+                met[d] = True
+            best = np.flatnonzero(met)
+            if len(best) > k:
+                best = best[score[best] >= np.partition(score[best], len(best) - k)[len(best) - k] - SLACK]
+            return self.docs[best], score[best], {t: (len(h[1]), len(h[1]), 0) for t, h in zip(names, held, strict=True)}
+        at, read, looked = [0] * len(held), [0] * len(held), 0
+        top = lambda i: max(0.0, held[i][2][at[i]] * held[i][3]) if at[i] < len(held[i][1]) else 0.0
         next_ = np.array([top(i) for i in range(len(held))])
+        left = np.array([len(h[1]) for h in held])
         seen = np.zeros(len(self.docs), dtype=bool)
         best_d, best_s, least = np.zeros(0, dtype=np.int64), np.zeros(0), -np.inf
+        own = [0] * len(held)
         step = [BLOCK] * len(held)
-        while True:
-            open_ = [i for i in range(len(held)) if at[i] < len(held[i][1])]
-            if not open_ or len(best_s) >= k and next_.sum() < least - SLACK:
-                break
-            i = max(open_, key=lambda j: (next_[j], -len(held[j][1])))
-            _, docs, impacts, _, _, m = held[i]
+        while (left > 0).any() and not (len(best_s) >= k and next_.sum() < least - SLACK):
+            i = int(np.lexsort((left, np.where(left > 0, -next_, np.inf)))[0])
+            _, docs, impacts, m = held[i]
             some = slice(at[i], at[i] + step[i])
             d, w = docs[some], impacts[some] * m
             at[i], step[i] = at[i] + len(d), step[i] * 2
             read[i] += len(d)
+            left[i] -= len(d)
             others = next_.sum() - next_[i]
             next_[i] = top(i)
             new = ~seen[d]
@@ -114,19 +141,16 @@ class Shard:
             d = d[new & (w + others >= least - SLACK)]
             if not len(d):
                 continue
-            score = np.zeros(len(d))
-            for j, (_, _, _, by_doc, of_doc, mj) in enumerate(held):  # in the order of the words, so a document's sum is always the same
-                place = np.minimum(np.searchsorted(by_doc, d), len(by_doc) - 1)
-                score += np.where(by_doc[place] == d, of_doc[place] * mj, 0.0)
-                looked[j] += len(d) if j != i else 0
-            best_d, best_s = np.concatenate([best_d, d]), np.concatenate([best_s, score])
+            looked += len(d)
+            own[i] += len(d)
+            best_d, best_s = np.concatenate([best_d, d]), np.concatenate([best_s, self._whole(held, d)])
             if len(best_s) > k:
                 least = np.partition(best_s, len(best_s) - k)[len(best_s) - k]
                 keep = best_s >= least - SLACK
                 best_d, best_s = best_d[keep], best_s[keep]
             elif len(best_s) == k:
                 least = best_s.min()
-        return self.docs[best_d], best_s, {h[0]: (len(h[1]), read[j], looked[j]) for j, h in enumerate(held)}
+        return self.docs[best_d], best_s, {t: (len(h[1]), read[j], looked - own[j]) for j, (t, h) in enumerate(zip(names, held, strict=True))}
 
 
 def _plain(values: pa.Array) -> np.ndarray:
@@ -134,13 +158,13 @@ def _plain(values: pa.Array) -> np.ndarray:
     return np.array(values.to_pylist(), dtype=object) if pa.types.is_string(values.type) or pa.types.is_large_string(values.type) else values.to_numpy(zero_copy_only=False)
 
 
-def _searched(k: int, types: tuple[pa.DataType, pa.DataType], counted: bool):
+def _searched(k: int, types: tuple[pa.DataType, pa.DataType], counted: bool, plain: int):
     """Queries of each shard after its blocks; rows come sorted so."""
 
     def results(shard: Shard, batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
         for qid, terms, times in zip(*(batch.column(c).to_pylist() for c in ("qid", "terms", "times")), strict=True):
-            docs, scores, told = shard.search(terms, times, k)
+            docs, scores, told = shard.search(terms, times, k, plain)
             if counted:
                 out += [(qid, None, None, t, *n) for t, n in told.items()]
             else:
@@ -181,7 +205,7 @@ def _asked(blocks: DataFrame, shards: int, queries: DataFrame, k: int, query_key
     n = max(1, min(shards, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
     both = blocks.unionByName(own, allowMissingColumns=True).repartition(n, "shard")
     both = both.sortWithinPartitions("shard", F.col("terms").isNotNull(), "term", "block")
-    return both.mapInArrow(_searched(k, (_ARROW[kinds[0]], _ARROW[kinds[1]]), counted), f"qid {kinds[0]}, docid {kinds[1]}, score double, term string, held long, read long, looked long")
+    return both.mapInArrow(_searched(k, (_ARROW[kinds[0]], _ARROW[kinds[1]]), counted, PLAIN), f"qid {kinds[0]}, docid {kinds[1]}, score double, term string, held long, read long, looked long")
 
 
 def search_blocks(blocks: DataFrame, shards: int, queries: DataFrame, k: int = 100, query_key: str = "qid", query_text: str = "query") -> DataFrame:

@@ -8,6 +8,8 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.sources.scratch import kept
+
 #: Template: number of attributes, predicate on an entity's attributes, and the texts of its query (fixed values).
 SINGLE, OR2, OR3 = "_", "_ or _", "_ or _ or _"
 AND2, AND3, AND_NOT, NOT = "_ that are also _", "_ that are also both _ and _", "_ that are also _ but not _", "_ that are not _"
@@ -147,6 +149,10 @@ def pair_counts(ea: DataFrame, grid: bool = True) -> DataFrame:
     met = met_pairs(ea, n)
     if not grid:
         return met
+    return _with_unmet(n, met)
+
+
+def _with_unmet(n: DataFrame, met: DataFrame) -> DataFrame:
     every = size_pairs(n, n.select(F.col("a").alias("b"), F.col("na").alias("nb"))).where("a < b")
     return every.join(met.select("a", "b", "nab"), ["a", "b"], "left").na.fill({"nab": 0}).select("a", "b", "na", "nb", "nab")
 
@@ -157,9 +163,9 @@ def valid_pairs(ea: DataFrame, least: int, most: int) -> DataFrame:
     Pairs that meet come from the join on the entity, and and-templates need no others.  For the rest the sizes are the counts, so only attributes whose sizes
     can give a count in the range are brought together.
     """
-    ea = ea.distinct()
+    ea = kept(ea.distinct(), "relation")
     n = singles(ea)
-    met = met_pairs(ea, n)
+    met = kept(met_pairs(ea, n), "met")
     row = lambda template, x, y, size: F.struct(F.lit(template).alias("template"), F.col(x).alias("x"), F.col(y).alias("y"), size.alias("num_docs"))
     na, nb, nab = F.col("na"), F.col("nb"), F.col("nab")
     sets = F.array(row(OR2, "a", "b", na + nb - nab), row(AND2, "a", "b", nab), row(NOT, "a", "b", na - nab), row(NOT, "b", "a", nb - nab))
@@ -182,19 +188,22 @@ def valid_triples(ea: DataFrame, least: int, most: int, attrs: list[str] | None
     together, for and-not only pairs that meet often enough with attributes that can take enough away (see :func:`size_pairs`).
     """
     ea = ea.distinct() if attrs is None else ea.where(F.col("attr").isin(*attrs)).distinct()
+    ea = kept(ea, "relation")
     n = singles(ea)
-    met = met_pairs(ea, n)
+    met = kept(met_pairs(ea, n), "met")
+    every = _with_unmet(n, met)
     third = n.select(F.col("a").alias("c"), F.col("na").alias("nc"))
     e = lambda name: ea.select("entity", F.col("attr").alias(name))
     three = e("a").join(e("b"), "entity").where("a < b").join(e("c"), "entity").where("b < c").groupBy("a", "b", "c").agg(F.count("*").alias("nabc"))
+    three = kept(three, "triples")
     c = F.col
     within = c("num_docs").between(least, most)
     out = three.select(F.lit(AND3).alias("template"), "a", "b", "c", c("nabc").alias("num_docs")).where(within)
     if least <= 0 <= most:
-        every = size_pairs(pair_counts(ea).select("a", "b", "na"), third).where("b < c").select("a", "b", "c")
-        out = out.unionAll(every.join(three, ["a", "b", "c"], "left_anti").select(F.lit(AND3), "a", "b", "c", F.lit(0).cast("long")))
+        grid = size_pairs(every.select("a", "b", "na"), third).where("b < c").select("a", "b", "c")
+        out = out.unionAll(grid.join(three, ["a", "b", "c"], "left_anti").select(F.lit(AND3), "a", "b", "c", F.lit(0).cast("long")))
     # or: the union of a and b, then c
-    unions = pair_counts(ea).select("a", "b", (c("na") + c("nb") - c("nab")).alias("nu")).where(c("nu") <= most)
+    unions = every.select("a", "b", (c("na") + c("nb") - c("nab")).alias("nu")).where(c("nu") <= most)
     t = size_pairs(unions, third.where(c("nc") <= most), lambda l1, h1, l2, h2: max(l1, l2) <= most and h1 + h2 >= least).where("b < c")
     other = lambda x, y, name: met.select(c("a").alias(x), c("b").alias(y), c("nab").alias(name))
     t = t.join(other("a", "c", "nac"), ["a", "c"], "left").join(other("b", "c", "nbc"), ["b", "c"], "left").join(three, ["a", "b", "c"], "left").na.fill(0, ["nac", "nbc", "nabc"])
@@ -207,7 +216,7 @@ def valid_triples(ea: DataFrame, least: int, most: int, attrs: list[str] | None
     u = u.select("*", x, y, z).join(three.select(c("a").alias("s0"), c("b").alias("s1"), c("c").alias("s2"), "nabc"), ["s0", "s1", "s2"], "left").na.fill(0, ["nabc"])
     out = out.unionAll(u.select(F.lit(AND_NOT), "a", "b", "c", (c("nab") - c("nabc")).alias("num_docs")).where(within))
     if least <= 0 <= most:
-        unmet = pair_counts(ea).where("nab = 0").select("a", "b", "na")
+        unmet = every.where("nab = 0").select("a", "b", "na")
         out = out.unionAll(size_pairs(unmet, third).where((c("c") != c("a")) & (c("c") != c("b"))).select(F.lit(AND_NOT), "a", "b", "c", F.lit(0).cast("long")))
     return out
 

@@ -36,6 +36,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return out
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written once, where several plans read them."""
+    out = scratch(rows.sparkSession, name)
+    rows.write.parquet(out)
+    return rows.sparkSession.read.schema(rows.schema).parquet(out)
+
+
 def laid(rows: DataFrame, value: Column, key: str, name: str) -> str:
     """Lines ``value`` in the order of ``key`` as text, in several part files; their path."""
     out = scratch(rows.sparkSession, name)

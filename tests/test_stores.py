@@ -34,6 +34,8 @@ def zipf_documents(spark, n=1500, seed=1):
 def test_impacts_equal_all_pairs(spark, monkeypatch, k):
     monkeypatch.setattr(impacts, "LEAST_DOCS", 400)
     monkeypatch.setattr(impacts, "BLOCK", 8)
+    if k < 5000:
+        monkeypatch.setattr(impacts, "PLAIN", 0)
     docs = zipf_documents(spark)
     queries = spark.createDataFrame([("q1", "w0 w1 w700"), ("q2", "w2 w2 w5 w44 w1999 w3"), ("q3", "none of these"), ("q4", ""), ("q5", None), ("q6", "w0")], "qid string, query string")
     got = {(r["qid"], r["docid"], round(r["score"], 9)) for r in impacts.search(queries, docs, k).collect()}
@@ -55,11 +57,12 @@ def test_repeated_ids_are_one_document(spark):
     docs = spark.createDataFrame([(1, "x y z"), (1, "x"), (2, "x q"), (3, "q"), (4, "r"), (5, "s"), (None, "x")], "docid long, text string")
     queries = spark.createDataFrame([(9, "x")], "qid long, query string")
     rows = impacts.search(queries, docs, 5).collect()
-    assert [r["docid"] for r in rows] == [1, 2] or {r["docid"] for r in rows} == {1, 2}
+    assert {r["docid"] for r in rows} == {1, 2}
 
 
-def test_common_words_are_hardly_read(spark):
+def test_common_words_are_hardly_read(spark, monkeypatch):
     """Of the list of the commonest word few postings are read in order, and it is looked up for few documents."""
+    monkeypatch.setattr(impacts, "PLAIN", 0)  # as in shards of full size
     docs = zipf_documents(spark, 6000, seed=3)
     queries = spark.createDataFrame([(f"q{i}", f"w0 w1 w{300 + i} w{500 + 2 * i} w{900 + i}") for i in range(20)], "qid string, query string")
     wanted = sparse.tokens(queries, "qid", "query").select("term").distinct()
