@@ -14,8 +14,10 @@ size go to every task: the trie (per order, the contexts of the highest counts,
 ``MOST_ENTRIES`` entries) and the head of the vocabulary (``MOST_WORDS``).  Words beyond the head
 are scored exactly by a join on the word, which returns sums per document.  So are symbols whose
 longest context is not in a trie that had to leave contexts out: the whole count table is dealt by
-the last two bytes of the context, each share of it with the orders 0 and 1 makes a trie of its own,
-and the symbols are looked up there.  Scores do not depend on the two limits.
+the last bytes of the context, each share of it makes a trie of its own, and the symbols are looked up
+there.  Two bytes are asked first; a suffix that holds more than an even share is dealt by one byte
+more, up to the whole context, and the counts after such a suffix (there are no more of a length than
+shares) go to every task with the orders 0 and 1.  Scores do not depend on the two limits.
 
 Defined results: null, empty and wordless texts are the end alone (n_tokens 1); repeated rows are
 scored each alike and count each in training; a null id is hashed as empty text.  Without training
@@ -46,8 +48,13 @@ END_WORD = np.uint64(0x1D8E4E27C47D124F)
 #: Text that a task counts at a time.
 COUNT_BYTES = 32 << 20
 CHUNK, SCORE_CHUNK = 2 << 20, 1 << 20
-#: Odd number that deals pairs of bytes over the buckets.
-SPREAD = 40503
+#: Suffixes of a context that are dealt by a further byte are those above this share of the work.
+MOST_SHARES = 4096
+#: Counts that a task packs by bucket at a time.
+PACK_ROWS = 1 << 20
+#: Odd number that deals suffixes over the buckets.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+COUNT = np.dtype([("key", "<u8"), ("n", "<i8")])
 TAIL = np.dtype([("word", "<u8"), ("row", "<i8"), ("times", "<i4")])
 
 
@@ -118,6 +125,7 @@ class Trie:
         self.keys, self.log_n, self.contexts, self.own, self.down = [], [], [], [], []
         self.whole = True  # nothing that was counted is left out
         self.short = grams[:2]
+        self.least = 1  # contexts of fewer occurrences were left out
         before = None
         for k, (keys, n) in enumerate(grams):
             order = np.argsort(keys)
@@ -240,10 +248,95 @@ def _word_bucket(words: np.ndarray, buckets: int) -> np.ndarray:
     return (words % np.uint64(buckets)).astype(np.int32)
 
 
-def _gram_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """By the last two bytes of the context, so that its suffixes down to order 2 are in the same bucket."""
-    pair = (keys >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int64)
-    return ((pair * SPREAD & 0xFFFF) % buckets).astype(np.int32)
+class Suffixes:
+    """Deals contexts by their last bytes: two, and one more for as long as the suffix is in ``hot`` (of 2 to 4 bytes)."""
+
+    def __init__(self, hot: dict[int, np.ndarray], paths: dict[int, tuple[np.ndarray, np.ndarray]]):
+        self.hot, self.paths = hot, paths  # sorted suffixes by length; (keys, counts) of the symbols after them
+
+    @staticmethod
+    def _held(sorted_: np.ndarray, what: np.ndarray) -> np.ndarray:
+        return sorted_[np.minimum(np.searchsorted(sorted_, what), len(sorted_) - 1)] == what if len(sorted_) else np.zeros(len(what), dtype=bool)
+
+    def lengths(self, keys: np.ndarray) -> np.ndarray:
+        """How many bytes of the context of each of ``keys`` decide."""
+        out = np.full(len(keys), 2)
+        for k, hot in self.hot.items():
+            out += (out == k) & self._held(hot, keys >> np.uint64(8) & np.uint64((1 << 8 * k) - 1))
+        return out
+
+    def buckets(self, keys: np.ndarray, n: int) -> np.ndarray:
+        length = self.lengths(keys).astype(np.uint64)
+        suffix = keys >> np.uint64(8) & ((np.uint64(1) << np.uint64(8) * length) - np.uint64(1))
+        return (((suffix << np.uint64(3) | length) * SPREAD >> np.uint64(32)) % np.uint64(n)).astype(np.int32)
+
+    def orders(self, keys: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The counts of the orders from 2 on that a share with ``keys`` needs to answer ``asked``."""
+        length, out = self.lengths(keys), []
+        met = np.concatenate([keys, asked]) >> np.uint64(8)
+        for k in range(2, ORDER + 1):
+            own = length <= k  # of the others, the share holds only some of what follows the suffix
+            parts = [(keys[own] & np.uint64((1 << 8 * (k + 1)) - 1), counts[own])]
+            if k in self.paths:
+                path, n = self.paths[k]
+                used = self._held(np.unique(met & np.uint64((1 << 8 * k) - 1)), path >> np.uint64(8))
+                parts.append((path[used], n[used]))
+            out.append(_merged(parts))
+        return out
+
+
+def divide(grams: DataFrame, least: int, shares: int) -> Suffixes:
+    """Suffixes with more than one of ``shares`` even parts of the work: rows of the count table, and occurrences that tasks may have to look up."""
+    before = tables_made()
+    work = F.lit(1) + F.when(F.col("n") < least, F.col("n")).otherwise(0)
+    sizes = shared_table(grams.groupBy(F.shiftright("key", 8).bitwiseAND(0xFFFFFFFF).alias("suffix")).agg(F.sum(work).alias("work")), "suffixes")
+    most = (sizes.agg(F.coalesce(F.sum("work"), F.lit(0))).first()[0]) // shares
+    hot, paths = {}, {}
+    for k in (2, 3, 4):
+        suffix = F.col("suffix").bitwiseAND((1 << 8 * k) - 1).alias("suffix")
+        (found,) = columns(sizes.groupBy(suffix).agg(F.sum("work").alias("work")).where(F.col("work") > most).select("suffix"))
+        if not len(found):
+            break
+        hot[k] = np.sort(found.astype(np.int64).view(np.uint64))
+        own = F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1)
+        named = grams.sparkSession.createDataFrame([(int(x),) for x in hot[k]], "suffix long")  # no more than shares
+        after = grams.select(own.alias("key"), "n").withColumn("suffix", F.shiftright("key", 8)).join(F.broadcast(named), "suffix", "left_semi")
+        keys, n = columns(after.groupBy("key").agg(F.sum("n").alias("n")))
+        order = np.argsort(keys.view(np.uint64))
+        paths[k] = (keys.view(np.uint64)[order], n[order])
+    release(before)
+    return Suffixes(hot, paths)
+
+
+def _by_bucket(rows: np.ndarray, bucket: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """``rows`` packed by bucket."""
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows[order], bucket[order]
+    begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, dtype=np.int64)
+    stop = np.append(begin[1:], len(rows))
+    return pa.array(bucket[begin], pa.int32()), pa.array([rows[a:b].tobytes() for a, b in zip(begin, stop, strict=False)], pa.binary())
+
+
+def _packed_counts(batches: Iterator[pa.RecordBatch], bucket_of, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, n) of a table, packed by bucket."""
+    held, size = [], 0
+
+    def packed():
+        rows = np.concatenate(held)
+        bucket, counts = _by_bucket(rows, bucket_of(rows["key"], buckets))
+        return pa.RecordBatch.from_arrays([bucket, counts, pa.nulls(len(bucket), pa.binary())], names=["bucket", "counts", "rows"])
+
+    for batch in batches:
+        rows = np.empty(batch.num_rows, dtype=COUNT)
+        for c in ("key", "n"):
+            rows[c] = K.string_column(batch, c).to_numpy(zero_copy_only=False).view(COUNT[c])
+        held.append(rows)
+        size += len(rows)
+        if size >= PACK_ROWS:
+            yield packed()
+            held, size = [], 0
+    if size:
+        yield packed()
 
 
 def _packed(batches: Iterator[pa.RecordBatch], column: str, bucket_of, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -252,12 +345,8 @@ def _packed(batches: Iterator[pa.RecordBatch], column: str, bucket_of, buckets:
         rows = np.frombuffer(b"".join(K.string_column(batch, column).to_pylist()), dtype=TAIL)
         if not len(rows):
             continue
-        bucket = bucket_of(rows["word"], buckets)
-        order = np.argsort(bucket, kind="stable")
-        rows, bucket = rows[order], bucket[order]
-        begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        stop = np.append(begin[1:], len(rows))
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[begin]), pa.array([rows[a:b].tobytes() for a, b in zip(begin, stop, strict=True)], pa.binary())], names=["bucket", "rows"])
+        bucket, rows = _by_bucket(rows, bucket_of(rows["word"], buckets))
+        yield pa.RecordBatch.from_arrays([bucket, pa.nulls(len(bucket), pa.binary()), rows], names=["bucket", "counts", "rows"])
 
 
 def _word_sums(words: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -270,11 +359,11 @@ def _word_sums(words: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> tuple
     return keys, known.astype(np.int64), logs, np.zeros(len(keys))
 
 
-def _gram_sums(short: list[tuple[np.ndarray, np.ndarray]]):
+def _gram_sums(short: list[tuple[np.ndarray, np.ndarray]], suffixes: Suffixes):
     def sums(grams: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
         """By document, the scores of symbols after contexts whose last bytes are of this bucket."""
-        trie = Trie([*short, *(_merged([(grams & np.uint64((1 << 8 * (k + 1)) - 1), counts)]) for k in range(2, ORDER + 1))])
         distinct, which = np.unique(rows["word"], return_inverse=True)
+        trie = Trie([*short, *suffixes.orders(grams, counts, distinct)])
         log = trie.log_probability(distinct)[which] / np.log(10)
         keys, inverse = np.unique(rows["row"], return_inverse=True)
         return keys, np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys)), np.bincount(inverse, rows["times"] * log, len(keys))
@@ -284,39 +373,35 @@ def _gram_sums(short: list[tuple[np.ndarray, np.ndarray]]):
 
 def _looked_up(batches: Iterator[pa.RecordBatch], sums) -> Iterator[pa.RecordBatch]:
     """Per bucket, ``sums`` by document of what its rows hold; rows sorted by bucket."""
-    now, words, counts, far = None, [], [], []
+    now, held, far = None, [], []
 
     def joined():
         if not far:
             return
-        w = np.concatenate([np.zeros(0, dtype=np.uint64), *words])
-        n = np.concatenate([np.zeros(0, dtype=np.int64), *counts])
-        order = np.argsort(w)
+        table_ = np.concatenate([np.zeros(0, dtype=COUNT), *held])
+        table_ = table_[np.argsort(table_["key"])]
         rows = np.unique(np.concatenate(far))  # repeated rows of the table have the same key and are counted once
-        keys, known, logs, score = sums(w[order], n[order], rows)
+        keys, known, logs, score = sums(table_["key"], table_["n"], rows)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(known), pa.array(logs), pa.array(score)], names=["row", "known", "logs", "score"])
 
     for batch in batches:
-        for bucket, word, n, rows in zip(*(K.string_column(batch, c).to_pylist() for c in ("bucket", "words", "counts", "rows")), strict=True):
+        for bucket, counts, rows in zip(*(K.string_column(batch, c).to_pylist() for c in ("bucket", "counts", "rows")), strict=True):
             if bucket != now:
                 yield from joined()
-                now, words, counts, far = bucket, [], [], []
+                now, held, far = bucket, [], []
             if rows is not None:
                 far.append(np.frombuffer(rows, dtype=TAIL))
             else:
-                words.append(np.array(word, dtype=np.int64).view(np.uint64))
-                counts.append(np.array(n, dtype=np.int64))
+                held.append(np.frombuffer(counts, dtype=COUNT))
     yield from joined()
 
 
-def looked_up(table: DataFrame, bucket, scored: DataFrame, column: str, bucket_of, sums, buckets: int) -> DataFrame:
+def looked_up(table: DataFrame, scored: DataFrame, column: str, bucket_of, sums, buckets: int) -> DataFrame:
     """(row, known, logs, score): what ``column`` of the documents holds, joined by bucket with a table (key, n)."""
-    n = partitions(scored.sparkSession)
-    far = scored.where(F.length(column) > 0).select(column).mapInArrow(lambda batches: _packed(batches, column, bucket_of, buckets), "bucket int, rows binary")
-    dealt = table.withColumn("bucket", bucket.cast("int")).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(n)))
-    dealt = dealt.groupBy("bucket", "part").agg(F.collect_list(F.struct("key", "n")).alias("w")).select("bucket", F.col("w.key").alias("words"), F.col("w.n").alias("counts"), F.lit(None).cast("binary").alias("rows"))
-    both = dealt.unionByName(far.select("bucket", F.lit(None).cast("array<long>").alias("words"), F.lit(None).cast("array<long>").alias("counts"), "rows"))
-    both = both.repartition(n, "bucket").sortWithinPartitions("bucket")
+    schema = "bucket int, counts binary, rows binary"
+    far = scored.where(F.length(column) > 0).select(column).mapInArrow(lambda batches: _packed(batches, column, bucket_of, buckets), schema)
+    both = table.select("key", "n").mapInArrow(lambda batches: _packed_counts(batches, bucket_of, buckets), schema).unionByName(far)
+    both = both.repartition(partitions(scored.sparkSession), "bucket").sortWithinPartitions("bucket")
     return both.mapInArrow(lambda batches: _looked_up(batches, sums), "row long, known long, logs double, score double")
 
 
@@ -346,7 +431,7 @@ def build_trie(counts: DataFrame) -> Trie:
         chosen.append((keys.view(np.uint64), n))
     release(before)
     trie = Trie(chosen)
-    trie.whole = whole
+    trie.whole, trie.least = whole, least
     return trie
 
 
@@ -367,14 +452,11 @@ def score_texts(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text:
     shared = spark.sparkContext.broadcast((trie, head[order], times[order]))
     scored = shared_table(docs.mapInArrow(_scored(shared, "doc_id", "text"), "doc_id long, row long, n_tokens long, known long, logs double, score double, far binary, grams binary"), "scored")
     buckets = 8 * partitions(spark)
-    # the unsigned remainder of the 64-bit word hash
-    high, low = F.shiftrightunsigned("key", 32), F.col("key").bitwiseAND(0xFFFFFFFF)
-    bucket = ((high % buckets) * ((1 << 32) % buckets) + low % buckets) % buckets
-    found = looked_up(words.where((F.col("n") < least) & (F.col("key") != int(END_WORD))), bucket, scored, "far", _word_bucket, _word_sums, buckets)
+    found = looked_up(words.where((F.col("n") < least) & (F.col("key") != int(END_WORD))), scored, "far", _word_bucket, _word_sums, buckets)
     if not trie.whole:
-        pair = F.shiftright("key", 8).bitwiseAND(0xFFFF)
-        bucket = (pair * SPREAD).bitwiseAND(0xFFFF) % buckets
-        found = found.unionAll(looked_up(counts.where("kind = 0").select("key", "n"), bucket, scored, "grams", _gram_bucket, _gram_sums(trie.short), buckets))
+        grams = counts.where("kind = 0").select("key", "n")
+        suffixes = divide(grams, trie.least, min(buckets, MOST_SHARES))
+        found = found.unionAll(looked_up(grams, scored, "grams", suffixes.buckets, _gram_sums(trie.short, suffixes), buckets))
     found = found.groupBy("row").agg(F.sum("known").alias("more"), F.sum("logs").alias("more_logs"), F.sum("score").alias("more_score"))
     out = scored.drop("far", "grams").join(found, "row", "left")
     return out.select(

@@ -138,3 +138,30 @@ def test_tables_of_the_trie_are_released(spark):
     before = tables_made()
     P.build_trie(counts)
     assert tables_made() == before
+
+
+def test_a_pair_of_bytes_that_holds_most_contexts_is_divided(spark, tmp_path, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh") + rng.choice("abcdefgh") + rng.choice("ab") + "th" for _ in range(60)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    grams = P.count_corpus(docs, "text").where("kind = 0").select("key", "n")
+    suffixes = P.divide(grams, 1 << 40, 32)
+    pair = np.uint64(int.from_bytes(b"th", "big"))
+    assert pair in suffixes.hot[2] and all(len(h) < 32 for h in suffixes.hot.values())
+    keys, n = (np.array(x) for x in zip(*((r["key"], r["n"]) for r in grams.collect()), strict=True))
+    keys = keys.astype(np.uint64)
+    work = 1 + n
+    alone = work[keys >> np.uint64(8) & np.uint64(0xFFFF) == pair].sum() / work.sum()
+    leaf = suffixes.lengths(keys)
+    parts = np.unique(np.stack([keys >> np.uint64(8) & ((np.uint64(1) << np.uint64(8) * leaf.astype(np.uint64)) - np.uint64(1)), leaf.astype(np.uint64)]), axis=1, return_inverse=True)[1]
+    shares = np.bincount(parts.ravel(), work) / work.sum()
+    assert alone > 0.15 and shares[leaf[np.unique(parts.ravel(), return_index=True)[1]] < P.ORDER].max() <= 1 / 32 + 1e-9
+    buckets = suffixes.buckets(keys, 64)
+    assert all(len(set(buckets[parts.ravel() == p].tolist())) == 1 for p in range(len(shares)))
+    monkeypatch.setattr(P, "MOST_ENTRIES", 0)
+    rows = [(i, t[:90]) for i, t in enumerate(texts)]
+    key = lambda r: r[0]
+    got, want = sorted(run(spark, rows, tmp_path), key=key), sorted(brute(rows), key=key)
+    np.testing.assert_allclose([r[4:] for r in got], [r[4:] for r in want], rtol=1e-9)
