@@ -13,7 +13,8 @@ never shuffled while the benchmark fits one block.
 
 Defined results: null or wordless texts have no words and no hits; an item without words has no
 window; an item shorter than the window is one window.  Repeated documents are judged each; rows
-that repeat an item's id are one item, and a null id stands for -1.  An empty table gives an empty result, an empty benchmark no hits.  Columns of the
+that repeat an item's id are one item.  Items of null id are one item, null in ``items`` (last), which the query counts and
+does not list.  An empty table gives an empty result, an empty benchmark no hits.  Columns of the
 documents are kept; clashing names are replaced by the operator's.
 """
 
@@ -51,7 +52,7 @@ def _ranks(words: np.ndarray, size: int) -> dict[int, np.ndarray]:
 class Windows:
     """The windows of a block of benchmark items, by length, as places in the items' words."""
 
-    def __init__(self, ids: list[int], texts: pa.Array | pa.ChunkedArray | list[str | None], window: int = WINDOW):
+    def __init__(self, ids: list[int | None], texts: pa.Array | pa.ChunkedArray | list[str | None], window: int = WINDOW):
         data, off = K.text_buffer(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
         parts = []
         for lo, hi in K.chunks(off):
@@ -62,7 +63,12 @@ class Windows:
         n = np.concatenate([np.zeros(0, dtype=np.int64), *(x for _, x in parts)])
         self.vocab, word = np.unique(h, return_inverse=True)
         self.words = word.astype(np.int32) + 1
-        self.first, self.items = np.concatenate([[0], np.cumsum(n)]), np.array(ids, dtype=np.int64)
+        self.first = np.concatenate([[0], np.cumsum(n)])
+        null = np.array([i is None for i in ids], dtype=bool)
+        known, place = np.unique(np.array([i for i in ids if i is not None], dtype=np.int64), return_inverse=True)
+        self.ids = [*known.tolist(), None]  # the null id comes last
+        self.items = np.full(len(ids), len(known), dtype=np.int64)
+        self.items[~null] = place
         del h, word, parts
         self.tests: list[tuple[int, np.ndarray, np.ndarray]] = []  # length, a place of each window in their order, (window, item) pairs
         lengths = np.minimum(n, window)
@@ -197,7 +203,7 @@ def search(data: np.ndarray, off: np.ndarray, windows: Windows) -> dict[str, lis
         found["spans"][d].append({"start": a, "stop": b + 1})
     met = np.concatenate(pairs)  # rows that repeat an id are one item, as they are over several blocks
     for d, item in np.unique(np.stack([met[:, 0], windows.items[met[:, 1]]], 1), axis=0).tolist():
-        found["items"][d].append(item)
+        found["items"][d].append(windows.ids[item])
     return found
 
 
@@ -266,7 +272,7 @@ def find_matches(docs: DataFrame, bench: DataFrame, text: str = "text", item: st
 def _windows(bench: DataFrame, window: int) -> Windows:
     """Of one block of bounded size."""
     rows = bench.toArrow()
-    return Windows(rows.column("item").fill_null(-1).to_pylist(), rows.column("text"), window)
+    return Windows(rows.column("item").to_pylist(), rows.column("text"), window)
 
 
 def _counter(text: str, names: list[str]):

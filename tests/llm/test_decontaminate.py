@@ -109,6 +109,18 @@ def test_rows_that_repeat_an_item_count_once(spark, block_bytes):
     assert rows[0]["items"] == [10, 11]
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
+def test_items_of_null_id_are_one_item_beside_minus_one(spark, tmp_path, block_bytes):
+    bench = [(None, LONG), (None, LONG), (-1, LONG), (7, LONG)]
+    docs, items = spark.createDataFrame([(1, LONG), (2, "w1")], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    rows = D.find_matches(docs, items, block_bytes=block_bytes).collect()
+    assert [r["items"] for r in sorted(rows)] == [[-1, 7, None], []]
+    spark.createDataFrame([(1, LONG)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    (row,) = D.op3_benchmark_decontamination(spark, str(tmp_path)).collect()
+    assert (row["n_hit"], row["n_items"], row["items_sha256"]) == (40, 3, hashlib.sha256(b"-1,7").hexdigest())
+
+
 def test_both_directions_of_search_agree(monkeypatch):
     import random
 
