@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.operators.joins import ByLabel, with_relevance
+
 #: Ranges of document counts.
 BUCKETS = ((1, 20), (21, 50), (51, 100), (101, 150), (151, 200))
 
@@ -157,9 +159,10 @@ def training_inputs(pairs: DataFrame, docs: DataFrame, seed: int = 42) -> DataFr
     return full.orderBy(draw(seed, "query", "title", "label"), "query", "title")
 
 
-def curated_candidates(gold: DataFrame, scored: DataFrame, irrelevant: int = 5, noise: int = 5) -> DataFrame:
+def curated_candidates(gold: DataFrame | ByLabel, scored: DataFrame, irrelevant: int = 5, noise: int = 5) -> DataFrame:
     """(qid, docid, kind): gold, the lowest-scored documents, and the highest-scored that are not gold."""
-    others = scored.join(gold, ["qid", "docid"], "left_anti")
+    others = with_relevance(scored, gold).where("not rel").drop("rel")
+    gold = gold.pairs() if isinstance(gold, ByLabel) else gold
     low = Window.partitionBy("qid").orderBy("score", "docid")
     high = Window.partitionBy("qid").orderBy(F.desc("score"), "docid")
     worst = others.withColumn("_n", F.row_number().over(low)).where(F.col("_n") <= irrelevant).select("qid", "docid", F.lit("irrelevant").alias("kind"))

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from rankloom.operators import aggregates as A
+from rankloom.operators import joins, metrics, rerank, sampling
+from rankloom.plans import catalog
 
 
 def test_statistics_of_no_combination_have_a_total(spark):
@@ -11,3 +13,52 @@ def test_statistics_of_no_combination_have_a_total(spark):
     assert got == [*((i, t, 0, 0.0) for i, t in enumerate(A.TEMPLATE_ORDER)), (7, "TOTAL", 0, None)]
     one = spark.createDataFrame([("TOTAL", 3), ("_", 4), (None, 8)], rows.schema)  # a template of that name is not the total
     assert [tuple(r) for r in A.template_stats(one).collect() if r["queries"]] == [(0, "_", 1, 4.0), (7, "TOTAL", 3, 5.0)]
+
+
+def _labelled(spark):
+    """Judgments by label and their pairs: ids of two labels, none, null ones, and queries that are no documents."""
+    docs = [(i, i % 3) for i in range(40)] + [(4, 2), (10, 0), (10, 1), (41, None), (None, 1), (42, 9)]
+    asked = [(i, i, i % 3) for i in range(0, 40, 5)] + [(10, 10, 0), (10, 10, 1), (42, 42, 9), (41, 41, None), (50, 50, 2), (51, 51, 7)]
+    gold = joins.ByLabel(spark.createDataFrame(asked, "qid long, own long, label int"), spark.createDataFrame(docs, "docid long, label int"))
+    return gold, gold.pairs()
+
+
+def test_judgments_by_label_equal_their_pairs(spark):
+    gold, pairs = _labelled(spark)
+
+    def same(f):
+        # means of the same numbers in another order differ in the last digits
+        one, two = (sorted(str([round(x, 9) if isinstance(x, float) else x for x in r]) for r in f(g).collect()) for g in (gold, pairs))
+        assert one == two and one
+        return True
+
+    assert sorted(gold.sizes().collect()) == sorted(joins.Pairs(pairs).sizes().collect())
+    run = spark.range(0, 60).crossJoin(spark.range(0, 60, 5).select(F.col("id").alias("qid"))).where("(id * 7 + qid) % 4 > 0")
+    run = run.select("qid", F.col("id").alias("docid"), F.expr("row_number() over (partition by qid order by (id * 13 + qid) % 61)").alias("rank"))
+    scored = run.withColumn("p", (F.col("docid") * 7 % 11) / 11)
+    for missing in ("drop", "zero"):
+        assert same(lambda g: metrics.per_query(run, g, [1, 5, 20], missing))  # noqa: B023
+        assert same(lambda g: metrics.evaluate(run, g, [5], 3, missing))  # noqa: B023
+    assert same(lambda g: metrics.set_scores(run, g)) and same(lambda g: metrics.threshold_sweep(scored, g))
+    assert same(lambda g: metrics.compare(run, scored.withColumn("rank", F.lit(70) - F.col("rank")), g, [5]))
+    assert same(lambda g: rerank.hit_gate(run, g)) and same(lambda g: rerank.gated_rerank(run, scored, g))
+    assert same(lambda g: sampling.curated_candidates(g, scored.withColumnRenamed("p", "score")))
+
+
+def test_search_metrics_make_no_pairs_of_judgments(spark, tmp_path):
+    e = spark.range(0, 4000).select(F.col("id").alias("vec_id"), F.array((F.col("id") % 7).cast("float"), F.lit(1).cast("float")).alias("embedding"), F.lit(1).alias("label"))
+    e.write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = catalog.dense_ndcg20(spark, str(tmp_path))
+        assert [tuple(r)[:1] for r in rows.collect()] == [(40,)]
+        # 40 queries of 3,999 gold documents each: no operator gives as many rows
+        nodes, most = [rows._jdf.queryExecution().executedPlan()], 0
+        while nodes:
+            node = nodes.pop()
+            of = node.metrics().get("numOutputRows")
+            most = max(most, of.get().value() if of.isDefined() else 0)
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+        assert 4000 <= most <= 10_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
