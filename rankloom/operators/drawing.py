@@ -2,19 +2,21 @@
 
 A try is a row; its choices are numbers by md5 of seed, template, try and place, so that draws repeat and other engines can draw alike.
 All tries of a round are built by joins: attributes and entities are numbered, and a draw from what is allowed is a place in
-that numbering.  Counts come from one equi-join on the attributes.
+that numbering.  The relation is written once as sets of attributes; pairs and counts come from the sets, without a join on the entity.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators import setalg
 from rankloom.operators.sampling import BUCKETS, _number, bucket
+from rankloom.sources.scratch import kept
 
 #: Draws of an attribute pair before a template falls back to any attributes; failures in a row that end a phase.
 PAIR_TRIES = 1_000
@@ -33,12 +35,13 @@ class Relation:
     """A relation (entity, attr) with what draws need: numbered attributes by class (those of equal entity sets), numbered entities and their attributes."""
 
     def __init__(self, ea: DataFrame):
-        self.ea = ea.where("entity is not null and attr is not null").distinct()
+        self.sets = setalg.attribute_sets(ea.where("entity is not null and attr is not null"))
+        self.ea = self.sets.select("entity", F.explode("attrs").alias("attr"))
         # attributes of equal entity sets follow one another: sums of two hashes and the size tell the sets
         sign = [F.sum(F.xxhash64("entity", F.lit(i)).cast("decimal(38,0)")).cast("string") for i in (1, 2)]
-        self.attrs = self.ea.groupBy("attr").agg(F.count("*").alias("n"), F.concat_ws("|", *sign, F.count("*").cast("string")).alias("same"))
+        self.attrs = kept(self.ea.groupBy("attr").agg(F.count("*").alias("n"), F.concat_ws("|", *sign, F.count("*").cast("string")).alias("same")), "attributes")
         # one row for each attribute: numbered as a whole, their number does not grow with the entities
-        self.listed = self._counted(self.attrs)
+        self.listed = kept(self._counted(self.attrs), "listed")
         self.n = self.attrs.count()
 
     @staticmethod
@@ -53,15 +56,23 @@ class Relation:
 
     def entities(self, least: int) -> tuple[DataFrame, int]:
         """(at, entity, m) of entities with at least so many attributes, by their order, and their number."""
-        own = self.ea.groupBy("entity").agg(F.count("*").alias("m")).where(F.col("m") >= least)
+        own = self.sets.select("entity", F.size("attrs").cast("long").alias("m")).where(F.col("m") >= least)
         from rankloom.sources.judgments import assign_ids
 
         listed = assign_ids(own, "entity", "at").withColumn("at", F.col("at") - 1)
         return listed, own.count()
 
-    def of_entities(self) -> DataFrame:
-        """(entity, place, attr)."""
-        return self.ea.select("entity", "attr", (F.row_number().over(Window.partitionBy("entity").orderBy("attr")) - 1).alias("place"))
+    def of_entities(self, entities: DataFrame) -> DataFrame:
+        """(entity, attrs) of some entities."""
+        return self.sets.join(entities.select("entity").distinct(), "entity", "left_semi")
+
+    @cached_property
+    def met(self) -> DataFrame:
+        """(a, b, nab, differ) for a < b that some entity has both of; ``differ``: those entities do not all have the same attributes."""
+        one = self.sets.select(F.xxhash64("attrs").alias("own"), "attrs", F.posexplode("attrs").alias("i", "a"))
+        both = one.select("own", "a", F.explode(F.slice("attrs", F.col("i") + 2, F.size("attrs"))).alias("b"))
+        pairs = both.groupBy("a", "b").agg(F.count("*").alias("nab"), (F.min("own") != F.max("own")).alias("differ"))
+        return kept(pairs, "met")
 
 
 def _skipping(at: Column, *taken: Column) -> Column:
@@ -110,9 +121,9 @@ def _also(r: Relation, tries: DataFrame, seed: int, template: str, k: int) -> Da
     for i in range(k):
         rows = rows.withColumn(f"p{i}", _skipping(pick(seed, template, i, F.col("m") - i), *places))
         places = [F.array_sort(F.array(*(F.col(f"p{j}") for j in range(i + 1))))[x] for x in range(i + 1)]
-    for i in range(k):
-        rows = rows.join(r.of_entities().select("entity", F.col("place").alias(f"p{i}"), F.col("attr").alias(f"a{i}")), ["entity", f"p{i}"])
-    return rows.select("try", F.array(*(F.col(f"a{i}") for i in range(k))).alias("attrs"))
+    rows = kept(rows, "drawn")
+    own = rows.join(r.of_entities(rows).withColumnRenamed("attrs", "own"), "entity")
+    return own.select("try", F.array(*(F.get("own", F.col(f"p{i}").cast("int")) for i in range(k))).alias("attrs"))
 
 
 def _any(r: Relation, tries: DataFrame, seed: int, template: str, k: int) -> DataFrame:
@@ -141,8 +152,8 @@ def _chosen(rows: DataFrame, key: list[str], order: str, seed: int, template: st
 
 def _not(r: Relation, tries: DataFrame, seed: int, template: str) -> DataFrame:
     """A has entities with B and others without; any two where there are none."""
-    p = setalg.met_pairs(r.ea)
-    both = p.select("a", "b", "na", "nab").unionAll(p.select("b", "a", "nb", "nab")).where("nab < na").select("a", "b")
+    p = r.met.select("a", "b", "nab").unionAll(r.met.select("b", "a", "nab"))
+    both = kept(p.join(r.attrs.select(F.col("attr").alias("a"), "n"), "a").where("nab < n").select("a", "b"), "pairs")
     firsts = both.select("a").distinct()
     found, able = firsts.count(), r.attrs.where("n >= 2").count()
     share = found / able if able else 0.0
@@ -157,20 +168,18 @@ def _and_not(r: Relation, tries: DataFrame, seed: int, template: str) -> DataFra
 
     A pair has such a C if its entities do not all have the same attributes.
     """
-    sign = r.ea.groupBy("entity").agg(F.sum(F.xxhash64("attr").cast("decimal(38,0)")).alias("own"))
-    side = lambda name: r.ea.select("entity", F.col("attr").alias(name))
-    met = side("a").join(side("b"), "entity").where("a < b").join(sign, "entity")
-    pairs = met.groupBy("a", "b").agg(F.count("*").alias("nab"), F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("a", "b", "nab")
+    pairs = r.met.where("differ").select("a", "b", "nab")
     from rankloom.sources.judgments import assign_ids
 
     listed = assign_ids(pairs.withColumn("_o", F.concat_ws("|", "a", "b")), "_o", "at").select((F.col("at") - 1).alias("at"), "a", "b", "nab")
     n = pairs.count()
     share = n / (r.n * (r.n - 1) / 2) if r.n > 1 else 0.0
     luck = tries.withColumn("_bad", _unlucky(seed, template, share))
-    good = luck.where(~F.col("_bad")).select("try", pick(seed, template, 0, F.lit(n)).alias("at")).join(listed, "at").drop("at")
-    asked = good.select("a", "b", "nab").distinct()
-    inside = asked.join(side("a"), "a").join(side("b"), ["b", "entity"]).join(side("c"), "entity").where("c <> a and c <> b")
-    thirds = inside.groupBy("a", "b", "nab", "c").agg(F.count("*").alias("nabc")).where("nabc < nab").select("a", "b", "c")
+    good = kept(luck.where(~F.col("_bad")).select("try", pick(seed, template, 0, F.lit(n)).alias("at")).join(listed, "at").drop("at"), "drawn")
+    asked = good.select("a", "b", "nab").distinct()  # no more than there are tries
+    inside = r.sets.select("attrs", F.explode("attrs").alias("a")).join(F.broadcast(asked), "a").where(F.array_contains("attrs", F.col("b")))
+    inside = inside.select("a", "b", "nab", F.explode("attrs").alias("c")).where("c <> a and c <> b")
+    thirds = kept(inside.groupBy("a", "b", "nab", "c").agg(F.count("*").alias("nabc")).where("nabc < nab").select("a", "b", "c"), "thirds")
     turned = F.when(pick(seed, template, "turn", F.lit(2)) == 0, F.array("a", "b")).otherwise(F.array("b", "a"))  # which of the two comes first is drawn too
     good = _chosen(thirds, ["a", "b"], "c", seed, template, 1, good.select("try", "a", "b")).select("try", F.concat(turned, F.array("c")).alias("attrs"))
     return good.unionAll(_any(r, luck.where("_bad").select("try"), seed, template, 3))
@@ -257,8 +266,8 @@ def rejection_sample(ea: DataFrame, template: str, most: int, least_docs: int, m
     enough = relation.n >= setalg.ARITY[template]
     while enough and not state.done:
         last = first + round_ - 1
-        drawn = instances(relation, template, first, last, seed).select(F.col("try").alias("id"), F.lit(template).alias("template"), "attrs")
-        counted = setalg.answers(relation.ea, drawn).groupBy("id").agg(F.count("*").alias("num_docs")).where(F.col("num_docs").between(least_docs, most_docs))
+        drawn = kept(instances(relation, template, first, last, seed).select(F.col("try").alias("id"), F.lit(template).alias("template"), "attrs"), "tries")
+        counted = setalg.answer_counts(relation.sets, relation.attrs, drawn, least_docs, most_docs)
         rows = drawn.join(counted, "id").select("id", "attrs", "num_docs", bucket(F.col("num_docs")).alias("bucket")).collect()
         state.scan(sorted((r["id"], r["attrs"], r["num_docs"], r["bucket"]) for r in rows), first, last)
         first = last + 1

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators.joins import ByLabel, with_relevance
+from rankloom.sources.scratch import kept
 
 #: Ranges of document counts.
 BUCKETS = ((1, 20), (21, 50), (51, 100), (101, 150), (151, 200))
@@ -94,13 +95,14 @@ def drawn_combinations(ea: DataFrame, template: str, tries: int, least: int, mos
     """(template, attrs, num_docs): combinations of attributes drawn at random, of which those within the range stay.
 
     Each try takes its attributes by a hash of seed, template, try and place; tries that repeat an attribute, or a set where
-    order doesn't matter, are rejected.  All tries are counted by one equi-join on the attribute.
+    order doesn't matter, are rejected.  Those that their attributes' sizes do not rule out are counted in one pass over the entities.
     """
     from rankloom.operators import setalg
 
     spark = ea.sparkSession
-    ea = ea.distinct()
-    listed = _numbered(ea.select("attr").distinct(), "attr", "_at")
+    ea = kept(ea.distinct(), "relation")
+    sizes = kept(ea.groupBy("attr").agg(F.count("*").alias("n")), "sizes")
+    listed = _numbered(sizes.select("attr"), "attr", "_at")
     n = listed.count()
     places = range(setalg.ARITY[template])
     draws = spark.range(1, tries + 1).withColumnRenamed("id", "try")
@@ -111,8 +113,8 @@ def drawn_combinations(ea: DataFrame, template: str, tries: int, least: int, mos
     if template in setalg.UNORDERED:
         attrs = F.sort_array(attrs)
     own = draws.withColumn("attrs", attrs).where(F.size(F.array_distinct("attrs")) == len(places)).groupBy("attrs").agg(F.min("try").alias("id"))
-    queries = own.select("id", F.lit(template).alias("template"), "attrs")
-    counted = setalg.answers(ea, queries).groupBy("id").agg(F.count("*").alias("num_docs")).where(F.col("num_docs").between(least, most))
+    queries = kept(own.select("id", F.lit(template).alias("template"), "attrs"), "tries")
+    counted = setalg.answer_counts(setalg.attribute_sets(ea), sizes, queries, least, most)
     return queries.join(counted, "id").select("template", "attrs", "num_docs")
 
 

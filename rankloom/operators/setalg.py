@@ -89,6 +89,41 @@ def answers(ea: DataFrame, queries: DataFrame) -> DataFrame:
     return met.where(holds).select("id", "entity")
 
 
+def attribute_sets(ea: DataFrame) -> DataFrame:
+    """(entity, attrs): each entity's distinct attributes, sorted; written once, as several plans read them, and over all cores, as they are small but give much work."""
+    spark = ea.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return kept(ea.repartition(parts, "entity").groupBy("entity").agg(F.sort_array(F.collect_set("attr")).alias("attrs")), "sets")
+
+
+def answer_counts(sets: DataFrame, sizes: DataFrame, queries: DataFrame, least: int, most: int) -> DataFrame:
+    """(id, num_docs) of a bounded number of queries (id, template, attrs) with ``least`` to ``most`` answers, and one at least.
+
+    The numbers of :func:`answers`, from the entities' sets (:func:`attribute_sets`) and the attributes' sizes (attr, n).  A query whose sizes alone put it
+    outside of the range is not counted.  The others are sent to the sets: an or-query meets an entity at its first attribute there, another
+    one at its rarest; tasks count before anything is shuffled.
+    """
+    arity = F.create_map(*(x for t, n in ARITY.items() for x in (F.lit(t), F.lit(n))))
+    placed = queries.where(F.size("attrs") == F.try_element_at(arity, F.col("template"))).select("id", "template", F.posexplode("attrs").alias("place", "attr"))
+    of = placed.join(sizes.select("attr", "n"), "attr").groupBy("id", "template").agg(F.sort_array(F.collect_list(F.struct("place", "n", "attr"))).alias("of"))
+    of = of.where(F.size("of") == F.try_element_at(arity, F.col("template")))
+    union, less = F.col("template").isin(SINGLE, OR2, OR3), F.col("template").isin(NOT, AND_NOT)
+    inner = F.when(less, F.slice("of", 1, F.size("of") - 1)).otherwise(F.col("of"))
+    of = of.withColumn("inner", inner).withColumn("ns", F.transform("inner", lambda x: x["n"]))
+    low = F.when(union, F.array_max("ns")).when(F.col("template") == NOT, F.col("of")[0]["n"] - F.col("of")[1]["n"]).otherwise(0)
+    high = F.when(union, F.aggregate("ns", F.lit(0).cast("long"), lambda acc, n: acc + n)).otherwise(F.array_min("ns"))
+    may = of.where((low <= most) & (high >= least))
+    names = lambda c: F.transform(c, lambda x: x["attr"])
+    none = F.array().cast("array<string>")
+    first = F.transform("inner", lambda x, i: F.struct(x["attr"].alias("pivot"), none.alias("need"), names(F.slice("of", F.lit(1), i)).alias("without")))
+    rarest = F.array_min(F.transform("inner", lambda x: F.struct(x["n"], x["attr"])))["attr"]
+    one = F.array(F.struct(rarest.alias("pivot"), names(F.col("inner")).alias("need"), F.when(less, names(F.slice("of", -1, 1))).otherwise(none).alias("without")))
+    wanted = may.select("id", F.explode(F.when(union, first).otherwise(one)).alias("w")).select("id", "w.*")
+    met = sets.select("attrs", F.explode("attrs").alias("pivot")).join(F.broadcast(wanted), "pivot")
+    holds = F.forall("need", lambda x: F.array_contains("attrs", x)) & ~F.exists("without", lambda x: F.array_contains("attrs", x))
+    return met.where(holds).groupBy("id").agg(F.count("*").alias("num_docs")).where(F.col("num_docs").between(least, most))
+
+
 def upper_bound(template: str, n: int) -> int:
     """How many attribute combinations a template has at most."""
     return {SINGLE: n, OR2: comb(n, 2), AND2: comb(n, 2), OR3: comb(n, 3), AND3: comb(n, 3), NOT: n * (n - 1), AND_NOT: n * (n - 1) * (n - 2)}[template]

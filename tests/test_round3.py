@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rankloom.operators import aggregates as A
-from rankloom.operators import joins, metrics, rerank, sampling
+from rankloom.operators import joins, metrics, rerank, sampling, setalg
 from rankloom.plans import catalog
 
 
@@ -62,3 +62,36 @@ def test_search_metrics_make_no_pairs_of_judgments(spark, tmp_path):
         assert 4000 <= most <= 10_000
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_counts_of_tries_equal_those_of_their_answers(spark):
+    ea = spark.range(0, 400).select((F.col("id") % 41).alias("entity"), F.concat(F.lit("a"), (F.col("id") * F.col("id") % 13).cast("string")).alias("attr"))
+    ea = ea.unionAll(spark.createDataFrame([(None, "a1"), (90, None), (91, "only"), (1, "a1")], ea.schema))
+    names = [r["attr"] for r in ea.select("attr").distinct().collect()] + ["unknown"]
+    asked = [(i * 100 + j, t, [names[(j * (k + 2) + k * k + i) % len(names)] for k in range(n + (j == 7))]) for i, (t, n) in enumerate(setalg.ARITY.items()) for j in range(25)]
+    queries = spark.createDataFrame([*asked, (9000, "none such", ["a1"])], "id long, template string, attrs array<string>")
+    sizes = ea.distinct().groupBy("attr").agg(F.count("*").alias("n"))
+    every = setalg.answers(ea, queries).groupBy("id").agg(F.count("*").alias("num_docs"))
+    for least, most in ((1, 1000), (5, 12), (0, 3)):
+        want = sorted(map(tuple, every.where(F.col("num_docs").between(least, most)).collect()))
+        assert sorted(map(tuple, setalg.answer_counts(setalg.attribute_sets(ea), sizes, queries, least, most).collect())) == want and want
+
+
+def test_tries_that_sizes_rule_out_are_not_counted(spark):
+    """The rows that meet a try grow with the range asked for, not with the relation."""
+    ea = spark.range(0, 30_000).select((F.col("id") % 10_000).alias("entity"), F.concat(F.lit("a"), F.expr("cast(id / 10000 as int)").cast("string")).alias("attr"))
+    sizes = ea.groupBy("attr").agg(F.count("*").alias("n"))
+    queries = spark.createDataFrame([(i, setalg.OR2, ["a0", f"a{1 + i % 2}"]) for i in range(300)], "id long, template string, attrs array<string>")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = setalg.answer_counts(setalg.attribute_sets(ea), sizes, queries, 1, 200)
+        assert rows.collect() == []
+        nodes, joined = [rows._jdf.queryExecution().executedPlan()], 0
+        while nodes:
+            node = nodes.pop()
+            if "Join" in node.nodeName():
+                joined = max(joined, node.metrics().get("numOutputRows").get().value())
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+        assert joined <= 600  # 6,000,000 answers otherwise
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
