@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ CURLY = ("\u201c\u201d\u2018\u2019", "\"\"''")
 def split_outside(text: Column, brackets: str = "()[]") -> Column:
     """array<string>: the trimmed parts between commas that stand in no quotes and no brackets, at any depth.
 
-    One pass over the characters keeps which quote is open, how deep brackets are, and whether the character before was a backslash, which takes its
+    One pass over the marks, and over what stands between them as a whole, keeps which quote is open, how deep brackets are, and whether the character before was a backslash, which takes its
     meaning from the next one.  Quotes of the other kind and brackets mean nothing within quotes; a closing bracket that opens nowhere is passed over.  Nothing
     after the last comma gives no part.
     """
@@ -30,10 +32,11 @@ def split_outside(text: Column, brackets: str = "()[]") -> Column:
         quote = F.when(is_quote & (s["quote"] == ""), c).when(is_quote & (s["quote"] == c), F.lit("")).otherwise(s["quote"])
         depth = F.when(free & c.isin(*opening), s["depth"] + 1).when(free & c.isin(*closing), F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
         cuts = F.when(free & (s["depth"] == 0) & (c == ","), F.concat(s["cuts"], F.array(s["at"] + 1))).otherwise(s["cuts"])
-        return F.struct((s["at"] + 1).alias("at"), quote.alias("quote"), depth.alias("depth"), (plain & (c == "\\")).alias("escaped"), cuts.alias("cuts"))
+        return F.struct((s["at"] + F.char_length(c)).alias("at"), quote.alias("quote"), depth.alias("depth"), (plain & (c == "\\")).alias("escaped"), cuts.alias("cuts"))
 
-    letters = F.filter(F.split(text, ""), lambda c: c != "")
-    cuts = F.aggregate(letters, start, step)["cuts"]
+    marks = "'\",\\\\" + re.escape(brackets)
+    tokens = F.regexp_extract_all(text, F.lit(f"[^{marks}]+|[{marks}]"), 0)
+    cuts = F.aggregate(tokens, start, step)["cuts"]
     begins, ends = F.concat(F.array(F.lit(0)), cuts), F.concat(cuts, F.array(F.char_length(text) + 1))
     parts = F.zip_with(begins, ends, lambda b, e: F.struct(F.substring(text, b + 1, e - b - 1).alias("part"), (e > F.char_length(text)).alias("last")))
     return F.transform(F.filter(parts, lambda p: ~p["last"] | (p["part"] != "")), lambda p: trimmed(p["part"]))

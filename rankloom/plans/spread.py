@@ -14,3 +14,12 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     pieces = df.rdd.getNumPartitions()
     return df if pieces >= cores else df.repartition(cores)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores, whatever its files are: for work on a row that costs far more than moving it.
+
+    Pieces of a file without a group of rows of their own are empty tasks, so their number does not tell how rows are spread.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

@@ -95,3 +95,10 @@ def test_tries_that_sizes_rule_out_are_not_counted(spark):
         assert joined <= 600  # 6,000,000 answers otherwise
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_statements_are_dealt_over_all_cores(spark):
+    for name in ("statements_split", "logic_extracted"):
+        rows = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert spark.read.parquet("/root/testdata/sf0.001/part.parquet").rdd.getNumPartitions() == 1
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
