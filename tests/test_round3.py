@@ -102,3 +102,16 @@ def test_statements_are_dealt_over_all_cores(spark):
         rows = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert spark.read.parquet("/root/testdata/sf0.001/part.parquet").rdd.getNumPartitions() == 1
         assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_vocabulary_of_documents_is_counted_in_one_pass(spark, monkeypatch):
+    from rankloom.operators import wordpieces
+    from rankloom.plans import others
+
+    calls, words = [], wordpieces.words
+    monkeypatch.setattr(wordpieces, "words", lambda text: calls.append(1) or words(text))
+    seen = {}
+    monkeypatch.setattr(wordpieces, "cut", lambda d, vocabulary, *a: seen.update(v=vocabulary) or d.withColumn("pieces", F.array(F.lit("x"))))
+    others.texts_cut_by_pieces(spark, "/root/testdata/sf0.001")
+    plan = seen["v"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and plan.count("Relation") == 4  # the four parts read the words that were kept
