@@ -19,7 +19,7 @@ from __future__ import annotations
 import sys
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -29,9 +29,17 @@ from jobs.common import LOG, command_line, settings  # noqa: E402
 from rankloom.operators import sparse  # noqa: E402
 
 
-def bucket(term: str, buckets: int) -> Column:
-    """By md5, so that other engines can find a word's folder."""
-    return (F.conv(F.substring(F.md5(F.col(term).cast("binary")), 1, 4), 16, 10).cast("int") % buckets).alias("bucket")
+#: Documents of an Arrow batch whose words are counted together, at most.
+BATCH_ROWS = 1000
+
+
+#: Words of a share of a bucket, about.
+SHARE_WORDS = 2_000_000
+
+
+def shares_of(words: int, buckets: int) -> int:
+    """Shares of each bucket of a batch of so many words: 4 at least, so that small batches write few files."""
+    return max(4, -(-words // (buckets * SHARE_WORDS)))
 
 
 def index_batch(batch: DataFrame, number: int, output: str, config: dict) -> None:
@@ -39,13 +47,20 @@ def index_batch(batch: DataFrame, number: int, output: str, config: dict) -> Non
     docs = batch.select(F.col(config["key"]).alias("docid"), F.col(config["language"]).alias("language"), F.coalesce(sparse.words(config["text"]), F.array().cast("array<string>")).alias("w"))
     put = lambda rows, name, *by: rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", *by).parquet(f"{output}/{name}")
     docs = docs.persist()  # both tables come from one read of the batch
+    conf, limit = batch.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    former = conf.get(limit)
     try:
+        conf.set(limit, str(BATCH_ROWS))
         put(docs.select("docid", "language", F.size("w").alias("len")), "documents")
-        rows = sparse.postings(docs, "language").withColumn("bucket", bucket("term", config["buckets"]))
-        # a bucket's file is sorted by term; common words are cut over tasks by document
-        spread = F.pmod(F.xxhash64("docid"), F.lit(4))
-        put(rows.repartition("bucket", spread).sortWithinPartitions("bucket", "term", "docid"), "postings", "bucket")
+        # a document is one row here, so its words are counted in the task that holds it; buckets are by md5, so that other engines can find a word's folder
+        rows = sparse.row_postings(docs, config["buckets"], "language")
+        # a bucket's files are sorted by term; its postings are cut by document into shares whose size does not grow with the batch
+        words = docs.agg(F.sum(F.size("w"))).first()[0] or 0
+        shares = shares_of(words, config["buckets"])
+        tasks = max(int(conf.get("spark.sql.shuffle.partitions")), config["buckets"] * shares // 4)
+        put(rows.repartition(tasks, "bucket", F.pmod(F.xxhash64("docid"), F.lit(shares))).sortWithinPartitions("bucket", "term", "docid"), "postings", "bucket")
     finally:
+        conf.set(limit, former)
         docs.unpersist()
 
 

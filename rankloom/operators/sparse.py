@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +63,39 @@ def postings(own: DataFrame, *more: str) -> DataFrame:
     return rows.groupBy("docid", "len", "term", *more).agg(F.count("*").alias("tf"))
 
 
+def _counted(own: list[str], buckets: int):
+    """Postings of an Arrow batch of (*own, w): words are numbered once, then rows and numbers are counted together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = batch.column("w")
+            words = pc.list_flatten(w).dictionary_encode()
+            names, n = words.dictionary, len(words.dictionary)
+            if not n:
+                continue
+            keys, tf = np.unique(pc.list_parent_indices(w).to_numpy().astype(np.int64) * n + words.indices.to_numpy(), return_counts=True)
+            row, term = np.divmod(keys, n)
+            bucket = np.array([int.from_bytes(hashlib.md5(t).digest()[:2], "big") % buckets for t in names.cast(pa.binary()).to_pylist()], dtype=np.int32)
+            lengths = pc.list_value_length(w).cast(pa.int32())
+            for a in range(0, len(keys), 1 << 16):
+                at = slice(a, a + (1 << 16))
+                rows = pa.array(row[at])
+                parts = {c: batch.column(c).take(rows) for c in own} | {"len": lengths.take(rows), "term": names.take(pa.array(term[at])), "tf": pa.array(tf[at], pa.int64()), "bucket": pa.array(bucket[term[at]])}
+                yield pa.RecordBatch.from_pydict(parts)
+
+    return run
+
+
+def row_postings(own: DataFrame, buckets: int, *more: str) -> DataFrame:
+    """(docid, the columns ``more``, len, term, tf, bucket) from (docid, w) with one row a document: each is counted where it is, and nothing is shuffled.
+
+    The bucket is the first two bytes of the term's md5, modulo ``buckets``.
+    """
+    kept = ["docid", *more]
+    kinds = [f"`{c}` {own.schema[c].dataType.simpleString()}" for c in kept]
+    return own.select(*kept, "w").mapInArrow(_counted(kept, buckets), ", ".join([*kinds, "len int, term string, tf long, bucket int"]))
+
+
 def index(docs: DataFrame, key: str = "docid", text: str = "text") -> tuple[DataFrame, DataFrame, tuple[int, float, float]]:
     """(postings: docid, term, tf, len), (terms: term, df, idf), :func:`statistics`."""
     own = tokenised(docs, key, text)

@@ -82,6 +82,29 @@ def test_output_is_partitioned(spark):
     assert {r[0] for r in index_corpus.read_postings(spark, out).select("bucket").collect()} <= {0, 1, 2, 3}
 
 
+def test_postings_are_counted_where_documents_are(spark):
+    rows = [(1, "en", ["b", "a", "b"]), (2, None, []), (3, "de", ["É", "a", "é", "a", "a"]), (4, "fr", ["𝒳"]), (5, "fr", [])]
+    own = spark.createDataFrame(rows, "docid long, `lan guage` string, w array<string>").repartition(2)
+    got = sparse.row_postings(own, 16, "lan guage")
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    bucket = (F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 4), 16, 10).cast("int") % 16).alias("bucket")
+    columns = ["docid", "lan guage", "len", "term", "tf"]
+    want = sparse.postings(own, "lan guage").select(*(F.col(f"`{c}`") for c in columns), bucket)
+    assert plain(got.select(*(F.col(f"`{c}`") for c in columns), "bucket")) == plain(want) and got.count() == 6
+    assert sparse.row_postings(own.where("docid = 2"), 16).count() == 0
+
+
+def test_shares_of_buckets_keep_their_size(spark, monkeypatch):
+    assert [index_corpus.shares_of(n, 16) for n in (0, 10**6, 10**9, 2 * 10**9)] == [4, 4, 32, 63]
+    folder, out = scratch(spark, "docs"), scratch(spark, "index")
+    add(spark, folder, [(i, "a b c d", "en", 0) for i in range(200)])
+    monkeypatch.setattr(index_corpus, "SHARE_WORDS", 8)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    index_corpus.index_corpus(spark, folder, out, f"{out}/checkpoint", buckets=1)
+    assert len(spark.read.parquet(f"{out}/postings").inputFiles()) > 8  # one bucket of 800 words in 100 shares, by four a task
+    assert index_corpus.read_postings(spark, out).count() == 800 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 # --- build_queries -----------------------------------------------------------------------------
 
 TABLES = [f"{SF}/{t}.parquet" for t in ("orders", "lineitem", "part")]
