@@ -79,7 +79,7 @@ def _shuffled_rows(spark, f):
     return got, max(n for i, n in stages().items() if i not in old)
 
 
-@pytest.mark.parametrize("name", ["metrics_set_recall", "latex_line", "metrics_as_json", "metrics_compare_runs", "metrics_macro", "baseline_row"])
+@pytest.mark.parametrize("name", ["metrics_set_recall", "latex_line", "metrics_as_json", "metrics_compare_runs", "metrics_macro", "baseline_row", "metrics_per_query"])
 def test_search_metrics_shuffle_no_pairs_of_judgments(spark, tmp_path, name):
     """Each with all its actions: with one label, 40 queries have 3,999 gold documents each, and results are 100 a query and task."""
     e = spark.range(0, 4000, 1, 2).select(F.col("id").alias("vec_id"), F.array((F.col("id") % 7).cast("float"), F.lit(1).cast("float")).alias("embedding"), F.lit(1).alias("label"))
